@@ -55,3 +55,32 @@ def positive_class_probability(probability_col: str = "probability") -> Column:
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def money_units(column, dtype) -> tuple[Column, int]:
+    """Money as exact integer units for fast summing.
+
+    A DECIMAL(p, s) with p <= 18 becomes its unscaled value as LONG (cents
+    for s = 2): long sums run in generated code, while Spark sums a
+    DECIMAL(18,2) in a DECIMAL(28,2) buffer on the slower object path.
+    Returns (expression, scale); other types pass through with scale 0.
+    """
+    from pyspark.sql import types as T
+    if isinstance(dtype, T.DecimalType) and dtype.precision <= 18:
+        return (_col(column) * F.lit(10 ** dtype.scale)).cast("long"), dtype.scale
+    return _col(column), 0
+
+
+def money_value(units_sum, scale: int) -> Column:
+    """Back from summed units to DOUBLE.  The unscaled sum is exact, and one
+    correctly rounded division gives the same double as casting the exact
+    decimal sum."""
+    value = _col(units_sum).cast("double")
+    return value / F.lit(float(10 ** scale)) if scale else value
+
+
+MONEY_SCALE = "money_scale"
+
+
+def money_scale_of(df, column: str) -> int:
+    return int(df.schema[column].metadata.get(MONEY_SCALE, 0))

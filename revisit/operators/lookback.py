@@ -26,7 +26,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from revisit.functions.expressions import count_if, days_before, in_lookback, sum_if
+from revisit.functions.expressions import (MONEY_SCALE, count_if, days_before, in_lookback,
+                                          money_scale_of, money_units, money_value, sum_if)
 from revisit.operators.keys import offers_by_field
 from revisit.operators.sizing import as_bounded
 from revisit.schemas import COHORT_KEYS, PRODUCT_FIELDS, USER_WINDOW, WINDOWS
@@ -66,33 +67,36 @@ def purchase_facts(transactions: DataFrame, offers, with_totals: bool = True,
     x = t.select("id", "date", "purchasequantity", "purchaseamount",
                  *[tagged[f].alias(f"_m_{f}") for f in PRODUCT_FIELDS],
                  F.explode(targets).alias("offer"))
-    q, a = F.col("purchasequantity"), F.col("purchaseamount")
+    q = F.col("purchasequantity")
+    a, scale = money_units("purchaseamount", transactions.schema["purchaseamount"].dataType)
+    meta = {MONEY_SCALE: scale}
     match = {f: F.array_contains(F.col(f"_m_{f}"), F.col("offer")) for f in PRODUCT_FIELDS}
     product = match["company"] & match["category"] & match["brand"]
     aggs = []
     for f in PRODUCT_FIELDS:
         aggs += [count_if(match[f]).alias(f"n_{f}"),
                  sum_if(match[f], q).alias(f"q_{f}"),
-                 sum_if(match[f], a).alias(f"a_{f}")]
-    aggs += [sum_if(product, q).alias("q_product"), sum_if(product, a).alias("a_product")]
+                 sum_if(match[f], a).alias(f"a_{f}", metadata=meta)]
+    aggs += [sum_if(product, q).alias("q_product"),
+             sum_if(product, a).alias("a_product", metadata=meta)]
     if with_totals:
-        aggs.append(sum_if(F.col("offer").isNull(), a).alias("a_all"))
+        aggs.append(sum_if(F.col("offer").isNull(), a).alias("a_all", metadata=meta))
     else:
-        aggs.append(F.lit(None).cast(transactions.schema["purchaseamount"].dataType).alias("a_all"))
+        aggs.append(F.sum(F.when(F.lit(False), a)).alias("a_all", metadata=meta))
     return x.groupBy("id", "offer", "date").agg(*aggs)
 
 
-def _window_columns(dd: Column, n: int, never: bool, suffix_never: str = "") -> list[Column]:
+def _window_columns(dd: Column, n: int, never: bool, scale: int) -> list[Column]:
     out = []
     for f in PRODUCT_FIELDS:
         within = dd <= n
         matched = F.coalesce(F.sum(F.when(within, F.col(f"n_{f}"))), F.lit(0))
         qty = F.sum(F.when(within, F.col(f"q_{f}")))
-        amt = F.sum(F.when(within, F.col(f"a_{f}"))).cast("double")
+        amt = money_value(F.sum(F.when(within, F.col(f"a_{f}"))), scale)
         none = matched == 0
         out.append(F.when(none, F.lit(0).cast("long")).otherwise(qty).alias(f"has_bought_{f}_q_{n}"))
         if never:
-            out.append(F.when(none, F.lit(1)).otherwise(F.lit(0)).alias(f"never_bought_{f}{suffix_never}"))
+            out.append(F.when(none, F.lit(1)).otherwise(F.lit(0)).alias(f"never_bought_{f}"))
         out.append(F.when(none, F.lit(0.0)).otherwise(amt).alias(f"has_bought_{f}_a_{n}"))
     return out
 
@@ -117,21 +121,28 @@ def lookback_features(cohort: DataFrame, facts: DataFrame, windows=WINDOWS,
     on = ((F.col("_f_id") == F.col("id"))
           & (F.col("_f_offer").isNull() | (F.col("_f_offer") == F.col("offer")))
           & in_lookback("_f_date", "offerdate", span))
-    j = cohort.join(f, on, "left")
+    # Both sides grow with the data: never let a size estimate broadcast
+    # the facts (the explode is invisible to Catalyst's estimate).
+    j = cohort.join(f.hint("merge"), on, "left")
     dd = days_before("offerdate", "_f_date")
-    aggs = [F.any_value(c).alias(c) for c in carry]
+    scale = money_scale_of(facts, "a_all")
+    aggs = []
     for n in windows:
-        aggs += _window_columns(dd, n, never=(n == never_window))
+        aggs += _window_columns(dd, n, never=(n == never_window), scale=scale)
     if user_window:
         within = dd <= user_window
         total_row = F.col("_f_id").isNotNull() & F.col("_f_offer").isNull()
         aggs += [
-            F.coalesce(F.sum(F.when(within, F.col("a_product"))).cast("double"), F.lit(0.0)).alias(f"prodid_spend_{user_window}"),
+            F.coalesce(money_value(F.sum(F.when(within, F.col("a_product"))), scale), F.lit(0.0)).alias(f"prodid_spend_{user_window}"),
             F.coalesce(F.sum(F.when(within, F.col("q_product"))), F.lit(0).cast("long")).alias(f"prodid_count_{user_window}"),
-            F.coalesce(F.sum(F.when(total_row & within, F.col("a_all"))).cast("double"), F.lit(0.0)).alias(f"total_spend_{user_window}"),
+            F.coalesce(money_value(F.sum(F.when(total_row & within, F.col("a_all"))), scale), F.lit(0.0)).alias(f"total_spend_{user_window}"),
             count_if(total_row & within).alias(f"visits_{user_window}"),
         ]
-    out = j.groupBy(*COHORT_KEYS).agg(*aggs)
+    # Carried cohort columns are functionally dependent on the keys; as
+    # grouping keys they keep a hash aggregate (any_value on strings would
+    # force a sort aggregate), and the join's ``id`` partitioning already
+    # satisfies the grouping, so no shuffle is added.
+    out = j.groupBy(*COHORT_KEYS, *carry).agg(*aggs)
     front = [c for c in cohort.columns if c in COHORT_KEYS or c in carry]
     return out.select(*front, *[c for c in out.columns if c not in front])
 
@@ -164,7 +175,7 @@ def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int)
                              F.col("category").alias("offer_category"),
                              F.col("company").alias("offer_company"),
                              F.col("brand").alias("offer_brand"), "offerdate")
-    j = c.join(t, (F.col("_t_id") == F.col("id")) & in_lookback("date", "offerdate", days))
+    j = c.join(t.hint("merge"), (F.col("_t_id") == F.col("id")) & in_lookback("date", "offerdate", days))
     return j.select(*COHORT_KEYS, "category", "company", "brand",
                     "offer_category", "offer_company", "offer_brand",
                     "purchasequantity", "purchaseamount", "date", "offerdate")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from revisit.operators.sizing import Bounded, broadcast_bounded
 from revisit.session import scratch_path
-from revisit.sources.io import materialize
+from revisit.sources.io import ensure_parallelism, materialize
 
 # Fixed values of the fixture mapping (FIXTURES.md section 2).
 FIXTURE_COLUMNS = {
@@ -45,7 +45,7 @@ class Tables:
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def derive_transactions(spark: SparkSession, sf_dir: str, fixture: str = "sparse") -> DataFrame:
@@ -116,7 +116,7 @@ def derive_history(spark: SparkSession, sf_dir: str, transactions: DataFrame,
                   .distinct())
     offer_brand = offers.hint(offers.df.select("offer", F.col("brand").alias("offer_brand")))
     cohort = base.select("id", "offer", "offerdate").join(offer_brand, "offer", "inner")
-    trips = (cohort.join(brand_days.withColumnRenamed("id", "t_id"),
+    trips = (cohort.join(brand_days.withColumnRenamed("id", "t_id").hint("merge"),
                          (F.col("t_id") == F.col("id"))
                          & (F.col("brand") == F.col("offer_brand"))
                          & (F.col("date") > F.col("offerdate")))
