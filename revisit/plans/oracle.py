@@ -202,6 +202,7 @@ def oracle_sql() -> dict[str, str]:
         f"WHERE {f} IS NOT NULL GROUP BY {f}" for f in PRODUCT_FIELDS))
     q["offer_productids"] = _with("sparse", [], f"SELECT DISTINCT {_pid()} AS productid FROM offers")
     q["reduce_transactions"] = _with("sparse", [], f"SELECT {_TX_COLS} FROM reduced")
+    q["reduce_transactions_stream"] = q["reduce_transactions"]
     q["cat_dept_map"] = _with("sparse", [], 'SELECT dept, category, COUNT(*) AS "count" FROM transactions GROUP BY dept, category')
     q["history_offers"] = _with("sparse", [], "SELECT * FROM history_offers")
     q["lookback_join"] = _with("sparse", [], f"""SELECT h.split, h.id, h.offer, t.category, t.company, t.brand,

@@ -20,7 +20,7 @@ from revisit.operators.enrich import history_offers
 from revisit.operators.keys import offer_keys, offer_productids
 from revisit.operators.lookback import (cohort_date_bounds, has_bought, lookback_join,
                                         purchase_facts, user_spend)
-from revisit.operators.market import category_products, competition, product_share
+from revisit.operators.market import competition, product_share
 from revisit.operators.reduce import category_dept_map, reduce_transactions
 from revisit.schemas import USER_WINDOW, WINDOWS, transactions_schema
 from revisit.session import scratch_path
@@ -53,6 +53,22 @@ def q_sink_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimals_to_double(read_parquet(spark, path))
 
 
+def q_reduce_transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reduction run as a Structured Streaming job over the stored
+    transactions folder (availableNow trigger), read back from its sink."""
+    import uuid
+
+    from revisit.streaming.reduce_stream import run_reduction
+    tb = _t(spark, sf_dir)
+    run = f"stream-{uuid.uuid4().hex[:8]}"   # own source / sink / checkpoint per run
+    source = scratch_path(spark, run, "transactions")
+    write_parquet(tb.transactions, source, mode="errorifexists")
+    sink = scratch_path(spark, run, "reduced")
+    run_reduction(spark, source, tb.transactions.schema, tb.offers, sink,
+                  scratch_path(spark, run, "checkpoint"))
+    return decimals_to_double(read_parquet(spark, sink))
+
+
 def q_offer_keys(spark, sf_dir):
     return offer_keys(_t(spark, sf_dir).offers.df)
 
@@ -207,6 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "offer_keys": q_offer_keys,
         "offer_productids": q_offer_productids,
         "reduce_transactions": q_reduce_transactions,
+        "reduce_transactions_stream": q_reduce_transactions_stream,
         "cat_dept_map": q_cat_dept_map,
         "history_offers": q_history_offers,
         "lookback_join": q_lookback_join,
