@@ -56,15 +56,13 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 def cohort_row_checks(history: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Row-count invariants: every derived per-cohort table has exactly one
-    row per history row.  One count job per table, unioned."""
-    expected = history.agg(F.count(F.lit(1)).alias("n_expected"))
-    parts = []
-    for name, df in tables.items():
-        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("check"), "n_rows"))
+    row per history row.  One count per table; the expected count is a
+    scalar subquery."""
+    expected = history.select(F.count(F.lit(1))).scalar()
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("check"), "n_rows")
+             for name, df in tables.items()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    # ``expected`` is a single row: broadcast it and join on a constant key.
-    exp = F.broadcast(expected.withColumn("_k", F.lit(1)))
-    out = rows.withColumn("_k", F.lit(1)).join(exp, "_k").drop("_k")
-    return out.withColumn("ok", F.col("n_rows") == F.col("n_expected"))
+    return (rows.withColumn("n_expected", expected)
+            .withColumn("ok", F.col("n_rows") == F.col("n_expected")))

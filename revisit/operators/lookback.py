@@ -30,6 +30,7 @@ from revisit.functions.expressions import (MONEY_SCALE, count_if, days_before, i
                                           money_scale_of, money_units, money_value, sum_if)
 from revisit.operators.keys import offers_by_field
 from revisit.operators.sizing import as_bounded
+from revisit.operators.skew import salted_join
 from revisit.schemas import COHORT_KEYS, PRODUCT_FIELDS, USER_WINDOW, WINDOWS
 
 _FACT_MEASURES = tuple(f"{m}_{f}" for f in PRODUCT_FIELDS for m in ("n", "q", "a")) + (
@@ -161,13 +162,15 @@ def user_spend(cohort_offers: DataFrame, facts: DataFrame, days: int = USER_WIND
     return out.drop("offerdate") if "offerdate" in out.columns else out
 
 
-def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int) -> DataFrame:
+def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int,
+                  split_hot_keys: bool = True, **hot_args) -> DataFrame:
     """Row-level look-back join: every purchase line of a cohort customer in
     the ``days`` up to and including the offer date.
 
-    Plans as a sort-merge (or broadcast) join on ``id`` with the date range
-    as residual; with no aggregation above it, AQE's skew-join handling can
-    split a hot customer's partition across tasks.
+    Plans as a sort-merge join on ``id`` with the date range as residual.
+    The output is row level, so it cannot be pre-aggregated; customers that
+    hold a large share of the lines are split across tasks by
+    ``salted_join`` (sampled, bounded hot-key list).
     """
     t = transactions.select(F.col("id").alias("_t_id"), "category", "company", "brand",
                             "purchasequantity", "purchaseamount", "date")
@@ -175,7 +178,11 @@ def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int)
                              F.col("category").alias("offer_category"),
                              F.col("company").alias("offer_company"),
                              F.col("brand").alias("offer_brand"), "offerdate")
-    j = c.join(t.hint("merge"), (F.col("_t_id") == F.col("id")) & in_lookback("date", "offerdate", days))
+    window = in_lookback("date", "offerdate", days)
+    if split_hot_keys:
+        j = salted_join(t, c, "_t_id", "id", extra=window, **hot_args)
+    else:
+        j = c.join(t.hint("merge"), (F.col("_t_id") == F.col("id")) & window)
     return j.select(*COHORT_KEYS, "category", "company", "brand",
                     "offer_category", "offer_company", "offer_brand",
                     "purchasequantity", "purchaseamount", "date", "offerdate")

@@ -158,3 +158,34 @@ def test_lookback_join_rows(spark):
     out = lookback_join(tx(spark, rows), history_offers(h, o), 31)
     assert out.count() == 2
     assert set(out.columns) >= {"offer_category", "offer_company", "offer_brand", "offerdate"}
+
+
+def test_salted_join_splits_hot_key_and_keeps_every_pair(spark):
+    from revisit.operators.skew import hot_keys, salted_join
+    od = D(2000, 1, 31)
+    hot_rows = [(7, 10, 100, 1000, od.fromordinal(od.toordinal() - (i % 40)), 1, float(i)) for i in range(3000)]
+    cold_rows = [(i, 10, 100, 1000, od, 1, 1.0) for i in range(1, 6)]
+    t = tx(spark, hot_rows + cold_rows)
+    o = offers(spark, OFFERS)
+    h = history(spark, [(7, 0, od)] + [(i, 0, od) for i in range(1, 6)])
+    cohort = history_offers(h, o)
+    args = dict(fraction=0.5, rows_per_task=300, seed=3)
+    hot = hot_keys(t, "id", **args).collect()
+    assert [r.id for r in hot] == [7] and hot[0]._buckets >= 5
+    salted = lookback_join(t, cohort, 30, **args)
+    plain = lookback_join(t, cohort, 30, split_hot_keys=False)
+    # hot lines sit 0..39 days back, 31 of every 40 fall in the window
+    assert salted.count() == plain.count() == 3000 * 31 // 40 + 5
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+    # the hot customer's lines are really spread over several buckets
+    spread = (t.join(F.broadcast(hot_keys(t, "id", **args)), "id")
+              .select((F.monotonically_increasing_id() % F.col("_buckets")).alias("b")).distinct().count())
+    assert spread > 1
+
+
+def test_salted_left_join_keeps_unmatched(spark):
+    from revisit.operators.skew import salted_join
+    big = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string")
+    small = spark.createDataFrame([(1, "x")], "k2 long, w string")
+    out = salted_join(big, small, "k", "k2", how="left", fraction=1.0, rows_per_task=1).collect()
+    assert sorted((r.v, r.w) for r in out) == [("a", "x"), ("b", "x"), ("c", None)]
