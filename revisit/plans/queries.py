@@ -171,10 +171,22 @@ def model_tables(spark: SparkSession, sf_dir: str):
     return _MODEL_MEMO[key]
 
 
+def final_model(spark: SparkSession, sf_dir: str):
+    """The final GBT (fixed parameters, seed 0), fitted once per session and
+    saved in the shared folder; scoring, round-trip and submission reuse it."""
+    key = ("model", spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODEL_MEMO:
+        from pyspark.ml import PipelineModel
+        train, _, cols = model_tables(spark, sf_dir)
+        path = scratch_path(spark, "model", "gbt_pipeline")
+        M.fit(train, cols).write().overwrite().save(path)
+        _MODEL_MEMO[key] = (path, PipelineModel.load(path))
+    return _MODEL_MEMO[key]
+
+
 def q_gbt_scores(spark, sf_dir):
-    train, test, cols = model_tables(spark, sf_dir)
-    model = M.fit(train, cols)
-    return M.score(model, test)
+    _, test, _ = model_tables(spark, sf_dir)
+    return M.score(final_model(spark, sf_dir)[1], test)
 
 
 def q_cv_grid_metrics(spark, sf_dir):
@@ -184,16 +196,18 @@ def q_cv_grid_metrics(spark, sf_dir):
 
 
 def q_model_roundtrip(spark, sf_dir):
+    """Fit, save, load and score: the loaded pipeline must score like the
+    fitted one."""
     from pyspark.ml import PipelineModel
     train, test, cols = model_tables(spark, sf_dir)
-    path = scratch_path(spark, "model", "gbt_pipeline")
+    path = scratch_path(spark, "model", "gbt_roundtrip")
     M.fit(train, cols).write().overwrite().save(path)
     return M.score(PipelineModel.load(path), test)
 
 
 def q_submission(spark, sf_dir):
-    train, test, cols = model_tables(spark, sf_dir)
-    scored = M.score(M.fit(train, cols), test)
+    _, test, _ = model_tables(spark, sf_dir)
+    scored = M.score(final_model(spark, sf_dir)[1], test)
     out = M.submission(test.select("id"), scored)
     path = scratch_path(spark, "submission")
     write_csv(out, path, mode="overwrite")
