@@ -153,7 +153,7 @@ def load_tables(spark: SparkSession, sf_dir: str, fixture: str = "sparse",
         return _MEMO[key]
     tx = derive_transactions(spark, sf_dir, fixture)
     if materialized:
-        tx = materialize(tx, scratch_path(spark, "tables", fixture, "transactions"))
+        tx = ensure_parallelism(materialize(tx, scratch_path(spark, "tables", fixture, "transactions")))
     offers_df = derive_offers(tx)
     if materialized:
         offers_df = materialize(offers_df, scratch_path(spark, "tables", fixture, "offers"))
