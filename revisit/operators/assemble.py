@@ -54,6 +54,19 @@ def feature_columns(df: DataFrame) -> list[str]:
     return sorted(c for c in df.columns if c not in NON_FEATURE_COLUMNS)
 
 
+def feature_matrix_long(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """The model input in long form: one row per (cohort row, feature) with
+    the feature's position in the sorted vector layout and its value as
+    DOUBLE (nulls filled with 0, as the assembler receives them)."""
+    cols = cols or feature_columns(features)
+    filled = features.select(
+        "split", "id", "offer",
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    long = filled.unpivot(["split", "id", "offer"], cols, "feature", "value")
+    position = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")) - 1
+    return long.select("split", "id", "offer", position.cast("int").alias("position"), "feature", "value")
+
+
 def cohort_row_checks(history: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Row-count invariants: every derived per-cohort table has exactly one
     row per history row.  One count per table; the expected count is a

@@ -37,12 +37,22 @@ _FACT_MEASURES = tuple(f"{m}_{f}" for f in PRODUCT_FIELDS for m in ("n", "q", "a
     "q_product", "a_product", "a_all")
 
 
-def cohort_date_bounds(cohort: DataFrame, days: int) -> tuple[Column, Column]:
-    """[min(offerdate) - days, max(offerdate)] as scalar subqueries; used as
-    a transaction pre-filter that Spark pushes into the Parquet scan."""
-    lo = cohort.select(F.date_sub(F.min("offerdate"), days)).scalar()
-    hi = cohort.select(F.max("offerdate")).scalar()
-    return lo, hi
+def cohort_date_bounds(cohort: DataFrame, days: int, eager: bool = True) -> tuple[Column, Column]:
+    """[min(offerdate) - days, max(offerdate)]: the only dates any cohort row
+    can look back to, used to pre-filter the transactions in the scan.
+
+    ``eager`` computes the two dates with one small aggregate job (partial
+    min/max per task, one row to the driver) and returns literals, which
+    Spark hands to the Parquet reader as pushed filters for row-group
+    skipping.  Otherwise they stay scalar subqueries (evaluated in the scan,
+    but Spark pushes at most one of the two into Parquet).
+    """
+    if not eager:
+        return (cohort.select(F.date_sub(F.min("offerdate"), days)).scalar(),
+                cohort.select(F.max("offerdate")).scalar())
+    row = cohort.agg(F.date_sub(F.min("offerdate"), days).alias("lo"),
+                     F.max("offerdate").alias("hi")).first()
+    return F.lit(row["lo"]).cast("date"), F.lit(row["hi"]).cast("date")
 
 
 def purchase_facts(transactions: DataFrame, offers, with_totals: bool = True,

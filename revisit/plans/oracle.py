@@ -9,7 +9,7 @@ literal form.  Money is summed as DECIMAL(18,2) and returned as DOUBLE;
 
 from __future__ import annotations
 
-from revisit.schemas import PRODUCT_FIELDS, USER_WINDOW, WINDOWS
+from revisit.schemas import NON_FEATURE_COLUMNS, PRODUCT_FIELDS, USER_WINDOW, WINDOWS
 from revisit.sources.fixtures import (FIXTURE_COLUMNS, OFFER_COUNT, OFFER_CUTOFF,
                                       OFFER_MODULUS, TEST_MODULUS)
 
@@ -193,6 +193,13 @@ def assemble_ctes() -> list[str]:
     return ctes
 
 
+def _assembled_columns() -> list[str]:
+    from revisit.operators.assemble import feature_order
+    head = ["split", "id", "chain", "offer", "market", "repeattrips", "repeater", "offerdate",
+            "category", "company", "brand", "productid"]
+    return head + feature_order()
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["src_csv_roundtrip"] = _with("sparse", [], f"SELECT {_TX_COLS} FROM transactions")
@@ -216,6 +223,10 @@ FROM reduced t JOIN history_offers h
     q["product_share"] = _with("sparse", market_ctes(), "SELECT * FROM product_features")
     q["competition"] = _with("sparse", market_ctes(), "SELECT * FROM competition_features")
     q["assemble_features"] = _with("dense", assemble_ctes(), "SELECT * FROM all_features")
+    feats = sorted(c for c in _assembled_columns() if c not in NON_FEATURE_COLUMNS)
+    q["feature_columns"] = _with("dense", assemble_ctes(), " UNION ALL ".join(
+        f"SELECT split, id, offer, CAST({i} AS INTEGER) AS position, '{c}' AS feature, "
+        f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS value FROM all_features" for i, c in enumerate(feats)))
     checks = [f"SELECT 'has_bought_{n}' AS \"check\", COUNT(*) AS n_rows FROM has_bought_{n}" for n in WINDOWS]
     checks += ["SELECT 'user_spend' AS \"check\", COUNT(*) AS n_rows FROM user_features",
                "SELECT 'assemble_features' AS \"check\", COUNT(*) AS n_rows FROM all_features"]

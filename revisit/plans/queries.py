@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from revisit.operators import model as M
-from revisit.operators.assemble import assemble_features, cohort_row_checks
+from revisit.operators.assemble import assemble_features, cohort_row_checks, feature_matrix_long
 from revisit.operators.enrich import history_offers
 from revisit.operators.keys import offer_keys, offer_productids
 from revisit.operators.lookback import (cohort_date_bounds, has_bought, lookback_join,
@@ -130,6 +130,13 @@ def q_assemble_features(spark, sf_dir):
     return assemble_features(tb.transactions, tb.offers, tb.history)
 
 
+def q_feature_columns(spark, sf_dir):
+    """Feature selection by exclusion, sorted, shown as the long-form model
+    input matrix over the whole assembled table."""
+    tb = _t(spark, sf_dir, "dense")
+    return feature_matrix_long(assemble_features(tb.transactions, tb.offers, tb.history))
+
+
 def q_check_cohort_rows(spark, sf_dir):
     tb = _t(spark, sf_dir, "dense")
     cohort = history_offers(tb.history, tb.offers)
@@ -249,6 +256,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "product_share": q_product_share,
         "competition": q_competition,
         "assemble_features": q_assemble_features,
+        "feature_columns": q_feature_columns,
         "check_cohort_rows": q_check_cohort_rows,
         "auc_roc": q_auc_roc,
         "gbt_scores": q_gbt_scores,
