@@ -56,9 +56,15 @@ def build_pipeline(features: list[str], kind: str = "gbt", **params) -> Pipeline
 
 
 def cross_validate(train: DataFrame, features: list[str], grid: dict | None = None,
-                   folds: int = NUM_FOLDS, parallelism: int = 4, seed: int = SEED):
+                   folds: int = NUM_FOLDS, parallelism: int | None = None, seed: int = SEED):
     """Grid search with k-fold CV on AUC-ROC.  Returns the fitted
-    CrossValidatorModel and a DataFrame of (params..., avg_auc)."""
+    CrossValidatorModel and a DataFrame of (params..., avg_auc).
+
+    Fits of different grid points run concurrently (default: as many as
+    the grid has points, up to the cluster's default parallelism); the
+    input is persisted for the search, which reads it once per fold and
+    grid point, and released afterwards."""
+    from pyspark import StorageLevel
     grid = GRID if grid is None else grid
     pipeline = build_pipeline(features)
     clf = pipeline.getStages()[-1]
@@ -66,10 +72,16 @@ def cross_validate(train: DataFrame, features: list[str], grid: dict | None = No
     for name, values in grid.items():
         builder = builder.addGrid(clf.getParam(name), values)
     maps = builder.build()
+    if parallelism is None:
+        parallelism = max(1, min(len(maps), train.sparkSession.sparkContext.defaultParallelism))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
                         numFolds=folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(train)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = cv.fit(train)
+    finally:
+        train.unpersist()
     names = list(grid)
     rows = [tuple(int(m[clf.getParam(n)]) for n in names) + (float(metric),)
             for m, metric in zip(maps, model.avgMetrics)]

@@ -37,7 +37,7 @@ from revisit.sources.io import materialize, read_parquet, write_csv, write_parqu
 def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dict | None = None,
                  folds: int = M.NUM_FOLDS, search: bool = True, params: dict | None = None,
                  write_intermediates: bool = True, mode: str = "errorifexists",
-                 parallelism: int = 4) -> dict:
+                 parallelism: int | None = None) -> dict:
     """Run every stage; return output paths, timings and metrics."""
     out = out_dir.rstrip("/")
     report: dict = {"paths": {}, "seconds": {}}
