@@ -53,17 +53,19 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
     tx, offers, history = tables.transactions, tables.offers, tables.history
     save("reduced_transactions", reduce_transactions(tx, offers))
     save("cat_dept_map", category_dept_map(tx))
+    # The two aggregates every feature table derives from, written once.
+    facts = materialize(purchase_facts(tx, offers, date_bounds=cohort_date_bounds(history, max(WINDOWS))),
+                        f"{out}/_facts")
+    cp = materialize(category_products(tx, offers), f"{out}/_category_products")
     if write_intermediates:
         cohort = history_offers(history, offers)
-        facts = materialize(purchase_facts(tx, offers, date_bounds=cohort_date_bounds(history, max(WINDOWS))),
-                            f"{out}/_facts")
         for n in WINDOWS:
             save(f"has_bought_{n}", has_bought(cohort, facts, n))
         save("user_features", user_spend(cohort, facts))
-        cp = materialize(category_products(tx, offers), f"{out}/_category_products")
         save("product_features", product_share(tx, offers, cp))
         save("competition_features", competition(tx, offers, cp))
-    feats = save("all_features", assemble_features(tx, offers, history), partition_by=["split"])
+    feats = save("all_features", assemble_features(tx, offers, history, facts=facts, products=cp),
+                 partition_by=["split"])
 
     cols = M.feature_columns(feats)
     ready = M.model_input(M.with_label(feats), cols)
