@@ -73,7 +73,8 @@ def cross_validate(train: DataFrame, features: list[str], grid: dict | None = No
         builder = builder.addGrid(clf.getParam(name), values)
     maps = builder.build()
     if parallelism is None:
-        parallelism = max(1, min(len(maps), train.sparkSession.sparkContext.defaultParallelism))
+        from revisit.session import default_parallelism
+        parallelism = max(1, min(len(maps), default_parallelism(train.sparkSession)))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
                         numFolds=folds, parallelism=parallelism, seed=seed)

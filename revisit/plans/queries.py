@@ -23,7 +23,7 @@ from revisit.operators.lookback import (cohort_date_bounds, has_bought, lookback
 from revisit.operators.market import competition, product_share
 from revisit.operators.reduce import category_dept_map, reduce_transactions
 from revisit.schemas import USER_WINDOW, WINDOWS, transactions_schema
-from revisit.session import scratch_path
+from revisit.session import scratch_path, session_key
 from revisit.sources.fixtures import load_tables
 from revisit.sources.io import materialize, read_csv, read_parquet, write_csv, write_parquet
 
@@ -165,7 +165,7 @@ _MODEL_MEMO: dict = {}
 def model_tables(spark: SparkSession, sf_dir: str):
     """Assembled features materialised once in the shared folder (the
     model search re-reads its input many times), split into train / test."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _MODEL_MEMO:
         tb = _t(spark, sf_dir, "dense")
         feats = materialize(assemble_features(tb.transactions, tb.offers, tb.history),
@@ -181,7 +181,7 @@ def model_tables(spark: SparkSession, sf_dir: str):
 def final_model(spark: SparkSession, sf_dir: str):
     """The final GBT (fixed parameters, seed 0), fitted once per session and
     saved in the shared folder; scoring, round-trip and submission reuse it."""
-    key = ("model", spark.sparkContext.applicationId, sf_dir)
+    key = ("model", session_key(spark), sf_dir)
     if key not in _MODEL_MEMO:
         from pyspark.ml import PipelineModel
         train, _, cols = model_tables(spark, sf_dir)

@@ -49,17 +49,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     checkpoint dir).  Only when neither is set -- local runs and tests --
     is a fresh folder created and registered.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local context (Spark Connect)
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir().rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
         configured = tempfile.mkdtemp(prefix="revisit-ckpt-")
+    if sc is None:
+        return configured.rstrip("/")
     sc.setCheckpointDir(configured)
     return (sc.getCheckpointDir() or configured).rstrip("/")
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifies the running application (for per-session memos)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return str(id(spark))
+
+
+def default_parallelism(spark: SparkSession, fallback: int = 8) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return int(spark.conf.get("spark.default.parallelism", str(fallback)))
+
+
 _RUN_ID = uuid.uuid4().hex[:12]
 
 

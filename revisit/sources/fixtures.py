@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revisit.operators.sizing import Bounded, broadcast_bounded
-from revisit.session import scratch_path
+from revisit.session import scratch_path, session_key
 from revisit.sources.io import ensure_parallelism, materialize
 
 # Fixed values of the fixture mapping (FIXTURES.md section 2).
@@ -148,7 +148,7 @@ def load_tables(spark: SparkSession, sf_dir: str, fixture: str = "sparse",
     reference's CSV-to-Parquet load step, so every later query scans a
     plain Parquet table rather than re-running the derivation joins.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, fixture, materialized)
+    key = (session_key(spark), sf_dir, fixture, materialized)
     if key in _MEMO:
         return _MEMO[key]
     tx = derive_transactions(spark, sf_dir, fixture)

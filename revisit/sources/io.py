@@ -56,5 +56,10 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     cheap for inputs that small.  Inputs already split across many tasks,
     as on a cluster, are returned unchanged (no extra shuffle).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    from revisit.session import default_parallelism
+    target = min_partitions or default_parallelism(df.sparkSession)
+    try:
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (Spark Connect): leave the plan alone
+        return df
+    return df.repartition(target) if current < target else df
