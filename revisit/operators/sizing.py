@@ -39,8 +39,11 @@ class Bounded:
 
     def __init__(self, df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
                  known_rows: int | None = None):
-        self.df = df
         self.small = within_bound(df, max_rows, known_rows)
+        # A bounded table in one partition: key lists and groupings derived
+        # from it then need no shuffle (one partition satisfies any
+        # clustering), and they are broadcast anyway.
+        self.df = df.coalesce(1) if self.small else df
 
     def hint(self, derived: DataFrame) -> DataFrame:
         return F.broadcast(derived) if self.small else derived
