@@ -97,15 +97,16 @@ def q_lookback_join(spark, sf_dir):
     return decimals_to_double(lookback_join(reduced, history_offers(tb.history, tb.offers), max(WINDOWS)))
 
 
-def _facts(tb, span: int):
-    return purchase_facts(tb.transactions, tb.offers, with_totals=True,
+def _facts(tb, span: int, with_totals: bool = True):
+    return purchase_facts(tb.transactions, tb.offers, with_totals=with_totals,
                           date_bounds=cohort_date_bounds(tb.history, span))
 
 
 def _has_bought(days: int):
     def run(spark, sf_dir):
         tb = _t(spark, sf_dir)
-        return has_bought(history_offers(tb.history, tb.offers), _facts(tb, days), days)
+        # Window features only: no per-customer total rows needed.
+        return has_bought(history_offers(tb.history, tb.offers), _facts(tb, days, with_totals=False), days)
     run.__name__ = f"q_has_bought_{days}"
     return run
 
