@@ -153,7 +153,7 @@ def auc_rank_sum(df: DataFrame, score_col: str, label_col: str = "label",
 
 def submission(ids: DataFrame, scored: DataFrame) -> DataFrame:
     """Pair requested ids with scores by key (not by row position)."""
-    return ids.select("id").join(scored.select("id", "repeatProbability"), "id", "left")
+    return ids.select("id").join(scored.select("id", "repeatProbability").hint("merge"), "id", "left")
 
 
 __all__ = ["GRID", "FINAL_PARAMS", "with_label", "model_input", "build_pipeline", "cross_validate",

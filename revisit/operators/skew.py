@@ -22,16 +22,21 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_SAMPLE_FRACTION = 0.01
 ROWS_PER_TASK = 2_000_000
+MIN_HITS = 20
 MAX_HOT_KEYS = 10_000
 MAX_BUCKETS = 4096
 
 
-def hot_keys(df: DataFrame, key: str, fraction: float = HOT_SAMPLE_FRACTION,
+def hot_keys(df: DataFrame, key: str, fraction: float | None = None,
              rows_per_task: int = ROWS_PER_TASK, max_keys: int = MAX_HOT_KEYS,
-             max_buckets: int = MAX_BUCKETS, seed: int = 17) -> DataFrame:
-    """(key, _buckets) for keys estimated to exceed ``rows_per_task`` rows."""
+             max_buckets: int = MAX_BUCKETS, min_hits: int = MIN_HITS, seed: int = 17) -> DataFrame:
+    """(key, _buckets) for keys estimated to exceed ``rows_per_task`` rows.
+
+    The sample fraction defaults to ``min_hits / rows_per_task``: a key at
+    the threshold is expected ``min_hits`` times in the sample, whatever the
+    table size, so the sampled set stays small at any scale."""
+    fraction = min(1.0, min_hits / rows_per_task) if fraction is None else fraction
     threshold = max(1, math.floor(rows_per_task * fraction))
     sampled = (df.select(F.col(key).alias("_hot_key")).sample(fraction=fraction, seed=seed)
                .groupBy("_hot_key").agg(F.count(F.lit(1)).alias("_n"))

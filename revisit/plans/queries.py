@@ -153,7 +153,7 @@ def q_auc_roc(spark, sf_dir):
     tb = _t(spark, sf_dir, "dense")
     train = tb.history.where(F.col("split") == "train")
     spend = user_spend(history_offers(train, tb.offers), _facts(tb, USER_WINDOW))
-    scored = M.with_label(spend.join(train.select("split", "id", "offer", "repeater"),
+    scored = M.with_label(spend.join(train.select("split", "id", "offer", "repeater").hint("merge"),
                                      ["split", "id", "offer"]))
     return M.auc_rank_sum(scored, "total_spend_30", "label")
 

@@ -117,7 +117,7 @@ def derive_history(spark: SparkSession, sf_dir: str, transactions: DataFrame,
                   .where(F.col("o_orderdate") < cutoff)
                   .groupBy(F.col("o_custkey").alias("id"))
                   .agg(F.max(F.col("o_orderdate").cast("date")).alias("offerdate")))
-    base = (customers.join(last_order, "id", "left")
+    base = (customers.join(last_order.hint("merge"), "id", "left")
             .select(
                 F.when(F.col("id") % TEST_MODULUS == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
                 "id", "chain",
@@ -142,7 +142,7 @@ def derive_history(spark: SparkSession, sf_dir: str, transactions: DataFrame,
              .groupBy("id", "offer").agg(F.count(F.lit(1)).alias("_trips")))
     is_train = F.col("split") == "train"
     trips_col = F.coalesce(F.col("_trips"), F.lit(0)).cast("int")
-    return (base.join(trips, ["id", "offer"], "left")
+    return (base.join(trips.hint("merge"), ["id", "offer"], "left")
             .select("split", "id", "chain", "offer", "market",
                     F.when(is_train, trips_col).alias("repeattrips"),
                     F.when(is_train, F.when(trips_col > 0, F.lit("t")).otherwise(F.lit("f"))).alias("repeater"),
