@@ -81,5 +81,11 @@ def cohort_row_checks(history: DataFrame, tables: dict[str, DataFrame]) -> DataF
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return (rows.withColumn("n_expected", expected)
-            .withColumn("ok", F.col("n_rows") == F.col("n_expected")))
+    rows = rows.withColumn("n_expected", expected)
+    # The cohort key must be unique (one row per customer and coupon); the
+    # reference relies on it silently.  Expected number of duplicated keys: 0.
+    dupes = (history.groupBy("split", "id", "offer").count().where(F.col("count") > 1)
+             .agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit("duplicate_cohort_keys").alias("check"), "n_rows",
+                     F.lit(0).cast("long").alias("n_expected")))
+    return rows.unionByName(dupes).withColumn("ok", F.col("n_rows") == F.col("n_expected"))

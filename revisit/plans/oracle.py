@@ -233,7 +233,9 @@ FROM reduced t JOIN history_offers h
     q["check_cohort_rows"] = _with("dense", assemble_ctes() + [
         "counts AS (" + " UNION ALL ".join(checks) + ")"],
         "SELECT c.\"check\", c.n_rows, e.n_expected, c.n_rows = e.n_expected AS ok "
-        "FROM counts c, (SELECT COUNT(*) AS n_expected FROM history) e")
+        "FROM counts c, (SELECT COUNT(*) AS n_expected FROM history) e "
+        "UNION ALL SELECT 'duplicate_cohort_keys', COUNT(*), CAST(0 AS BIGINT), COUNT(*) = 0 "
+        "FROM (SELECT split, id, offer FROM history GROUP BY split, id, offer HAVING COUNT(*) > 1) d")
     q["auc_roc"] = _with("dense", user_spend_ctes() + [
         """scored AS (
   SELECT u.total_spend_30 AS score, CASE WHEN h.repeater = 't' THEN 1 ELSE 0 END AS label

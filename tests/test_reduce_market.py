@@ -62,3 +62,16 @@ def test_category_dept_map(spark):
     t = tx(spark, [(1, 10, 1, 1, DAY, 1, 1.0), (2, 10, 1, 1, DAY, 1, 1.0)])
     r = category_dept_map(t).collect()
     assert [(x.dept, x.category, x["count"]) for x in r] == [(1, 10, 2)]
+
+
+def test_parquet_default_mode_refuses_overwrite(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from revisit.sources.io import write_parquet
+    df = tx(spark, [(1, 10, 1, 1, DAY, 1, 1.0)])
+    write_parquet(df, str(tmp_path / "t"))
+    with pytest.raises(AnalysisException):
+        write_parquet(df, str(tmp_path / "t"))
+    write_parquet(df, str(tmp_path / "t"), mode="overwrite")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
