@@ -1,7 +1,7 @@
 """Benchmark: time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line:
-{"metric": "pipeline_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
+{"metric": "headline_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 An untimed warm-up on sf0.001 runs first.  Each query is forced with the ``noop`` sink (full execution, nothing
 collected).  ``load_tables`` -- deriving and writing the logical input
@@ -63,7 +63,7 @@ def main() -> None:
     times["load_tables"] = round(times["load_tables"], 3)
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
-        "metric": "pipeline_sec",
+        "metric": "headline_sec",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,

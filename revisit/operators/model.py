@@ -72,9 +72,11 @@ def cross_validate(train: DataFrame, features: list[str], grid: dict | None = No
     for name, values in grid.items():
         builder = builder.addGrid(clf.getParam(name), values)
     maps = builder.build()
+    from revisit.session import default_parallelism
+    cores = default_parallelism(train.sparkSession)
     if parallelism is None:
-        from revisit.session import default_parallelism
-        parallelism = max(1, min(len(maps), default_parallelism(train.sparkSession)))
+        parallelism = max(1, min(len(maps), cores))
+    train = size_for_search(train, cores, parallelism)
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
                         numFolds=folds, parallelism=parallelism, seed=seed)
@@ -91,6 +93,25 @@ def cross_validate(train: DataFrame, features: list[str], grid: dict | None = No
     return model, train.sparkSession.createDataFrame(rows, schema)
 
 
+ROWS_PER_MODEL_PARTITION = 500_000
+
+
+def size_for_search(train: DataFrame, cores: int, parallelism: int) -> DataFrame:
+    """Partition count for a model search: enough partitions that the
+    concurrent fits together keep every core busy, and none larger than
+    ``ROWS_PER_MODEL_PARTITION`` rows; never more than the input has (no
+    shuffle, only ``coalesce``).  Small training sets otherwise pay per-task
+    overhead on every tree level of every fit."""
+    import math
+    n = train.count()
+    target = max(math.ceil(cores / max(1, parallelism)), math.ceil(n / ROWS_PER_MODEL_PARTITION), 1)
+    try:
+        current = train.rdd.getNumPartitions()
+    except Exception:
+        return train
+    return train.coalesce(target) if target < current else train
+
+
 def best_params(cv_model, grid: dict | None = None) -> dict:
     grid = GRID if grid is None else grid
     best = cv_model.bestModel.stages[-1]

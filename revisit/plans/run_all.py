@@ -9,8 +9,8 @@ executor or a restarted run re-reads files instead of recomputing the
 lineage.  ``out_dir`` should be a shared folder (by default a folder under
 the session's ``spark.checkpoint.dir``).
 
-    python -m revisit.plans.pipeline --fixture-dir /root/testdata/sf0.01 --fixture dense
-    python -m revisit.plans.pipeline --raw transactions.csv offers.csv trainHistory.csv testHistory.csv
+    python -m revisit.plans.run_all --fixture-dir /root/testdata/sf0.01 --fixture dense
+    python -m revisit.plans.run_all --raw transactions.csv offers.csv trainHistory.csv testHistory.csv
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def main(argv=None) -> None:
     else:
         from revisit.sources.raw import load_raw
         tables = load_raw(spark, *args.raw)
-    out = args.out or scratch_path(spark, "pipeline")
+    out = args.out or scratch_path(spark, "run_all")
     report = run_pipeline(spark, tables, out, folds=args.folds, search=not args.no_search,
                           params=args.params, mode=args.mode)
     print(json.dumps(report, default=str))

@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 
-from revisit.plans.pipeline import run_pipeline
+from revisit.plans.run_all import run_pipeline
 from revisit.sources.fixtures import load_tables
 from revisit.sources.io import read_csv
 from revisit.sources.raw import load_raw
