@@ -3,7 +3,7 @@ offer catalogue, broadcast)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from revisit.functions.expressions import product_id
 from revisit.operators.sizing import as_bounded

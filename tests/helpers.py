@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import types as T
-
 from revisit.schemas import HISTORY_SCHEMA, offers_schema, transactions_schema
 
 D = dt.date
@@ -31,5 +29,3 @@ def history(spark, rows):
 def by_key(df, key="id"):
     return {r[key]: r.asDict() for r in df.collect()}
 
-
-T = T
