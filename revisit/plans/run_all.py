@@ -25,6 +25,7 @@ from pyspark.sql import SparkSession, functions as F
 from revisit.operators import model as M
 from revisit.operators.assemble import assemble_features
 from revisit.operators.enrich import history_offers
+from revisit.operators.keys import offer_productids
 from revisit.operators.lookback import cohort_date_bounds, has_bought, purchase_facts, user_spend
 from revisit.operators.market import category_products, competition, product_share
 from revisit.operators.reduce import category_dept_map, reduce_transactions
@@ -37,8 +38,11 @@ from revisit.sources.io import materialize, read_parquet, write_csv, write_parqu
 def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dict | None = None,
                  folds: int = M.NUM_FOLDS, search: bool = True, params: dict | None = None,
                  write_intermediates: bool = True, mode: str = "errorifexists",
-                 parallelism: int | None = None) -> dict:
-    """Run every stage; return output paths, timings and metrics."""
+                 parallelism: int | None = None, submission_ids: str | None = None) -> dict:
+    """Run every stage; return output paths, timings and metrics.
+
+    ``submission_ids``: optional CSV with an ``id`` column (a submission
+    template) naming the customers to score; default: the test cohort."""
     out = out_dir.rstrip("/")
     report: dict = {"paths": {}, "seconds": {}}
 
@@ -53,6 +57,7 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
     tx, offers, history = tables.transactions, tables.offers, tables.history
     save("reduced_transactions", reduce_transactions(tx, offers))
     save("cat_dept_map", category_dept_map(tx))
+    save("offer_productids", offer_productids(offers.df))
     # The two aggregates every feature table derives from, written once.
     facts = materialize(purchase_facts(tx, offers, date_bounds=cohort_date_bounds(history, max(WINDOWS))),
                         f"{out}/_facts")
@@ -89,7 +94,12 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
     report["train_auc"] = M.auc_evaluator(M.score(model, train))
     scored = save("predictions", M.score(model, test))
     sub_path = f"{out}/submission"
-    write_csv(M.submission(test.select("id"), scored), sub_path, mode=mode)
+    if submission_ids:
+        ids = (spark.read.option("header", True).csv(submission_ids)
+               .select(F.col("id").cast("long").alias("id")))
+    else:
+        ids = test.select("id")
+    write_csv(M.submission(ids, scored), sub_path, mode=mode)
     report["paths"]["submission"] = sub_path
     return report
 
@@ -107,8 +117,10 @@ def main(argv=None) -> None:
     ap.add_argument("--params", type=json.loads, help='e.g. {"maxDepth": 6, "maxBins": 20, "maxIter": 20}')
     ap.add_argument("--folds", type=int, default=M.NUM_FOLDS)
     ap.add_argument("--mode", default="errorifexists")
+    ap.add_argument("--submission-ids", help="CSV with an id column (submission template)")
+    ap.add_argument("--shuffle-partitions", type=int, help="spark.sql.shuffle.partitions for this run")
     args = ap.parse_args(argv)
-    spark = get_session(args.master)
+    spark = get_session(args.master, shuffle_partitions=args.shuffle_partitions)
     if args.fixture_dir:
         tables = load_tables(spark, args.fixture_dir, args.fixture)
     else:
@@ -116,7 +128,7 @@ def main(argv=None) -> None:
         tables = load_raw(spark, *args.raw)
     out = args.out or scratch_path(spark, "run_all")
     report = run_pipeline(spark, tables, out, folds=args.folds, search=not args.no_search,
-                          params=args.params, mode=args.mode)
+                          params=args.params, mode=args.mode, submission_ids=args.submission_ids)
     print(json.dumps(report, default=str))
 
 

@@ -51,9 +51,13 @@ def test_pipeline_on_raw_csv(spark, tmp_path):
         .coalesce(1).write.option("header", True).csv(str(raw / "test"))
     tables = load_raw(spark, str(raw / "tx"), str(raw / "offers"), str(raw / "train"), str(raw / "test"))
     assert dict(tables.transactions.dtypes)["date"] == "date"
-    rep = run_pipeline(spark, tables, str(tmp_path / "out"), search=False, params=SMALL_PARAMS)
+    spark.createDataFrame([(c, 0.0) for c in (31, 35, 99)], "id long, repeatProbability double") \
+        .coalesce(1).write.option("header", True).csv(str(raw / "sample"))
+    rep = run_pipeline(spark, tables, str(tmp_path / "out"), search=False, params=SMALL_PARAMS,
+                       submission_ids=str(raw / "sample"))
     feats = spark.read.parquet(rep["paths"]["all_features"])
     assert feats.count() == 40
+    assert spark.read.parquet(rep["paths"]["offer_productids"]).count() == 2
     assert feats.where("total_spend_30 > 0").count() > 0
-    sub = read_csv(spark, rep["paths"]["submission"], infer_schema=True)
-    assert sorted(r.id for r in sub.collect()) == list(range(31, 41))
+    sub = {r.id: r.repeatProbability for r in read_csv(spark, rep["paths"]["submission"], infer_schema=True).collect()}
+    assert sorted(sub) == [31, 35, 99] and sub[99] is None and sub[31] is not None
