@@ -27,6 +27,7 @@ from revisit.operators.assemble import assemble_features
 from revisit.operators.enrich import history_offers
 from revisit.operators.keys import offer_productids
 from revisit.operators.lookback import cohort_date_bounds, has_bought, purchase_facts, user_spend
+from revisit.operators.sizing import Bounded
 from revisit.operators.market import category_products, competition, product_share
 from revisit.operators.reduce import category_dept_map, reduce_transactions
 from revisit.schemas import WINDOWS
@@ -38,11 +39,15 @@ from revisit.sources.io import materialize, read_parquet, write_csv, write_parqu
 def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dict | None = None,
                  folds: int = M.NUM_FOLDS, search: bool = True, params: dict | None = None,
                  write_intermediates: bool = True, mode: str = "errorifexists",
-                 parallelism: int | None = None, submission_ids: str | None = None) -> dict:
+                 parallelism: int | None = None, submission_ids: str | None = None,
+                 store_inputs: bool = False) -> dict:
     """Run every stage; return output paths, timings and metrics.
 
     ``submission_ids``: optional CSV with an ``id`` column (a submission
-    template) naming the customers to score; default: the test cohort."""
+    template) naming the customers to score; default: the test cohort.
+    ``store_inputs``: first write the inputs as typed Parquet and read them
+    back (the load step; use it when the inputs are CSV, so no later stage
+    parses text again)."""
     out = out_dir.rstrip("/")
     report: dict = {"paths": {}, "seconds": {}}
 
@@ -55,6 +60,10 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
         return read_parquet(spark, path)
 
     tx, offers, history = tables.transactions, tables.offers, tables.history
+    if store_inputs:
+        tx = save("transactions", tx)
+        offers = Bounded(save("offers", offers.df))
+        history = save("history", history)
     save("reduced_transactions", reduce_transactions(tx, offers))
     save("cat_dept_map", category_dept_map(tx))
     save("offer_productids", offer_productids(offers.df))
@@ -128,7 +137,8 @@ def main(argv=None) -> None:
         tables = load_raw(spark, *args.raw)
     out = args.out or scratch_path(spark, "run_all")
     report = run_pipeline(spark, tables, out, folds=args.folds, search=not args.no_search,
-                          params=args.params, mode=args.mode, submission_ids=args.submission_ids)
+                          params=args.params, mode=args.mode, submission_ids=args.submission_ids,
+                          store_inputs=bool(args.raw))
     print(json.dumps(report, default=str))
 
 

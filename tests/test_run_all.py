@@ -54,7 +54,8 @@ def test_pipeline_on_raw_csv(spark, tmp_path):
     spark.createDataFrame([(c, 0.0) for c in (31, 35, 99)], "id long, repeatProbability double") \
         .coalesce(1).write.option("header", True).csv(str(raw / "sample"))
     rep = run_pipeline(spark, tables, str(tmp_path / "out"), search=False, params=SMALL_PARAMS,
-                       submission_ids=str(raw / "sample"))
+                       submission_ids=str(raw / "sample"), store_inputs=True)
+    assert spark.read.parquet(rep["paths"]["transactions"]).count() == 40 * 30
     feats = spark.read.parquet(rep["paths"]["all_features"])
     assert feats.count() == 40
     assert spark.read.parquet(rep["paths"]["offer_productids"]).count() == 2
