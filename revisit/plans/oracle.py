@@ -85,16 +85,16 @@ _TX_COLS = ("id, dept, category, company, brand, date, purchasequantity, "
 def has_bought_ctes(n: int, source: str = "reduced") -> list[str]:
     """The reference's literal form for one window: the look-back join,
     then one aggregate per field, each left-joined to the cohort."""
-    ctes = [f"""last_{n} AS (
+    ctes = [f"""window_lines_{n} AS (
   SELECT o.split, o.id, o.offer, t.category, t.company, t.brand,
          o.category AS offer_category, o.company AS offer_company, o.brand AS offer_brand,
          t.purchasequantity, t.purchaseamount, t.date, o.offerdate
   FROM {source} t JOIN history_offers o
     ON t.id = o.id AND t.date BETWEEN o.offerdate - {n} AND o.offerdate)"""]
     for f in PRODUCT_FIELDS:
-        ctes.append(f"""hb_{f}_{n} AS (
+        ctes.append(f"""field_sum_{f}_{n} AS (
   SELECT split, id, offer, CAST(SUM(purchasequantity) AS BIGINT) AS q, SUM(purchaseamount) AS a
-  FROM last_{n} WHERE {f} = offer_{f} GROUP BY split, id, offer)""")
+  FROM window_lines_{n} WHERE {f} = offer_{f} GROUP BY split, id, offer)""")
     cols = []
     joins = []
     for f in PRODUCT_FIELDS:
@@ -102,7 +102,7 @@ def has_bought_ctes(n: int, source: str = "reduced") -> list[str]:
         cols += [f"CASE WHEN {a}.id IS NULL THEN 0 ELSE {a}.q END AS has_bought_{f}_q_{n}",
                  f"CASE WHEN {a}.id IS NULL THEN 1 ELSE 0 END AS never_bought_{f}",
                  f"CASE WHEN {a}.id IS NULL THEN 0.0 ELSE CAST({a}.a AS DOUBLE) END AS has_bought_{f}_a_{n}"]
-        joins.append(f"LEFT JOIN hb_{f}_{n} {a} ON {a}.split = h.split AND {a}.id = h.id AND {a}.offer = h.offer")
+        joins.append(f"LEFT JOIN field_sum_{f}_{n} {a} ON {a}.split = h.split AND {a}.id = h.id AND {a}.offer = h.offer")
     ctes.append(f"""has_bought_{n} AS (
   SELECT h.*, {', '.join(cols)}
   FROM history_offers h {' '.join(joins)})""")
@@ -111,55 +111,55 @@ def has_bought_ctes(n: int, source: str = "reduced") -> list[str]:
 
 def user_spend_ctes(days: int = USER_WINDOW) -> list[str]:
     return [
-        f"""history_prodid AS (
+        f"""cohort_product AS (
   SELECT h.split, h.id, h.offer, h.offerdate, o.category, o.company, o.brand, {_pid('o')} AS productid
   FROM history h LEFT JOIN offers o ON h.offer = o.offer)""",
-        f"""limit{days} AS (
-  SELECT t.*, h.split AS h_split, h.offer AS h_offer, h.offerdate, h.productid
-  FROM transactions t JOIN history_prodid h
+        f"""recent_lines AS (
+  SELECT t.*, h.split AS c_split, h.offer AS c_offer, h.offerdate, h.productid
+  FROM transactions t JOIN cohort_product h
     ON t.id = h.id AND t.date BETWEEN h.offerdate - {days} AND h.offerdate)""",
-        f"""totalspend AS (
-  SELECT h_split, id, h_offer, SUM(purchaseamount) AS total, COUNT(DISTINCT date) AS visits
-  FROM limit{days} GROUP BY h_split, id, h_offer)""",
-        f"""prodidspend AS (
-  SELECT h_split, id, h_offer, SUM(purchaseamount) AS spend, SUM(purchasequantity) AS cnt
-  FROM limit{days} WHERE {_pid()} = productid GROUP BY h_split, id, h_offer)""",
-        f"""user_features AS (
+        f"""customer_totals AS (
+  SELECT c_split, id, c_offer, SUM(purchaseamount) AS total, COUNT(DISTINCT date) AS visits
+  FROM recent_lines GROUP BY c_split, id, c_offer)""",
+        f"""product_totals AS (
+  SELECT c_split, id, c_offer, SUM(purchaseamount) AS spend, SUM(purchasequantity) AS cnt
+  FROM recent_lines WHERE {_pid()} = productid GROUP BY c_split, id, c_offer)""",
+        f"""spend_features AS (
   SELECT h.split, h.id, h.offer, h.category, h.company, h.brand,
          COALESCE(CAST(p.spend AS DOUBLE), 0) AS prodid_spend_{days},
          COALESCE(CAST(p.cnt AS BIGINT), 0) AS prodid_count_{days},
          COALESCE(CAST(t.total AS DOUBLE), 0) AS total_spend_{days},
          COALESCE(t.visits, 0) AS visits_{days}
-  FROM history_prodid h
-  LEFT JOIN totalspend t ON t.h_split = h.split AND t.id = h.id AND t.h_offer = h.offer
-  LEFT JOIN prodidspend p ON p.h_split = h.split AND p.id = h.id AND p.h_offer = h.offer)""",
+  FROM cohort_product h
+  LEFT JOIN customer_totals t ON t.c_split = h.split AND t.id = h.id AND t.c_offer = h.offer
+  LEFT JOIN product_totals p ON p.c_split = h.split AND p.id = h.id AND p.c_offer = h.offer)""",
     ]
 
 
 def market_ctes() -> list[str]:
     return [
-        f"""product_transactions AS (
-  SELECT {_pid()} AS productid, category, company, brand, COUNT(*) AS mshare_product
+        f"""product_lines AS (
+  SELECT {_pid()} AS productid, category, company, brand, COUNT(*) AS n_lines
   FROM reduced GROUP BY category, company, brand)""",
-        """category_transactions AS (
-  SELECT category, COUNT(*) AS category_bought FROM reduced
+        """category_lines AS (
+  SELECT category, COUNT(*) AS n_category_lines FROM reduced
   WHERE category IN (SELECT category FROM offers) GROUP BY category)""",
-        f"""product_features AS (
+        f"""share_table AS (
   SELECT p.productid, p.category, p.company, p.brand,
-         CAST(p.mshare_product AS DOUBLE) / CAST(c.category_bought AS DOUBLE) AS marketshare_in_cat
-  FROM product_transactions p LEFT JOIN category_transactions c ON p.category = c.category
+         CAST(p.n_lines AS DOUBLE) / CAST(c.n_category_lines AS DOUBLE) AS marketshare_in_cat
+  FROM product_lines p LEFT JOIN category_lines c ON p.category = c.category
   WHERE p.productid IN (SELECT {_pid()} FROM offers))""",
-        """productspend AS (
-  SELECT category, company, brand, SUM(purchaseamount) AS productspend_in_cat
+        """product_spend AS (
+  SELECT category, company, brand, SUM(purchaseamount) AS spend
   FROM reduced WHERE category IN (SELECT category FROM offers)
   GROUP BY category, company, brand)""",
-        """competition_features AS (
+        """competition_table AS (
   SELECT category,
          COUNT(DISTINCT (company, brand)) FILTER (WHERE company IS NOT NULL AND brand IS NOT NULL)
            AS competing_products_in_cat,
-         CAST(MAX(productspend_in_cat) AS DOUBLE) / NULLIF(CAST(SUM(productspend_in_cat) AS DOUBLE), 0)
+         CAST(MAX(spend) AS DOUBLE) / NULLIF(CAST(SUM(spend) AS DOUBLE), 0)
            AS marketshare_dominant_prod_in_cat
-  FROM productspend GROUP BY category)""",
+  FROM product_spend GROUP BY category)""",
     ]
 
 
@@ -179,17 +179,17 @@ def assemble_ctes() -> list[str]:
             cols.append(f"{b}.has_bought_{f}_a_{n}")
         joins.append(f"LEFT JOIN has_bought_{n} {b} ON {b}.split = h.split AND {b}.id = h.id AND {b}.offer = h.offer")
     u = USER_WINDOW
-    ctes.append(f"""all_features AS (
+    ctes.append(f"""feature_table AS (
   SELECT h.*, o.category, o.company, o.brand, {_pid('o')} AS productid,
          u.prodid_spend_{u}, u.prodid_count_{u}, u.total_spend_{u}, u.visits_{u},
          p.marketshare_in_cat, {', '.join(cols)},
          c.competing_products_in_cat, c.marketshare_dominant_prod_in_cat
   FROM history h
   LEFT JOIN offers o ON h.offer = o.offer
-  LEFT JOIN user_features u ON u.split = h.split AND u.id = h.id AND u.offer = h.offer
-  LEFT JOIN product_features p ON p.productid = {_pid('o')}
+  LEFT JOIN spend_features u ON u.split = h.split AND u.id = h.id AND u.offer = h.offer
+  LEFT JOIN share_table p ON p.productid = {_pid('o')}
   {' '.join(joins)}
-  LEFT JOIN competition_features c ON c.category = o.category)""")
+  LEFT JOIN competition_table c ON c.category = o.category)""")
     return ctes
 
 
@@ -219,17 +219,17 @@ FROM reduced t JOIN history_offers h
   ON t.id = h.id AND t.date BETWEEN h.offerdate - {max(WINDOWS)} AND h.offerdate""")
     for n in WINDOWS:
         q[f"has_bought_{n}"] = _with("sparse", has_bought_ctes(n), f"SELECT * FROM has_bought_{n}")
-    q["user_spend"] = _with("dense", user_spend_ctes(), "SELECT * FROM user_features")
-    q["product_share"] = _with("sparse", market_ctes(), "SELECT * FROM product_features")
-    q["competition"] = _with("sparse", market_ctes(), "SELECT * FROM competition_features")
-    q["assemble_features"] = _with("dense", assemble_ctes(), "SELECT * FROM all_features")
+    q["user_spend"] = _with("dense", user_spend_ctes(), "SELECT * FROM spend_features")
+    q["product_share"] = _with("sparse", market_ctes(), "SELECT * FROM share_table")
+    q["competition"] = _with("sparse", market_ctes(), "SELECT * FROM competition_table")
+    q["assemble_features"] = _with("dense", assemble_ctes(), "SELECT * FROM feature_table")
     feats = sorted(c for c in _assembled_columns() if c not in NON_FEATURE_COLUMNS)
     q["feature_columns"] = _with("dense", assemble_ctes(), " UNION ALL ".join(
         f"SELECT split, id, offer, CAST({i} AS INTEGER) AS position, '{c}' AS feature, "
-        f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS value FROM all_features" for i, c in enumerate(feats)))
+        f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS value FROM feature_table" for i, c in enumerate(feats)))
     checks = [f"SELECT 'has_bought_{n}' AS \"check\", COUNT(*) AS n_rows FROM has_bought_{n}" for n in WINDOWS]
-    checks += ["SELECT 'user_spend' AS \"check\", COUNT(*) AS n_rows FROM user_features",
-               "SELECT 'assemble_features' AS \"check\", COUNT(*) AS n_rows FROM all_features"]
+    checks += ["SELECT 'user_spend' AS \"check\", COUNT(*) AS n_rows FROM spend_features",
+               "SELECT 'assemble_features' AS \"check\", COUNT(*) AS n_rows FROM feature_table"]
     q["check_cohort_rows"] = _with("dense", assemble_ctes() + [
         "counts AS (" + " UNION ALL ".join(checks) + ")"],
         "SELECT c.\"check\", c.n_rows, e.n_expected, c.n_rows = e.n_expected AS ok "
@@ -239,7 +239,7 @@ FROM reduced t JOIN history_offers h
     q["auc_roc"] = _with("dense", user_spend_ctes() + [
         """scored AS (
   SELECT u.total_spend_30 AS score, CASE WHEN h.repeater = 't' THEN 1 ELSE 0 END AS label
-  FROM user_features u JOIN history h ON h.split = u.split AND h.id = u.id AND h.offer = u.offer
+  FROM spend_features u JOIN history h ON h.split = u.split AND h.id = u.id AND h.offer = u.offer
   WHERE h.split = 'train')""",
         """per_score AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY score)""",
         """ranked AS (

@@ -170,7 +170,7 @@ def model_tables(spark: SparkSession, sf_dir: str):
     if key not in _MODEL_MEMO:
         tb = _t(spark, sf_dir, "dense")
         feats = materialize(assemble_features(tb.transactions, tb.offers, tb.history),
-                            scratch_path(spark, "model", "all_features"))
+                            scratch_path(spark, "model", "feature_table"))
         cols = M.feature_columns(feats)
         ready = M.model_input(M.with_label(feats), cols)
         train = ready.where(F.col("split") == "train")

@@ -75,10 +75,10 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
         cohort = history_offers(history, offers)
         for n in WINDOWS:
             save(f"has_bought_{n}", has_bought(cohort, facts, n))
-        save("user_features", user_spend(cohort, facts))
-        save("product_features", product_share(tx, offers, cp))
-        save("competition_features", competition(tx, offers, cp))
-    feats = save("all_features", assemble_features(tx, offers, history, facts=facts, products=cp),
+        save("user_spend", user_spend(cohort, facts))
+        save("product_share", product_share(tx, offers, cp))
+        save("competition", competition(tx, offers, cp))
+    feats = save("assemble_features", assemble_features(tx, offers, history, facts=facts, products=cp),
                  partition_by=["split"])
 
     cols = M.feature_columns(feats)

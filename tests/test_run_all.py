@@ -16,7 +16,7 @@ def test_pipeline_on_fixture(spark, small_dir, tmp_path):
     rep = run_pipeline(spark, tables, str(tmp_path / "out"), search=True,
                        grid={"maxDepth": [2], "maxIter": [2, 3]}, folds=2)
     n_hist = tables.history.count()
-    feats = spark.read.parquet(rep["paths"]["all_features"])
+    feats = spark.read.parquet(rep["paths"]["assemble_features"])
     assert feats.count() == n_hist
     assert len(rep["cv_metrics"]) == 2 and set(rep["params"]) == {"maxDepth", "maxIter"}
     for n in (30, 60, 90, 180):
@@ -56,7 +56,7 @@ def test_pipeline_on_raw_csv(spark, tmp_path):
     rep = run_pipeline(spark, tables, str(tmp_path / "out"), search=False, params=SMALL_PARAMS,
                        submission_ids=str(raw / "sample"), store_inputs=True)
     assert spark.read.parquet(rep["paths"]["transactions"]).count() == 40 * 30
-    feats = spark.read.parquet(rep["paths"]["all_features"])
+    feats = spark.read.parquet(rep["paths"]["assemble_features"])
     assert feats.count() == 40
     assert spark.read.parquet(rep["paths"]["offer_productids"]).count() == 2
     assert feats.where("total_spend_30 > 0").count() > 0
