@@ -110,6 +110,13 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
         ids = test.select("id")
     write_csv(M.submission(ids, scored), sub_path, mode=mode)
     report["paths"]["submission"] = sub_path
+    # Output-length invariant, keyed: one row per requested id; ids without
+    # a score are counted rather than silently paired by position.
+    sub = spark.read.option("header", True).csv(sub_path)
+    check = sub.agg(F.count(F.lit(1)).alias("rows"),
+                    F.count_if(F.col("repeatProbability").isNull()).alias("unscored")).first()
+    report["submission_rows"], report["submission_unscored"] = check["rows"], check["unscored"]
+    report["requested_ids"] = ids.count()
     return report
 
 

@@ -62,3 +62,4 @@ def test_pipeline_on_raw_csv(spark, tmp_path):
     assert feats.where("total_spend_30 > 0").count() > 0
     sub = {r.id: r.repeatProbability for r in read_csv(spark, rep["paths"]["submission"], infer_schema=True).collect()}
     assert sorted(sub) == [31, 35, 99] and sub[99] is None and sub[31] is not None
+    assert rep["submission_rows"] == rep["requested_ids"] == 3 and rep["submission_unscored"] == 1
