@@ -27,3 +27,34 @@ def test_parallelism_guard(spark):
     assert spread.rdd.getNumPartitions() == 4
     many = spark.range(1000).repartition(6)
     assert ensure_parallelism(many, min_partitions=4) is many
+
+
+def test_unbroadcast_catalogue_gives_same_results(spark, small_dir):
+    """Past the broadcast bound every operator runs on shuffle joins and
+    returns the same rows."""
+    from revisit.operators.assemble import assemble_features
+    from revisit.operators.reduce import reduce_transactions
+    from revisit.sources.fixtures import load_tables
+    tb = load_tables(spark, small_dir, "dense")
+    big = Bounded(tb.offers.df, max_rows=0)          # treated as unbounded
+    assert not big.small
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        shuffled = assemble_features(tb.transactions, big, tb.history)
+        reduced = reduce_transactions(tb.transactions, big)
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+        rows_s, red_s = shuffled.collect(), reduced.count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    broadcast = assemble_features(tb.transactions, tb.offers, tb.history)
+    assert spark.createDataFrame(rows_s, broadcast.schema).exceptAll(broadcast).count() == 0
+    assert len(rows_s) == broadcast.count()
+    assert red_s == reduce_transactions(tb.transactions, tb.offers).count()
