@@ -145,20 +145,30 @@ def auc_rank_sum(df: DataFrame, score_col: str, label_col: str = "label",
     AUC = sum over distinct scores s of pos(s) * (neg_below(s) + neg(s)/2)
           / (P * N).
     ``neg_below`` is a prefix sum over score order, computed without a
-    global single-partition window: scores are range-partitioned, each
-    range gets the negative total of the ranges before it (a table of at
-    most ``partitions`` rows), and the running sum inside a range is a
-    window partitioned by range.  Integer arithmetic up to the last
-    division keeps the result exact.
+    global single-partition window: the distinct scores are cut into score
+    ranges (split points from approximate quantiles, computed once; at most
+    ``partitions`` values reach the driver), each range gets the negative
+    total of the ranges below it (a table of at most ``partitions`` rows),
+    and the running sum inside a range is a window partitioned by range.
+    The range of a score is a pure function of the score (``Bucketizer``),
+    so recomputation after a lost executor assigns it identically.  Integer
+    arithmetic up to the last division keeps the result exact.
     """
+    from pyspark.ml.feature import Bucketizer
     spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     label = F.col(label_col).cast("long")
     g = (df.where(F.col(score_col).isNotNull())
-         .groupBy(F.col(score_col).alias("_score"))
-         .agg(F.sum(label).alias("_pos"), F.sum(1 - label).alias("_neg"))
-         .repartitionByRange(parts, "_score")
-         .withColumn("_range", F.spark_partition_id()))
+         .groupBy(F.col(score_col).cast("double").alias("_score"))
+         .agg(F.sum(label).alias("_pos"), F.sum(1 - label).alias("_neg")))
+    probs = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(g.approxQuantile("_score", probs, 0.001))) if probs else []
+    splits = [float("-inf")] + [c for c in cuts if c not in (float("-inf"), float("inf"))] + [float("inf")]
+    if len(splits) < 3:          # a single range
+        g = g.withColumn("_range", F.lit(0))
+    else:
+        g = (Bucketizer(splits=splits, inputCol="_score", outputCol="_bucket").transform(g)
+             .withColumn("_range", F.col("_bucket").cast("int")).drop("_bucket"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (g.groupBy("_range").agg(F.sum("_neg").alias("_range_neg"))
                .select("_range", F.coalesce(F.sum("_range_neg").over(before), F.lit(0)).alias("_offset")))

@@ -10,10 +10,12 @@ lines) would land in one task.  ``salted_join`` splits such keys:
    has a proven size bound.  Each hot key gets ``ceil(estimate /
    rows_per_task)`` buckets.  Sampling only decides *which* keys are split;
    every row of both sides still takes part in the join.
-2. Big-side rows of a hot key are spread round-robin over its buckets;
-   small-side rows of a hot key are replicated once per bucket; every other
-   key uses bucket 0.  The join runs on (key, bucket): the hot key's rows
-   are shared by several tasks and each output pair appears exactly once.
+2. Big-side rows of a hot key are spread over its buckets by a hash of the
+   row's own columns -- a pure function of the row, so a retried task after
+   an executor loss puts every row in the same bucket again; small-side rows
+   of a hot key are replicated once per bucket; every other key uses bucket
+   0.  The join runs on (key, bucket): the hot key's rows are shared by
+   several tasks and each output pair appears exactly once.
 """
 
 from __future__ import annotations
@@ -59,9 +61,10 @@ def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
     hot = hot if hot is not None else hot_keys(big, big_key, **hot_args)
     hb = F.broadcast(hot.withColumnRenamed(big_key, "_hk_big").withColumnRenamed("_buckets", "_b_big"))
     hs = F.broadcast(hot.withColumnRenamed(big_key, "_hk_small").withColumnRenamed("_buckets", "_b_small"))
+    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
     b = (big.join(hb, F.col(big_key) == F.col("_hk_big"), "left")
          .withColumn("_salt", F.when(F.col("_b_big").isNull(), F.lit(0))
-                     .otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_b_big")).cast("int")))
+                     .otherwise(F.pmod(row_hash, F.col("_b_big")).cast("int")))
          .drop("_hk_big", "_b_big"))
     s = (small.join(hs, F.col(small_key) == F.col("_hk_small"), "left")
          .withColumn("_salt_s", F.explode(
