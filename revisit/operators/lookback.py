@@ -30,7 +30,7 @@ from revisit.functions.expressions import (MONEY_SCALE, count_if, days_before, i
                                           money_scale_of, money_units, money_value, sum_if)
 from revisit.operators.keys import offers_by_field
 from revisit.operators.sizing import as_bounded
-from revisit.operators.skew import salted_join
+from revisit.operators.skew import hot_keys, salted_join
 from revisit.schemas import COHORT_KEYS, PRODUCT_FIELDS, USER_WINDOW, WINDOWS
 
 _FACT_MEASURES = tuple(f"{m}_{f}" for f in PRODUCT_FIELDS for m in ("n", "q", "a")) + (
@@ -173,14 +173,17 @@ def user_spend(cohort_offers: DataFrame, facts: DataFrame, days: int = USER_WIND
 
 
 def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int,
-                  split_hot_keys: bool = True, **hot_args) -> DataFrame:
+                  split_hot_keys: bool = True, hot_from: DataFrame | None = None,
+                  **hot_args) -> DataFrame:
     """Row-level look-back join: every purchase line of a cohort customer in
     the ``days`` up to and including the offer date.
 
     Plans as a sort-merge join on ``id`` with the date range as residual.
     The output is row level, so it cannot be pre-aggregated; customers that
     hold a large share of the lines are split across tasks by
-    ``salted_join`` (sampled, bounded hot-key list).
+    ``salted_join`` (sampled, bounded hot-key list).  ``hot_from``: a
+    table with an ``id`` column to sample instead of ``transactions`` (e.g.
+    the unreduced lines: one column to read, counts can only be higher).
     """
     t = transactions.select(F.col("id").alias("_t_id"), "category", "company", "brand",
                             "purchasequantity", "purchaseamount", "date")
@@ -190,7 +193,10 @@ def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int,
                              F.col("brand").alias("offer_brand"), "offerdate")
     window = in_lookback("date", "offerdate", days)
     if split_hot_keys:
-        j = salted_join(t, c, "_t_id", "id", extra=window, **hot_args)
+        hot = None
+        if hot_from is not None:
+            hot = hot_keys(hot_from, "id", **hot_args).withColumnRenamed("id", "_t_id")
+        j = salted_join(t, c, "_t_id", "id", extra=window, hot=hot, **({} if hot is not None else hot_args))
     else:
         j = c.join(t.hint("merge"), (F.col("_t_id") == F.col("id")) & window)
     return j.select(*COHORT_KEYS, "category", "company", "brand",

@@ -94,7 +94,8 @@ def q_history_offers(spark, sf_dir):
 def q_lookback_join(spark, sf_dir):
     tb = _t(spark, sf_dir)
     reduced = reduce_transactions(tb.transactions, tb.offers)
-    return decimals_to_double(lookback_join(reduced, history_offers(tb.history, tb.offers), max(WINDOWS)))
+    return decimals_to_double(lookback_join(reduced, history_offers(tb.history, tb.offers), max(WINDOWS),
+                                            hot_from=tb.transactions))
 
 
 def _facts(tb, span: int, with_totals: bool = True):

@@ -177,6 +177,8 @@ def test_salted_join_splits_hot_key_and_keeps_every_pair(spark):
     # hot lines sit 0..39 days back, 31 of every 40 fall in the window
     assert salted.count() == plain.count() == 3000 * 31 // 40 + 5
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+    sampled_raw = lookback_join(t, cohort, 30, hot_from=t, **args)
+    assert sampled_raw.exceptAll(plain).count() == 0 and sampled_raw.count() == plain.count()
     # the hot customer's lines are really spread over several buckets
     spread = (t.join(F.broadcast(hot_keys(t, "id", **args)), "id")
               .select((F.monotonically_increasing_id() % F.col("_buckets")).alias("b")).distinct().count())
