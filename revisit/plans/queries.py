@@ -58,14 +58,17 @@ def q_reduce_transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     transactions folder (availableNow trigger), read back from its sink."""
     import uuid
 
+    from revisit.sources.fixtures import fixture_transactions
     from revisit.streaming.reduce_stream import run_reduction
     tb = _t(spark, sf_dir)
-    run = f"stream-{uuid.uuid4().hex[:8]}"   # own source / sink / checkpoint per run
-    source = scratch_path(spark, run, "transactions")
-    write_parquet(tb.transactions, source, mode="errorifexists")
+    run = f"stream-{uuid.uuid4().hex[:8]}"   # own sink / checkpoint per run
     sink = scratch_path(spark, run, "reduced")
-    run_reduction(spark, source, tb.transactions.schema, tb.offers, sink,
-                  scratch_path(spark, run, "checkpoint"))
+    # Stream straight from the stored line items; the fixture's column
+    # mapping is applied inside the stream (nothing is copied).
+    schema = spark.read.parquet(tb.lines_path).schema
+    run_reduction(spark, tb.lines_path, schema, tb.offers, sink,
+                  scratch_path(spark, run, "checkpoint"),
+                  project=lambda df: fixture_transactions(df, tb.fixture))
     return decimals_to_double(read_parquet(spark, sink))
 
 

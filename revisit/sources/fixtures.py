@@ -42,6 +42,10 @@ class Tables:
     transactions: DataFrame
     offers: Bounded
     history: DataFrame
+    # Where the stored line items live (materialised tables only), and the
+    # projection that turns them into this fixture's transactions.
+    lines_path: str | None = None
+    fixture: str | None = None
 
 
 # Fact-sized inputs: spread over the cores if stored unsplittable.  Dimension
@@ -165,11 +169,12 @@ def load_tables(spark: SparkSession, sf_dir: str, fixture: str = "sparse",
     key = (session_key(spark), sf_dir, fixture, materialized)
     if key in _MEMO:
         return _MEMO[key]
+    lines_path = None
     if materialized:
         base_key = (session_key(spark), sf_dir, "line_base")
+        lines_path = scratch_path(spark, "tables", "line_base")
         if base_key not in _MEMO:
-            _MEMO[base_key] = ensure_parallelism(materialize(
-                derive_line_base(spark, sf_dir), scratch_path(spark, "tables", "line_base")))
+            _MEMO[base_key] = ensure_parallelism(materialize(derive_line_base(spark, sf_dir), lines_path))
         tx = fixture_transactions(_MEMO[base_key], fixture)
     else:
         tx = derive_transactions(spark, sf_dir, fixture)
@@ -180,6 +185,6 @@ def load_tables(spark: SparkSession, sf_dir: str, fixture: str = "sparse",
     history = derive_history(spark, sf_dir, tx, offers)
     if materialized:
         history = materialize(history, scratch_path(spark, "tables", fixture, "history"))
-    tables = Tables(tx, offers, history)
+    tables = Tables(tx, offers, history, lines_path, fixture)
     _MEMO[key] = tables
     return tables

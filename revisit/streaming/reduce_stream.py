@@ -14,6 +14,8 @@ Stateless filter: no watermark or state store is needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -21,21 +23,26 @@ from revisit.operators.reduce import reduce_transactions
 
 
 def reduced_stream(spark: SparkSession, source_dir: str, schema: T.StructType, offers,
-                   fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+                   fmt: str = "parquet", max_files_per_trigger: int | None = None,
+                   project: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``project`` maps the source rows to the transactions layout (e.g. a
+    column selection/rename) inside the stream."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reduce_transactions(reader.load(source_dir), offers)
+    lines = reader.load(source_dir)
+    return reduce_transactions(project(lines) if project else lines, offers)
 
 
 def run_reduction(spark: SparkSession, source_dir: str, schema: T.StructType, offers,
                   sink_dir: str, checkpoint_dir: str, fmt: str = "parquet",
-                  available_now: bool = True, timeout_s: float | None = None):
+                  available_now: bool = True, timeout_s: float | None = None,
+                  project: Callable[[DataFrame], DataFrame] | None = None):
     """Start the streaming reduction; with ``available_now`` it processes
     every file present now (in as many micro-batches as needed) and stops."""
-    stream = reduced_stream(spark, source_dir, schema, offers, fmt)
+    stream = reduced_stream(spark, source_dir, schema, offers, fmt, project=project)
     writer = (stream.writeStream.format("parquet")
               .option("path", sink_dir)
               .option("checkpointLocation", checkpoint_dir)
