@@ -151,8 +151,10 @@ def auc_rank_sum(df: DataFrame, score_col: str, label_col: str = "label",
     total of the ranges below it (a table of at most ``partitions`` rows),
     and the running sum inside a range is a window partitioned by range.
     The range of a score is a pure function of the score (``Bucketizer``),
-    so recomputation after a lost executor assigns it identically.  Integer
-    arithmetic up to the last division keeps the result exact.
+    so recomputation after a lost executor assigns it identically.  The
+    per-score counts are checkpointed once (reliable checkpoint in the
+    shared folder) because both steps read them.  Integer arithmetic up to
+    the last division keeps the result exact.
     """
     from pyspark.ml.feature import Bucketizer
     spark = df.sparkSession
@@ -161,6 +163,12 @@ def auc_rank_sum(df: DataFrame, score_col: str, label_col: str = "label",
     g = (df.where(F.col(score_col).isNotNull())
          .groupBy(F.col(score_col).cast("double").alias("_score"))
          .agg(F.sum(label).alias("_pos"), F.sum(1 - label).alias("_neg")))
+    # The per-score counts are read twice (split points, prefix sums): write
+    # them once to the shared checkpoint folder instead of recomputing the
+    # scoring plan.  At most one row per distinct score.
+    from revisit.session import checkpoint_dir
+    checkpoint_dir(spark)
+    g = g.checkpoint(eager=True)
     probs = [i / parts for i in range(1, parts)]
     cuts = sorted(set(g.approxQuantile("_score", probs, 0.001))) if probs else []
     splits = [float("-inf")] + [c for c in cuts if c not in (float("-inf"), float("inf"))] + [float("inf")]
