@@ -191,3 +191,14 @@ def test_salted_left_join_keeps_unmatched(spark):
     small = spark.createDataFrame([(1, "x")], "k2 long, w string")
     out = salted_join(big, small, "k", "k2", how="left", fraction=1.0, rows_per_task=1).collect()
     assert sorted((r.v, r.w) for r in out) == [("a", "x"), ("b", "x"), ("c", None)]
+
+
+def test_date_bounds_when_no_offer_dates(spark):
+    from revisit.operators.lookback import cohort_date_bounds
+    o = offers(spark, OFFERS)
+    h = history(spark, [(1, 0, None), (2, 0, None)])
+    t = tx(spark, [(1, 10, 100, 1000, D(2000, 1, 1), 1, 1.0)])
+    bounds = cohort_date_bounds(h, 180)
+    out = lookback_features(history_offers(h, o), purchase_facts(t, o, date_bounds=bounds)).collect()
+    assert len(out) == 2
+    assert all(r.has_bought_brand_q_180 == 0 and r.never_bought_brand == 1 and r.visits_30 == 0 for r in out)
