@@ -41,9 +41,11 @@ class Bounded:
                  known_rows: int | None = None):
         self.small = within_bound(df, max_rows, known_rows)
         # A bounded table in one partition: key lists and groupings derived
-        # from it then need no shuffle (one partition satisfies any
-        # clustering), and they are broadcast anyway.
-        self.df = df.coalesce(1) if self.small else df
+        # from it then need no further shuffle (one partition satisfies any
+        # clustering), and they are broadcast anyway.  ``repartition(1)``
+        # moves at most ``max_rows`` rows and, unlike ``coalesce(1)``, leaves
+        # the plan that produced the table running in parallel.
+        self.df = df.repartition(1) if self.small else df
 
     def hint(self, derived: DataFrame) -> DataFrame:
         return F.broadcast(derived) if self.small else derived
