@@ -202,3 +202,30 @@ def test_date_bounds_when_no_offer_dates(spark):
     out = lookback_features(history_offers(h, o), purchase_facts(t, o, date_bounds=bounds)).collect()
     assert len(out) == 2
     assert all(r.has_bought_brand_q_180 == 0 and r.never_bought_brand == 1 and r.visits_30 == 0 for r in out)
+
+
+def test_hot_customer_is_bounded_before_the_join(spark):
+    """A customer with a third of all lines reaches the cohort join as at
+    most (#offers + 1) x #days fact rows; features are unchanged."""
+    import random
+    rnd = random.Random(11)
+    od = D(2000, 6, 30)
+    offer_rows = [(0, 10, 100, 1000, 1.0), (1, 20, 100, 2000, 2.0)]
+    rows = []
+    for i in range(6000):
+        cid = 7 if i % 3 == 0 else rnd.randint(1, 300)        # customer 7 holds a third
+        day = od.fromordinal(od.toordinal() - rnd.randint(0, 59))
+        rows.append((cid, rnd.choice([10, 20, 30]), rnd.choice([100, 200]), rnd.choice([1000, 2000, 3000]),
+                     day, rnd.randint(1, 3), float(rnd.randint(1, 500))))
+    t = tx(spark, rows)
+    o = offers(spark, offer_rows)
+    facts = purchase_facts(t, o)
+    hot_lines = sum(1 for r in rows if r[0] == 7)
+    hot_days = len({r[4] for r in rows if r[0] == 7})
+    hot_facts = facts.where(F.col("id") == 7).count()
+    assert hot_lines >= 2000 and hot_facts <= (len(offer_rows) + 1) * hot_days < hot_lines
+    h = history(spark, [(c, c % 2, od) for c in range(1, 301)])
+    cohort = history_offers(h, o)
+    got = lookback_features(cohort, facts, windows=(30, 60)).where(F.col("id") == 7).collect()[0]
+    lines7 = [r for r in rows if r[0] == 7 and 0 <= (od - r[4]).days <= 30 and r[2] == 100]
+    assert got.has_bought_company_q_30 == sum(r[5] for r in lines7)
