@@ -95,50 +95,51 @@ def base_spans(text: Column) -> Column:
 
 def tail(z: Column) -> Column:
     """Two-sided normal p-value (rational approximation of erfc)."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.least(F.lit(1.0), F.greatest(F.lit(1e-18), poly * F.exp(-x * x)))
+    def area(x: Column, t: Column) -> Column:
+        poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+        return F.least(F.lit(1.0), F.greatest(F.lit(1e-18), poly * F.exp(-x * x)))
+    return let(F.abs(z) / math.sqrt(2), lambda x: let(1 / (1 + 0.3275911 * x), lambda t: area(x, t)))
 
 
-def battery(token: Column, alphabet: str) -> Column:
+def battery(token: Column, alphabet: Column) -> Column:
     """Combined p-value of the three tests for one alphabet."""
-    k = len(alphabet)
-    bits_to = "".join("0" if i < k // 2 else "1" for i in range(k))
     n = F.length(token).cast("double")
-    squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda acc, c: F.when(c == "", acc).otherwise(
-        acc + F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0))))
-    chi = F.lit(float(k)) / n * squares - n
-    df = float(k - 1)
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+
+    def z_uniform(k: Column) -> Column:
+        squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda acc, c: F.when(c == "", acc).otherwise(
+            acc + F.pow((n - F.length(F.replace(token, c, F.lit("")))), F.lit(2.0))))
+        spread = F.lit(2.0) / (9 * (k - 1))
+        return (F.pow(F.greatest(k / n * squares - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
 
     def z_runs(bits: Column) -> Column:
-        ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
-        changes = sum(((F.length(bits) - F.length(F.replace(bits, F.lit(p), F.lit("")))) / 2 for p in ("01", "10")), F.lit(0.0))
-        product = 2 * ones * (n - ones)
-        variance = product * (product - n) / (n * n * (n - 1))
-        return F.when(variance > 0, (1 + changes - (product / n + 1)) / F.sqrt(variance)).otherwise(F.lit(9.0))
+        def made(ones: Column) -> Column:
+            changes = sum(((n - F.length(F.replace(bits, F.lit(p), F.lit("")))) / 2 for p in ("01", "10")), F.lit(0.0))
+            return let(2 * ones * (n - ones), lambda product: let(
+                product * (product - n) / (n * n * (n - 1)), lambda variance: F.when(
+                    variance > 0, (changes - product / n) / F.sqrt(variance)).otherwise(F.lit(9.0))))
+        return let(F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double"), made)
 
     def z_serial(x: Column) -> Column:
-        total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-        return let(total / n, lambda mean: let(
+        return let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n, lambda mean: let(
             F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)), lambda var: F.when(
                 var > 0, F.sqrt(n) * F.aggregate(
                     F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x)), lambda u, v: (u - mean) * (v - mean)),
                     F.lit(0.0), lambda a, v: a + v) / var).otherwise(F.lit(9.0))))
-    values = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    p = F.least(tail(z_chi), tail(let(F.translate(token, alphabet, bits_to), z_runs)), tail(let(values, z_serial)))
-    return F.least(F.lit(1.0), 3 * p)
+
+    def tests(places: Column) -> Column:
+        half = F.length(alphabet) / 2
+        bits = F.array_join(F.transform(places, lambda v: F.when(v > half, F.lit("1")).otherwise(F.lit("0"))), "")
+        return F.least(F.lit(1.0), 3 * F.least(tail(z_uniform(F.length(alphabet).cast("double"))), tail(let(bits, z_runs)), tail(z_serial(places))))
+    return let(F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double")), tests)
 
 
 def randomness(token: Column) -> Column:
     """Combined p-value under the first alphabet that holds the token, or null."""
-    out = F.lit(None).cast("double")
-    for alphabet in reversed(list(ALPHABETS.values())):
-        letters = alphabet.replace("-", "")
-        inside = "^[" + letters.replace("/", "\\/") + ("-" if "-" in alphabet else "") + "]+$"
-        out = F.when(token.rlike(inside), battery(token, alphabet)).otherwise(out)
-    return out
+    alphabet = F.lit(None).cast("string")
+    for letters in reversed(list(ALPHABETS.values())):
+        inside = "^[" + letters.replace("-", "").replace("/", "\\/") + ("-" if "-" in letters else "") + "]+$"
+        alphabet = F.when(token.rlike(inside), F.lit(letters)).otherwise(alphabet)
+    return let(alphabet, lambda a: F.when(a.isNotNull(), battery(token, a)))
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -147,7 +148,7 @@ def candidates(text: Column, base: Column) -> Column:
     mixed = F.filter(tokens, lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]") & ~F.exists(
         base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     tested = F.transform(mixed, lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), randomness(F.rtrim(t["value"], F.lit("="))).alias("p"),
+        t["start"].alias("start"), t["end"].alias("end"), let(F.rtrim(t["value"], F.lit("=")), randomness).alias("p"),
         F.least(F.lit(BANDS - 1), F.floor(2 * F.log2((t["end"] - t["start"]).cast("double")))).cast("int").alias("band")))
     return F.filter(tested, lambda t: t["p"].isNotNull())
 
