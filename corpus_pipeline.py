@@ -1,25 +1,79 @@
-"""Corpus pipeline over ``documents``; stages are added as their operators land."""
+"""Corpus pipeline over ``documents``: language ID, near-dedup, substring
+dedup, secret scan, packing.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor
+kept and calls one operator of ``revisit.llm``; all but the last return the
+columns of their input.  ``run`` writes each stage's result as Parquet in the
+shared folder and reads it again as the next one's documents.
+
+Defined cases: extra columns pass through unchanged; ``n_chars``, where
+present, follows a changed text; texts without a letter are rejected by the
+first stage, null doc_ids pass all filters; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revisit.llm import language_id
+from revisit.llm import language_id, near_dedup, packing, secret_scan, substring_dedup
+from revisit.llm.store import stored
 
 MIN_LANGUAGE_SCORE = 0.5
+WORDS, SIMILAR, OF = 5, 80, 100        # word shingles and least Jaccard similarity, in percent
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not listed; rows with a null doc_id stay."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has no determinable language go."""
+    rejected = language_id.identify(docs).where(
+        (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE))
+    return _without(docs, rejected)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return _without(docs, near_dedup.near_duplicates(docs, WORDS, SIMILAR, OF).where(~F.col("kept")))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has go."""
+    return _with_length(substring_dedup.remove_repeats(docs))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; the documents stay."""
+    return _with_length(secret_scan.redact(docs))
+
 
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-budget batches of the documents that are left."""
+    return packing.pack(docs)
 
-def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_batches),
+]
 
-STAGES = [("language_id", keep_known_language)]
+# A model, a similarity join and the randomness tests are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,31 +1,29 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
 Merging is a Spark higher-order function: a word's bytes become an array of
-pieces and ``aggregate`` folds ranked merges over it -- every step joins the
-leftmost pair of lowest rank, until no neighbouring pair has a rank.  Ranks
-come from a literal: an array of small maps (piece -> rank), addressed by
-the piece's CRC, so a look-up scans a handful of entries.
-
-Each distinct word is folded once where that pays: words are counted over the
-whole corpus (pre-summed in each task), and the ``DICTIONARY_WORDS`` most
-frequent ones are folded once and broadcast.  That bound only decides where a
+ids and ``aggregate`` folds ranked merges over it -- every step joins the
+leftmost neighbours of lowest rank, until no neighbours have a rank.  Ranks
+come from a literal map (left id, right id) -> rank, laid out as two literal
+arrays (a perfect hash, so that a look-up is one comparison).
+
+A word that is itself in the rank file is one id.  Other words are counted
+over the whole corpus (pre-summed in each task), and the ``DICTIONARY_WORDS``
+most frequent are folded once and broadcast.  That bound only decides where a
 word is folded: texts carry their remaining distinct words through the same
 fold expression, in chunks of texts, without a shuffle.
 
 Decoding concatenates the binary pieces of the ids.
 
-Defined cases: null text counts as empty and encodes to no ids; a piece that
-is itself in the rank file is one id; repeated rows and null doc_ids are
-encoded like any other; texts without any word outside the dictionary skip
-the fold; no rows give no rows.
+Defined cases: null text counts as empty and encodes to no ids; repeated rows
+and null doc_ids are encoded like any other; texts without any word outside
+the dictionary skip the fold; no rows give no rows.  A rank file has to hold
+all 256 single bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 DICTIONARY_WORDS = 300_000
-DICTIONARY_WORD_BYTES = 64      # longer words are left to the texts' own fold
-SLOTS = 8192
+DICTIONARY_WORD_CHARS = 48      # longer words are left to the texts' own fold
 CHUNK_CHARS = 4 << 20
 COUNT_FLUSH = 400_000
 
@@ -46,19 +43,76 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
-    """array<map<hex piece, rank>>; the optimiser folds it into one literal."""
-    table: list[dict[str, int]] = [{} for _ in range(slots)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        table[zlib.crc32(key.encode()) % slots][key] = rank
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
+PRIME = (1 << 32) + 15       # above every pair key, so no two keys are equal modulo it
+SEEDS = (1 << 31) - 1        # key * seed stays below 2 ** 63
+BUCKET_FACTOR = 1_103_515_245
+UNRANKED, DONE = -1, -2      # states of a word before its first and after its last merge
 
 
-def rank_of(table: Column, piece: Column, slots: int = SLOTS) -> Column:
-    """Rank of a piece given in hex, or null."""
-    return let(piece, lambda p: F.try_element_at(
-        F.get(table, F.pmod(F.crc32(p.cast("binary")), F.lit(slots)).cast("int")), p))
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """{left id * 65536 + right id + 1: rank of the joined piece}."""
+    out = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                out[left * 65536 + right + 1] = rank
+    return out
+
+
+def perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """(seed of each bucket, cells holding key * 65536 + rank or -1): key k is
+    at cell k * seed % PRIME % len(cells) and nowhere else."""
+    n_buckets, n_cells = max(1, len(pairs) // 3), max(1, int(len(pairs) * 1.4) | 1)
+    buckets: list[list[int]] = [[] for _ in range(n_buckets)]
+    for key in pairs:
+        buckets[key * BUCKET_FACTOR % PRIME % n_buckets].append(key)
+    seeds, cells = [1] * n_buckets, [-1] * n_cells
+    for b in sorted(range(n_buckets), key=lambda i: -len(buckets[i])):
+        seed = 7919
+        while buckets[b]:
+            at = [key * seed % PRIME % n_cells for key in buckets[b]]
+            if len(set(at)) == len(at) and all(cells[i] < 0 for i in at):
+                for key, i in zip(buckets[b], at):
+                    cells[i] = key * 65536 + pairs[key]
+                seeds[b] = seed
+                break
+            seed = seed * 48271 % SEEDS
+    return seeds, cells
+
+
+class Ranks:
+    """The rank file and its literal columns."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        if ranks and max(ranks.values()) >= 65536:
+            raise ValueError("ids of 65536 and more are not supported")
+        self.by_piece = ranks
+        self.seeds, self.cells = perfect_hash(pair_ranks(ranks))
+        self.byte_ids = [ranks.get(bytes([i]), 0) for i in range(256)]
+
+    @staticmethod
+    def literal(values: list[int], kind: str) -> Column:
+        """An array literal; the optimiser evaluates the parse once."""
+        return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
+
+    def columns(self) -> "RankColumns":
+        return RankColumns(self)
+
+
+class RankColumns:
+    def __init__(self, ranks: Ranks):
+        self.seeds, self.cells = Ranks.literal(ranks.seeds, "bigint"), Ranks.literal(ranks.cells, "bigint")
+        self.byte_ids = Ranks.literal(ranks.byte_ids, "int")
+        self.n_buckets, self.n_cells = len(ranks.seeds), len(ranks.cells)
+
+    def joined(self, left: Column, right: Column) -> Column:
+        """Rank of two neighbouring ids joined, or null."""
+        def cell(key: Column) -> Column:
+            seed = F.get(self.seeds, (key * BUCKET_FACTOR % PRIME % self.n_buckets).cast("int"))
+            return let(F.get(self.cells, (key * seed % PRIME % self.n_cells).cast("int")), lambda c: F.when(
+                F.shiftright(c, 16) == key, c.bitwiseAND(F.lit(65535).cast("long")).cast("int")))
+        return let(left.cast("long") * 65536 + right + 1, cell)      # never 0, which no seed can move
 
 
 def let(value: Column, body) -> Column:
@@ -66,55 +120,61 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, table: Column) -> Column:
-    """Ids of one word: the ranked merges folded over its bytes (in hex)."""
+def byte_ids(word: Column, table: RankColumns) -> Column:
+    """Ids of a word's single bytes."""
+    characters = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
+    return F.transform(characters, lambda c: F.get(table.byte_ids, F.ascii(c)))
+
+
+def fold_merges(first: Column, table: RankColumns) -> Column:
+    """Ids of one word: the ranked merges folded over the ids of its bytes.
+
+    The first step ranks all neighbours, each further one merges and ranks the
+    new id's neighbours; both go through one look-up expression, so the rank
+    literals occur once in the plan."""
     no_ranks = F.array().cast("array<int>")
 
-    def state(parts: Column, ranks: Column) -> Column:
-        return let(ranks, lambda r: F.struct(parts.alias("parts"), r.alias("ranks"), F.array_min(r).alias("best")))
-
-    def start(code: Column) -> Column:
-        n = F.length(code)
-        bytes_ = F.transform(F.sequence(F.lit(1), n, F.lit(2)), lambda i: F.substring(code, i, F.lit(2)))
-        pairs = F.when(n > 2, F.transform(F.sequence(F.lit(1), n - 2, F.lit(2)),
-                                          lambda i: rank_of(table, F.substring(code, i, F.lit(4))))).otherwise(no_ranks)
-        return state(bytes_, pairs)
-
-    def merge(acc: Column, at: Column, merged: Column) -> Column:
-        parts, ranks = acc["parts"], acc["ranks"]
-        n = F.size(parts)
-        return state(
-            F.concat(F.slice(parts, F.lit(1), at - 1), F.array(merged), F.slice(parts, at + 2, n)),
-            F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                     F.when(at > 1, F.array(rank_of(table, F.concat(F.get(parts, at - 2), merged)))).otherwise(no_ranks),
-                     F.when(at + 1 < n, F.array(rank_of(table, F.concat(merged, F.get(parts, at + 1))))).otherwise(no_ranks),
-                     F.slice(ranks, at + 2, n)))
+    def ranked(ids: Column, left: Column, window: Column, right: Column) -> Column:
+        pairs = F.when(F.size(window) > 1, F.zip_with(
+            F.slice(window, F.lit(1), F.size(window) - 1), F.slice(window, F.lit(2), F.size(window)), table.joined)).otherwise(no_ranks)
+        return let(F.concat(left, pairs, right), lambda r: F.struct(
+            ids.alias("ids"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(DONE)).alias("best")))
+
+    def change(acc: Column) -> Column:
+        """New ids, kept ranks left and right, and the ids to rank between them."""
+        ids, ranks, best = acc["ids"], acc["ranks"], acc["best"]
+
+        def merge(at: Column) -> Column:
+            low = F.greatest(at - 1, F.lit(1))
+            merged = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids)))   # a piece's id is its rank
+            return let(merged, lambda new: F.struct(
+                new.alias("ids"), F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))).alias("left"),
+                F.slice(new, low, at + 2 - low).alias("window"), F.slice(ranks, at + 2, F.size(ids)).alias("right")))
+        whole = F.struct(ids.alias("ids"), no_ranks.alias("left"), ids.alias("window"), no_ranks.alias("right"))
+        return F.when(best == UNRANKED, whole).otherwise(let(F.array_position(ranks, best).cast("int"), merge))    # leftmost, 1-based
 
     def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["best"].isNull(), acc).otherwise(
-            let(F.array_position(acc["ranks"], acc["best"]).cast("int"),            # 1-based, leftmost
-                lambda at: let(F.concat(F.get(acc["parts"], at - 1), F.get(acc["parts"], at)),
-                               lambda merged: merge(acc, at, merged))))
+        return F.when(acc["best"] == DONE, acc).otherwise(
+            let(change(acc), lambda c: ranked(c["ids"], c["left"], c["window"], c["right"])))
 
-    def folded(code: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(code) / 2, F.lit(2)).cast("int")), start(code), step,
-                           lambda acc: F.transform(acc["parts"], lambda p: rank_of(table, p)))
-    return let(F.hex(word), lambda code: let(
-        rank_of(table, code), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(code))))
+    def start(ids: Column) -> Column:
+        return F.struct(ids.alias("ids"), no_ranks.alias("ranks"), F.lit(UNRANKED).alias("best"))
+    return let(first, lambda ids: F.aggregate(ids, start(ids), step, lambda acc: acc["ids"]))
 
 
-def count_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) over all texts; long words are left out (they are folded with their text)."""
+def count_words(docs: DataFrame, pattern: str, skip: set[str] | frozenset = frozenset()) -> DataFrame:
+    """(word, n) over all texts but for the words to skip and long ones (those are folded with their text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, counts = regex.compile(pattern).findall, Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            words = [w for w in counts if len(w) <= DICTIONARY_WORD_CHARS and w not in skip]
+            out = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
             counts.clear()
             return out
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(w for w in find(text) if len(w) <= DICTIONARY_WORD_BYTES // 4)
+                counts.update(find(text))
                 if len(counts) > COUNT_FLUSH:
                     yield flush()
         yield flush()
@@ -122,17 +182,36 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def word_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, words: int = DICTIONARY_WORDS) -> dict[str, bytes]:
-    """{word: its ids as int32 bytes} of the most frequent words: a bounded table."""
+def whole_words(ranks: dict[bytes, int]) -> dict[str, bytes]:
+    """Words that are one id, with that id as int32 bytes."""
+    out = {}
+    for piece, rank in ranks.items():
+        try:
+            out[piece.decode("utf-8")] = np.int32(rank).tobytes()
+        except UnicodeDecodeError:
+            pass        # part of a character: never a whole word
+    return out
+
+
+def _cut(column: pa.ListArray) -> tuple[bytes, list[int]]:
+    """(all values as int32 bytes, byte offset of each list)."""
+    lengths = column.value_lengths().to_numpy()
+    return column.flatten().to_numpy().astype(np.int32).tobytes(), [0, *np.cumsum(4 * lengths).tolist()]
+
+
+def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DICTIONARY_WORDS) -> dict[str, bytes]:
+    """{word: its ids as int32 bytes}: the rank file's own words and the most
+    frequent others, a bounded table."""
     spark = docs.sparkSession
-    top = count_words(docs, pattern).orderBy(F.desc("n"), "word").limit(words)
-    folded = (top.repartition(2 * spark.sparkContext.defaultParallelism, "word")
-              .select("word", fold_merges(F.col("word").cast("binary"), rank_literal(ranks)).alias("ids")))
-    rows = folded.toArrow()
-    ids, off = rows["ids"].combine_chunks().flatten().to_numpy().astype(np.int32).tobytes(), [0]
-    for n in rows["ids"].combine_chunks().value_lengths().to_numpy():
-        off.append(off[-1] + 4 * int(n))
-    return {w: ids[a:b] for w, a, b in zip(rows["word"].to_pylist(), off, off[1:])}
+    known = whole_words(ranks.by_piece)
+    top = count_words(docs, pattern, frozenset(known)).orderBy(F.desc("n"), "word").limit(words)
+    table = ranks.columns()
+    rows = (top.repartition(2 * spark.sparkContext.defaultParallelism, "word")
+            .select("word", fold_merges(byte_ids(F.col("word"), table), table).alias("ids")).toArrow())
+    if rows.num_rows:
+        values, off = _cut(rows["ids"].combine_chunks())
+        known.update(zip(rows["word"].to_pylist(), (values[a:b] for a, b in zip(off, off[1:]))))
+    return known
 
 
 def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_text, schema: str,
@@ -140,7 +219,9 @@ def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_tex
     """``per_text(doc_id, ids as int32 array) -> tuple`` over every text."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = spark.sparkContext.broadcast(word_dictionary(rows, ranks, pattern, words))
+    loaded = Ranks(ranks)
+    known = spark.sparkContext.broadcast(word_dictionary(rows, loaded, pattern, words))
+    single = np.array(loaded.byte_ids, np.int32)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, have = regex.compile(pattern).findall, known.value
@@ -149,35 +230,34 @@ def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_tex
             lo = size = 0
             missing: dict[str, None] = {}
             for i, text in enumerate(texts):
-                for word in find(text):
-                    if word not in have:
-                        missing[word] = None
+                missing.update((word, None) for word in find(text) if word not in have)
                 size += len(text)
                 if size >= CHUNK_CHARS or i + 1 == len(texts):
+                    first = [single[np.frombuffer(word.encode("utf-8"), np.uint8)] for word in missing]
                     yield pa.RecordBatch.from_pydict({
                         "keys": pa.array([keys[lo:i + 1]], pa.list_(pa.int64())),
                         "texts": pa.array([texts[lo:i + 1]], pa.list_(pa.string())),
-                        "missing": pa.array([list(missing)], pa.list_(pa.string()))})
+                        "missing": pa.array([list(missing)], pa.list_(pa.string())),
+                        "bytes": pa.array([first], pa.list_(pa.list_(pa.int32())))})
                     lo, size, missing = i + 1, 0, {}
-    chunks = rows.mapInArrow(gather, "keys array<long>, texts array<string>, missing array<string>")
-    table = rank_literal(ranks)
-    folded = chunks.select("keys", "texts", "missing",
-                           F.transform("missing", lambda w: fold_merges(w.cast("binary"), table)).alias("ids"))
+    chunks = rows.mapInArrow(gather, "keys array<long>, texts array<string>, missing array<string>, bytes array<array<int>>")
+    table = loaded.columns()
+    folded = chunks.select("keys", "texts", "missing", F.transform("bytes", lambda b: fold_merges(b, table)).alias("ids"))
     names = [part.split()[0] for part in schema.split(",")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, have = regex.compile(pattern).findall, known.value
         for batch in batches:
             for keys, texts, missing, ids in zip(*(batch.column(i) for i in range(4))):
-                values, off = ids.values.flatten().to_numpy().astype(np.int32).tobytes(), [0]
-                for n in ids.values.value_lengths().to_numpy():
-                    off.append(off[-1] + 4 * int(n))
-                rest = {w: values[a:b] for w, a, b in zip(missing.as_py(), off, off[1:])}
+                rest = {}
+                if len(missing.values):
+                    values, off = _cut(ids.values)
+                    rest = dict(zip(missing.as_py(), (values[a:b] for a, b in zip(off, off[1:]))))
                 out = []
                 for key, text in zip(keys.as_py(), texts.as_py()):
                     found = b"".join([have[w] if w in have else rest[w] for w in find(text)])
                     out.append(per_text(key, np.frombuffer(found, np.int32)))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out])
+                yield pa.RecordBatch.from_pydict({name: list(column) for name, column in zip(names, zip(*out))})
     return folded.mapInArrow(finish, schema)
 
 
@@ -185,6 +265,13 @@ def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
     return b"".join([pieces[i] for i in ids.tolist()])
 
 
+def id_pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every text."""
     return encode_words(docs, read_ranks(path), pattern, lambda key, ids: (key, ids.tolist()), "doc_id long, ids array<int>")
@@ -193,12 +280,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
     ranks = read_ranks(path)
-    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
+    pieces = id_pieces(ranks)
+    numbers = [str(i) for i in range(len(pieces))]
 
     def per_text(key: int, ids: np.ndarray) -> tuple:
         listed = ids.tolist()
-        return (key, len(listed), hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest(),
-                hashlib.sha256(b"".join([pieces[i] for i in listed])).hexdigest())
+        return (key, len(listed), hashlib.sha256(" ".join([numbers[i] for i in listed]).encode()).hexdigest(),
+                hashlib.sha256(decode(ids, pieces)).hexdigest())
     return encode_words(docs, ranks, pattern, per_text, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,8 +17,9 @@ its 50 words.
    are the leaves under one deep inner node.  Larger groups are split by the
    longer, 50-word prefix: the smallest doc_id of each is a pre-aggregated
    minimum that is joined back.
-3. Equal consecutive suffixes of one text travel as one run, and the runs
-   that repeat become the removed word ranges of their document.
+3. A text sends each distinct suffix once; it gets back the prints that
+   repeat and cuts every window that carries one, which merges overlapping
+   windows into its maximal repeats.
 
 Defined cases: null text has no words; texts below 50 words are kept whole;
 repeated rows (equal doc_id) never remove words of each other, since neither
@@ -65,6 +66,11 @@ def suffix_prints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(least[:n], least[span - width:span - width + n]), K.gram_hashes(h, WINDOW)
 
 
+def text_prints(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(raw, np.uint8)
+    return suffix_prints(K.Words(data, np.array([0, len(data)])).hashes())
+
+
 def document_table(docs: DataFrame) -> DataFrame:
     """doc_id, row key, word count, digest of the words, distinct anchors."""
     def build(data: np.ndarray, off: np.ndarray, table: pa.RecordBatch) -> dict:
@@ -87,42 +93,38 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list]
             yield (text.as_py() or "").encode("utf-8", "surrogatepass"), others
 
 
-def suffix_runs(texts: DataFrame) -> DataFrame:
-    """Runs of equal suffixes under shared anchors: (anchor, large, print,
-    doc_id, row_key, start, n).  ``texts``: doc_id, text, row_key, shared."""
+def suffix_rows(texts: DataFrame) -> DataFrame:
+    """Distinct suffixes of each text under shared anchors: (anchor, large,
+    print, doc_id, row_key).  ``texts``: doc_id, text, row_key, shared."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             cols = [np.concatenate(c) for c in zip(*held)]
-            return pa.RecordBatch.from_pydict(dict(zip(("anchor", "large", "print", "doc_id", "row_key", "start", "n"), cols)))
+            return pa.RecordBatch.from_pydict(dict(zip(("anchor", "large", "print", "doc_id", "row_key"), cols)))
         for raw, (doc_id, key, shared) in _text_rows(batches):
             if row_key(words_sha(raw)) != key:
                 continue      # another row of the same doc_id
-            data = np.frombuffer(raw, np.uint8)
-            w = K.Words(data, np.array([0, len(data)]))
-            anchors, prints = suffix_prints(w.hashes())
+            anchors, prints = text_prints(raw)
             values = np.array([s["anchor"] for s in shared], np.int64).view(np.uint64)
             large = np.array([s["large"] for s in shared], bool)
             order = np.argsort(values)
             values, large = values[order], large[order]
+            prints, first = np.unique(prints, return_index=True)
+            anchors = anchors[first]
             at = np.minimum(np.searchsorted(values, anchors), len(values) - 1)
-            live = np.flatnonzero(values[at] == anchors)
-            if not len(live):
-                continue
-            new = np.r_[True, (np.diff(live) != 1) | (prints[live][1:] != prints[live][:-1]) | (anchors[live][1:] != anchors[live][:-1])]
-            head = live[new]
-            n = np.diff(np.r_[np.flatnonzero(new), len(live)])
-            held.append((anchors[head].view(np.int64), large[at[head]], prints[head].view(np.int64),
-                         np.full(len(head), doc_id, np.int64), np.full(len(head), key, np.int64), head.astype(np.int32), n.astype(np.int32)))
-            size += len(head)
+            live = values[at] == anchors
+            n = int(live.sum())
+            held.append((anchors[live].view(np.int64), large[at[live]], prints[live].view(np.int64),
+                         np.full(n, doc_id, np.int64), np.full(n, key, np.int64)))
+            size += n
             if size > 100_000:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
     return texts.select("doc_id", "text", "row_key", "shared").mapInArrow(
-        emit, "anchor long, large boolean, print long, doc_id long, row_key long, start int, n int")
+        emit, "anchor long, large boolean, print long, doc_id long, row_key long")
 
 
 def deep_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +143,12 @@ def deep_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least_of = least[np.cumsum(new) - 1]
         last = (anchor[-1], deep[-1], least_of[-1])
         keep = pa.array(doc > least_of)
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(2, 6)], names=["doc_id", "row_key", "start", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (2, 3, 1)], names=["doc_id", "row_key", "print"])
 
 
 def repeats(docs: DataFrame, group_docs: int = GROUP_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(documents, runs): per row its words' digest and ``copy`` (all words
-    repeat a smaller doc_id), and the removed suffix runs per document."""
+    """(documents, repeats): per row its words' digest and ``copy`` (all words
+    repeat a smaller doc_id), and the repeated suffix prints per document."""
     table = stored(document_table(docs), "suffix-docs")
     copies = (table.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha")
               .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
@@ -158,26 +160,26 @@ def repeats(docs: DataFrame, group_docs: int = GROUP_DOCS) -> tuple[DataFrame, D
     shared = stored(heads.join(live, "anchor").groupBy("doc_id", "row_key")
                     .agg(F.collect_list(F.struct("anchor", "large")).alias("shared")), "suffix-shared")
     texts = semi_join(docs.select("doc_id", "text"), shared, "doc_id").join(shared, "doc_id")
-    runs = stored(suffix_runs(texts), "suffix-runs")
+    rows = stored(suffix_rows(texts), "suffixes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["anchor", "print", "doc_id", "row_key", "start", "n"]
-    small = (runs.where("not large").select(columns).repartition(parts, "anchor").sortWithinPartitions("anchor", "print", "doc_id")
-             .mapInArrow(deep_repeats, "doc_id long, row_key long, start int, n int"))
-    large = runs.where("large").select(columns)
+    columns = ["anchor", "print", "doc_id", "row_key"]
+    small = (rows.where("not large").select(columns).repartition(parts, "anchor").sortWithinPartitions("anchor", "print", "doc_id")
+             .mapInArrow(deep_repeats, "doc_id long, row_key long, print long"))
+    large = rows.where("large").select(columns)
     least = (large.groupBy("anchor", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
              .where("least < most").drop("most"))
-    split = large.join(least, ["anchor", "print"]).where("doc_id > least").select("doc_id", "row_key", "start", "n")
-    found = small.unionByName(split).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    split = large.join(least, ["anchor", "print"]).where("doc_id > least").select("doc_id", "row_key", "print")
+    found = small.unionByName(split).groupBy("doc_id", "row_key").agg(F.collect_list("print").alias("prints"))
     return marked.select("doc_id", "row_key", "n_words", "sha", "copy"), found
 
 
-def covered(n_words: int, runs: list) -> np.ndarray:
-    """Words inside the windows that start in one of the runs."""
-    edge = np.zeros(n_words + 1, np.int64)
-    start = np.array([r["start"] for r in runs], np.int64)
-    n = np.array([r["n"] for r in runs], np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + n + WINDOW - 1, -1)
+def covered(raw: bytes, prints: list) -> np.ndarray:
+    """Words of a text inside windows with one of the given prints."""
+    _, own = text_prints(raw)
+    start = np.flatnonzero(np.isin(own, np.asarray(prints, np.int64).view(np.uint64)))
+    edge = np.zeros(len(raw.split()) + 1, np.int64)
+    edge[start] += 1
+    edge[start + WINDOW] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -187,15 +189,14 @@ def digest_repeats(docs: DataFrame) -> DataFrame:
     found = stored(found, "suffix-found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw, (doc_id, key, runs) in _text_rows(batches):
+        for raw, (doc_id, key, prints) in _text_rows(batches):
             if row_key(words_sha(raw)) == key:
-                words = raw.split()
-                gone = covered(len(words), runs)
-                kept = hashlib.sha256(b" ".join([x for x, g in zip(words, gone) if not g])).hexdigest()
+                gone = covered(raw, prints)
+                kept = hashlib.sha256(b" ".join([x for x, g in zip(raw.split(), gone) if not g])).hexdigest()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "row_key": pa.array([key], pa.int64()),
                                                   "cut": pa.array([int(gone.sum())], pa.int64()), "cut_sha": [kept]})
     cuts = (semi_join(docs.select("doc_id", "text"), found, "doc_id").join(found, "doc_id")
-            .select("doc_id", "text", "row_key", "runs").mapInArrow(cut, "doc_id long, row_key long, cut long, cut_sha string")
+            .select("doc_id", "text", "row_key", "prints").mapInArrow(cut, "doc_id long, row_key long, cut long, cut_sha string")
             .dropDuplicates(["doc_id", "row_key"]))
     return marked.join(cuts, ["doc_id", "row_key"], "left").select(
         "doc_id", "n_words",
@@ -207,10 +208,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text``; texts without any
     keep their bytes, others keep the white space between kept words."""
     marked, found = repeats(docs)
-    none = F.expr("cast(array() as array<struct<start:int,n:int>>)")
+    none = F.expr("cast(array() as array<bigint>)")
     whole = marked.where("copy").dropDuplicates(["doc_id", "row_key"]).select(
-        "doc_id", F.struct("row_key", F.lit(True).alias("copy"), none.alias("runs")).alias("decision"))
-    decisions = found.select("doc_id", F.struct("row_key", F.lit(False).alias("copy"), "runs").alias("decision")).unionByName(whole)
+        "doc_id", F.struct("row_key", F.lit(True).alias("copy"), none.alias("prints")).alias("decision"))
+    decisions = found.select("doc_id", F.struct("row_key", F.lit(False).alias("copy"), "prints").alias("decision")).unionByName(whole)
     per_doc = decisions.groupBy("doc_id").agg(F.collect_list("decision").alias("_decisions"))
 
     def cut(text: str | None, found: list | None) -> str | None:
@@ -224,7 +225,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     return ""
                 data = np.frombuffer(raw, np.uint8)
                 w = K.Words(data, np.array([0, len(data)]))
-                gone = np.flatnonzero(covered(len(w.start), list(d["runs"])))
+                gone = np.flatnonzero(covered(raw, d["prints"]))
                 ends = np.r_[w.start[1:], len(data)]     # a word goes with the white space behind it
                 mask = np.zeros(len(data) + 1, np.int64)
                 np.add.at(mask, w.start[gone], 1)
