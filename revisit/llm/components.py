@@ -20,13 +20,12 @@ def components(edges: DataFrame) -> DataFrame | None:
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("to"))
-        hook = stored(hook, "hooks")
-        jump = hook.select(F.col("a").alias("to"), F.col("to").alias("further"))
-        hook = stored(hook.join(jump, "to", "left").select("a", F.coalesce("further", "to").alias("to")), "hooks")
+        near = stored(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("to")), "hooks")
+        further = near.select(F.col("a").alias("to"), F.col("to").alias("further"))
+        hook = near.join(further, "to").select("a", F.col("further").alias("to"))
         step = hook.select(F.col("a").alias("root"), "to")
         found = (hook.select(F.col("a").alias("node"), F.col("to").alias("root")) if found is None
-                 else stored(found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots"))
+                 else found.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         left, right = hook.select("a", F.col("to").alias("x")), hook.select(F.col("a").alias("b"), F.col("to").alias("y"))
         edges = stored(edges.join(left, "a").join(right, "b").where("x <> y")
                        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")

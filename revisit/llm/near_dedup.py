@@ -13,14 +13,15 @@ Only classes that still share a node there are looked up again with their
 full sets.  Comparing follows the components found so far:
 
 - first every class meets the smallest class of its nodes (one candidate a
-  class, the likeliest by its tokens), a star instead of all pairs;
-- nodes whose classes are all in one component are done; in the others every
-  class outside the node's largest component is compared with the classes of
-  other components when they are few, exhaustively in small nodes; large
-  mixed nodes branch on.  At ``MAX_DEPTH`` what is left is compared whole.
-
-Candidates pass a wide token estimate (five standard errors) and are then
-confirmed on their full sets; components join confirmed links only.
+  class, the likeliest by its tokens, confirmed on full sets): a star instead
+  of all pairs, which joins large groups of copies;
+- nodes whose classes are all in one component are done.  In the others, if
+  they are small (``NODE_ROWS`` classes, ``NODE_SHINGLES`` shingles), all full
+  sets are compared in one task by counting all
+  intersections, and links between components are reported, one for each pair of components joined.  One tree
+  is compared before the others, which then only see what is left;
+- larger mixed nodes branch on; at ``MAX_DEPTH`` they are cut into blocks and
+  every pair of blocks is compared.
 
 Defined cases: null or empty texts and texts without words have the empty set
 and link to nothing; rows that repeat a doc_id are one document with several
@@ -47,8 +48,10 @@ TREES = 4
 BRANCH = 2
 FIRST_DEPTH = 3
 MAX_DEPTH = 8
-SMALL = 24
-PATHS = "path long, sid binary"
+NODE_ROWS = 4096
+NODE_SHINGLES = 4_000_000
+DENSE_CELLS = 30_000_000
+PATHS = "tree byte, path long, sid binary"
 
 
 def shingle_table(docs: DataFrame, k: int) -> DataFrame:
@@ -97,23 +100,24 @@ def roots(classes: DataFrame, trees: int) -> DataFrame:
             for tree in range(trees):
                 root = np.full(len(tokens), K.mix(np.array([tree + 1], np.uint64))[0])
                 for path in children(root, tokens):
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0)], names=["path", "sid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(path), tree, np.int8)), pa.array(path.view(np.int64)), batch.column(0)],
+                                                     names=["tree", "path", "sid"])
     return classes.select("sid", "tokens").mapInArrow(run, PATHS)
 
 
 def branch(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Children of nodes: ``rows`` (path, sid) of nodes that branch on."""
+    """Children of nodes: ``rows`` (tree, path, sid) of nodes that branch on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in children(batch.column(0).to_numpy().view(np.uint64), _tokens(batch.column(2))):
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1)], names=["path", "sid"])
-    return rows.join(classes, "sid").select("path", "sid", "tokens").mapInArrow(run, PATHS)
+            for path in children(batch.column(1).to_numpy().view(np.uint64), _tokens(batch.column(3))):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(path.view(np.int64)), batch.column(2)], names=["tree", "path", "sid"])
+    return rows.join(classes, "sid").select("tree", "path", "sid", "tokens").mapInArrow(run, PATHS)
 
 
 def shared(rows: DataFrame) -> DataFrame:
     """Rows whose node holds more than one class."""
     nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("path")
-    return rows.join(nodes, "path")
+    return rows.join(nodes, "path").select("tree", "path", "sid")
 
 
 def estimate(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -149,6 +153,100 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def node_links(sets: list[np.ndarray], comp: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different components among a node's full sets.  All
+    intersections are counted, for a block of sets at a time: by a product of
+    0/1 matrices over the shingles that occur twice, or through an inverted
+    index where that touches less; a component joined to another one is not
+    reported again."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    ids: dict[bytes, int] = {}
+    label = np.array([ids.setdefault(c, len(ids)) for c in comp])
+    member = np.repeat(np.arange(n), size)
+    _, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(df > 1)
+    column = np.full(len(df), -1)
+    column[twice] = np.arange(len(twice))
+    used = column[inverse] >= 0
+    member, token, df = member[used], column[inverse[used]], df[twice]
+    dense = n * len(twice) <= DENSE_CELLS and n * n * len(twice) < 60 * float((df.astype(float) ** 2).sum())
+    if dense:
+        table = np.zeros((n, len(twice)), np.float32)
+        table[member, token] = 1
+    else:
+        by_token = np.argsort(token, kind="stable")
+        postings, start = member[by_token], np.r_[0, np.cumsum(df)]
+    first = np.searchsorted(member, np.arange(n + 1))
+    out = []
+    for lo in range(0, n, 256):
+        rows = np.arange(lo, min(lo + 256, n))
+        rows = rows[(label[rows][:, None] != label[None, :]).any(axis=1)] if (label != label[0]).any() else rows[:0]
+        block = table[rows] @ table.T if dense and len(rows) else None
+        for i, x in enumerate(rows.tolist()):
+            if dense:
+                common = block[i]
+            else:
+                words = token[first[x]:first[x + 1]]
+                m = df[words]
+                at = np.repeat(start[words] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                common = np.bincount(postings[at], minlength=n)
+            hits = np.flatnonzero((den * common >= num * (size[x] + size - common)) & (label != label[x]))
+            while len(hits):
+                y = int(hits[0])
+                out.append((x, y))
+                label[label == label[y]] = label[x]
+                hits = hits[label[hits] != label[x]]
+    return out
+
+
+def compare(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) found inside each group of ``groups`` (path, i, j, sid, comp)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        key = None
+
+        def close() -> pa.RecordBatch:
+            found = node_links([m for _, _, m in held], [c for _, c, _ in held], num, den) if len(held) > 1 else []
+            return pa.RecordBatch.from_pydict({"a": pa.array([held[x][0] for x, _ in found], pa.binary()),
+                                               "b": pa.array([held[y][0] for _, y in found], pa.binary())})
+        for batch in batches:
+            for *k, sid, comp, members in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if k != key and held:
+                    yield close()
+                    held = []
+                key = k
+                held.append((sid, comp, np.frombuffer(members, np.uint64)))
+        if held:
+            yield close()
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (groups.join(sets, "sid").select("path", "i", "j", "sid", "comp", "members")
+            .repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j", "sid")
+            .mapInArrow(run, "a binary, b binary"))
+
+
+def mixed_nodes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of nodes with several components: (tree, path, sid, comp, n, shingles)."""
+    known = rows.join(labels, "sid")
+    nodes = (known.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"),
+                                       F.min("comp").alias("low"), F.max("comp").alias("high"))
+             .where("low < high").select("path", "n", "shingles"))
+    return known.join(nodes, "path").select("tree", "path", "sid", "comp", "n", "shingles")
+
+
+def block_pairs(mixed: DataFrame, rows_in_node: int, whole: bool) -> DataFrame:
+    """Groups to compare: small nodes as they are; with ``whole`` also large
+    ones, as all pairs of blocks of their rows."""
+    small = (F.col("n") <= rows_in_node) & (F.col("shingles") <= NODE_SHINGLES)
+    if not whole:
+        return mixed.where(small).select("path", F.lit(0).alias("i"), F.lit(0).alias("j"), "sid", "comp")
+    blocks = F.ceil(F.greatest(F.when(small, F.lit(1.0)).otherwise(2 * F.col("n") / rows_in_node), 2 * F.col("shingles") / NODE_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("sid"), "blocks").cast("int")
+    return (mixed.withColumn("blocks", F.when(small, F.lit(1)).otherwise(blocks)).withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "comp"))
+
+
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components (sid, comp) after joining them along the links."""
     ends = links
@@ -158,17 +256,13 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     if found is None:
         return labels
     return stored(labels.join(found.withColumnRenamed("node", "comp"), "comp", "left")
-                  .select("sid", F.coalesce("root", "comp").alias("comp")), "labels")
-
-
-def ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+                  .select("sid", F.coalesce("root", "comp").alias("comp"), "n_shingles"), "labels")
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, trees: int = TREES,
-                    small: int = SMALL, max_depth: int = MAX_DEPTH) -> DataFrame | None:
+                    node_rows: int = NODE_ROWS, max_depth: int = MAX_DEPTH) -> DataFrame | None:
     """(sid, comp) of the classes that share a deep node; None without any.
-    ``classes``: sid, doc_id of one member, tokens."""
+    ``classes``: sid, doc_id of one member, tokens, n_shingles."""
     threshold = num / den
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / TOKENS)
     tokens = classes.select("sid", "tokens")
@@ -181,32 +275,24 @@ def similar_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den:
     tokens = involved.select("sid", "tokens")
     texts = semi_join(docs.select("doc_id", "text"), involved, "doc_id")
     sets = stored(full_sets(texts, k).join(involved.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    labels = stored(involved.select("sid", F.col("sid").alias("comp")), "labels")
+    labels = involved.select("sid", F.col("sid").alias("comp"), "n_shingles")
 
     pivots = rows.groupBy("path").agg(F.min("sid").alias("pivot"))
     stars = rows.join(pivots, "path").where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
     best = (estimate(stars, tokens, least).groupBy("b")
             .agg(F.max_by(F.struct("a"), F.struct("likeness", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
-    tested = stored(best, "pairs")
-    labels = relabel(labels, confirm(tested, sets, num, den))
+    labels = relabel(labels, confirm(stored(best, "pairs"), sets, num, den))
     for depth in range(FIRST_DEPTH, max_depth + 1):
-        known = rows.join(labels, "sid")
-        counts = known.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("low"))
-        nodes = (counts.groupBy("path").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"),
-                                            F.max("n").alias("most"), F.min("low").alias("pivot"), F.count(F.lit(1)).alias("parts"))
-                 .where("parts > 1").withColumn("compare", (F.col("n") - F.col("most") <= small) | F.lit(depth == max_depth)))
-        mixed = stored(known.join(nodes, "path").select("path", "sid", "comp", "main", "pivot", "compare"), "mixed")
-        if not mixed.limit(1).count():
+        for part in ("tree = 0", "tree > 0"):
+            groups = block_pairs(mixed_nodes(rows.where(part), labels), node_rows, depth == max_depth)
+            labels = relabel(labels, compare(groups, sets, num, den))
+        if depth == max_depth:
+            break
+        large = stored(mixed_nodes(rows, labels).where((F.col("n") > node_rows) | (F.col("shingles") > NODE_SHINGLES))
+                       .select("tree", "path", "sid"), "large")
+        if not large.limit(1).count():
             break
-        few = mixed.where("compare and comp <> main").select("path", F.col("sid").alias("other"), F.col("comp").alias("other_comp"))
-        pairs = (mixed.where("compare").join(few, "path")
-                 .where("comp <> other_comp and (comp = main or sid < other)").select(*ordered("sid", "other")))
-        stars = mixed.where("not compare and sid <> pivot").select(*ordered("sid", "pivot"))
-        fresh = pairs.union(stars).distinct().join(tested, ["a", "b"], "left_anti")
-        candidates = stored(estimate(fresh, tokens, least).select("a", "b"), "pairs")
-        labels = relabel(labels, confirm(candidates, sets, num, den))
-        tested = tested.unionByName(candidates)
-        rows = stored(shared(branch(mixed.where("not compare").select("path", "sid"), tokens)), "paths")
+        rows = stored(shared(branch(large, tokens)), "paths")
     return labels
 
 
@@ -215,7 +301,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     den * intersection >= num * union of their k-word shingle sets."""
     table = stored(shingle_table(docs, k), "shingles")
     usable = table.where("doc_id is not null and n_shingles > 0")
-    classes = stored(usable.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")), "classes")
+    classes = stored(usable.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"),
+                                                 F.first("n_shingles").alias("n_shingles")), "classes")
     labels = similar_classes(docs, classes, k, num, den)
     # Classes, and rows of one doc_id with different sets, meet in a component.
     ends = usable.select("doc_id", "sid").distinct()
