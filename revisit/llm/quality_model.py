@@ -98,7 +98,7 @@ class BoostedTrees:
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> BoostedTrees:
     share = float(y.mean()) if len(y) else 0.5
     base = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return BoostedTrees([], base)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     model = BoostedTrees(edges, base)
