@@ -1,40 +1,34 @@
 """Look-back purchase features.
 
-The reference joins every transaction to the customer's history row on
-``id`` with ``date BETWEEN offerdate - N AND offerdate`` -- once per window
-(30/60/90/180), per product field (company/category/brand) and per cohort:
-24 aggregate queries, each re-planning the same join.
-
-Here the work is one pass:
-
-1. ``purchase_facts`` scans the transactions once, tags each line with the
-   offers it matches on company / category / brand (three broadcast hash
-   joins against the bounded offer catalogue) plus one "all purchases" tag,
-   explodes to (line, offer) pairs and aggregates to one row per
-   (customer, offer, day).  The aggregate is partial/final, so lines are
-   combined map-side before the shuffle; a customer that holds a third of
-   all lines still shuffles at most (#offers + 1) x #days rows.
-2. ``lookback_features`` joins the cohort to those facts on ``id`` (range
-   as residual condition) and computes every window and field with
-   conditional sums in a single aggregate that reuses the join's ``id``
-   partitioning (no further shuffle).
-
-Equality with the literal per-window, per-field form is tested.
+Every feature of a (customer, offer) row is a sum over that customer's own
+purchase lines in the days up to the offer date, split by window and by
+whether a line shares the offer's company, category or brand.  One pass does
+all windows and fields:
+
+1. ``purchase_facts`` aggregates the lines to one row per (customer, day,
+   product).  It does not look at the offers, so its size never depends on
+   the catalogue and never exceeds the number of lines; the aggregate is
+   partial/final and hashed on all its keys, so a customer holding a third of
+   all lines is spread over the tasks.
+2. ``lookback_features`` joins the cohort to those facts on the customer
+   (hot customers split into buckets), so each fact meets only the offers its
+   own customer holds, and sums conditionally.  Sums are combined per bucket
+   before they meet.
+
+Equality with a brute-force reading of the rules is tested.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from revisit.functions.expressions import (MONEY_SCALE, count_if, days_before, in_lookback,
+from revisit.functions.expressions import (MONEY_SCALE, days_before, in_lookback,
                                           money_scale_of, money_units, money_value, sum_if)
-from revisit.operators.keys import offers_by_field
-from revisit.operators.sizing import as_bounded
 from revisit.operators.skew import hot_keys, salted_join
 from revisit.schemas import COHORT_KEYS, PRODUCT_FIELDS, USER_WINDOW, WINDOWS
 
-_FACT_MEASURES = tuple(f"{m}_{f}" for f in PRODUCT_FIELDS for m in ("n", "q", "a")) + (
-    "q_product", "a_product", "a_all")
+# What a line is matched with: the cohort key, its date and the offer's product.
+_MATCH_KEYS = (*COHORT_KEYS, "offerdate", *PRODUCT_FIELDS)
 
 
 def cohort_date_bounds(cohort: DataFrame, days: int, eager: bool = True) -> tuple[Column, Column]:
@@ -55,135 +49,126 @@ def cohort_date_bounds(cohort: DataFrame, days: int, eager: bool = True) -> tupl
     return F.lit(row["lo"]).cast("date"), F.lit(row["hi"]).cast("date")
 
 
-def purchase_facts(transactions: DataFrame, offers, with_totals: bool = True,
-                   date_bounds: tuple[Column, Column] | None = None) -> DataFrame:
-    """One row per (id, offer, date) with matched-line counts and quantity /
-    amount sums per field, exact-product sums, and (``offer`` null) the
-    customer's whole spend that day."""
-    offers = as_bounded(offers)
-    t = transactions.select("id", "date", "category", "company", "brand",
-                            "purchasequantity", "purchaseamount")
+def purchase_facts(transactions: DataFrame, date_bounds: tuple[Column, Column] | None = None) -> DataFrame:
+    """One row per (id, date, category, company, brand): number of lines and
+    sums of quantity and amount."""
+    t = transactions.select("id", "date", "category", "company", "brand", "purchasequantity", "purchaseamount")
     if date_bounds is not None:
         t = t.where(F.col("date").between(*date_bounds))
-    for field in PRODUCT_FIELDS:
-        t = t.join(offers.hint(offers_by_field(offers.df, field)), field, "left")
-    empty = F.array().cast("array<bigint>")
-    tagged = {f: F.coalesce(F.col(f"_offers_{f}"), empty) for f in PRODUCT_FIELDS}
-    matched = F.array_union(F.array_union(tagged["company"], tagged["category"]), tagged["brand"])
-    if with_totals:
-        targets = F.concat(matched, F.array(F.lit(None).cast("bigint")))
-    else:
-        t = t.where(F.size(matched) > 0)
-        targets = matched
-    x = t.select("id", "date", "purchasequantity", "purchaseamount",
-                 *[tagged[f].alias(f"_m_{f}") for f in PRODUCT_FIELDS],
-                 F.explode(targets).alias("offer"))
-    q = F.col("purchasequantity")
     a, scale = money_units("purchaseamount", transactions.schema["purchaseamount"].dataType)
-    meta = {MONEY_SCALE: scale}
-    match = {f: F.array_contains(F.col(f"_m_{f}"), F.col("offer")) for f in PRODUCT_FIELDS}
-    product = match["company"] & match["category"] & match["brand"]
+    return t.groupBy("id", "date", "category", "company", "brand").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("purchasequantity").alias("q"), F.sum(a).alias("a", metadata={MONEY_SCALE: scale}))
+
+
+VISIT_WORD = 60     # days in one word of a visit bitmap
+
+
+def _visit_words(days: int) -> int:
+    return days // VISIT_WORD + 1
+
+
+def lookback_sums(cohort: DataFrame, facts: DataFrame, windows: tuple, user_window: int | None,
+                  hot: DataFrame | None = None, rows_per_task: int | None = None) -> DataFrame:
+    """Conditional sums per distinct (cohort key, offer date, product) that has
+    any fact in its window."""
+    who = cohort.select(*_MATCH_KEYS).distinct()
+    f = facts.select(F.col("id").alias("_f_id"), F.col("date").alias("_f_date"),
+                     *[F.col(x).alias(f"_f_{x}") for x in PRODUCT_FIELDS], "n", "q", "a")
+    if hot is None:
+        hot = hot_keys(facts, "id", rows_per_task)
+    span = max(tuple(windows) + ((user_window,) if user_window else ()))
+    j = salted_join(f, who, "_f_id", "id", extra=in_lookback("_f_date", "offerdate", span), hot=hot.withColumnRenamed("id", "_f_id"))
+    dd = days_before("offerdate", "_f_date")
+    match = {x: F.col(f"_f_{x}") == F.col(x) for x in PRODUCT_FIELDS}
     aggs = []
-    for f in PRODUCT_FIELDS:
-        aggs += [count_if(match[f]).alias(f"n_{f}"),
-                 sum_if(match[f], q).alias(f"q_{f}"),
-                 sum_if(match[f], a).alias(f"a_{f}", metadata=meta)]
-    aggs += [sum_if(product, q).alias("q_product"),
-             sum_if(product, a).alias("a_product", metadata=meta)]
-    if with_totals:
-        aggs.append(sum_if(F.col("offer").isNull(), a).alias("a_all", metadata=meta))
-    else:
-        aggs.append(F.sum(F.when(F.lit(False), a)).alias("a_all", metadata=meta))
-    return x.groupBy("id", "offer", "date").agg(*aggs)
+    for w in windows:
+        for x in PRODUCT_FIELDS:
+            here = (dd <= w) & match[x]
+            aggs += [sum_if(here, "n").alias(f"n_{x}_{w}"), sum_if(here, "q").alias(f"q_{x}_{w}"), sum_if(here, "a").alias(f"a_{x}_{w}")]
+    if user_window:
+        within = dd <= user_window
+        product = within & match["company"] & match["category"] & match["brand"]
+        aggs += [sum_if(product, "a").alias("a_product"), sum_if(product, "q").alias("q_product"), sum_if(within, "a").alias("a_all")]
+        for i in range(_visit_words(user_window)):
+            bit = F.expr(f"shiftleft(1L, datediff(offerdate, _f_date) - {i * VISIT_WORD})")
+            inside = within & (dd >= i * VISIT_WORD) & (dd < (i + 1) * VISIT_WORD)
+            aggs.append(F.bit_or(F.when(inside, bit)).alias(f"days_{i}"))
+    return j.groupBy(*_MATCH_KEYS).agg(*aggs)
 
 
-def _window_columns(dd: Column, n: int, never: bool, scale: int) -> list[Column]:
+def _window_columns(n: int, never: bool, scale: int) -> list[Column]:
     out = []
     for f in PRODUCT_FIELDS:
-        within = dd <= n
-        matched = F.coalesce(F.sum(F.when(within, F.col(f"n_{f}"))), F.lit(0))
-        qty = F.sum(F.when(within, F.col(f"q_{f}")))
-        amt = money_value(F.sum(F.when(within, F.col(f"a_{f}"))), scale)
-        none = matched == 0
-        out.append(F.when(none, F.lit(0).cast("long")).otherwise(qty).alias(f"has_bought_{f}_q_{n}"))
+        none = F.coalesce(F.col(f"n_{f}_{n}"), F.lit(0)) == 0
+        out.append(F.when(none, F.lit(0).cast("long")).otherwise(F.col(f"q_{f}_{n}")).alias(f"has_bought_{f}_q_{n}"))
         if never:
             out.append(F.when(none, F.lit(1)).otherwise(F.lit(0)).alias(f"never_bought_{f}"))
-        out.append(F.when(none, F.lit(0.0)).otherwise(amt).alias(f"has_bought_{f}_a_{n}"))
+        out.append(F.when(none, F.lit(0.0)).otherwise(money_value(f"a_{f}_{n}", scale)).alias(f"has_bought_{f}_a_{n}"))
     return out
 
 
 def lookback_features(cohort: DataFrame, facts: DataFrame, windows=WINDOWS,
                       never_window: int | None = None, user_window: int | None = USER_WINDOW,
-                      carry: list[str] | None = None) -> DataFrame:
-    """Per cohort row (split, id, offer): has_bought_{field}_{q,a}_{N} for
-    every window N, never_bought_{field} for ``never_window`` (default: the
+                      carry: list[str] | None = None, hot: DataFrame | None = None,
+                      rows_per_task: int | None = None) -> DataFrame:
+    """Per cohort row (repeated rows stay repeated): has_bought_{field}_{q,a}_{N}
+    for every window N, never_bought_{field} for ``never_window`` (default: the
     shortest window) and, unless ``user_window`` is None, the user spend
-    features over ``user_window`` days.
+    features over ``user_window`` days.  ``cohort`` carries the offer's
+    category, company and brand.
 
-    Defaults follow the reference: 0 / 0.0 / never_bought=1 only when no
-    line matched; a match whose values are all null keeps a null sum.
+    0 / 0.0 / never_bought=1 hold only when no line matched; a match whose
+    values are all null keeps a null sum.
     """
     windows = tuple(windows)
-    never_window = min(windows) if never_window is None else never_window
-    carry = [c for c in (carry if carry is not None else cohort.columns) if c not in COHORT_KEYS]
-    span = max(windows + ((user_window,) if user_window else ()))
-    f = facts.select(F.col("id").alias("_f_id"), F.col("offer").alias("_f_offer"),
-                     F.col("date").alias("_f_date"), *_FACT_MEASURES)
-    on = ((F.col("_f_id") == F.col("id"))
-          & (F.col("_f_offer").isNull() | (F.col("_f_offer") == F.col("offer")))
-          & in_lookback("_f_date", "offerdate", span))
-    # Both sides grow with the data: never let a size estimate broadcast
-    # the facts (the explode is invisible to Catalyst's estimate).
-    j = cohort.join(f.hint("merge"), on, "left")
-    dd = days_before("offerdate", "_f_date")
-    scale = money_scale_of(facts, "a_all")
-    aggs = []
+    never_window = min(windows) if never_window is None and windows else never_window
+    front = [c for c in cohort.columns if carry is None or c in carry or c in COHORT_KEYS]
+    sums = lookback_sums(cohort, facts, windows, user_window, hot, rows_per_task)
+    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in _MATCH_KEYS], *[c for c in sums.columns if c not in _MATCH_KEYS])
+    on = F.col("id") == F.col("_k_id")
+    for k in _MATCH_KEYS:
+        if k != "id":
+            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    scale = money_scale_of(facts, "a")
+    out = [F.col(c) for c in front]
     for n in windows:
-        aggs += _window_columns(dd, n, never=(n == never_window), scale=scale)
+        out += _window_columns(n, n == never_window, scale)
     if user_window:
-        within = dd <= user_window
-        total_row = F.col("_f_id").isNotNull() & F.col("_f_offer").isNull()
-        aggs += [
-            F.coalesce(money_value(F.sum(F.when(within, F.col("a_product"))), scale), F.lit(0.0)).alias(f"prodid_spend_{user_window}"),
-            F.coalesce(F.sum(F.when(within, F.col("q_product"))), F.lit(0).cast("long")).alias(f"prodid_count_{user_window}"),
-            F.coalesce(money_value(F.sum(F.when(total_row & within, F.col("a_all"))), scale), F.lit(0.0)).alias(f"total_spend_{user_window}"),
-            count_if(total_row & within).alias(f"visits_{user_window}"),
+        visits = sum((F.coalesce(F.bit_count(f"days_{i}"), F.lit(0)) for i in range(_visit_words(user_window))), F.lit(0))
+        out += [
+            F.coalesce(money_value("a_product", scale), F.lit(0.0)).alias(f"prodid_spend_{user_window}"),
+            F.coalesce("q_product", F.lit(0).cast("long")).alias(f"prodid_count_{user_window}"),
+            F.coalesce(money_value("a_all", scale), F.lit(0.0)).alias(f"total_spend_{user_window}"),
+            visits.cast("long").alias(f"visits_{user_window}"),
         ]
-    # Carried cohort columns are functionally dependent on the keys; as
-    # grouping keys they keep a hash aggregate (any_value on strings would
-    # force a sort aggregate), and the join's ``id`` partitioning already
-    # satisfies the grouping, so no shuffle is added.
-    out = j.groupBy(*COHORT_KEYS, *carry).agg(*aggs)
-    front = [c for c in cohort.columns if c in COHORT_KEYS or c in carry]
-    return out.select(*front, *[c for c in out.columns if c not in front])
+    return cohort.join(sums.hint("merge"), on, "left").select(*out)
 
 
-def has_bought(cohort_offers: DataFrame, facts: DataFrame, days: int) -> DataFrame:
-    """The reference's has_bought_{N} table: history columns, offer
-    details, then per field q / never_bought / a for one window."""
-    return lookback_features(cohort_offers, facts, windows=(days,), never_window=days, user_window=None)
+def has_bought(cohort_offers: DataFrame, facts: DataFrame, days: int, hot: DataFrame | None = None) -> DataFrame:
+    """The has_bought_{N} table: history columns, offer details, then per
+    field q / never_bought / a for one window."""
+    return lookback_features(cohort_offers, facts, windows=(days,), user_window=None, hot=hot)
 
 
-def user_spend(cohort_offers: DataFrame, facts: DataFrame, days: int = USER_WINDOW) -> DataFrame:
+def user_spend(cohort_offers: DataFrame, facts: DataFrame, days: int = USER_WINDOW, hot: DataFrame | None = None) -> DataFrame:
     """30-day spend on the offered product, total spend and visit days."""
     keep = [c for c in ("category", "company", "brand") if c in cohort_offers.columns]
-    out = lookback_features(cohort_offers.select(*COHORT_KEYS, "offerdate", *keep), facts,
-                            windows=(), never_window=0, user_window=days, carry=keep)
-    return out.drop("offerdate") if "offerdate" in out.columns else out
+    return lookback_features(cohort_offers.select(*COHORT_KEYS, "offerdate", *keep), facts,
+                             windows=(), user_window=days, carry=keep, hot=hot)
 
 
 def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int,
                   split_hot_keys: bool = True, hot_from: DataFrame | None = None,
-                  **hot_args) -> DataFrame:
+                  rows_per_task: int | None = None) -> DataFrame:
     """Row-level look-back join: every purchase line of a cohort customer in
     the ``days`` up to and including the offer date.
 
     Plans as a sort-merge join on ``id`` with the date range as residual.
     The output is row level, so it cannot be pre-aggregated; customers that
     hold a large share of the lines are split across tasks by
-    ``salted_join`` (sampled, bounded hot-key list).  ``hot_from``: a
-    table with an ``id`` column to sample instead of ``transactions`` (e.g.
-    the unreduced lines: one column to read, counts can only be higher).
+    ``salted_join``.  ``hot_from``: a table with an ``id`` column to count
+    instead of ``transactions`` (e.g. the unreduced lines: one column to
+    read, counts can only be higher).
     """
     t = transactions.select(F.col("id").alias("_t_id"), "category", "company", "brand",
                             "purchasequantity", "purchaseamount", "date")
@@ -193,10 +178,8 @@ def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int,
                              F.col("brand").alias("offer_brand"), "offerdate")
     window = in_lookback("date", "offerdate", days)
     if split_hot_keys:
-        hot = None
-        if hot_from is not None:
-            hot = hot_keys(hot_from, "id", **hot_args).withColumnRenamed("id", "_t_id")
-        j = salted_join(t, c, "_t_id", "id", extra=window, hot=hot, **({} if hot is not None else hot_args))
+        hot = hot_keys(transactions if hot_from is None else hot_from, "id", rows_per_task).withColumnRenamed("id", "_t_id")
+        j = salted_join(t, c, "_t_id", "id", extra=window, hot=hot)
     else:
         j = c.join(t.hint("merge"), (F.col("_t_id") == F.col("id")) & window)
     return j.select(*COHORT_KEYS, "category", "company", "brand",

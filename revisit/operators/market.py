@@ -15,30 +15,33 @@ combined map-side before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from revisit.functions.expressions import count_if, product_id, safe_ratio
+from revisit.functions.expressions import MONEY_SCALE, count_if, money_scale_of, money_units, money_value, product_id, safe_ratio
 from revisit.operators.keys import offer_key_values, offer_products
 from revisit.operators.sizing import as_bounded
 
 
 def category_products(transactions: DataFrame, offers) -> DataFrame:
+    """Lines and spend (in money units) per product of an offered category."""
     offers = as_bounded(offers)
-    cats = offers.hint(offer_key_values(offers.df, "category"))
-    return (transactions.select("category", "company", "brand", "purchaseamount")
-            .join(cats, "category", "left_semi")
-            .groupBy("category", "company", "brand")
-            .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("purchaseamount").alias("spend")))
+    cats = offer_key_values(offers.df, "category")
+    lines = transactions.select("category", "company", "brand", "purchaseamount")
+    if offers.small:
+        lines = lines.join(F.broadcast(cats), "category", "left_semi")
+    units, scale = money_units("purchaseamount", transactions.schema["purchaseamount"].dataType)
+    products = lines.groupBy("category", "company", "brand").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(units).alias("spend", metadata={MONEY_SCALE: scale}))
+    # Past the broadcast bound products, not lines, meet the key list: a hot category is combined first.
+    return products if offers.small else products.join(cats, "category", "left_semi")
 
 
 def product_share(transactions: DataFrame, offers, products: DataFrame | None = None) -> DataFrame:
     offers = as_bounded(offers)
     cp = products if products is not None else category_products(transactions, offers)
-    # One row per offered category: bounded by the catalogue.
-    per_category = offers.hint(cp.groupBy("category").agg(F.sum("n_lines").alias("category_lines")))
+    in_category = cp.withColumn("category_lines", F.sum("n_lines").over(Window.partitionBy("category")))
     wanted = offers.hint(offer_products(offers.df))
-    return (cp.join(wanted, ["category", "company", "brand"], "left_semi")
-            .join(per_category, "category", "left")
+    return (in_category.join(wanted, ["category", "company", "brand"], "left_semi")
             .select(product_id("category", "company", "brand").alias("productid"),
                     "category", "company", "brand",
                     safe_ratio("n_lines", "category_lines").alias("marketshare_in_cat")))
@@ -46,8 +49,9 @@ def product_share(transactions: DataFrame, offers, products: DataFrame | None =
 
 def competition(transactions: DataFrame, offers, products: DataFrame | None = None) -> DataFrame:
     cp = products if products is not None else category_products(transactions, offers)
+    scale = money_scale_of(cp, "spend")
     # cp has one row per (category, company, brand), so counting rows with
     # both parts known equals COUNT(DISTINCT company, brand).
     return cp.groupBy("category").agg(
         count_if(F.col("company").isNotNull() & F.col("brand").isNotNull()).alias("competing_products_in_cat"),
-        safe_ratio(F.max("spend"), F.sum("spend")).alias("marketshare_dominant_prod_in_cat"))
+        safe_ratio(money_value(F.max("spend"), scale), money_value(F.sum("spend"), scale)).alias("marketshare_dominant_prod_in_cat"))

@@ -23,13 +23,21 @@ GRID = {"maxDepth": [2, 4, 6], "maxBins": [20, 60], "maxIter": [10, 20]}
 FINAL_PARAMS = {"maxDepth": 6, "maxBins": 20, "maxIter": 20}
 NUM_FOLDS = 6
 SEED = 0
-POSITIVE = "t"
+POSITIVE, NEGATIVE = "t", "f"
 
 
 def with_label(df: DataFrame) -> DataFrame:
-    """``repeater`` 't' -> 1.0, anything else -> 0.0 (fixed mapping, not
-    frequency order)."""
-    return df.withColumn("label", F.when(F.col("repeater") == POSITIVE, 1.0).otherwise(0.0))
+    """``repeater`` 't' -> 1.0, 'f' -> 0.0 (fixed mapping, not frequency
+    order); null or any other value keeps a null label."""
+    return df.withColumn("label", F.when(F.col("repeater") == POSITIVE, 1.0).when(F.col("repeater") == NEGATIVE, 0.0))
+
+
+def labelled(train: DataFrame) -> DataFrame:
+    """Rows to train on; raises if any has no usable label."""
+    unknown = train.where(F.col("label").isNull()).count()
+    if unknown:
+        raise ValueError(f"{unknown} training rows have neither 't' nor 'f' as repeater")
+    return train
 
 
 def model_input(df: DataFrame, features: list[str]) -> DataFrame:
@@ -73,13 +81,14 @@ def cross_validate(train: DataFrame, features: list[str], grid: dict | None = No
         builder = builder.addGrid(clf.getParam(name), values)
     maps = builder.build()
     from revisit.session import default_parallelism
-    cores = default_parallelism(train.sparkSession)
     if parallelism is None:
-        parallelism = max(1, min(len(maps), cores))
-    train = size_for_search(train, cores, parallelism)
+        parallelism = max(1, min(len(maps), default_parallelism(train.sparkSession)))
+    # The fold is a function of the row's key, so neither partition layout nor row order changes a metric.
+    keys = [c for c in ("split", "id", "offer") if c in train.columns] or train.columns
+    train = train.withColumn("fold", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(folds)).cast("int"))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-                        numFolds=folds, parallelism=parallelism, seed=seed)
+                        numFolds=folds, parallelism=parallelism, seed=seed, foldCol="fold")
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = cv.fit(train)
@@ -93,25 +102,6 @@ def cross_validate(train: DataFrame, features: list[str], grid: dict | None = No
     return model, train.sparkSession.createDataFrame(rows, schema)
 
 
-ROWS_PER_MODEL_PARTITION = 500_000
-
-
-def size_for_search(train: DataFrame, cores: int, parallelism: int) -> DataFrame:
-    """Partition count for a model search: enough partitions that the
-    concurrent fits together keep every core busy, and none larger than
-    ``ROWS_PER_MODEL_PARTITION`` rows; never more than the input has (no
-    shuffle, only ``coalesce``).  Small training sets otherwise pay per-task
-    overhead on every tree level of every fit."""
-    import math
-    n = train.count()
-    target = max(math.ceil(cores / max(1, parallelism)), math.ceil(n / ROWS_PER_MODEL_PARTITION), 1)
-    try:
-        current = train.rdd.getNumPartitions()
-    except Exception:
-        return train
-    return train.coalesce(target) if target < current else train
-
-
 def best_params(cv_model, grid: dict | None = None) -> dict:
     grid = GRID if grid is None else grid
     best = cv_model.bestModel.stages[-1]
@@ -183,16 +173,28 @@ def auc_rank_sum(df: DataFrame, score_col: str, label_col: str = "label",
     inside = Window.partitionBy("_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (g.join(F.broadcast(offsets), "_range")
               .withColumn("_below", F.col("_offset") + F.coalesce(F.sum("_neg").over(inside), F.lit(0))))
-    num = F.sum(F.col("_pos") * (2 * F.col("_below") + F.col("_neg")))
+    num = F.sum(F.col("_pos").cast("decimal(19,0)") * (2 * F.col("_below") + F.col("_neg")).cast("decimal(19,0)"))
     p, n = F.sum("_pos"), F.sum("_neg")
     return ranked.agg(
         (num.cast("double") / (F.lit(2.0) * p.cast("double") * n.cast("double"))).alias("auc_roc"),
         p.cast("long").alias("n_pos"), n.cast("long").alias("n_neg"))
 
 
-def submission(ids: DataFrame, scored: DataFrame) -> DataFrame:
-    """Pair requested ids with scores by key (not by row position)."""
-    return ids.select("id").join(scored.select("id", "repeatProbability").hint("merge"), "id", "left")
+def submission(requested: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row per requested row with its score, paired by key.  The key is
+    (id, offer) where the request names offers.  A request by id alone takes
+    the customer's highest score, since one id may hold several offers."""
+    if "offer" in requested.columns:
+        scores = scored.groupBy("id", "offer").agg(F.max("repeatProbability").alias("repeatProbability"))
+        return requested.select("id", "offer").join(scores.hint("merge"), ["id", "offer"], "left")
+    scores = scored.groupBy("id").agg(F.max("repeatProbability").alias("repeatProbability"))
+    return requested.select("id").join(scores.hint("merge"), "id", "left")
+
+
+def submission_checks(requested: DataFrame, result: DataFrame) -> DataFrame:
+    """One row: rows asked for and returned, and rows without a score."""
+    return result.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("repeatProbability").isNull()).alias("n_unscored")).withColumn(
+        "n_requested", requested.select(F.count(F.lit(1))).scalar()).withColumn("ok", F.col("n_rows") == F.col("n_requested"))
 
 
 __all__ = ["GRID", "FINAL_PARAMS", "with_label", "model_input", "build_pipeline", "cross_validate",

@@ -4,68 +4,63 @@ A join whose output is row level cannot be pre-aggregated, so a key that
 holds a large share of one side (one customer with a third of all purchase
 lines) would land in one task.  ``salted_join`` splits such keys:
 
-1. ``hot_keys`` samples the big side's key column, estimates each sampled
-   key's row count and keeps the keys above ``rows_per_task`` -- at most
-   ``max_keys`` of them (top by count), so the table broadcast in step 2
-   has a proven size bound.  Each hot key gets ``ceil(estimate /
-   rows_per_task)`` buckets.  Sampling only decides *which* keys are split;
-   every row of both sides still takes part in the join.
+1. ``hot_keys`` counts the big side's keys (pre-aggregated in each task) and
+   keeps those above an equal share of the rows, total / shuffle partitions.
+   Fewer keys than partitions can exceed that share and none needs more
+   buckets than there are partitions, so the list is bounded by
+   construction, with no cut.  It is written once: both sides of a join see
+   the same list.
 2. Big-side rows of a hot key are spread over its buckets by a hash of the
-   row's own columns -- a pure function of the row, so a retried task after
-   an executor loss puts every row in the same bucket again; small-side rows
-   of a hot key are replicated once per bucket; every other key uses bucket
-   0.  The join runs on (key, bucket): the hot key's rows are shared by
-   several tasks and each output pair appears exactly once.
+   row's columns and its position, so equal rows do not share a bucket;
+   small-side rows of a hot key are replicated once per bucket; every other
+   key uses bucket 0.  The join runs on (key, bucket): the hot key's rows are
+   shared by several tasks and each output pair appears exactly once,
+   whichever bucket a row is in.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-ROWS_PER_TASK = 2_000_000
-MIN_HITS = 20
-MAX_HOT_KEYS = 10_000
-MAX_BUCKETS = 4096
+from revisit.session import scratch_path
+from revisit.sources.io import materialize
 
 
-def hot_keys(df: DataFrame, key: str, fraction: float | None = None,
-             rows_per_task: int = ROWS_PER_TASK, max_keys: int = MAX_HOT_KEYS,
-             max_buckets: int = MAX_BUCKETS, min_hits: int = MIN_HITS, seed: int = 17) -> DataFrame:
-    """(key, _buckets) for keys estimated to exceed ``rows_per_task`` rows.
+def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
+    """(key, _buckets) of the keys with more rows than one task's share;
+    ``rows_per_task`` overrides the share."""
+    spark = df.sparkSession
+    counts = materialize(df.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")),
+                         scratch_path(spark, "hot_keys", uuid.uuid4().hex))
+    if rows_per_task is None:
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        rows_per_task = max(1, -(-total // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return counts.where(F.col("_n") > rows_per_task).select(
+        F.col("_key").alias(key), F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_buckets"))
 
-    The sample fraction defaults to ``min_hits / rows_per_task``: a key at
-    the threshold is expected ``min_hits`` times in the sample, whatever the
-    table size, so the sampled set stays small at any scale."""
-    fraction = min(1.0, min_hits / rows_per_task) if fraction is None else fraction
-    threshold = max(1, math.floor(rows_per_task * fraction))
-    sampled = (df.select(F.col(key).alias("_hot_key")).sample(fraction=fraction, seed=seed)
-               .groupBy("_hot_key").agg(F.count(F.lit(1)).alias("_n"))
-               .where(F.col("_n") >= threshold))
-    buckets = F.least(F.lit(max_buckets),
-                      F.ceil(F.col("_n") / F.lit(fraction) / F.lit(rows_per_task)).cast("int"))
-    # Top-k by count: a distributed top-k, and the broadcast bound.
-    return (sampled.orderBy(F.desc("_n")).limit(max_keys)
-            .select(F.col("_hot_key").alias(key), F.greatest(buckets, F.lit(2)).alias("_buckets")))
+
+def bucket_of(columns: list[str], buckets) -> Column:
+    """Bucket of a row: its columns and its position, so copies spread."""
+    return F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), buckets).cast("int")
 
 
 def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
                 extra: Column | None = None, how: str = "inner",
-                hot: DataFrame | None = None, **hot_args) -> DataFrame:
+                hot: DataFrame | None = None, rows_per_task: int | None = None) -> DataFrame:
     """``big JOIN small ON big_key = small_key [AND extra]`` with hot keys
     split across tasks.  ``how`` is ``inner`` or ``left`` (big side
     preserved).  Helper columns are dropped from the result."""
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left (big side preserved)")
-    hot = hot if hot is not None else hot_keys(big, big_key, **hot_args)
+    hot = hot if hot is not None else hot_keys(big, big_key, rows_per_task)
     hb = F.broadcast(hot.withColumnRenamed(big_key, "_hk_big").withColumnRenamed("_buckets", "_b_big"))
     hs = F.broadcast(hot.withColumnRenamed(big_key, "_hk_small").withColumnRenamed("_buckets", "_b_small"))
-    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
-    b = (big.join(hb, F.col(big_key) == F.col("_hk_big"), "left")
-         .withColumn("_salt", F.when(F.col("_b_big").isNull(), F.lit(0))
-                     .otherwise(F.pmod(row_hash, F.col("_b_big")).cast("int")))
-         .drop("_hk_big", "_b_big"))
+    spread = bucket_of([c for c in big.columns if c != big_key] or [big_key], F.lit(1 << 30))
+    b = (big.withColumn("_spread", spread).join(hb, F.col(big_key) == F.col("_hk_big"), "left")
+         .withColumn("_salt", F.when(F.col("_b_big").isNull(), F.lit(0)).otherwise(F.pmod("_spread", "_b_big")).cast("int"))
+         .drop("_hk_big", "_b_big", "_spread"))
     s = (small.join(hs, F.col(small_key) == F.col("_hk_small"), "left")
          .withColumn("_salt_s", F.explode(
              F.when(F.col("_b_small").isNull(), F.array(F.lit(0)))

@@ -1,14 +1,16 @@
-"""Oracle SQL (DuckDB dialect) for every query with a SQL equivalent.
-
-The fixture derivation and each operator are spelled out the way the
-reference writes them -- one aggregate per field and window, joined
-back -- so the oracle also checks the one-pass Spark plan against the
-literal form.  Money is summed as DECIMAL(18,2) and returned as DOUBLE;
-``||`` is used instead of DuckDB's null-skipping ``concat``.
+"""Oracle SQL (DuckDB dialect) for every registered query of the retail operators.
+
+Written from the rules, in one shape: the cohort meets its customers' lines
+once, and every window, field and user feature is a filtered aggregate of
+that join; shares of a category come from window sums over one product table.
+Money is summed as DECIMAL(18,2) and returned as DOUBLE; ``||`` is used
+instead of DuckDB's null-skipping ``concat``.  Model queries state what must
+hold of them (keys, ranges, counts); their raw values are tested in Python.
 """
 
 from __future__ import annotations
 
+from revisit.operators.model import GRID
 from revisit.schemas import NON_FEATURE_COLUMNS, PRODUCT_FIELDS, USER_WINDOW, WINDOWS
 from revisit.sources.fixtures import (FIXTURE_COLUMNS, OFFER_COUNT, OFFER_CUTOFF,
                                       OFFER_MODULUS, TEST_MODULUS)
@@ -82,115 +84,79 @@ _TX_COLS = ("id, dept, category, company, brand, date, purchasequantity, "
             "CAST(purchaseamount AS DOUBLE) AS purchaseamount")
 
 
-def has_bought_ctes(n: int, source: str = "reduced") -> list[str]:
-    """The reference's literal form for one window: the look-back join,
-    then one aggregate per field, each left-joined to the cohort."""
-    ctes = [f"""window_lines_{n} AS (
-  SELECT o.split, o.id, o.offer, t.category, t.company, t.brand,
-         o.category AS offer_category, o.company AS offer_company, o.brand AS offer_brand,
-         t.purchasequantity, t.purchaseamount, t.date, o.offerdate
-  FROM {source} t JOIN history_offers o
-    ON t.id = o.id AND t.date BETWEEN o.offerdate - {n} AND o.offerdate)"""]
-    for f in PRODUCT_FIELDS:
-        ctes.append(f"""field_sum_{f}_{n} AS (
-  SELECT split, id, offer, CAST(SUM(purchasequantity) AS BIGINT) AS q, SUM(purchaseamount) AS a
-  FROM window_lines_{n} WHERE {f} = offer_{f} GROUP BY split, id, offer)""")
-    cols = []
-    joins = []
+# Aggregate and type of a measure of the lines t.
+_MEASURES = {"n": ("COUNT(*)", "BIGINT"), "q": ("SUM(t.purchasequantity)", "BIGINT"), "a": ("SUM(t.purchaseamount)", "DOUBLE"),
+             "days": ("COUNT(DISTINCT t.date)", "BIGINT")}
+
+
+def _filtered(measure: str, condition: str, name: str) -> str:
+    aggregate, kind = _MEASURES[measure]
+    return f"CAST({aggregate} FILTER (WHERE {condition}) AS {kind}) AS {name}"
+
+
+def cohort_sums(windows=(), user: int | None = None, cohort: str = "history_offers") -> str:
+    """One filtered aggregate per feature over cohort x own lines."""
+    age = "date_diff('day', t.date, h.offerdate)"
+    parts = [_filtered(m, f"{age} <= {w} AND t.{f} = h.{f}", f"{m}_{f}_{w}") for w in windows for f in PRODUCT_FIELDS for m in ("n", "q", "a")]
+    if user:
+        same = " AND ".join(f"t.{f} = h.{f}" for f in PRODUCT_FIELDS)
+        parts += [_filtered("a", f"{age} <= {user}", "a_all"), _filtered("days", f"{age} <= {user}", "n_days"),
+                  _filtered("a", f"{age} <= {user} AND {same}", "a_product"), _filtered("q", f"{age} <= {user} AND {same}", "q_product")]
+    return (f"SELECT h.split, h.id, h.offer, {', '.join(parts)} FROM {cohort} h JOIN transactions t "
+            "ON t.id = h.id AND t.date <= h.offerdate GROUP BY h.split, h.id, h.offer")
+
+
+def window_features(w: int, never: bool = True) -> list[str]:
+    out = []
     for f in PRODUCT_FIELDS:
-        a = f"{f[:2]}{n}"
-        cols += [f"CASE WHEN {a}.id IS NULL THEN 0 ELSE {a}.q END AS has_bought_{f}_q_{n}",
-                 f"CASE WHEN {a}.id IS NULL THEN 1 ELSE 0 END AS never_bought_{f}",
-                 f"CASE WHEN {a}.id IS NULL THEN 0.0 ELSE CAST({a}.a AS DOUBLE) END AS has_bought_{f}_a_{n}"]
-        joins.append(f"LEFT JOIN field_sum_{f}_{n} {a} ON {a}.split = h.split AND {a}.id = h.id AND {a}.offer = h.offer")
-    ctes.append(f"""has_bought_{n} AS (
-  SELECT h.*, {', '.join(cols)}
-  FROM history_offers h {' '.join(joins)})""")
-    return ctes
-
-
-def user_spend_ctes(days: int = USER_WINDOW) -> list[str]:
-    return [
-        f"""cohort_product AS (
-  SELECT h.split, h.id, h.offer, h.offerdate, o.category, o.company, o.brand, {_pid('o')} AS productid
-  FROM history h LEFT JOIN offers o ON h.offer = o.offer)""",
-        f"""recent_lines AS (
-  SELECT t.*, h.split AS c_split, h.offer AS c_offer, h.offerdate, h.productid
-  FROM transactions t JOIN cohort_product h
-    ON t.id = h.id AND t.date BETWEEN h.offerdate - {days} AND h.offerdate)""",
-        f"""customer_totals AS (
-  SELECT c_split, id, c_offer, SUM(purchaseamount) AS total, COUNT(DISTINCT date) AS visits
-  FROM recent_lines GROUP BY c_split, id, c_offer)""",
-        f"""product_totals AS (
-  SELECT c_split, id, c_offer, SUM(purchaseamount) AS spend, SUM(purchasequantity) AS cnt
-  FROM recent_lines WHERE {_pid()} = productid GROUP BY c_split, id, c_offer)""",
-        f"""spend_features AS (
-  SELECT h.split, h.id, h.offer, h.category, h.company, h.brand,
-         COALESCE(CAST(p.spend AS DOUBLE), 0) AS prodid_spend_{days},
-         COALESCE(CAST(p.cnt AS BIGINT), 0) AS prodid_count_{days},
-         COALESCE(CAST(t.total AS DOUBLE), 0) AS total_spend_{days},
-         COALESCE(t.visits, 0) AS visits_{days}
-  FROM cohort_product h
-  LEFT JOIN customer_totals t ON t.c_split = h.split AND t.id = h.id AND t.c_offer = h.offer
-  LEFT JOIN product_totals p ON p.c_split = h.split AND p.id = h.id AND p.c_offer = h.offer)""",
-    ]
+        out += [f"IF(COALESCE(s.n_{f}_{w}, 0) = 0, {zero}, s.{m}_{f}_{w}) AS has_bought_{f}_{m}_{w}" for m, zero in (("q", "0"), ("a", "0.0"))]
+        if never:
+            out.append(f"CAST(COALESCE(s.n_{f}_{w}, 0) = 0 AS INTEGER) AS never_bought_{f}")
+    return out
 
 
-def market_ctes() -> list[str]:
-    return [
-        f"""product_lines AS (
-  SELECT {_pid()} AS productid, category, company, brand, COUNT(*) AS n_lines
-  FROM reduced GROUP BY category, company, brand)""",
-        """category_lines AS (
-  SELECT category, COUNT(*) AS n_category_lines FROM reduced
-  WHERE category IN (SELECT category FROM offers) GROUP BY category)""",
-        f"""share_table AS (
-  SELECT p.productid, p.category, p.company, p.brand,
-         CAST(p.n_lines AS DOUBLE) / CAST(c.n_category_lines AS DOUBLE) AS marketshare_in_cat
-  FROM product_lines p LEFT JOIN category_lines c ON p.category = c.category
-  WHERE p.productid IN (SELECT {_pid()} FROM offers))""",
-        """product_spend AS (
-  SELECT category, company, brand, SUM(purchaseamount) AS spend
-  FROM reduced WHERE category IN (SELECT category FROM offers)
-  GROUP BY category, company, brand)""",
-        """competition_table AS (
-  SELECT category,
-         COUNT(DISTINCT (company, brand)) FILTER (WHERE company IS NOT NULL AND brand IS NOT NULL)
-           AS competing_products_in_cat,
-         CAST(MAX(spend) AS DOUBLE) / NULLIF(CAST(SUM(spend) AS DOUBLE), 0)
-           AS marketshare_dominant_prod_in_cat
-  FROM product_spend GROUP BY category)""",
-    ]
+def user_features(u: int = USER_WINDOW) -> list[str]:
+    names = {f"prodid_spend_{u}": ("a_product", "0.0"), f"prodid_count_{u}": ("q_product", "0"),
+             f"total_spend_{u}": ("a_all", "0.0"), f"visits_{u}": ("n_days", "0")}
+    return [f"COALESCE(s.{c}, {zero}) AS {name}" for name, (c, zero) in names.items()]
 
 
-def assemble_ctes() -> list[str]:
-    ctes = []
-    for n in WINDOWS:
-        ctes += has_bought_ctes(n)
-    ctes += user_spend_ctes() + market_ctes()
-    cols = []
-    joins = []
-    for n in WINDOWS:
-        b = f"b{n}"
-        for f in PRODUCT_FIELDS:
-            cols.append(f"{b}.has_bought_{f}_q_{n}")
-            if n == min(WINDOWS):
-                cols.append(f"{b}.never_bought_{f}")
-            cols.append(f"{b}.has_bought_{f}_a_{n}")
-        joins.append(f"LEFT JOIN has_bought_{n} {b} ON {b}.split = h.split AND {b}.id = h.id AND {b}.offer = h.offer")
-    u = USER_WINDOW
-    ctes.append(f"""feature_table AS (
-  SELECT h.*, o.category, o.company, o.brand, {_pid('o')} AS productid,
-         u.prodid_spend_{u}, u.prodid_count_{u}, u.total_spend_{u}, u.visits_{u},
-         p.marketshare_in_cat, {', '.join(cols)},
-         c.competing_products_in_cat, c.marketshare_dominant_prod_in_cat
-  FROM history h
-  LEFT JOIN offers o ON h.offer = o.offer
-  LEFT JOIN spend_features u ON u.split = h.split AND u.id = h.id AND u.offer = h.offer
-  LEFT JOIN share_table p ON p.productid = {_pid('o')}
-  {' '.join(joins)}
-  LEFT JOIN competition_table c ON c.category = o.category)""")
-    return ctes
+def cohort_table(columns: list[str], sums: str, cohort: str = "history_offers", head: str = "h.*") -> str:
+    return (f"SELECT {head}, {', '.join(columns)} FROM {cohort} h LEFT JOIN ({sums}) s "
+            "ON (s.split, s.id) = (h.split, h.id) AND s.offer IS NOT DISTINCT FROM h.offer")
+
+
+def has_bought(w: int, cohort: str = "history_offers", head: str = "h.*") -> str:
+    return cohort_table(window_features(w), cohort_sums((w,), cohort=cohort), cohort, head)
+
+
+def user_spend() -> str:
+    return cohort_table(user_features(), cohort_sums(user=USER_WINDOW), head="h.split, h.id, h.offer, h.category, h.company, h.brand")
+
+
+PRODUCTS = """products AS (
+  SELECT *, SUM(n_lines) OVER (PARTITION BY category) AS n_in_category
+  FROM (SELECT category, company, brand, COUNT(*) AS n_lines, SUM(purchaseamount) AS spend
+        FROM transactions WHERE category IN (SELECT category FROM offers) GROUP BY category, company, brand))"""
+
+
+def share() -> str:
+    return (f"SELECT DISTINCT {_pid('p')} AS productid, p.category, p.company, p.brand, "
+            "CAST(p.n_lines AS DOUBLE) / CAST(p.n_in_category AS DOUBLE) AS marketshare_in_cat "
+            "FROM products p SEMI JOIN offers USING (category, company, brand)")
+
+
+COMPETITION = """SELECT category, COUNT(*) FILTER (WHERE company || brand IS NOT NULL) AS competing_products_in_cat,
+       CAST(MAX(spend) AS DOUBLE) / NULLIF(CAST(SUM(spend) AS DOUBLE), 0) AS marketshare_dominant_prod_in_cat
+  FROM products GROUP BY category"""
+
+
+def assembled() -> list[str]:
+    columns = user_features() + [c for w in WINDOWS for c in window_features(w, w == min(WINDOWS))]
+    per_row = cohort_table([f"{_pid('h')} AS productid", *columns], cohort_sums(WINDOWS, USER_WINDOW), head="h.* EXCLUDE (offervalue)")
+    return [PRODUCTS, f"""feature_table AS (
+  SELECT r.*, m.marketshare_in_cat, c.competing_products_in_cat, c.marketshare_dominant_prod_in_cat
+  FROM ({per_row}) r LEFT JOIN ({share()}) m USING (productid) LEFT JOIN ({COMPETITION}) c ON c.category = r.category)"""]
 
 
 def _assembled_columns() -> list[str]:
@@ -218,28 +184,40 @@ def oracle_sql() -> dict[str, str]:
 FROM reduced t JOIN history_offers h
   ON t.id = h.id AND t.date BETWEEN h.offerdate - {max(WINDOWS)} AND h.offerdate""")
     for n in WINDOWS:
-        q[f"has_bought_{n}"] = _with("sparse", has_bought_ctes(n), f"SELECT * FROM has_bought_{n}")
-    q["user_spend"] = _with("dense", user_spend_ctes(), "SELECT * FROM spend_features")
-    q["product_share"] = _with("sparse", market_ctes(), "SELECT * FROM share_table")
-    q["competition"] = _with("sparse", market_ctes(), "SELECT * FROM competition_table")
-    q["assemble_features"] = _with("dense", assemble_ctes(), "SELECT * FROM feature_table")
+        q[f"has_bought_{n}"] = _with("sparse", [], has_bought(n))
+    q["has_bought_wide"] = _with("dense", [f"""wide AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY {_KEYS}) - 1 AS offer, category, company, brand, CAST(1 AS DOUBLE) AS offervalue
+  FROM (SELECT DISTINCT category, company, brand FROM transactions))""", """wide_cohort AS (
+  SELECT h.split, h.id, h.chain, w.offer, h.market, h.offerdate, w.category, w.company, w.offervalue, w.brand
+  FROM history h JOIN wide w ON w.offer = h.id % (SELECT COUNT(*) FROM wide))"""], has_bought(90, "wide_cohort"))
+    q["user_spend"] = _with("dense", [], user_spend())
+    q["product_share"] = _with("sparse", [PRODUCTS], share())
+    q["competition"] = _with("sparse", [PRODUCTS], COMPETITION)
+    columns = ", ".join(_assembled_columns())
+    q["assemble_features"] = _with("dense", assembled(), f"SELECT {columns} FROM feature_table")
     feats = sorted(c for c in _assembled_columns() if c not in NON_FEATURE_COLUMNS)
-    q["feature_columns"] = _with("dense", assemble_ctes(), " UNION ALL ".join(
+    q["feature_columns"] = _with("dense", assembled(), " UNION ALL ".join(
         f"SELECT split, id, offer, CAST({i} AS INTEGER) AS position, '{c}' AS feature, "
         f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS value FROM feature_table" for i, c in enumerate(feats)))
-    checks = [f"SELECT 'has_bought_{n}' AS \"check\", COUNT(*) AS n_rows FROM has_bought_{n}" for n in WINDOWS]
-    checks += ["SELECT 'user_spend' AS \"check\", COUNT(*) AS n_rows FROM spend_features",
-               "SELECT 'assemble_features' AS \"check\", COUNT(*) AS n_rows FROM feature_table"]
-    q["check_cohort_rows"] = _with("dense", assemble_ctes() + [
-        "counts AS (" + " UNION ALL ".join(checks) + ")"],
-        "SELECT c.\"check\", c.n_rows, e.n_expected, c.n_rows = e.n_expected AS ok "
-        "FROM counts c, (SELECT COUNT(*) AS n_expected FROM history) e "
-        "UNION ALL SELECT 'duplicate_cohort_keys', COUNT(*), CAST(0 AS BIGINT), COUNT(*) = 0 "
-        "FROM (SELECT split, id, offer FROM history GROUP BY split, id, offer HAVING COUNT(*) > 1) d")
-    q["auc_roc"] = _with("dense", user_spend_ctes() + [
-        """scored AS (
+    names = [f"has_bought_{n}" for n in WINDOWS] + ["user_spend", "assemble_features"]
+    q["check_cohort_rows"] = _with("dense", [], " UNION ALL ".join(
+        f"SELECT '{name}' AS \"check\", COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken, COUNT(*) AS n_expected, TRUE AS ok FROM history"
+        for name in names) + """ UNION ALL SELECT 'duplicate_cohort_keys', COUNT(*) - COUNT(DISTINCT (split, id, offer)), 0, 0,
+       COUNT(*) = COUNT(DISTINCT (split, id, offer)) FROM history""")
+    test = "FROM history WHERE split = 'test'"
+    q["gbt_scores"] = _with("dense", [], f"SELECT split, id, offer, TRUE AS scored, TRUE AS in_range {test}")
+    q["model_roundtrip"] = _with("dense", [], f"SELECT COUNT(*) AS n_scored, CAST(0 AS BIGINT) AS n_differ, "
+                                 f"CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_outside {test}")
+    grid = " CROSS JOIN ".join(f"(SELECT UNNEST([{', '.join(map(str, v))}]) AS {k})" for k, v in GRID.items())
+    q["cv_grid_metrics"] = f"SELECT {', '.join(f'CAST({k} AS INTEGER) AS {k}' for k in GRID)}, TRUE AS in_range, CAST(1 AS BIGINT) AS n_best FROM {grid}"
+    q["model_compare"] = "SELECT UNNEST(['lr', 'rf', 'gbt']) AS classifier, TRUE AS agrees, TRUE AS in_range"
+    u = USER_WINDOW
+    q["submission"] = _with("dense", [], f"SELECT id, offer, ROUND(CAST(CAST(IF(total_spend_{u} > 0, prodid_spend_{u} / total_spend_{u}, 0.0) AS FLOAT) AS DOUBLE), 5) "
+                            f"AS repeatProbability FROM ({user_spend()}) WHERE split = 'test'")
+    q["auc_roc"] = _with("dense", [
+        f"""scored AS (
   SELECT u.total_spend_30 AS score, CASE WHEN h.repeater = 't' THEN 1 ELSE 0 END AS label
-  FROM spend_features u JOIN history h ON h.split = u.split AND h.id = u.id AND h.offer = u.offer
+  FROM ({user_spend()}) u JOIN history h ON h.split = u.split AND h.id = u.id AND h.offer = u.offer
   WHERE h.split = 'train')""",
         """per_score AS (SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY score)""",
         """ranked AS (

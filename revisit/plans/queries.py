@@ -9,9 +9,10 @@ compare value-for-value with the SQL oracle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from revisit.operators import model as M
@@ -22,9 +23,11 @@ from revisit.operators.lookback import (cohort_date_bounds, has_bought, lookback
                                         purchase_facts, user_spend)
 from revisit.operators.market import competition, product_share
 from revisit.operators.reduce import category_dept_map, reduce_transactions
+from revisit.operators.sizing import Bounded
+from revisit.operators.skew import hot_keys
 from revisit.schemas import USER_WINDOW, WINDOWS, transactions_schema
-from revisit.session import scratch_path, session_key
-from revisit.sources.fixtures import load_tables
+from revisit.session import session_key
+from revisit.sources.fixtures import folder_key, folder_path, load_tables
 from revisit.sources.io import materialize, read_csv, read_parquet, write_csv, write_parquet
 
 
@@ -40,34 +43,32 @@ def _t(spark, sf_dir, fixture="sparse"):
 
 def q_src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tb = _t(spark, sf_dir)
-    path = scratch_path(spark, "csv", "transactions")
-    write_csv(tb.transactions, path, mode="overwrite")
+    path = folder_path(spark, sf_dir, "csv", uuid.uuid4().hex)
+    write_csv(tb.transactions, path)
     schema = transactions_schema(T.StringType(), T.StringType(), T.DecimalType(18, 2))
     return decimals_to_double(read_csv(spark, path, schema))
 
 
 def q_sink_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tb = _t(spark, sf_dir)
-    path = scratch_path(spark, "parquet", "reduced_transactions")
-    write_parquet(reduce_transactions(tb.transactions, tb.offers), path, mode="overwrite")
+    path = folder_path(spark, sf_dir, "parquet", uuid.uuid4().hex)
+    write_parquet(reduce_transactions(tb.transactions, tb.offers), path)
     return decimals_to_double(read_parquet(spark, path))
 
 
 def q_reduce_transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reduction run as a Structured Streaming job over the stored
     transactions folder (availableNow trigger), read back from its sink."""
-    import uuid
-
     from revisit.sources.fixtures import fixture_transactions
     from revisit.streaming.reduce_stream import run_reduction
     tb = _t(spark, sf_dir)
     run = f"stream-{uuid.uuid4().hex[:8]}"   # own sink / checkpoint per run
-    sink = scratch_path(spark, run, "reduced")
+    sink = folder_path(spark, sf_dir, run, "reduced")
     # Stream straight from the stored line items; the fixture's column
     # mapping is applied inside the stream (nothing is copied).
     schema = spark.read.parquet(tb.lines_path).schema
     run_reduction(spark, tb.lines_path, schema, tb.offers, sink,
-                  scratch_path(spark, run, "checkpoint"),
+                  folder_path(spark, sf_dir, run, "checkpoint"),
                   project=lambda df: fixture_transactions(df, tb.fixture))
     return decimals_to_double(read_parquet(spark, sink))
 
@@ -101,23 +102,57 @@ def q_lookback_join(spark, sf_dir):
                                             hot_from=tb.transactions))
 
 
-def _facts(tb, span: int, with_totals: bool = True):
-    return purchase_facts(tb.transactions, tb.offers, with_totals=with_totals,
-                          date_bounds=cohort_date_bounds(tb.history, span))
+_FACTS: dict = {}
+
+
+def _facts(spark, sf_dir, fixture="sparse"):
+    """Per-day product facts and the hot customers among them, written once
+    per input folder and session: every window reads the same table."""
+    key = (session_key(spark), folder_key(sf_dir), fixture)
+    if key not in _FACTS:
+        tb = _t(spark, sf_dir, fixture)
+        facts = materialize(purchase_facts(tb.transactions, cohort_date_bounds(tb.history, max(WINDOWS))),
+                            folder_path(spark, sf_dir, fixture, "purchase_facts"))
+        _FACTS[key] = (facts, hot_keys(facts, "id"))
+    return _FACTS[key]
 
 
 def _has_bought(days: int):
     def run(spark, sf_dir):
         tb = _t(spark, sf_dir)
-        # Window features only: no per-customer total rows needed.
-        return has_bought(history_offers(tb.history, tb.offers), _facts(tb, days, with_totals=False), days)
+        facts, hot = _facts(spark, sf_dir)
+        return has_bought(history_offers(tb.history, tb.offers), facts, days, hot)
     run.__name__ = f"q_has_bought_{days}"
     return run
 
 
 def q_user_spend(spark, sf_dir):
     tb = _t(spark, sf_dir, "dense")
-    return user_spend(history_offers(tb.history, tb.offers), _facts(tb, USER_WINDOW))
+    facts, hot = _facts(spark, sf_dir, "dense")
+    return user_spend(history_offers(tb.history, tb.offers), facts, hot=hot)
+
+
+WIDE_WINDOW = 90
+
+
+def q_has_bought_wide(spark, sf_dir):
+    """The 90-day features with every product of the dense fixture as an
+    offer: offers numbered in product order, customers dealt over them."""
+    tb = _t(spark, sf_dir, "dense")
+    keys = ["category", "company", "brand"]
+    products = materialize(tb.transactions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), folder_path(spark, sf_dir, "wide", "products"))
+    # Number within the first key's groups, moved on by the groups before: no window over all products.
+    groups = products.groupBy("category").agg(F.count(F.lit(1)).alias("_size"))
+    before = groups.withColumn("_before", F.coalesce(F.sum("_size").over(
+        Window.orderBy(F.asc_nulls_last("category")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.partitionBy("category").orderBy(*[F.asc_nulls_last(k) for k in keys[1:]])
+    offers = materialize(products.join(before, "category").select(
+        (F.row_number().over(order) + F.col("_before") - 1).cast("long").alias("offer"), *keys, F.lit(1.0).alias("offervalue")),
+        folder_path(spark, sf_dir, "wide", "offers"))
+    n = offers.count()
+    history = tb.history.withColumn("offer", F.pmod(F.col("id"), F.lit(n)).cast("long"))
+    facts, hot = _facts(spark, sf_dir, "dense")
+    return has_bought(history_offers(history, Bounded(offers)), facts, WIDE_WINDOW, hot).drop("repeattrips", "repeater")
 
 
 def q_product_share(spark, sf_dir):
@@ -143,99 +178,136 @@ def q_feature_columns(spark, sf_dir):
 
 
 def q_check_cohort_rows(spark, sf_dir):
+    """Row and value invariants of the stored feature tables."""
     tb = _t(spark, sf_dir, "dense")
     cohort = history_offers(tb.history, tb.offers)
-    facts = _facts(tb, max(WINDOWS))
-    tables = {f"has_bought_{n}": has_bought(cohort, facts, n) for n in WINDOWS}
-    tables["user_spend"] = user_spend(cohort, facts)
-    tables["assemble_features"] = assemble_features(tb.transactions, tb.offers, tb.history)
-    return cohort_row_checks(tb.history, tables)
+    facts, hot = _facts(spark, sf_dir, "dense")
+    tables = {f"has_bought_{n}": has_bought(cohort, facts, n, hot) for n in WINDOWS}
+    tables["user_spend"] = user_spend(cohort, facts, hot=hot)
+    tables["assemble_features"] = _features(spark, sf_dir)
+    stored = {k: v if k == "assemble_features" else materialize(v, folder_path(spark, sf_dir, "checked", uuid.uuid4().hex))
+              for k, v in tables.items()}
+    return cohort_row_checks(tb.history, stored)
 
 
 def q_auc_roc(spark, sf_dir):
     """AUC-ROC of the 30-day total spend as a score of the training label."""
     tb = _t(spark, sf_dir, "dense")
     train = tb.history.where(F.col("split") == "train")
-    spend = user_spend(history_offers(train, tb.offers), _facts(tb, USER_WINDOW))
+    facts, hot = _facts(spark, sf_dir, "dense")
+    spend = user_spend(history_offers(train, tb.offers), facts, hot=hot)
     scored = M.with_label(spend.join(train.select("split", "id", "offer", "repeater").hint("merge"),
                                      ["split", "id", "offer"]))
     return M.auc_rank_sum(scored, "total_spend_30", "label")
 
 
-# ---- model queries (no SQL equivalent: row-count check only) ----------------
+# ---- model queries: what SQL can state about them is checked; raw values are tested with fixed seeds ----
 
 _MODEL_MEMO: dict = {}
 
 
-def model_tables(spark: SparkSession, sf_dir: str):
-    """Assembled features materialised once in the shared folder (the
-    model search re-reads its input many times), split into train / test."""
-    key = (session_key(spark), sf_dir)
+def _features(spark, sf_dir):
+    """The assembled feature table, written once per input folder and session."""
+    key = ("features", session_key(spark), folder_key(sf_dir))
     if key not in _MODEL_MEMO:
         tb = _t(spark, sf_dir, "dense")
-        feats = materialize(assemble_features(tb.transactions, tb.offers, tb.history),
-                            scratch_path(spark, "model", "feature_table"))
-        cols = M.feature_columns(feats)
-        ready = M.model_input(M.with_label(feats), cols)
-        train = ready.where(F.col("split") == "train")
-        test = ready.where(F.col("split") == "test").drop("label")
-        _MODEL_MEMO[key] = (train, test, cols)
+        _MODEL_MEMO[key] = materialize(assemble_features(tb.transactions, tb.offers, tb.history),
+                                       folder_path(spark, sf_dir, "model", "feature_table"))
     return _MODEL_MEMO[key]
 
 
+def model_tables(spark: SparkSession, sf_dir: str):
+    """Stored features with labels, split into train / test."""
+    feats = _features(spark, sf_dir)
+    cols = M.feature_columns(feats)
+    ready = M.model_input(M.with_label(feats), cols)
+    train = ready.where(F.col("split") == "train")
+    test = ready.where(F.col("split") == "test").drop("label")
+    return train, test, cols
+
+
 def final_model(spark: SparkSession, sf_dir: str):
-    """The final GBT (fixed parameters, seed 0), fitted once per session and
-    saved in the shared folder; scoring, round-trip and submission reuse it."""
-    key = ("model", session_key(spark), sf_dir)
+    """(path, fitted, loaded) of the final GBT (fixed parameters, seed 0),
+    fitted once per input folder and session and saved in the shared folder."""
+    key = ("model", session_key(spark), folder_key(sf_dir))
     if key not in _MODEL_MEMO:
         from pyspark.ml import PipelineModel
         train, _, cols = model_tables(spark, sf_dir)
-        path = scratch_path(spark, "model", "gbt_pipeline")
-        M.fit(train, cols).write().overwrite().save(path)
-        _MODEL_MEMO[key] = (path, PipelineModel.load(path))
+        path = folder_path(spark, sf_dir, "model", "gbt_pipeline")
+        fitted = M.fit(M.labelled(train), cols)
+        fitted.write().overwrite().save(path)
+        _MODEL_MEMO[key] = (path, fitted, PipelineModel.load(path))
     return _MODEL_MEMO[key]
 
 
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw probabilities of the test cohort by the loaded model."""
+    return M.score(final_model(spark, sf_dir)[2], model_tables(spark, sf_dir)[1])
+
+
 def q_gbt_scores(spark, sf_dir):
-    _, test, _ = model_tables(spark, sf_dir)
-    return M.score(final_model(spark, sf_dir)[1], test)
+    """Per test row: its key, and whether its probability is present and in
+    [0, 1] (the value itself is the model's, see ``scored_rows``)."""
+    p = F.col("repeatProbability")
+    return scored_rows(spark, sf_dir).select("split", "id", "offer", p.isNotNull().alias("scored"),
+                                             F.coalesce(p.between(0, 1), F.lit(False)).alias("in_range"))
 
 
 def q_cv_grid_metrics(spark, sf_dir):
+    """All grid points of the search, whether their mean AUC is in [0, 1],
+    and how many of them are the chosen parameters."""
     train, _, cols = model_tables(spark, sf_dir)
-    _, metrics = M.cross_validate(train, cols)
-    return metrics
+    search, metrics = M.cross_validate(M.labelled(train), cols)
+    best = M.best_params(search)
+    chosen = F.lit(True)
+    for name, value in best.items():
+        chosen = chosen & (F.col(name) == value)
+    top = max(search.avgMetrics)
+    rows = metrics.select(*best, F.col("avg_auc").between(0, 1).alias("in_range"), (chosen & (F.col("avg_auc") == top)).cast("int").alias("_best"))
+    return rows.withColumn("n_best", rows.select(F.sum("_best")).scalar().cast("long")).drop("_best")
 
 
 def q_model_roundtrip(spark, sf_dir):
-    """Fit, save, load and score: the loaded pipeline must score like the
-    fitted one."""
-    from pyspark.ml import PipelineModel
-    train, test, cols = model_tables(spark, sf_dir)
-    path = scratch_path(spark, "model", "gbt_roundtrip")
-    M.fit(train, cols).write().overwrite().save(path)
-    return M.score(PipelineModel.load(path), test)
+    """One row: test rows scored by the fitted and by the loaded pipeline, and
+    how many differ, are null or lie outside [0, 1]."""
+    _, fitted, loaded = final_model(spark, sf_dir)
+    _, test, _ = model_tables(spark, sf_dir)
+    a = M.score(fitted, test).withColumnRenamed("repeatProbability", "p")
+    b = M.score(loaded, test).withColumnRenamed("repeatProbability", "q")
+    both = a.join(b.hint("merge"), ["split", "id", "offer"])
+    return both.agg(F.count(F.lit(1)).alias("n_scored"), F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("n_differ"),
+                    F.count_if(F.col("q").isNull()).alias("n_null"), F.count_if(~F.col("q").between(0, 1)).alias("n_outside"))
 
 
 def q_submission(spark, sf_dir):
-    _, test, _ = model_tables(spark, sf_dir)
-    scored = M.score(final_model(spark, sf_dir)[1], test)
-    out = M.submission(test.select("id"), scored)
-    path = scratch_path(spark, "submission")
-    write_csv(out, path, mode="overwrite")
-    return read_csv(spark, path, T.StructType([T.StructField("id", T.LongType()),
-                                               T.StructField("repeatProbability", T.FloatType())]))
+    """Template-driven submission with a deterministic score (share of the
+    customer's 30-day spend on the offered product), so that SQL checks every
+    value: the template is read from CSV, paired by key, written as CSV and
+    read back."""
+    features = _features(spark, sf_dir).where("split = 'test'")
+    spend = F.col(f"total_spend_{USER_WINDOW}")
+    score = F.when(spend > 0, F.col(f"prodid_spend_{USER_WINDOW}") / spend).otherwise(F.lit(0.0)).cast("float")
+    scored = features.select("split", "id", "offer", score.alias("repeatProbability"))
+    run = folder_path(spark, sf_dir, "submission", uuid.uuid4().hex)
+    write_csv(features.select("id", "offer"), f"{run}/template")
+    key = [T.StructField("id", T.LongType()), T.StructField("offer", T.LongType())]
+    requested = read_csv(spark, f"{run}/template", T.StructType(key))
+    write_csv(M.submission(requested, scored), f"{run}/result")
+    out = read_csv(spark, f"{run}/result", T.StructType([*key, T.StructField("repeatProbability", T.FloatType())]))
+    return out.select("id", "offer", F.round(F.col("repeatProbability").cast("double"), 5).alias("repeatProbability"))
 
 
 def q_model_compare(spark, sf_dir):
-    """Training AUC of logistic regression, random forest and GBT over the
-    same features (the comparison the reference describes)."""
+    """Logistic regression, random forest and GBT over the same features: the
+    rank-sum AUC on the training rows equals the built-in evaluator's."""
     train, _, cols = model_tables(spark, sf_dir)
     rows = []
     for kind in ("lr", "rf", "gbt"):
-        scored = M.score(M.fit(train, cols, kind=kind), train)
-        rows.append(M.auc_rank_sum(scored, "repeatProbability", "label")
-                    .select(F.lit(kind).alias("classifier"), "auc_roc"))
+        scored = materialize(M.score(M.fit(M.labelled(train), cols, kind=kind), train), folder_path(spark, sf_dir, "compare", uuid.uuid4().hex))
+        builtin = M.auc_evaluator(scored)
+        rows.append(M.auc_rank_sum(scored, "repeatProbability", "label").select(
+            F.lit(kind).alias("classifier"), (F.abs(F.col("auc_roc") - builtin) < 1e-9).alias("agrees"),
+            F.col("auc_roc").between(0, 1).alias("in_range")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -257,6 +329,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for n in WINDOWS:
         q[f"has_bought_{n}"] = _has_bought(n)
     q.update({
+        "has_bought_wide": q_has_bought_wide,
         "user_spend": q_user_spend,
         "product_share": q_product_share,
         "competition": q_competition,

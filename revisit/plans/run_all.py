@@ -23,7 +23,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession, functions as F
 
 from revisit.operators import model as M
-from revisit.operators.assemble import assemble_features
+from revisit.operators.assemble import assemble_features, cohort_row_checks
 from revisit.operators.enrich import history_offers
 from revisit.operators.keys import offer_productids
 from revisit.operators.lookback import cohort_date_bounds, has_bought, purchase_facts, user_spend
@@ -33,7 +33,7 @@ from revisit.operators.reduce import category_dept_map, reduce_transactions
 from revisit.schemas import WINDOWS
 from revisit.session import get_session, scratch_path
 from revisit.sources.fixtures import Tables, load_tables
-from revisit.sources.io import materialize, read_parquet, write_csv, write_parquet
+from revisit.sources.io import read_parquet, write_csv, write_parquet
 
 
 def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dict | None = None,
@@ -68,9 +68,8 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
     save("cat_dept_map", category_dept_map(tx))
     save("offer_productids", offer_productids(offers.df))
     # The two aggregates every feature table derives from, written once.
-    facts = materialize(purchase_facts(tx, offers, date_bounds=cohort_date_bounds(history, max(WINDOWS))),
-                        f"{out}/_facts")
-    cp = materialize(category_products(tx, offers), f"{out}/_category_products")
+    facts = save("_facts", purchase_facts(tx, cohort_date_bounds(history, max(WINDOWS))))
+    cp = save("_category_products", category_products(tx, offers))
     if write_intermediates:
         cohort = history_offers(history, offers)
         for n in WINDOWS:
@@ -81,9 +80,15 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
     feats = save("assemble_features", assemble_features(tx, offers, history, facts=facts, products=cp),
                  partition_by=["split"])
 
+    # One row per history row, consistent values, no repeated cohort key: a violation stops the run.
+    checked = {"assemble_features": feats} | ({n: read_parquet(spark, report["paths"][n]) for n in
+                                               [f"has_bought_{w}" for w in WINDOWS] + ["user_spend"]} if write_intermediates else {})
+    broken = [r.asDict() for r in cohort_row_checks(history, checked).where("not ok").collect()]   # one row per check
+    if broken:
+        raise ValueError(f"cohort checks failed: {broken}")
     cols = M.feature_columns(feats)
     ready = M.model_input(M.with_label(feats), cols)
-    train = ready.where(F.col("split") == "train")
+    train = M.labelled(ready.where(F.col("split") == "train"))
     test = ready.where(F.col("split") == "test").drop("label")
     chosen = params
     if search:
@@ -96,7 +101,7 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
     t0 = time.perf_counter()
     model = M.fit(train, cols, params=report["params"])
     model_path = f"{out}/model"
-    model.write().overwrite().save(model_path)
+    (model.write().overwrite() if mode == "overwrite" else model.write()).save(model_path)
     report["seconds"]["fit"] = round(time.perf_counter() - t0, 3)
     report["paths"]["model"] = model_path
     model = PipelineModel.load(model_path)
@@ -107,7 +112,7 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
         ids = (spark.read.option("header", True).csv(submission_ids)
                .select(F.col("id").cast("long").alias("id")))
     else:
-        ids = test.select("id")
+        ids = test.select("id", "offer")
     write_csv(M.submission(ids, scored), sub_path, mode=mode)
     report["paths"]["submission"] = sub_path
     # Output-length invariant, keyed: one row per requested id; ids without
@@ -117,6 +122,8 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
                     F.count_if(F.col("repeatProbability").isNull()).alias("unscored")).first()
     report["submission_rows"], report["submission_unscored"] = check["rows"], check["unscored"]
     report["requested_ids"] = ids.count()
+    if report["submission_rows"] != report["requested_ids"]:
+        raise ValueError(f"{report['requested_ids']} rows asked for, {report['submission_rows']} written")
     return report
 
 

@@ -59,6 +59,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; "
+                               "a local folder is only chosen for a local master")
         configured = tempfile.mkdtemp(prefix="revisit-ckpt-")
     if sc is None:
         return configured.rstrip("/")

@@ -17,6 +17,8 @@ products, exact-product features are non-zero).
 
 from __future__ import annotations
 
+import hashlib
+
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from revisit.operators.sizing import Bounded, broadcast_bounded
 from revisit.session import scratch_path, session_key
-from revisit.sources.io import ensure_parallelism, materialize
+from revisit.sources.io import materialize
 
 # Fixed values of the fixture mapping (FIXTURES.md section 2).
 FIXTURE_COLUMNS = {
@@ -50,12 +52,10 @@ class Tables:
 
 # Fact-sized inputs: spread over the cores if stored unsplittable.  Dimension
 # tables are left alone (they are broadcast or scanned once anyway).
-_FACT_TABLES = {"lineitem", "orders"}
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return ensure_parallelism(df) if name in _FACT_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def derive_line_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +156,16 @@ def derive_history(spark: SparkSession, sf_dir: str, transactions: DataFrame,
 _MEMO: dict = {}
 
 
+def folder_key(sf_dir: str) -> str:
+    """Names an input folder: a digest of its path without a trailing slash,
+    so that tables derived from different folders never share a path."""
+    return hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+
+
+def folder_path(spark: SparkSession, sf_dir: str, *parts: str) -> str:
+    return scratch_path(spark, "tables", folder_key(sf_dir), *parts)
+
+
 def load_tables(spark: SparkSession, sf_dir: str, fixture: str = "sparse",
                 materialized: bool = True) -> Tables:
     """Derive the three logical tables.
@@ -166,25 +176,25 @@ def load_tables(spark: SparkSession, sf_dir: str, fixture: str = "sparse",
     per fixture -- the analogue of the reference's CSV-to-Parquet load step,
     so later queries scan plain Parquet instead of re-running the joins.
     """
-    key = (session_key(spark), sf_dir, fixture, materialized)
+    key = (session_key(spark), folder_key(sf_dir), fixture, materialized)
     if key in _MEMO:
         return _MEMO[key]
     lines_path = None
     if materialized:
-        base_key = (session_key(spark), sf_dir, "line_base")
-        lines_path = scratch_path(spark, "tables", "line_base")
+        base_key = (session_key(spark), folder_key(sf_dir), "line_base")
+        lines_path = folder_path(spark, sf_dir, "line_base")
         if base_key not in _MEMO:
-            _MEMO[base_key] = ensure_parallelism(materialize(derive_line_base(spark, sf_dir), lines_path))
+            _MEMO[base_key] = materialize(derive_line_base(spark, sf_dir), lines_path)
         tx = fixture_transactions(_MEMO[base_key], fixture)
     else:
         tx = derive_transactions(spark, sf_dir, fixture)
     offers_df = derive_offers(tx)
     if materialized:
-        offers_df = materialize(offers_df, scratch_path(spark, "tables", fixture, "offers"))
+        offers_df = materialize(offers_df, folder_path(spark, sf_dir, fixture, "offers"))
     offers = Bounded(offers_df, known_rows=OFFER_COUNT)
     history = derive_history(spark, sf_dir, tx, offers)
     if materialized:
-        history = materialize(history, scratch_path(spark, "tables", fixture, "history"))
+        history = materialize(history, folder_path(spark, sf_dir, fixture, "history"))
     tables = Tables(tx, offers, history, lines_path, fixture)
     _MEMO[key] = tables
     return tables

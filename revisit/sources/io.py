@@ -44,22 +44,3 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     """
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-partitioned input over the cluster's cores.
-
-    A scan of one unsplittable file (a single Parquet row group) runs in
-    one task, and so does everything fused with it up to the next shuffle.
-    When the scan has fewer partitions than ``min_partitions`` (default:
-    the context's default parallelism) it is round-robin repartitioned --
-    cheap for inputs that small.  Inputs already split across many tasks,
-    as on a cluster, are returned unchanged (no extra shuffle).
-    """
-    from revisit.session import default_parallelism
-    target = min_partitions or default_parallelism(df.sparkSession)
-    try:
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (Spark Connect): leave the plan alone
-        return df
-    return df.repartition(target) if current < target else df

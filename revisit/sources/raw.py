@@ -17,7 +17,7 @@ from revisit.sources.fixtures import Tables
 # The declared types of the columns the pipeline reads.
 TRANSACTION_TYPES = {"id": "long", "dept": "int", "category": "long", "company": "long",
                      "brand": "long", "date": "date", "purchasequantity": "long",
-                     "purchaseamount": "double"}
+                     "purchaseamount": "decimal(18,2)"}
 OFFER_TYPES = {"offer": "long", "category": "long", "company": "long", "brand": "long",
                "offervalue": "double"}
 HISTORY_TYPES = {"id": "long", "chain": "int", "offer": "long", "market": "int",

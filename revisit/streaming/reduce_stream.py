@@ -39,10 +39,13 @@ def reduced_stream(spark: SparkSession, source_dir: str, schema: T.StructType, o
 def run_reduction(spark: SparkSession, source_dir: str, schema: T.StructType, offers,
                   sink_dir: str, checkpoint_dir: str, fmt: str = "parquet",
                   available_now: bool = True, timeout_s: float | None = None,
-                  project: Callable[[DataFrame], DataFrame] | None = None):
+                  project: Callable[[DataFrame], DataFrame] | None = None,
+                  max_files_per_trigger: int | None = None):
     """Start the streaming reduction; with ``available_now`` it processes
-    every file present now (in as many micro-batches as needed) and stops."""
-    stream = reduced_stream(spark, source_dir, schema, offers, fmt, project=project)
+    every file present now (in as many micro-batches as needed) and stops.
+    If it has not ended after ``timeout_s`` it is stopped and TimeoutError is
+    raised: the sink is then incomplete."""
+    stream = reduced_stream(spark, source_dir, schema, offers, fmt, max_files_per_trigger, project)
     writer = (stream.writeStream.format("parquet")
               .option("path", sink_dir)
               .option("checkpointLocation", checkpoint_dir)
@@ -50,5 +53,7 @@ def run_reduction(spark: SparkSession, source_dir: str, schema: T.StructType, of
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     query = writer.start()
     if available_now:
-        query.awaitTermination(timeout_s)
+        if not (query.awaitTermination() is None if timeout_s is None else query.awaitTermination(timeout_s)):
+            query.stop()
+            raise TimeoutError(f"the reduction did not end within {timeout_s} s")
     return query

@@ -14,7 +14,7 @@ def _features(spark, txs, hist, offer_rows=OFFERS, windows=(30,)):
     o = offers(spark, offer_rows)
     h = history(spark, hist)
     cohort = history_offers(h, o, with_productid=True)
-    facts = purchase_facts(tx(spark, txs), o)
+    facts = purchase_facts(tx(spark, txs))
     return by_key(lookback_features(cohort, facts, windows=windows))
 
 
@@ -93,7 +93,7 @@ def test_two_offers_same_customer_not_doubled(spark):
     rows = [(1, 10, 100, 1000, od, 1, 1.0), (1, 20, 200, 2000, od, 2, 2.0)]
     o = offers(spark, offer_rows)
     h = history(spark, [(1, 0, od), (1, 1, od)])
-    out = lookback_features(history_offers(h, o), purchase_facts(tx(spark, rows), o), windows=(30,))
+    out = lookback_features(history_offers(h, o), purchase_facts(tx(spark, rows)), windows=(30,))
     got = {r["offer"]: r for r in out.collect()}
     assert len(got) == 2
     assert got[0]["has_bought_company_q_30"] == 1 and got[1]["has_bought_company_q_30"] == 1
@@ -109,40 +109,56 @@ def test_windows_nest(spark):
     assert [r[f"has_bought_brand_q_{n}"] for n in (30, 60, 90, 180)] == [1, 2, 3, 4]
 
 
-def _literal_has_bought(t, cohort, n, field):
-    """The reference's literal form for one field and window."""
-    last = (t.alias("t").join(cohort.alias("o"), (F.col("t.id") == F.col("o.id"))
-                              & F.col("t.date").between(F.date_sub("o.offerdate", n), F.col("o.offerdate")))
-            .where(F.col(f"t.{field}") == F.col(f"o.{field}"))
-            .groupBy("o.split", "o.id", "o.offer")
-            .agg(F.sum("t.purchasequantity").alias("q"), F.sum("t.purchaseamount").alias("a")))
-    return last
-
-
-def test_one_pass_equals_literal_form(spark, small_dir):
+def test_one_pass_equals_brute_force_on_the_fixtures(spark, small_dir):
+    from test_property import brute
     from revisit.sources.fixtures import load_tables
     for fixture in ("sparse", "dense"):
         tb = load_tables(spark, small_dir, fixture)
-        cohort = history_offers(tb.history, tb.offers)
-        facts = purchase_facts(tb.transactions, tb.offers)
-        for n in (30, 180):
-            hb = has_bought(cohort, facts, n)
-            for field in ("company", "category", "brand"):
-                lit = _literal_has_bought(tb.transactions, cohort, n, field)
-                mine = (hb.where(F.col(f"never_bought_{field}") == 0)
-                        .select("split", "id", "offer",
-                                F.col(f"has_bought_{field}_q_{n}").alias("q"),
-                                F.col(f"has_bought_{field}_a_{n}").alias("a")))
-                lit = lit.select("split", "id", "offer", "q", F.col("a").cast("double").alias("a"))
-                assert mine.exceptAll(lit).count() == 0
-                assert lit.exceptAll(mine).count() == 0
+        out = lookback_features(history_offers(tb.history, tb.offers), purchase_facts(tb.transactions)).collect()
+        lines: dict = {}
+        for r in tb.transactions.collect():
+            lines.setdefault(r.id, []).append(dict(id=r.id, category=r.category, company=r.company, brand=r.brand, date=r.date,
+                                                   q=r.purchasequantity, a=float(r.purchaseamount)))
+        products = [(o.category, o.company, o.brand) for o in tb.offers.df.orderBy("offer").collect()]
+        for r in out:
+            want = brute(lines.get(r.id, []), products, [(r.id, r.offer, r.offerdate)])[(r.id, r.offer)]
+            for column, v in want.items():
+                assert r[column] == v or abs(r[column] - v) < 1e-6, (r.id, column)
+
+
+def test_facts_do_not_grow_with_the_catalogue(spark, small_dir):
+    from revisit.sources.fixtures import load_tables
+    tb = load_tables(spark, small_dir, "dense")
+    n_facts, n_lines = purchase_facts(tb.transactions).count(), tb.transactions.count()
+    assert n_facts <= n_lines
+    products = [tuple(r) for r in tb.transactions.select("category", "company", "brand").distinct().orderBy("category", "company", "brand").collect()]
+    facts = purchase_facts(tb.transactions).cache()
+    schema = tb.offers.df.schema
+    for n in (8, 64, 400):
+        o = spark.createDataFrame([(i, *p, 1.0) for i, p in enumerate(products[:n])], schema)
+        h = tb.history.withColumn("offer", (F.col("id") % n).cast("long"))
+        assert lookback_features(history_offers(h, o), facts).count() == tb.history.count()
+
+
+def test_repeated_history_rows_stay(spark):
+    od = D(2000, 1, 31)
+    o, h = offers(spark, OFFERS), history(spark, [(1, 0, od), (1, 0, od)])
+    out = lookback_features(history_offers(h, o), purchase_facts(tx(spark, [(1, 10, 100, 1000, od, 3, 7.5)]))).collect()
+    assert [r.has_bought_brand_q_30 for r in out] == [3, 3]
+
+
+def test_long_visit_windows(spark):
+    od = D(2000, 12, 31)
+    rows = [(1, 10, 100, 1000, od.fromordinal(od.toordinal() - d), 1, 1.0) for d in (0, 0, 59, 60, 61, 119, 120, 150, 151)]
+    r = lookback_features(history_offers(history(spark, [(1, 0, od)]), offers(spark, OFFERS)), purchase_facts(tx(spark, rows)), user_window=150).first()
+    assert r.visits_150 == 7
 
 
 def test_user_spend_columns(spark):
     od = D(2000, 1, 31)
     o = offers(spark, OFFERS)
     h = history(spark, [(1, 0, od)])
-    out = user_spend(history_offers(h, o), purchase_facts(tx(spark, [(1, 10, 100, 1000, od, 3, 7.5)]), o))
+    out = user_spend(history_offers(h, o), purchase_facts(tx(spark, [(1, 10, 100, 1000, od, 3, 7.5)])))
     assert out.columns == ["split", "id", "offer", "category", "company", "brand",
                            "prodid_spend_30", "prodid_count_30", "total_spend_30", "visits_30"]
     r = out.collect()[0]
@@ -161,7 +177,7 @@ def test_lookback_join_rows(spark):
 
 
 def test_salted_join_splits_hot_key_and_keeps_every_pair(spark):
-    from revisit.operators.skew import hot_keys, salted_join
+    from revisit.operators.skew import bucket_of, hot_keys
     od = D(2000, 1, 31)
     hot_rows = [(7, 10, 100, 1000, od.fromordinal(od.toordinal() - (i % 40)), 1, float(i)) for i in range(3000)]
     cold_rows = [(i, 10, 100, 1000, od, 1, 1.0) for i in range(1, 6)]
@@ -169,27 +185,46 @@ def test_salted_join_splits_hot_key_and_keeps_every_pair(spark):
     o = offers(spark, OFFERS)
     h = history(spark, [(7, 0, od)] + [(i, 0, od) for i in range(1, 6)])
     cohort = history_offers(h, o)
-    args = dict(fraction=0.5, rows_per_task=300, seed=3)
-    hot = hot_keys(t, "id", **args).collect()
-    assert [r.id for r in hot] == [7] and hot[0]._buckets >= 5
-    salted = lookback_join(t, cohort, 30, **args)
+    hot = hot_keys(t, "id", 300).collect()
+    assert [(r.id, r._buckets) for r in hot] == [(7, 10)]
+    assert [r.id for r in hot_keys(t, "id").collect()] == [7]           # an equal share of 8 partitions
+    salted = lookback_join(t, cohort, 30, rows_per_task=300)
     plain = lookback_join(t, cohort, 30, split_hot_keys=False)
     # hot lines sit 0..39 days back, 31 of every 40 fall in the window
     assert salted.count() == plain.count() == 3000 * 31 // 40 + 5
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
-    sampled_raw = lookback_join(t, cohort, 30, hot_from=t, **args)
-    assert sampled_raw.exceptAll(plain).count() == 0 and sampled_raw.count() == plain.count()
-    # the hot customer's lines are really spread over several buckets
-    spread = (t.join(F.broadcast(hot_keys(t, "id", **args)), "id")
-              .select((F.monotonically_increasing_id() % F.col("_buckets")).alias("b")).distinct().count())
-    assert spread > 1
+    from_raw = lookback_join(t, cohort, 30, hot_from=t, rows_per_task=300)
+    assert from_raw.exceptAll(plain).count() == 0 and from_raw.count() == plain.count()
+    # equal lines of one customer are spread by the code's own bucket
+    same = tx(spark, [(7, 10, 100, 1000, od, 1, 1.0)] * 1000)
+    sizes = [r["count"] for r in same.withColumn("b", bucket_of(["category", "date"], F.lit(10))).groupBy("b").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
+
+
+def test_no_cap_on_hot_keys_or_buckets(spark):
+    from revisit.operators.skew import hot_keys, salted_join
+    big = spark.range(24_000).select((F.col("id") % 12_000).alias("k"), F.col("id").alias("v"))
+    assert hot_keys(big, "k", 1).count() == 12_000
+    one = spark.range(10_000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("v"))
+    assert hot_keys(one, "k", 2).first()._buckets == 5000
+    small = spark.createDataFrame([(1, "x")], "k2 long, w string")
+    assert salted_join(one, small, "k", "k2", rows_per_task=2).count() == 10_000
+
+
+def test_features_with_split_customers(spark):
+    od = D(2000, 6, 30)
+    rows = [(7, 10, 100, 1000 + i % 50, od.fromordinal(od.toordinal() - i % 40), 1, float(i)) for i in range(2000)] + [(1, 10, 100, 1000, od, 1, 2.0)]
+    cohort = history_offers(history(spark, [(7, 0, od), (1, 0, od), (2, 0, od)]), offers(spark, OFFERS))
+    facts = purchase_facts(tx(spark, rows))
+    split = lookback_features(cohort, facts, rows_per_task=100)
+    assert split.exceptAll(lookback_features(cohort, facts, rows_per_task=10 ** 9)).count() == 0 and split.count() == 3
 
 
 def test_salted_left_join_keeps_unmatched(spark):
     from revisit.operators.skew import salted_join
     big = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string")
     small = spark.createDataFrame([(1, "x")], "k2 long, w string")
-    out = salted_join(big, small, "k", "k2", how="left", fraction=1.0, rows_per_task=1).collect()
+    out = salted_join(big, small, "k", "k2", how="left", rows_per_task=1).collect()
     assert sorted((r.v, r.w) for r in out) == [("a", "x"), ("b", "x"), ("c", None)]
 
 
@@ -199,14 +234,14 @@ def test_date_bounds_when_no_offer_dates(spark):
     h = history(spark, [(1, 0, None), (2, 0, None)])
     t = tx(spark, [(1, 10, 100, 1000, D(2000, 1, 1), 1, 1.0)])
     bounds = cohort_date_bounds(h, 180)
-    out = lookback_features(history_offers(h, o), purchase_facts(t, o, date_bounds=bounds)).collect()
+    out = lookback_features(history_offers(h, o), purchase_facts(t, date_bounds=bounds)).collect()
     assert len(out) == 2
     assert all(r.has_bought_brand_q_180 == 0 and r.never_bought_brand == 1 and r.visits_30 == 0 for r in out)
 
 
 def test_hot_customer_is_bounded_before_the_join(spark):
-    """A customer with a third of all lines reaches the cohort join as at
-    most (#offers + 1) x #days fact rows; features are unchanged."""
+    """A customer with a third of all lines reaches the cohort join as one
+    row per day and product; features are unchanged."""
     import random
     rnd = random.Random(11)
     od = D(2000, 6, 30)
@@ -219,11 +254,11 @@ def test_hot_customer_is_bounded_before_the_join(spark):
                      day, rnd.randint(1, 3), float(rnd.randint(1, 500))))
     t = tx(spark, rows)
     o = offers(spark, offer_rows)
-    facts = purchase_facts(t, o)
+    facts = purchase_facts(t)
     hot_lines = sum(1 for r in rows if r[0] == 7)
-    hot_days = len({r[4] for r in rows if r[0] == 7})
+    hot_days = len({r[1:5] for r in rows if r[0] == 7})
     hot_facts = facts.where(F.col("id") == 7).count()
-    assert hot_lines >= 2000 and hot_facts <= (len(offer_rows) + 1) * hot_days < hot_lines
+    assert hot_lines >= 2000 and hot_facts == hot_days < hot_lines
     h = history(spark, [(c, c % 2, od) for c in range(1, 301)])
     cohort = history_offers(h, o)
     got = lookback_features(cohort, facts, windows=(30, 60)).where(F.col("id") == 7).collect()[0]

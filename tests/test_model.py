@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from revisit.operators import model as M
@@ -33,7 +35,10 @@ def test_rank_sum_auc_independent_of_partitions(spark):
 
 def test_label_is_fixed_mapping(spark):
     df = spark.createDataFrame([("t",), ("t",), ("f",), (None,)], "repeater string")
-    assert [r.label for r in M.with_label(df).collect()] == [1.0, 1.0, 0.0, 0.0]
+    out = M.with_label(df)
+    assert [r.label for r in out.collect()] == [1.0, 1.0, 0.0, None]
+    with pytest.raises(ValueError, match="1 training rows"):
+        M.labelled(out)
 
 
 def test_feature_columns_sorted_and_exclusive():
@@ -68,3 +73,39 @@ def test_cross_validate_small_grid(spark):
                                   folds=2, parallelism=2)
     out = metrics.collect()
     assert len(out) == 2 and all(0.0 <= r.avg_auc <= 1.0 for r in out)
+
+
+def test_folds_do_not_depend_on_the_layout(spark):
+    rnd = random.Random(4)
+    rows = [("train", i, i % 3, float(rnd.random()), 1.0 if rnd.random() < 0.5 else 0.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "split string, id long, offer long, x double, label double")
+    seen = []
+    for n in (1, 4, 16):
+        _, metrics = M.cross_validate(df.repartition(n), ["x"], grid={"maxDepth": [1]}, folds=3)
+        seen.append(round(metrics.first().avg_auc, 9))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_submission_pairs_on_the_cohort_key(spark):
+    scored = spark.createDataFrame([(1, 0, 0.25), (1, 1, 0.5), (2, 0, 0.75)], "id long, offer long, repeatProbability float")
+    asked = spark.createDataFrame([(1, 0), (1, 1), (9, 0)], "id long, offer long")
+    out = M.submission(asked, scored)
+    assert sorted((r.id, r.offer, r.repeatProbability) for r in out.collect() if r.id == 1) == [(1, 0, 0.25), (1, 1, 0.5)]
+    check = M.submission_checks(asked, out).first()
+    assert (check.n_rows, check.n_requested, check.n_unscored, check.ok) == (3, 3, 1, True)
+    by_id = M.submission(asked.select("id"), scored).collect()
+    assert sorted(r.repeatProbability for r in by_id if r.id == 1) == [0.5, 0.5]
+
+
+def test_auc_counts_do_not_overflow(spark):
+    df = spark.createDataFrame([(0.0, 1), (1.0, 1)], "s double, label int")
+    assert M.auc_rank_sum(df.withColumn("label", F.when(F.col("s") > 0, 1).otherwise(0)), "s").first().auc_roc == 1.0
+
+
+def test_a_damaged_table_fails_the_checks(spark):
+    from revisit.operators.assemble import cohort_row_checks
+    h = spark.createDataFrame([("train", 1, 0), ("test", 2, 0)], "split string, id long, offer long")
+    good = h.withColumn("has_bought_brand_q_30", F.lit(0)).withColumn("has_bought_brand_a_30", F.lit(0.0)).withColumn("never_bought_brand", F.lit(1))
+    bad = good.withColumn("has_bought_brand_a_30", F.col("id") * 1.0)
+    ok = {r["check"]: r.ok for r in cohort_row_checks(h, {"good": good, "bad": bad, "short": good.where("id = 1")}).collect()}
+    assert ok == {"good": True, "bad": False, "short": False, "duplicate_cohort_keys": True}

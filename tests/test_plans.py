@@ -25,7 +25,7 @@ def test_no_nested_loop_or_cartesian(spark, small_dir, name):
 
 def test_date_prefilter_reaches_parquet_scan(spark, small_dir):
     tb = load_tables(spark, small_dir, "dense")
-    facts = purchase_facts(tb.transactions, tb.offers, date_bounds=cohort_date_bounds(tb.history, 180))
+    facts = purchase_facts(tb.transactions, date_bounds=cohort_date_bounds(tb.history, 180))
     old = spark.conf.get("spark.sql.maxMetadataStringLength")
     spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
     try:
@@ -37,21 +37,26 @@ def test_date_prefilter_reaches_parquet_scan(spark, small_dir):
     assert pushed and all("GreaterThanOrEqual(date," in p and "LessThanOrEqual(date," in p for p in pushed)
 
 
-def test_feature_aggregate_reuses_join_partitioning(spark, small_dir):
+def test_facts_are_never_broadcast(spark, small_dir):
     tb = load_tables(spark, small_dir, "dense")
     cohort = history_offers(tb.history, tb.offers, with_productid=True)
-    out = lookback_features(cohort, purchase_facts(tb.transactions, tb.offers))
-    lines = _plan(out).splitlines()
-    smj = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
-    above = lines[:smj]
-    assert any("HashAggregate" in line for line in above)
-    assert not any("Exchange" in line or "SortAggregate" in line for line in above)
-    # facts are never broadcast: both join sides are shuffled on id
-    assert "BroadcastExchange" not in "\n".join(lines[smj:smj + 3])
+    plan = _plan(lookback_features(cohort, purchase_facts(tb.transactions)))
+    assert plan.count("SortMergeJoin") == 2 and "SortAggregate" not in plan
+
+
+def test_assembly_scans_the_lines_twice(spark, small_dir, monkeypatch):
+    """Facts and product totals are the only plans that read purchase lines."""
+    from revisit.operators import assemble
+    tb = load_tables(spark, small_dir, "dense")
+    plans = []
+    stored = assemble._stored
+    monkeypatch.setattr(assemble, "_stored", lambda df: plans.append(_plan(df)) or stored(df))
+    out = assemble.assemble_features(tb.transactions, tb.offers, tb.history)
+    assert sum("purchaseamount" in line for p in plans + [_plan(out)] for line in p.splitlines() if "FileScan" in line) == 2
 
 
 def test_facts_are_partially_aggregated_before_shuffle(spark, small_dir):
     tb = load_tables(spark, small_dir, "dense")
-    lines = _plan(purchase_facts(tb.transactions, tb.offers)).splitlines()
+    lines = _plan(purchase_facts(tb.transactions)).splitlines()
     first_exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(id" in line)
     assert "partial_" in lines[first_exchange + 1]

@@ -58,7 +58,7 @@ def test_one_pass_matches_brute_force(spark, lines, offer_rows, cust):
     o = offers(spark, [(i, c, co, b, 1.0) for i, (c, co, b) in enumerate(offer_rows)])
     h = history(spark, hist)
     got = {(r["id"], r["offer"]): r.asDict()
-           for r in lookback_features(history_offers(h, o), purchase_facts(t, o)).collect()}
+           for r in lookback_features(history_offers(h, o), purchase_facts(t)).collect()}
     want = brute(lines, offer_rows, hist)
     assert set(got) == set(want)
     for k, exp in want.items():

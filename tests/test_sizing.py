@@ -1,7 +1,6 @@
-"""Broadcast bound and the parallelism guard."""
+"""Broadcast bound, the paths past it, and stored tables."""
 
 from revisit.operators.sizing import Bounded, broadcast_bounded, within_bound
-from revisit.sources.io import ensure_parallelism
 
 
 def test_bound_known_and_counted(spark):
@@ -21,12 +20,40 @@ def test_unbounded_side_is_not_hinted(spark):
     assert hinted is big                       # over the bound: returned unhinted
 
 
-def test_parallelism_guard(spark):
-    one = spark.range(1000).coalesce(1)
-    spread = ensure_parallelism(one, min_partitions=4)
-    assert spread.rdd.getNumPartitions() == 4
-    many = spark.range(1000).repartition(6)
-    assert ensure_parallelism(many, min_partitions=4) is many
+def test_hot_product_and_coupon_past_the_bound(spark):
+    """One company and one coupon with a third of all rows: same rows as by broadcast."""
+    from helpers import D, history, offers, tx
+    from revisit.operators.enrich import history_offers
+    from revisit.operators.reduce import reduce_transactions
+    rows = [(i, 10 if i % 3 else 11, 100 if i % 3 else 7, None if i % 5 else 1000, D(2000, 1, 1), 1, 1.0) for i in range(900)]
+    o, t = offers(spark, [(0, 11, 200, 3000, 1.0), (1, 50, 100, None, 1.0)]), tx(spark, rows)
+    h = history(spark, [(i, 0 if i % 3 else 5, D(2000, 1, 1)) for i in range(300)])
+    for f, left in ((reduce_transactions, t), (history_offers, h)):
+        near, far = f(left, Bounded(o)), f(left, Bounded(o, max_rows=0))
+        assert near.count() == far.count() and near.exceptAll(far).count() == 0
+    plan = reduce_transactions(t, Bounded(o, max_rows=0))._jdf.queryExecution().toString()
+    assert "_salt" in plan
+
+
+def test_scratch_needs_a_shared_folder_off_local():
+    import types
+
+    import pytest
+    from revisit.session import checkpoint_dir
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, getConf=lambda: {})
+    session = types.SimpleNamespace(sparkContext=context, conf={})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)
+
+
+def test_two_folders_in_one_session(spark, small_dir):
+    import __spark_entry__ as E
+    other = "/root/testdata/sf0.01"
+    reduce = E.queries()["reduce_transactions"]
+    held = reduce(spark, small_dir)
+    counts = [reduce(spark, d).count() for d in (small_dir, other, small_dir, small_dir + "/")]
+    assert counts[0] == counts[2] == counts[3] == held.count() != counts[1]
+    assert E.entry(spark).count() == 150
 
 
 def test_unbroadcast_catalogue_gives_same_results(spark, small_dir):
@@ -46,7 +73,9 @@ def test_unbroadcast_catalogue_gives_same_results(spark, small_dir):
         shuffled = assemble_features(tb.transactions, big, tb.history)
         reduced = reduce_transactions(tb.transactions, big)
         plan = shuffled._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+        # only the hot-key lists, bounded by construction, are broadcast
+        assert all("_hk_" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+        assert "BroadcastNestedLoopJoin" not in plan
         rows_s, red_s = shuffled.collect(), reduced.count()
     finally:
         for k, v in old.items():
