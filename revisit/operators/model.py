@@ -22,6 +22,7 @@ from revisit.operators.assemble import feature_columns
 GRID = {"maxDepth": [2, 4, 6], "maxBins": [20, 60], "maxIter": [10, 20]}
 FINAL_PARAMS = {"maxDepth": 6, "maxBins": 20, "maxIter": 20}
 NUM_FOLDS = 6
+ROWS_PER_MODEL_PARTITION = 500_000
 SEED = 0
 POSITIVE, NEGATIVE = "t", "f"
 
@@ -86,6 +87,8 @@ def cross_validate(train: DataFrame, features: list[str], grid: dict | None = No
     # The fold is a function of the row's key, so neither partition layout nor row order changes a metric.
     keys = [c for c in ("split", "id", "offer") if c in train.columns] or train.columns
     train = train.withColumn("fold", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(folds)).cast("int"))
+    # Few rows need few partitions (each tree level is a job over them); the count follows the rows alone.
+    train = train.coalesce(max(1, -(-train.count() // ROWS_PER_MODEL_PARTITION)))
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=maps,
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
                         numFolds=folds, parallelism=parallelism, seed=seed, foldCol="fold")
