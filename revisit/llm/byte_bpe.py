@@ -32,6 +32,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from revisit.llm.store import stored
+
 DICTIONARY_WORDS = 300_000
 DICTIONARY_WORD_CHARS = 48      # longer words are left to the texts' own fold
 CHUNK_CHARS = 4 << 20
@@ -182,6 +184,21 @@ def count_words(docs: DataFrame, pattern: str, skip: set[str] | frozenset = froz
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
+def frequent_words(counted: DataFrame, words: int) -> DataFrame:
+    """The most frequent words, at most ``words`` of them: those above the
+    lowest frequency step that fits (a histogram of a few hundred steps; no
+    task ranks all words)."""
+    step = F.floor(4 * F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for r in sizes:
+        total += r["count"]
+        if total > words:
+            break
+        least = r["step"]
+    return counted.where(step >= least) if least is not None else counted.where("false")
+
+
 def whole_words(ranks: dict[bytes, int]) -> dict[str, bytes]:
     """Words that are one id, with that id as int32 bytes."""
     out = {}
@@ -204,7 +221,7 @@ def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DI
     frequent others, a bounded table."""
     spark = docs.sparkSession
     known = whole_words(ranks.by_piece)
-    top = count_words(docs, pattern, frozenset(known)).orderBy(F.desc("n"), "word").limit(words)
+    top = frequent_words(stored(count_words(docs, pattern, frozenset(known)), "words"), words)
     table = ranks.columns()
     rows = (top.repartition(2 * spark.sparkContext.defaultParallelism, "word")
             .select("word", fold_merges(byte_ids(F.col("word"), table), table).alias("ids")).toArrow())
