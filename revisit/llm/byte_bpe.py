@@ -4,13 +4,14 @@ Merging is a Spark higher-order function: a word's bytes become an array of
 ids and ``aggregate`` folds ranked merges over it -- every step joins the
 leftmost neighbours of lowest rank, until no neighbours have a rank.  Ranks
 come from a literal map (left id, right id) -> rank, laid out as two literal
-arrays (a perfect hash, so that a look-up is one comparison).
+arrays: rows of pairs, shifted so that they interlock, make one array of
+cells, so that a look-up is two array accesses and one comparison.
 
 A word that is itself in the rank file is one id.  Other words are counted
-over the whole corpus (pre-summed in each task), and the ``DICTIONARY_WORDS``
-most frequent are folded once and broadcast.  That bound only decides where a
-word is folded: texts carry their remaining distinct words through the same
-fold expression, in chunks of texts, without a shuffle.
+over the whole corpus (pre-summed in each task), and the
+``DICTIONARY_WORDS`` most frequent are folded once and broadcast.  That bound
+only decides where a word is folded: blocks of texts carry their remaining
+distinct words through the same fold expression, without a shuffle.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -24,20 +25,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
+import random
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from revisit.llm import kernel as K
 from revisit.llm.store import stored
+from revisit.llm.token_split import DistinctWords, WordTable, ragged
 
-DICTIONARY_WORDS = 300_000
-DICTIONARY_WORD_CHARS = 48      # longer words are left to the texts' own fold
-CHUNK_CHARS = 4 << 20
-COUNT_FLUSH = 400_000
+DICTIONARY_WORDS = 1_000_000     # about 60 MB in each Python worker
+DICTIONARY_WORD_BYTES = 64      # longer words are left to the texts' own fold
+SPLIT_BYTES = 1 << 20
+COUNT_ROWS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,53 +48,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-PRIME = (1 << 32) + 15       # above every pair key, so no two keys are equal modulo it
-SEEDS = (1 << 31) - 1        # key * seed stays below 2 ** 63
-BUCKET_FACTOR = 1_103_515_245
+MAX_IDS = 65536
+SPREAD = 1021                # odd: a row and a right id determine the left id
 UNRANKED, DONE = -1, -2      # states of a word before its first and after its last merge
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """{left id * 65536 + right id + 1: rank of the joined piece}."""
+def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """{(left id, right id): rank of the joined piece}."""
     out = {}
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
             if left is not None and right is not None:
-                out[left * 65536 + right + 1] = rank
+                out[left, right] = rank
     return out
 
 
-def perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
-    """(seed of each bucket, cells holding key * 65536 + rank or -1): key k is
-    at cell k * seed % PRIME % len(cells) and nowhere else."""
-    n_buckets, n_cells = max(1, len(pairs) // 3), max(1, int(len(pairs) * 1.4) | 1)
-    buckets: list[list[int]] = [[] for _ in range(n_buckets)]
-    for key in pairs:
-        buckets[key * BUCKET_FACTOR % PRIME % n_buckets].append(key)
-    seeds, cells = [1] * n_buckets, [-1] * n_cells
-    for b in sorted(range(n_buckets), key=lambda i: -len(buckets[i])):
-        seed = 7919
-        while buckets[b]:
-            at = [key * seed % PRIME % n_cells for key in buckets[b]]
-            if len(set(at)) == len(at) and all(cells[i] < 0 for i in at):
-                for key, i in zip(buckets[b], at):
-                    cells[i] = key * 65536 + pairs[key]
-                seeds[b] = seed
-                break
-            seed = seed * 48271 % SEEDS
-    return seeds, cells
+def interlock(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+    """(shift of each row, cells holding pair * 65536 + rank or -1): a pair of
+    row (left + SPREAD * right) % 65536 is at cell shift + right and nowhere
+    else."""
+    rows: list[list[tuple[int, int]]] = [[] for _ in range(MAX_IDS)]
+    for left, right in pairs:
+        rows[(left + SPREAD * right) % MAX_IDS].append((left, right))
+    n_shifts = max(1, 2 * len(pairs))
+    shifts, cells = [0] * MAX_IDS, [-1] * (n_shifts + MAX_IDS)
+    draw = random.Random(0)
+    for row in sorted((r for r in range(MAX_IDS) if rows[r]), key=lambda r: -len(rows[r])):
+        shift = draw.randrange(n_shifts)
+        while any(cells[shift + right] >= 0 for _, right in rows[row]):
+            shift = draw.randrange(n_shifts)
+        shifts[row] = shift
+        for left, right in rows[row]:
+            cells[shift + right] = (left * MAX_IDS + right) * MAX_IDS + pairs[left, right]
+    return shifts, cells
 
 
 class Ranks:
     """The rank file and its literal columns."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if ranks and max(ranks.values()) >= 65536:
+        if ranks and max(ranks.values()) >= MAX_IDS:
             raise ValueError("ids of 65536 and more are not supported")
         self.by_piece = ranks
-        self.seeds, self.cells = perfect_hash(pair_ranks(ranks))
-        self.byte_ids = [ranks.get(bytes([i]), 0) for i in range(256)]
+        self.end = max(ranks.values(), default=-1) + 1      # stands before and after a word; in no pair
+        self.shifts, self.cells = interlock(pair_ranks(ranks))
+        self.byte_ids = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
 
     @staticmethod
     def literal(values: list[int], kind: str) -> Column:
@@ -104,17 +106,14 @@ class Ranks:
 
 class RankColumns:
     def __init__(self, ranks: Ranks):
-        self.seeds, self.cells = Ranks.literal(ranks.seeds, "bigint"), Ranks.literal(ranks.cells, "bigint")
-        self.byte_ids = Ranks.literal(ranks.byte_ids, "int")
-        self.n_buckets, self.n_cells = len(ranks.seeds), len(ranks.cells)
+        self.shifts, self.cells = Ranks.literal(ranks.shifts, "int"), Ranks.literal(ranks.cells, "bigint")
+        self.end = ranks.end
 
     def joined(self, left: Column, right: Column) -> Column:
         """Rank of two neighbouring ids joined, or null."""
-        def cell(key: Column) -> Column:
-            seed = F.get(self.seeds, (key * BUCKET_FACTOR % PRIME % self.n_buckets).cast("int"))
-            return let(F.get(self.cells, (key * seed % PRIME % self.n_cells).cast("int")), lambda c: F.when(
-                F.shiftright(c, 16) == key, c.bitwiseAND(F.lit(65535).cast("long")).cast("int")))
-        return let(left.cast("long") * 65536 + right + 1, cell)      # never 0, which no seed can move
+        shift = F.get(self.shifts, (left + right * SPREAD).bitwiseAND(MAX_IDS - 1))
+        return let(F.get(self.cells, shift + right), lambda c: F.when(
+            F.shiftright(c, 16) == left.cast("long") * MAX_IDS + right, c.bitwiseAND(F.lit(MAX_IDS - 1).cast("long")).cast("int")))
 
 
 def let(value: Column, body) -> Column:
@@ -122,65 +121,83 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def byte_ids(word: Column, table: RankColumns) -> Column:
-    """Ids of a word's single bytes."""
-    characters = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
-    return F.transform(characters, lambda c: F.get(table.byte_ids, F.ascii(c)))
-
-
 def fold_merges(first: Column, table: RankColumns) -> Column:
     """Ids of one word: the ranked merges folded over the ids of its bytes.
 
-    The first step ranks all neighbours, each further one merges and ranks the
-    new id's neighbours; both go through one look-up expression, so the rank
-    literals occur once in the plan."""
-    no_ranks = F.array().cast("array<int>")
-
-    def ranked(ids: Column, left: Column, window: Column, right: Column) -> Column:
-        pairs = F.when(F.size(window) > 1, F.zip_with(
-            F.slice(window, F.lit(1), F.size(window) - 1), F.slice(window, F.lit(2), F.size(window)), table.joined)).otherwise(no_ranks)
-        return let(F.concat(left, pairs, right), lambda r: F.struct(
-            ids.alias("ids"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(DONE)).alias("best")))
+    ``ids`` has an end mark at both sides and ``ranks`` the rank of each id
+    with its right neighbour.  The first step ranks all neighbours, each
+    further one merges a pair and ranks the new id's two neighbours; both go
+    through one look-up expression, so the literals occur once in the plan."""
+    no_ranks, end = F.array().cast("array<int>"), F.array(F.lit(table.end))
 
     def change(acc: Column) -> Column:
-        """New ids, kept ranks left and right, and the ids to rank between them."""
+        """New ids, ranks kept left and right, and the pairs to rank between them."""
         ids, ranks, best = acc["ids"], acc["ranks"], acc["best"]
+        whole = F.struct(ids.alias("ids"), no_ranks.alias("left"), ids.alias("lefts"),
+                         F.slice(ids, F.lit(2), F.size(ids)).alias("rights"), no_ranks.alias("right"))
 
-        def merge(at: Column) -> Column:
-            low = F.greatest(at - 1, F.lit(1))
-            merged = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids)))   # a piece's id is its rank
-            return let(merged, lambda new: F.struct(
-                new.alias("ids"), F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))).alias("left"),
-                F.slice(new, low, at + 2 - low).alias("window"), F.slice(ranks, at + 2, F.size(ids)).alias("right")))
-        whole = F.struct(ids.alias("ids"), no_ranks.alias("left"), ids.alias("window"), no_ranks.alias("right"))
-        return F.when(best == UNRANKED, whole).otherwise(let(F.array_position(ranks, best).cast("int"), merge))    # leftmost, 1-based
+        def merge(at: Column) -> Column:      # 1-based; a piece's id is its rank
+            rest = at + 2
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, rest, F.size(ids))).alias("ids"),
+                F.slice(ranks, F.lit(1), at - 2).alias("left"), F.array(F.get(ids, at - 2), best).alias("lefts"),
+                F.array(best, F.get(ids, at + 1)).alias("rights"), F.slice(ranks, rest, F.size(ids)).alias("right"))
+        return F.when(best == UNRANKED, whole).otherwise(let(F.array_position(ranks, best).cast("int"), merge))    # leftmost
+
+    def ranked(c: Column) -> Column:
+        new = F.concat(c["left"], F.zip_with(c["lefts"], c["rights"], table.joined), c["right"])
+        return let(new, lambda r: F.struct(c["ids"].alias("ids"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(DONE)).alias("best")))
 
     def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["best"] == DONE, acc).otherwise(
-            let(change(acc), lambda c: ranked(c["ids"], c["left"], c["window"], c["right"])))
+        return F.when(acc["best"] == DONE, acc).otherwise(let(change(acc), ranked))
+
+    start = F.struct(F.concat(end, first, end).alias("ids"), no_ranks.alias("ranks"), F.lit(UNRANKED).alias("best"))
+    return F.aggregate(first, start, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
+
+
+def text_blocks(batch: pa.RecordBatch, column: int, max_bytes: int = SPLIT_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of blocks of whole texts."""
+    data, off = K.text_buffer(batch.column(column))
+    for lo, hi in K.blocks(off, max_bytes):
+        yield lo, hi, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
+
+
+def binary_array(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
 
-    def start(ids: Column) -> Column:
-        return F.struct(ids.alias("ids"), no_ranks.alias("ranks"), F.lit(UNRANKED).alias("best"))
-    return let(first, lambda ids: F.aggregate(ids, start(ids), step, lambda acc: acc["ids"]))
+def list_array(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def count_words(docs: DataFrame, pattern: str, skip: set[str] | frozenset = frozenset()) -> DataFrame:
+def count_words(docs: DataFrame, pattern: str, skip: WordTable) -> DataFrame:
     """(word, n) over all texts but for the words to skip and long ones (those are folded with their text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, counts = regex.compile(pattern).findall, Counter()
+    broadcast = docs.sparkSession.sparkContext.broadcast(skip)
+
+    def summed(held: list[tuple]) -> pa.RecordBatch:
+        """Counts of several blocks by the words' hashes: a collision may lose
+        a word here, which is then folded with its texts."""
+        hashes, counts, data, lengths = (np.concatenate(x) for x in zip(*held))
+        code, heads = pd.factorize(hashes)[0], np.unique(hashes, return_index=True)[1]
+        heads.sort()      # codes are numbered by first appearance
+        start = (np.cumsum(lengths) - lengths)[heads]
+        words = binary_array(data[ragged(start, lengths[heads])], np.r_[0, np.cumsum(lengths[heads])])
+        return pa.RecordBatch.from_arrays([words, pa.array(np.bincount(code, counts, len(heads)).astype(np.int64))], names=["word", "n"])
 
-        def flush() -> pa.RecordBatch:
-            words = [w for w in counts if len(w) <= DICTIONARY_WORD_CHARS and w not in skip]
-            out = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([counts[w] for w in words], pa.int64())})
-            counts.clear()
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(find(text))
-                if len(counts) > COUNT_FLUSH:
-                    yield flush()
-        yield flush()
-    return (docs.where(F.length("text") > 0).select("text").mapInArrow(run, "word string, n long")
+            for _, _, data, off in text_blocks(batch, 0):
+                words = DistinctWords(data, off, pattern)
+                rows = np.flatnonzero((words.length <= DICTIONARY_WORD_BYTES) & (broadcast.value.find(words) < 0))
+                held.append((words.hash[rows], words.counts()[rows], words.flat(rows)[0], words.length[rows]))
+                size += len(rows)
+                if size >= COUNT_ROWS:
+                    yield summed(held)
+                    held, size = [], 0
+        if size:
+            yield summed(held)
+    return (docs.where(F.length("text") > 0).select("text").mapInArrow(run, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
@@ -199,81 +216,76 @@ def frequent_words(counted: DataFrame, words: int) -> DataFrame:
     return counted.where(step >= least) if least is not None else counted.where("false")
 
 
-def whole_words(ranks: dict[bytes, int]) -> dict[str, bytes]:
-    """Words that are one id, with that id as int32 bytes."""
-    out = {}
-    for piece, rank in ranks.items():
-        try:
-            out[piece.decode("utf-8")] = np.int32(rank).tobytes()
-        except UnicodeDecodeError:
-            pass        # part of a character: never a whole word
-    return out
-
-
-def _cut(column: pa.ListArray) -> tuple[bytes, list[int]]:
-    """(all values as int32 bytes, byte offset of each list)."""
-    lengths = column.value_lengths().to_numpy()
-    return column.flatten().to_numpy().astype(np.int32).tobytes(), [0, *np.cumsum(4 * lengths).tolist()]
+def table_of(words: list[bytes], ids: np.ndarray, ids_off: np.ndarray) -> WordTable:
+    off = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
+    return WordTable(np.frombuffer(b"".join(words), np.uint8), off, ids, ids_off)
 
 
-def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DICTIONARY_WORDS) -> dict[str, bytes]:
-    """{word: its ids as int32 bytes}: the rank file's own words and the most
-    frequent others, a bounded table."""
+def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DICTIONARY_WORDS) -> WordTable:
+    """Ids of the rank file's own words and of the most frequent others, a
+    bounded table."""
     spark = docs.sparkSession
-    known = whole_words(ranks.by_piece)
-    top = frequent_words(stored(count_words(docs, pattern, frozenset(known)), "words"), words)
-    table = ranks.columns()
-    rows = (top.repartition(2 * spark.sparkContext.defaultParallelism, "word")
-            .select("word", fold_merges(byte_ids(F.col("word"), table), table).alias("ids")).toArrow())
-    if rows.num_rows:
-        values, off = _cut(rows["ids"].combine_chunks())
-        known.update(zip(rows["word"].to_pylist(), (values[a:b] for a, b in zip(off, off[1:]))))
-    return known
+    pieces = list(ranks.by_piece)
+    own = np.array([ranks.by_piece[w] for w in pieces], np.int32)
+    known = table_of(pieces, own, np.arange(len(own) + 1))
+    top = frequent_words(stored(count_words(docs, pattern, known), "words"), words)
+    byte_ids = ranks.byte_ids
+
+    def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = K.text_buffer(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(byte_ids[data], off)], names=["word", "first"])
+    rows = (top.select("word").repartition(2 * spark.sparkContext.defaultParallelism, "word")
+            .mapInArrow(with_bytes, "word binary, first array<int>")
+            .select("word", fold_merges(F.col("first"), ranks.columns()).alias("ids")).toArrow())
+    if not rows.num_rows:
+        return known
+    found = rows["ids"].combine_chunks()
+    sizes = np.r_[np.ones(len(own), np.int64), found.value_lengths().to_numpy()]
+    return table_of(pieces + rows["word"].to_pylist(), np.r_[own, found.flatten().to_numpy()], np.r_[0, np.cumsum(sizes)])
 
 
 def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_text, schema: str,
                  words: int = DICTIONARY_WORDS) -> DataFrame:
     """``per_text(doc_id, ids as int32 array) -> tuple`` over every text."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     loaded = Ranks(ranks)
-    known = spark.sparkContext.broadcast(word_dictionary(rows, loaded, pattern, words))
-    single = np.array(loaded.byte_ids, np.int32)
+    known = docs.sparkSession.sparkContext.broadcast(word_dictionary(rows, loaded, pattern, words))
+    byte_ids = loaded.byte_ids
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, have = regex.compile(pattern).findall, known.value
+        """A row for each block: its keys, its texts, the bytes of its words outside the dictionary."""
         for batch in batches:
-            keys, texts = (batch.column(i).to_pylist() for i in range(2))
-            lo = size = 0
-            missing: dict[str, None] = {}
-            for i, text in enumerate(texts):
-                missing.update((word, None) for word in find(text) if word not in have)
-                size += len(text)
-                if size >= CHUNK_CHARS or i + 1 == len(texts):
-                    first = [single[np.frombuffer(word.encode("utf-8"), np.uint8)] for word in missing]
-                    yield pa.RecordBatch.from_pydict({
-                        "keys": pa.array([keys[lo:i + 1]], pa.list_(pa.int64())),
-                        "texts": pa.array([texts[lo:i + 1]], pa.list_(pa.string())),
-                        "missing": pa.array([list(missing)], pa.list_(pa.string())),
-                        "bytes": pa.array([first], pa.list_(pa.list_(pa.int32())))})
-                    lo, size, missing = i + 1, 0, {}
-    chunks = rows.mapInArrow(gather, "keys array<long>, texts array<string>, missing array<string>, bytes array<array<int>>")
+            for lo, hi, data, off in text_blocks(batch, 1):
+                found = DistinctWords(data, off, pattern)
+                missing, ends = found.flat(np.flatnonzero(known.value.find(found) < 0))
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), list_array(byte_ids[missing], ends)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
+                                                 names=["keys", "texts", "bytes"])
+    chunks = rows.mapInArrow(gather, "keys array<long>, texts array<string>, bytes array<array<int>>")
     table = loaded.columns()
-    folded = chunks.select("keys", "texts", "missing", F.transform("bytes", lambda b: fold_merges(b, table)).alias("ids"))
+    folded = chunks.select("keys", "texts", F.transform("bytes", lambda b: fold_merges(b, table)).alias("ids"))
     names = [part.split()[0] for part in schema.split(",")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, have = regex.compile(pattern).findall, known.value
         for batch in batches:
-            for keys, texts, missing, ids in zip(*(batch.column(i) for i in range(4))):
-                rest = {}
-                if len(missing.values):
-                    values, off = _cut(ids.values)
-                    rest = dict(zip(missing.as_py(), (values[a:b] for a, b in zip(off, off[1:]))))
-                out = []
-                for key, text in zip(keys.as_py(), texts.as_py()):
-                    found = b"".join([have[w] if w in have else rest[w] for w in find(text)])
-                    out.append(per_text(key, np.frombuffer(found, np.int32)))
+            for keys, texts, ids in zip(*(batch.column(i) for i in range(3))):
+                data, off = K.text_buffer(texts.values)
+                found = DistinctWords(data, off, pattern)
+                row = known.value.find(found)
+                hit, miss = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+                length = np.zeros(len(row), np.int64)
+                length[hit] = known.value.ids_length[row[hit]]
+                length[miss] = ids.values.value_lengths().to_numpy()
+                start = np.zeros(len(row), np.int64)
+                start[hit] = np.cumsum(length[hit]) - length[hit]
+                start[miss] = length[hit].sum() + np.cumsum(length[miss]) - length[miss]
+                flat = np.r_[known.value.ids[ragged(known.value.ids_start[row[hit]], length[hit])],
+                             ids.values.flatten().to_numpy().astype(np.int32)]
+                sizes = length[found.code]
+                listed = flat[ragged(start[found.code], sizes)]
+                ends = np.r_[0, np.cumsum(sizes)][found.first].tolist()
+                out = [per_text(key, listed[a:b]) for key, a, b in zip(keys.as_py(), ends, ends[1:])]
                 yield pa.RecordBatch.from_pydict({name: list(column) for name, column in zip(names, zip(*out))})
     return folded.mapInArrow(finish, schema)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revisit.llm import (byte_bpe, chat_format, components, fingerprints, kernel, language_id, near_dedup, packing,
-                         quality_model, quality_rules, secret_scan, substring_dedup)
+                         quality_model, quality_rules, secret_scan, substring_dedup, token_split)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
@@ -350,6 +350,35 @@ def test_byte_bpe(docs, none):
     assert byte_bpe.round_trip(none, path, P.PATTERN).count() == 0
 
 
+def test_token_split():
+    import public_tokenizers as P
+    import pyarrow as pa
+    import regex
+    r = random.Random(8)
+    pieces = ["'", "s", "t", "re", "ve", "ll", "m", "d", " ", "  ", "\n", "\t", "é", "漢", "1", "²", "!", "#", "a", "'S", "\x1c", "\x85", "😀", "\u0301"]
+    rows = ["", None, " ", "'", "'s", *("".join(r.choice(pieces) for _ in range(r.randrange(25))) for _ in range(4000))]
+    data, off = kernel.text_buffer(pa.array(rows))
+    raw = data.tobytes()
+    for pattern in (P.PATTERN, r"\p{L}+|[0-9]"):
+        start, end = token_split.spans(data, off, pattern)
+        want = [w for t in rows for w in regex.findall(pattern, t or "")]
+        assert [raw[a:b].decode() for a, b in zip(start, end)] == want
+        distinct = token_split.DistinctWords(data, off, pattern)
+        flat, ends = distinct.flat(np.arange(len(distinct.start)))
+        listed = [flat[a:b].tobytes().decode() for a, b in zip(ends, ends[1:])]
+        assert len(set(listed)) == len(listed) and [listed[c] for c in distinct.code] == want
+
+
+def test_equal_hashes_of_words(monkeypatch):
+    """With every hash equal, words are told apart by their bytes."""
+    monkeypatch.setattr(kernel, "span_hashes", lambda data, start, end, fold=None: np.zeros(len(start), np.uint64))
+    data = np.frombuffer(b"a bc a de bc", np.uint8)
+    words = token_split.DistinctWords(data, np.array([0, len(data)]), token_split.PATTERN)
+    assert words.code.tolist() == [0, 1, 2, 3, 1]
+    table = byte_bpe.table_of([b" bc", b"zz"], np.array([7, 8, 9]), np.array([0, 2, 3]))
+    assert table.find(words).tolist() == [-1, 0, -1, -1]
+
+
 # -- 9: secret scan --------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
