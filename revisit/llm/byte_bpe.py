@@ -37,7 +37,7 @@ from revisit.llm import kernel as K
 from revisit.llm.store import stored
 from revisit.llm.token_split import DistinctWords, WordTable, ragged
 
-DICTIONARY_WORDS = 1_000_000     # about 60 MB in each Python worker
+DICTIONARY_WORDS = 700_000      # about 40 MB in each Python worker
 DICTIONARY_WORD_BYTES = 64      # longer words are left to the texts' own fold
 SPLIT_BYTES = 1 << 20
 COUNT_ROWS = 1_000_000
@@ -216,17 +216,15 @@ def frequent_words(counted: DataFrame, words: int) -> DataFrame:
     return counted.where(step >= least) if least is not None else counted.where("false")
 
 
-def table_of(words: list[bytes], ids: np.ndarray, ids_off: np.ndarray) -> WordTable:
-    off = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
-    return WordTable(np.frombuffer(b"".join(words), np.uint8), off, ids, ids_off)
+def table_of(words: pa.Array, ids: np.ndarray, ids_off: np.ndarray) -> WordTable:
+    return WordTable(*K.text_buffer(words), ids, ids_off)
 
 
 def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DICTIONARY_WORDS) -> WordTable:
     """Ids of the rank file's own words and of the most frequent others, a
     bounded table."""
     spark = docs.sparkSession
-    pieces = list(ranks.by_piece)
-    own = np.array([ranks.by_piece[w] for w in pieces], np.int32)
+    pieces, own = pa.array(list(ranks.by_piece), pa.binary()), np.array(list(ranks.by_piece.values()), np.int32)
     known = table_of(pieces, own, np.arange(len(own) + 1))
     top = frequent_words(stored(count_words(docs, pattern, known), "words"), words)
     byte_ids = ranks.byte_ids
@@ -242,7 +240,7 @@ def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DI
         return known
     found = rows["ids"].combine_chunks()
     sizes = np.r_[np.ones(len(own), np.int64), found.value_lengths().to_numpy()]
-    return table_of(pieces + rows["word"].to_pylist(), np.r_[own, found.flatten().to_numpy()], np.r_[0, np.cumsum(sizes)])
+    return table_of(pa.chunked_array([pieces, *rows["word"].chunks]), np.r_[own, found.flatten().to_numpy()], np.r_[0, np.cumsum(sizes)])
 
 
 def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_text, schema: str,

@@ -371,11 +371,12 @@ def test_token_split():
 
 def test_equal_hashes_of_words(monkeypatch):
     """With every hash equal, words are told apart by their bytes."""
+    import pyarrow as pa
     monkeypatch.setattr(kernel, "span_hashes", lambda data, start, end, fold=None: np.zeros(len(start), np.uint64))
     data = np.frombuffer(b"a bc a de bc", np.uint8)
     words = token_split.DistinctWords(data, np.array([0, len(data)]), token_split.PATTERN)
     assert words.code.tolist() == [0, 1, 2, 3, 1]
-    table = byte_bpe.table_of([b" bc", b"zz"], np.array([7, 8, 9]), np.array([0, 2, 3]))
+    table = byte_bpe.table_of(pa.array([b" bc", b"zz"]), np.array([7, 8, 9]), np.array([0, 2, 3]))
     assert table.find(words).tolist() == [-1, 0, -1, -1]
 
 
