@@ -50,6 +50,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 MAX_IDS = 65536
 SPREAD = 1021                # odd: a row and a right id determine the left id
+DRAWS = 10_000
 UNRANKED, DONE = -1, -2      # states of a word before its first and after its last merge
 
 
@@ -75,9 +76,13 @@ def interlock(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
     shifts, cells = [0] * MAX_IDS, [-1] * (n_shifts + MAX_IDS)
     draw = random.Random(0)
     for row in sorted((r for r in range(MAX_IDS) if rows[r]), key=lambda r: -len(rows[r])):
-        shift = draw.randrange(n_shifts)
-        while any(cells[shift + right] >= 0 for _, right in rows[row]):
+        for _ in range(DRAWS):
             shift = draw.randrange(n_shifts)
+            if all(cells[shift + right] < 0 for _, right in rows[row]):
+                break
+        else:
+            shift = len(cells)      # a place of its own
+            cells += [-1] * MAX_IDS
         shifts[row] = shift
         for left, right in rows[row]:
             cells[shift + right] = (left * MAX_IDS + right) * MAX_IDS + pairs[left, right]
