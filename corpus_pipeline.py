@@ -7,8 +7,10 @@ columns of their input.  ``run`` writes each stage's result as Parquet in the
 shared folder and reads it again as the next one's documents.
 
 Defined cases: extra columns pass through unchanged; ``n_chars``, where
-present, follows a changed text; texts without a letter are rejected by the
-first stage, null doc_ids pass all filters; an empty table stays empty.
+present, follows a changed text; the first stage rejects texts without a
+letter and, where a language was learned, texts unlike the training texts of
+every learned language (gibberish, other languages); null doc_ids pass all
+filters; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from revisit.llm import language_id, near_dedup, packing, secret_scan, substring_dedup
 from revisit.llm.store import stored
 
-MIN_LANGUAGE_SCORE = 0.5
 WORDS, SIMILAR, OF = 5, 80, 100        # word shingles and least Jaccard similarity, in percent
 
 
@@ -34,10 +35,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has no determinable language go."""
-    rejected = language_id.identify(docs).where(
-        (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    return _without(docs, rejected)
+    """Texts without a letter and texts far from every learned language go, row by row."""
+    return language_id.in_known_language(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

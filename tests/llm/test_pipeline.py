@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from revisit.llm import queries as llm_queries
 from revisit.llm.store import stored
@@ -43,6 +44,25 @@ def test_stages(spark, rows):
     assert sorted(i for b in batches for i in b["doc_ids"]) == [0, 2, 3, 6, 7]
 
 
+def learned_rows(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+
+
+def test_gibberish_and_unlearned_scripts_go(spark):
+    """Random letters and a script nobody learned, beside short clean texts."""
+    r = random.Random(12)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(50)) for _ in range(40)]
+    other = ["Это русский текст о погоде и о зиме в большом городе, без единой метки.", "これは日本語の文章です。今日は天気がいいので散歩に行きます。"]
+    short = ["the weather was fine", "hello", "Good morning, this is a short note about the house.", "la casa de la ciudad", "und der Tag"]
+    docs = learned_rows(spark)
+    rows = [(-1 - i, t, None) for i, t in enumerate(noise + other + short)]
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), "")
+    got = {x["doc_id"] for x in kept.select("doc_id").collect()}
+    assert sorted(i for i in got if i < 0) == sorted(i for i, t, _ in rows if t in short)
+    clean = docs.where(F.col("text").rlike(r"\p{L}"))
+    assert sum(i >= 0 for i in got) >= 0.99 * clean.count()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
