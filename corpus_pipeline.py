@@ -9,7 +9,8 @@ shared folder and reads it again as the next one's documents.
 Defined cases: extra columns pass through unchanged; ``n_chars``, where
 present, follows a changed text; the first stage rejects texts without a
 letter and, where a language was learned, texts unlike the training texts of
-every learned language (gibberish, other languages); null doc_ids pass all
+every learned language (gibberish, other languages), each row by itself: with
+no label to learn from, all texts with a letter stay; null doc_ids pass all
 filters; an empty table stays empty.
 """
 

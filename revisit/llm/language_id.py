@@ -229,7 +229,8 @@ def identify(docs: DataFrame, max_langs: int = MAX_LANGS) -> DataFrame:
 
 def in_known_language(docs: DataFrame, max_langs: int = MAX_LANGS) -> DataFrame:
     """Rows of ``docs`` with a letter whose text is no further below what is
-    usual in its predicted language than ``MAX_DEVIATION``.  Rows with a null doc_id stay."""
+    usual in its predicted language than ``MAX_DEVIATION``; with nothing to
+    learn from, all with a letter.  Rows with a null doc_id stay."""
     rows = scored(docs, [c for c in docs.columns if c != "text"], True, max_langs)
-    kept = rows.where(F.col("doc.doc_id").isNull() | (F.col("has_letter") & F.col("lang_pred").isNotNull() & (F.col("deviation") >= -MAX_DEVIATION)))
+    kept = rows.where(F.col("doc.doc_id").isNull() | (F.col("has_letter") & (F.col("deviation") >= -MAX_DEVIATION)))
     return kept.select(*[(F.col("text") if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])

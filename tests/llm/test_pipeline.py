@@ -63,6 +63,16 @@ def test_gibberish_and_unlearned_scripts_go(spark):
     assert sum(i >= 0 for i in got) >= 0.99 * clean.count()
 
 
+def test_unlabelled_rows_and_repeated_ids(spark):
+    """Without a label all texts with a letter stay; a letterless row does not take a clean one of its doc_id along."""
+    rows = [(i, " ".join(sentence(40, i)), None) for i in range(8)] + [(3, "12345 ?!", None), (9, None, None), (None, "17", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted([r[:2] for r in rows[:8]] + [(None, "17")], key=str)
+    for lang in (None, "en"):
+        kept = corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.lit(lang).cast("string")), "")
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
