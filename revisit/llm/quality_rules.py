@@ -8,9 +8,9 @@ non-null ``lang``; a text is measured against its nearest reference, so its
 own label is not needed.  Texts below the minimum lengths are not judged by
 divergence: a short sample is far from any reference by chance.
 
-Sizes: one reference is 9 class counts and ``TOP_WORDS`` word counts; the
-``MAX_LANGS`` most frequent languages have one, which bounds what is sent to
-tasks.  Word counts are pre-summed in each task as (lang, hash, count); the
+Sizes: one reference is 9 class counts and ``TOP_WORDS`` word counts; at most
+``MAX_LANGS`` are sent to a task.  More languages are compared in rounds, and
+texts carry their least distances from round to round.  Word counts are pre-summed in each task as (lang, hash, count); the
 top words of a language are found in two steps (64 slices, then their
 winners), so no task holds a language's whole vocabulary.
 
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from revisit.llm import kernel as K
+from revisit.llm.store import stored
 
 TOP_WORDS = 64
 MAX_LANGS = 256
@@ -107,7 +108,13 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def language_references(docs: DataFrame, top_words: int = TOP_WORDS, max_langs: int = MAX_LANGS) -> dict:
+def language_rounds(docs: DataFrame, max_langs: int = MAX_LANGS) -> list[list[str]]:
+    """The languages, in rounds of at most ``max_langs`` (one row a language is collected)."""
+    langs = sorted(r["lang"] for r in docs.where(F.col("lang").isNotNull()).select("lang").distinct().collect())
+    return [langs[lo:lo + max_langs] for lo in range(0, len(langs), max_langs)]
+
+
+def language_references(docs: DataFrame, langs: list[str], top_words: int = TOP_WORDS) -> dict:
     """{lang: (class counts, sorted word hashes, their counts and the rest)}."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +133,9 @@ def language_references(docs: DataFrame, top_words: int = TOP_WORDS, max_langs:
                         "lang": pa.array([lang] * len(kinds), pa.string()), "kind": kinds,
                         "value": np.r_[np.arange(N_CLASSES), values.view(np.int64)],
                         "n": np.r_[classes, n].astype(np.int64)})
-    labelled = docs.where(F.col("lang").isNotNull())
-    langs = [r["lang"] for r in labelled.groupBy("lang").count()
-             .orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
     if not langs:
         return {}
-    counted = (labelled.where(F.col("lang").isin(langs))
+    counted = (docs.where(F.col("lang").isin(langs))
                .select("lang", F.coalesce("text", F.lit("")).alias("text"))
                .mapInArrow(count, "lang string, kind byte, value long, n long")
                .groupBy("lang", "kind", "value").agg(F.sum("n").alias("n")))
@@ -146,7 +150,7 @@ def language_references(docs: DataFrame, top_words: int = TOP_WORDS, max_langs:
            .select("lang", "kind", "value", "n"))
     kept = slices.where("kind = 0").select("lang", "kind", "value", "n").unionByName(totals).unionByName(top)
     found: dict = {lang: [np.zeros(N_CLASSES), [], 0] for lang in langs}
-    for r in kept.collect():   # at most max_langs * (9 + 1 + top_words) rows
+    for r in kept.collect():   # at most MAX_LANGS * (9 + 1 + top_words) rows
         if r["kind"] == 0:
             found[r["lang"]][0][r["value"]] = r["n"]
         elif r["kind"] == 1:
@@ -181,10 +185,25 @@ def nearest_distances(w: K.Words, lower: np.ndarray, classes: np.ndarray, refere
     return best_class, best_word
 
 
+def running_distances(rows: DataFrame, references: dict) -> DataFrame:
+    """``rows`` with js_class and js_word lowered by these references."""
+    def lower(data: np.ndarray, off: np.ndarray, table: pa.RecordBatch) -> dict:
+        w = K.Words(data, off)
+        js_class, js_word = nearest_distances(w, w.hashes(K.LOWER), class_histogram(data, off), references)
+        return {"doc_id": table.column(0), "text": table.column(1), "js_class": np.minimum(js_class, table.column(2).to_numpy()),
+                "js_word": np.minimum(js_word, table.column(3).to_numpy())}
+    return K.map_texts(rows, "doc_id long, text string, js_class double, js_word double", lower, extra=("js_class", "js_word"))
+
+
 def quality_rules(docs: DataFrame, references: dict | None = None, max_class: float = MAX_CLASS_DISTANCE,
-                  max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+                  max_word: float = MAX_WORD_DISTANCE, max_langs: int = MAX_LANGS) -> DataFrame:
     """One row per document: counts, distances, ``base_failed`` and ``kept``."""
-    references = language_references(docs) if references is None else references
+    rows = docs.select("doc_id", "text", F.lit(1.0).alias("js_class"), F.lit(1.0).alias("js_word"))
+    if references is None:
+        rounds = language_rounds(docs, max_langs)
+        for langs in rounds[:-1]:            # one round's references at a time in a task
+            rows = stored(running_distances(rows, language_references(docs, langs)), "distances")
+        references = language_references(docs, rounds[-1]) if rounds else {}
 
     def judge(data: np.ndarray, off: np.ndarray, table: pa.RecordBatch) -> dict:
         w = K.Words(data, off)
@@ -194,6 +213,8 @@ def quality_rules(docs: DataFrame, references: dict | None = None, max_class: fl
         repeated = repeated_words(w, h)
         classes = class_histogram(data, off)
         js_class, js_word = nearest_distances(w, w.hashes(K.LOWER), classes, references)
+        js_class = np.minimum(js_class, table.column(2).to_numpy())
+        js_word = np.minimum(js_word, table.column(3).to_numpy())
         failed = (w.count < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * w.count)
         chars = K.per_text(lead, off)
         far = ((chars >= GUARD_CHARS) & (js_class > max_class)) | ((w.count >= GUARD_WORDS) & (js_word > max_word))
@@ -201,5 +222,6 @@ def quality_rules(docs: DataFrame, references: dict | None = None, max_class: fl
                 "word_chars": K.per_text(lead & w.word, off), "n_symbols": K.per_text(IS_SYMBOL[data], off),
                 "n_dup_lines": dup.astype(np.int64), "n_repeat_words": repeated.astype(np.int64),
                 "base_failed": failed, "kept": ~(failed | far), "js_class": js_class, "js_word": js_word}
-    return K.map_texts(docs, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                             "n_repeat_words long, base_failed boolean, kept boolean, js_class double, js_word double", judge)
+    return K.map_texts(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+                             "n_repeat_words long, base_failed boolean, kept boolean, js_class double, js_word double", judge,
+                       extra=("js_class", "js_word"))

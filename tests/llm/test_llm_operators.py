@@ -237,6 +237,16 @@ def test_language_id_edges(spark, docs):
     assert {r["lang_pred"] for r in unknown} == {"und"}
 
 
+def test_language_id_in_rounds(spark):
+    """Rounds of two languages give what one matrix gives; the rarest label is learned too."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(i, "погода и зима в большом городе " * 5, "ru") for i in range(900_000, 900_008)], docs.schema)
+    docs = docs.unionByName(rare).cache()
+    whole, parts = ({r["doc_id"]: r for r in language_id.identify(docs, n).collect()} for n in (256, 2))
+    assert whole.keys() == parts.keys() and {parts[i]["lang_pred"] for i in range(900_000, 900_008)} == {"ru"}
+    assert all(parts[i]["lang_pred"] == w["lang_pred"] and abs(parts[i]["score"] - w["score"]) < 1e-9 for i, w in whole.items())
+
+
 # -- 5: packing ------------------------------------------------------------------------------------------------------
 
 def test_boundaries_are_optimal():
@@ -333,6 +343,13 @@ def test_quality_rules_keep_clean_and_drop_noise(spark):
     assert quality_rules.quality_rules(docs.unionByName(noise)).where("doc_id < 0 and kept").count() == 0
 
 
+def test_quality_rules_in_rounds(spark):
+    """Rounds of one language give the distances of one round over all."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+    whole, parts = (sorted(map(str, quality_rules.quality_rules(docs, max_langs=n).collect())) for n in (256, 1))
+    assert docs.select("lang").distinct().count() > 2 and whole == parts
+
+
 # -- 8: byte BPE -----------------------------------------------------------------------------------------------------
 
 def test_byte_bpe(docs, none):
