@@ -4,10 +4,12 @@ Base patterns give spans of three kinds.  Other long tokens are tested for
 randomness: the encoding is inferred from their characters, and chi-squared
 uniformity over its alphabet, a runs test (lower against upper half of the
 alphabet) and lag-1 serial correlation are combined (three times the least
-p-value).  Under the hypothesis "drawn at random" words, identifiers and
+p-value).  Tokens of letters only hold few letters for a test of uniformity;
+they also meet a test of letter frequencies (the mean log share in written
+text against a uniform draw; four times the least p-value).  Under the hypothesis "drawn at random" words, identifiers and
 sequences have tiny p-values.  They are dismissed by Benjamini-Hochberg within
-bands of token length -- short tokens give weak tests and are not pooled with
-long ones -- so at most a share of about ``FDR`` of what is dismissed would be
+bands of alphabet and token length -- short tokens give weak tests and are not
+pooled with long ones, nor words with encodings -- so at most a share of about ``FDR`` of what is dismissed would be
 truly random; tokens that are not dismissed are reported as ``random``.
 Band sizes come from a p-value histogram of fixed size over all texts.
 
@@ -16,8 +18,7 @@ running sums of their lengths (in code points) are the spans.
 
 Defined cases: null text counts as empty and has no spans; repeated rows and
 null doc_ids are scanned like any other row; tokens that touch a base span
-are not tested; tokens without a digit next to letters are words, not
-encodings, and are not tested; no rows give no rows.
+are not tested; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -37,19 +38,30 @@ MIN_VALUE = 6
 FDR = 0.05
 # Alphabets by name, in order of inference: the first that holds all of a token.
 ALPHABETS = {
+    "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "hex_upper": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base36_upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
+LETTERS_ONLY = [i for i, name in enumerate(ALPHABETS) if name in ("lower", "upper", "letters")]
+# Letters a to z in a thousand of written English, for the letter test (other Latin scripts are close enough).
+LETTER_SHARES = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+LETTER_LOGS = [math.log(x) for x in LETTER_SHARES]
+LETTER_MEAN = sum(LETTER_LOGS) / 26
+LETTER_VARIANCE = sum((x - LETTER_MEAN) ** 2 for x in LETTER_LOGS) / 26
+CAPITAL_LOG = math.log(1 / 20)       # a capital against a small letter, where a token has both
 CHUNK = 512
 P_STEPS = 8            # histogram steps per factor of two in p
 P_BINS = 480
-BANDS = 40             # by the binary logarithm of the length, in half steps
+BANDS = 40             # of an alphabet, by the binary logarithm of the length, in half steps
 
 
 def let(value: Column, body) -> Column:
@@ -101,8 +113,8 @@ def tail(z: Column) -> Column:
     return let(F.abs(z) / math.sqrt(2), lambda x: let(1 / (1 + 0.3275911 * x), lambda t: area(x, t)))
 
 
-def battery(token: Column, alphabet: Column) -> Column:
-    """Combined p-value of the three tests for one alphabet."""
+def battery(token: Column, alphabet: Column, letters_only: Column) -> Column:
+    """Combined p-value of the tests for one alphabet."""
     n = F.length(token).cast("double")
 
     def z_uniform(k: Column) -> Column:
@@ -126,30 +138,45 @@ def battery(token: Column, alphabet: Column) -> Column:
                     F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x)), lambda u, v: (u - mean) * (v - mean)),
                     F.lit(0.0), lambda a, v: a + v) / var).otherwise(F.lit(9.0))))
 
+    def z_letters() -> Column:
+        logs = F.array(*[F.lit(x) for x in LETTER_LOGS])
+        total = F.aggregate(F.filter(F.split(F.lower(token), ""), lambda c: c != ""), F.lit(0.0), lambda a, c: a + F.get(logs, F.ascii(c) - 97))
+        capitals = n - F.length(F.regexp_replace(token, "[A-Z]", ""))
+        both = F.when(F.length(alphabet) == 52, F.lit(1.0)).otherwise(F.lit(0.0))
+        mean = LETTER_MEAN + both * CAPITAL_LOG / 2
+        return (total + both * CAPITAL_LOG * capitals - n * mean) / F.sqrt(n * (LETTER_VARIANCE + both * CAPITAL_LOG ** 2 / 4))
+
     def tests(places: Column) -> Column:
         half = F.length(alphabet) / 2
         bits = F.array_join(F.transform(places, lambda v: F.when(v > half, F.lit("1")).otherwise(F.lit("0"))), "")
-        return F.least(F.lit(1.0), 3 * F.least(tail(z_uniform(F.length(alphabet).cast("double"))), tail(let(bits, z_runs)), tail(z_serial(places))))
+        least = F.least(tail(z_uniform(F.length(alphabet).cast("double"))), tail(let(bits, z_runs)), tail(z_serial(places)))
+        return let(least, lambda p: F.least(F.lit(1.0), F.when(letters_only, 4 * F.least(p, tail(z_letters()))).otherwise(3 * p)))
     return let(F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double")), tests)
 
 
-def randomness(token: Column) -> Column:
-    """Combined p-value under the first alphabet that holds the token, or null."""
-    alphabet = F.lit(None).cast("string")
-    for letters in reversed(list(ALPHABETS.values())):
+def inferred(token: Column) -> Column:
+    """Number of the first alphabet that holds the token, or null."""
+    which = F.lit(None).cast("int")
+    for i, letters in reversed(list(enumerate(ALPHABETS.values()))):
         inside = "^[" + letters.replace("-", "").replace("/", "\\/") + ("-" if "-" in letters else "") + "]+$"
-        alphabet = F.when(token.rlike(inside), F.lit(letters)).otherwise(alphabet)
-    return let(alphabet, lambda a: F.when(a.isNotNull(), battery(token, a)))
+        which = F.when(token.rlike(inside), F.lit(i)).otherwise(which)
+    return which
+
+
+def randomness(token: Column) -> Column:
+    """(alphabet number, combined p-value), nulls without an alphabet."""
+    names = F.array(*[F.lit(x) for x in ALPHABETS.values()])
+    return let(inferred(token), lambda which: F.struct(which.alias("alphabet"), F.when(which.isNotNull(), let(
+        F.get(names, which), lambda a: battery(token, a, which.isin(LETTERS_ONLY)))).alias("p")))
 
 
 def candidates(text: Column, base: Column) -> Column:
     """Tested tokens: (start, end, p, band)."""
     tokens = matches(text, TOKEN, text.rlike(TOKEN), 3)
-    mixed = F.filter(tokens, lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]") & ~F.exists(
-        base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tested = F.transform(mixed, lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), let(F.rtrim(t["value"], F.lit("=")), randomness).alias("p"),
-        F.least(F.lit(BANDS - 1), F.floor(2 * F.log2((t["end"] - t["start"]).cast("double")))).cast("int").alias("band")))
+    free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    tested = F.transform(free, lambda t: let(let(F.rtrim(t["value"], F.lit("=")), randomness), lambda r: F.struct(
+        t["start"].alias("start"), t["end"].alias("end"), r["p"].alias("p"),
+        (r["alphabet"] * BANDS + F.least(F.lit(BANDS - 1), F.floor(2 * F.log2((t["end"] - t["start"]).cast("double"))))).cast("int").alias("band"))))
     return F.filter(tested, lambda t: t["p"].isNotNull())
 
 
@@ -159,16 +186,16 @@ def p_bin(p: Column) -> Column:
 
 
 def dismissal_bins(scanned: DataFrame, fdr: float = FDR) -> list[int]:
-    """For each length band the least bin whose tokens are dismissed
+    """For each band (alphabet and length) the least bin whose tokens are dismissed
     (Benjamini-Hochberg at the bins' upper edges; P_BINS + 1: none)."""
     counts = (scanned.select(F.explode("tested").alias("t")).groupBy(F.col("t.band").alias("band"), p_bin(F.col("t.p")).alias("bin"))
-              .agg(F.count(F.lit(1)).alias("n")))              # at most BANDS x (P_BINS + 1) rows
+              .agg(F.count(F.lit(1)).alias("n")))              # at most alphabets x BANDS x (P_BINS + 1) rows
     by_band = Window.partitionBy("band")
     ranked = (counts.withColumn("smaller", F.sum("n").over(by_band.orderBy(F.desc("bin"))))
               .withColumn("m", F.sum("n").over(by_band)))
     edge = F.pow(F.lit(2.0), -F.col("bin") / F.lit(float(P_STEPS)))
     least = (ranked.where(edge <= F.lit(fdr) * F.col("smaller") / F.col("m")).groupBy("band").agg(F.min("bin").alias("bin")))
-    bins = [P_BINS + 1] * BANDS
+    bins = [P_BINS + 1] * (len(ALPHABETS) * BANDS)
     for r in least.collect():
         bins[r["band"]] = r["bin"]
     return bins

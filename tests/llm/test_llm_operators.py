@@ -438,6 +438,23 @@ def test_randomness_battery_and_redaction(spark):
     assert sum(x["text"] == "x [SECRET] y" for x in red.values()) >= 57
 
 
+def test_letters_and_digits_are_tested(spark):
+    """Random tokens of one kind of character are found, long words and regular strings are not."""
+    r = random.Random(6)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [("lower", lower, 30), ("upper", lower.upper(), 30), ("mixed", lower + lower.upper(), 30), ("decimal", "0123456789", 22)]
+    rows = [(f"{name}{i}", "".join(r.choice(a) for _ in range(n))) for name, a, n in kinds for i in range(50)]
+    clean = ["internationalizationcommittee", "electroencephalographically", "unternehmensverantwortlichkeit", "AbstractSingletonProxyFactory",
+             "ELECTROENCEPHALOGRAPHICALLY", "00000000000000000000", "01234567890123456789", "--------------------------", "state-of-the-art-installation"]
+    got = {}
+    for part in (rows, [(t, t) for t in clean]):
+        df = spark.createDataFrame([(i, f"x {t} y") for i, (_, t) in enumerate(part)], "doc_id long, text string")
+        got |= {part[x["doc_id"]][0]: bool(x["spans"]) for x in secret_scan.scan(df).collect()}
+    hits = [sum(got[f"{name}{i}"] for i in range(50)) for name, _, _ in kinds]
+    assert min(hits) >= 45, hits
+    assert [t for t in clean if got[t]] == []
+
+
 # -- 10: substring dedup ---------------------------------------------------------------------------------------------
 
 def brute_repeats(rows):
