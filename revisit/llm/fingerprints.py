@@ -2,9 +2,10 @@
 
 ``fingerprint`` columns come from ``PERMUTATIONS`` universal hash functions
 (multiply-shift) minimised over a text's distinct 5-word shingles in numpy.
-``similar_documents`` joins signature bands in Spark and confirms candidates
-on the full shingle sets: every document of a band bucket is compared with
-the bucket's smallest doc_id (a star, never all pairs of a bucket).
+``similar_documents`` (in no registered query) joins signature bands in Spark
+and confirms links on the full shingle sets: equal sets are one class, every
+class of a band bucket meets the bucket's smallest one (a star), and buckets
+that still hold several components are compared whole, in blocks.
 ``with_next`` gives each row the next document in doc_id order without a
 global window: doc_id ranges (quantile cuts) become buckets that are sorted
 on their own, and each bucket also gets the first row of the next one.
@@ -21,12 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from revisit.llm import kernel as K
+from revisit.llm.store import stored
 
 WORDS = 5
 PERMUTATIONS = 64
@@ -143,32 +146,48 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                                      "edited_fingerprint string, near_edited double, near_next double")
 
 
-def signature_table(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint (hex) and n_shingles of each text."""
+def similar_documents(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+    """(doc_id, near_id, jaccard), doc_id > near_id: links of at least the
+    given Jaccard similarity that join the same groups as all such pairs that
+    share a band would.  A document with the shingle set of a smaller doc_id
+    links to the smallest one of that set (1.0); sets are linked through those
+    smallest documents.  Rows without words or without doc_id take no part."""
+    from revisit.llm import near_dedup as N     # which takes its tokens from here
+    share = Fraction(str(similarity))
+    num, den = share.numerator, share.denominator
+
     def build(data: np.ndarray, off: np.ndarray, table: pa.RecordBatch) -> dict:
         w = K.Words(data, off)
         sets = K.distinct_sets(w, w.hashes(), k)
-        return {"doc_id": table.column(0), "n_shingles": np.array([len(s) for s in sets], np.int64),
+        return {"doc_id": table.column(0), "sid": [N.set_id(s) for s in sets], "n_shingles": np.array([len(s) for s in sets], np.int64),
                 "fingerprint": to_text([minhash(s) for s in sets])}
-    return K.map_texts(docs, "doc_id long, n_shingles long, fingerprint string", build)
-
-
-def similar_documents(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
-    """(doc_id, near_id, jaccard): documents whose banded signature meets that
-    of the smaller near_id and whose shingle sets have at least the given
-    Jaccard similarity.  Rows without words or without doc_id take no part."""
-    table = signature_table(docs, k).where("n_shingles > 0 and doc_id is not null")
+    table = stored(K.map_texts(docs.where("doc_id is not null"), "doc_id long, sid binary, n_shingles long, fingerprint string", build)
+                   .where("n_shingles > 0"), "signatures")
+    classes = stored(table.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"),
+                                              F.first("n_shingles").alias("n_shingles")), "classes")
+    copies = (table.select("sid", "doc_id").distinct().join(classes.select("sid", F.col("doc_id").alias("near_id")), "sid")
+              .where("doc_id > near_id").select("doc_id", "near_id", F.lit(1.0).alias("jaccard")))
+
+    # Buckets are the nodes of op3's search: a star first, then what the components leave open, in blocks.
     width = 8 * PERMUTATIONS // bands
-    banded = table.select("doc_id", F.posexplode(F.array(*[
-        F.xxhash64(F.substring("fingerprint", 1 + i * width, width)) for i in range(bands)])).alias("band", "value"))
-    least = banded.groupBy("band", "value").agg(F.min("doc_id").alias("near_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = banded.join(least, ["band", "value"]).where("doc_id > near_id").select("doc_id", "near_id").distinct()
+    banded = classes.select("sid", F.posexplode(F.array(*[
+        F.substring("fingerprint", 1 + i * width, width) for i in range(bands)])).alias("band", "value"))
+    rows = stored(N.shared(banded.select(F.lit(0).cast("byte").alias("tree"), F.xxhash64("band", "value").alias("path"), "sid")), "buckets")
+    involved = stored(classes.join(rows.select("sid").distinct(), "sid", "left_semi"), "classes")
 
-    def sets(data: np.ndarray, off: np.ndarray, part: pa.RecordBatch) -> dict:
+    def members(data: np.ndarray, off: np.ndarray, part: pa.RecordBatch) -> dict:
         w = K.Words(data, off)
-        return {"doc_id": part.column(0), "shingles": [s.tobytes() for s in K.distinct_sets(w, w.hashes(), k)]}
-    wanted = pairs.select("doc_id").union(pairs.select(F.col("near_id"))).distinct()
-    full = K.map_texts(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "doc_id long, shingles binary", sets)
+        sets = K.distinct_sets(w, w.hashes(), k)
+        return {"sid": [N.set_id(s) for s in sets], "members": [s.tobytes() for s in sets]}
+    texts = docs.select("doc_id", "text").join(involved.select("doc_id").distinct(), "doc_id", "left_semi")
+    full = stored(K.map_texts(texts, "sid binary, members binary", members)
+                  .join(involved.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    pivots = rows.groupBy("path").agg(F.min("sid").alias("pivot"))
+    stars = rows.join(pivots, "path").where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    first = stored(N.confirm(stars, full, num, den), "links")
+    labels = N.relabel(involved.select("sid", F.col("sid").alias("comp"), "n_shingles"), first)
+    rest = N.compare(N.block_pairs(N.mixed_nodes(rows, labels), N.NODE_ROWS, True), full, num, den)
+    links = stored(first.union(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +197,10 @@ def similar_documents(docs: DataFrame, k: int = WORDS, similarity: float = SIMIL
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 value.append(common / (len(x) + len(y) - common))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "near_id": batch.column(1), "jaccard": pa.array(value, pa.float64())})
-    both = (pairs.join(full.withColumnRenamed("shingles", "a"), "doc_id")
-            .join(full.select(F.col("doc_id").alias("near_id"), F.col("shingles").alias("b")), "near_id"))
-    return (both.select("doc_id", "near_id", "a", "b").mapInArrow(verify, "doc_id long, near_id long, jaccard double")
-            .where(F.col("jaccard") >= similarity).distinct())
+    least = classes.select("sid", "doc_id")
+    both = (links.join(full.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a")
+            .join(full.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b")
+            .join(least.select(F.col("sid").alias("a"), F.col("doc_id").alias("i")), "a")
+            .join(least.select(F.col("sid").alias("b"), F.col("doc_id").alias("j")), "b")
+            .where("i <> j").select(F.greatest("i", "j").alias("doc_id"), F.least("i", "j").alias("near_id"), "x", "y"))
+    return both.mapInArrow(verify, "doc_id long, near_id long, jaccard double").union(copies).distinct()

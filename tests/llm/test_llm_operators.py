@@ -308,6 +308,38 @@ def test_similar_documents(docs):
     assert (2, 0) in got and (1, 0) in got and all(a > b for a, b in got) and (7, 6) not in got
 
 
+def test_similar_documents_in_a_family(spark):
+    """Most pairs are below 0.8 but share bands; links among the rest join what brute force joins."""
+    r = random.Random(11)
+    base, rows = words(200, 21), {}
+
+    def filled(slots):                        # a template: each word of it occurs in many texts
+        w = base[:]
+        for j, x in enumerate(slots):
+            w[8 * j] = f"slot{j}is{x}"
+        return w
+    for i in range(150):
+        rows[i] = [r.randrange(2) for _ in range(24)]
+    for i, of in ((200, 90), (201, 77), (202, 201), (203, 201), (204, 120), (205, 140)):
+        rows[i] = rows[of][:]
+        if i != 203:
+            rows[i][i % 24] ^= 1
+    rows = [(i, " ".join(filled(x))) for i, x in rows.items()]
+    got = {(x["doc_id"], x["near_id"]): x["jaccard"] for x in fingerprints.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(196)} for i, t in rows}
+    every = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a > b}
+    want = {p: s for p, s in every.items() if s >= 0.8}
+    assert len(want) < 0.05 * len(every) and all(abs(want[p] - s) < 1e-12 for p, s in got.items())
+
+    def groups(pairs):
+        low = {i: i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+    assert groups(got) == groups(want)
+
+
 # -- 7: quality rules ------------------------------------------------------------------------------------------------
 
 def test_quality_rule_counts(docs, none):
