@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revisit.llm import (byte_bpe, chat_format, fingerprints, language_id, near_dedup, packing, quality_model,
-                         quality_rules, secret_scan, substring_dedup)
+from revisit.llm import (byte_bpe, chat_format, fingerprints, hard_negatives, language_id, language_model, near_dedup,
+                         oracle, packing, quality_model, quality_rules, secret_scan, source_audit, substring_dedup)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_classifier, op2_chat_format, op3_near_dedup, op4_language_id, op5_packing,
-                                    op6_fingerprints, op7_quality_rules, op8_byte_bpe, op9_secret_scan, op10_substring_dedup)}
+                                    op6_fingerprints, op7_quality_rules, op8_byte_bpe, op9_secret_scan, op10_substring_dedup,
+                                    op11_language_model, op12_hard_negatives, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
