@@ -11,10 +11,11 @@ shingles AS (
   SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM words),
 sizes AS (SELECT doc_id, count(s.shingle) AS n FROM words LEFT JOIN shingles s USING (doc_id) GROUP BY doc_id),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
-  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b
-  WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+sized AS (SELECT doc_id, n, hash(shingle) AS bucket, shingle FROM shingles JOIN sizes USING (doc_id)),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS both_have
+  FROM sized a JOIN sized b ON a.bucket = b.bucket AND a.shingle = b.shingle AND a.doc_id < b.doc_id
+    AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY ALL),
+links AS (SELECT unnest([a, b]) AS a, unnest([b, a]) AS b FROM common WHERE 100 * both_have >= 85 * (n + m - both_have)),
 reach AS (SELECT doc_id, doc_id AS to_id FROM documents
   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.to_id),
 component AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
@@ -23,13 +24,13 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 
 SUBSTRING_DEDUP = rf"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
-windows AS (SELECT doc_id, at, array_to_string(w[at:at + 49], ' ') AS passage
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS at FROM words)),
+windows AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 49], ' ') AS passage
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS pos FROM words)),
 first_in AS (SELECT passage, min(doc_id) AS least FROM windows GROUP BY passage),
-gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS at FROM windows JOIN first_in USING (passage) WHERE least < doc_id),
-placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM words),
-cut AS (SELECT p.doc_id, count(g.at) AS n_removed, string_agg(CASE WHEN g.at IS NULL THEN p.word END, ' ' ORDER BY p.at) AS kept
-  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.at = p.at GROUP BY p.doc_id)
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM windows JOIN first_in USING (passage) WHERE least < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+cut AS (SELECT p.doc_id, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS NULL THEN p.word END, ' ' ORDER BY p.pos) AS kept
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM words LEFT JOIN cut USING (doc_id)
 """
