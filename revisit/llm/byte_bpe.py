@@ -11,7 +11,9 @@ A word that is itself in the rank file is one id.  Other words are counted
 over the whole corpus (pre-summed in each task), and the
 ``DICTIONARY_WORDS`` most frequent are folded once and broadcast.  That bound
 only decides where a word is folded: blocks of texts carry their remaining
-distinct words through the same fold expression, without a shuffle.
+distinct words through the same fold expression, without a shuffle.  A fold
+step copies the word, so a fold is quadratic in the word: words of more than
+``LONG_WORD_BYTES`` take the same merges from a heap instead.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import random
 from collections.abc import Iterator
 
@@ -39,6 +42,7 @@ from revisit.llm.token_split import DistinctWords, WordTable, ragged
 
 DICTIONARY_WORDS = 700_000      # about 40 MB in each Python worker
 DICTIONARY_WORD_BYTES = 64      # longer words are left to the texts' own fold
+LONG_WORD_BYTES = 512           # longer words are merged with a heap
 SPLIT_BYTES = 1 << 20
 COUNT_ROWS = 1_000_000
 
@@ -248,46 +252,88 @@ def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DI
     return table_of(pa.chunked_array([pieces, *rows["word"].chunks]), np.r_[own, found.flatten().to_numpy()], np.r_[0, np.cumsum(sizes)])
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one long word: the same merges, lowest rank and then leftmost
+    first, from a heap over linked pieces, in O(n log n)."""
+    n = len(word)
+    end = list(range(1, n + 1))                 # a piece begins at i and ends at end[i]; 0 once it is joined to the left
+    before = list(range(-1, n))
+    find = ranks.get
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := find(word[i:i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, to = heapq.heappop(heap)
+        middle = end[i]
+        if not middle or middle >= n or end[middle] != to:
+            continue                            # one of the two pieces has changed since
+        end[i], end[middle] = to, 0
+        if to < n:
+            before[to] = i
+            if (rank := find(word[i:end[to]])) is not None:
+                heapq.heappush(heap, (rank, i, end[to]))
+        left = before[i]
+        if left >= 0 and (rank := find(word[left:to])) is not None:
+            heapq.heappush(heap, (rank, left, to))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i:end[i]]])
+        i = end[i]
+    return out
+
+
+def lists(*columns) -> list[pa.Array]:
+    """Each column as one row that lists it."""
+    return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
+
+
 def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_text, schema: str,
                  words: int = DICTIONARY_WORDS) -> DataFrame:
     """``per_text(doc_id, ids as int32 array) -> tuple`` over every text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     loaded = Ranks(ranks)
-    known = docs.sparkSession.sparkContext.broadcast(word_dictionary(rows, loaded, pattern, words))
+    known = docs.sparkSession.sparkContext.broadcast((word_dictionary(rows, loaded, pattern, words), ranks))
     byte_ids = loaded.byte_ids
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block: its keys, its texts, the bytes of its words outside the dictionary."""
+        """A row for each block: its keys, words a text, number of each word
+        in the block, ids a distinct word (-1: to be folded), ids of the words
+        found, byte ids of those to be folded.  Texts and table stay here."""
+        table, by_piece = known.value
         for batch in batches:
             for lo, hi, data, off in text_blocks(batch, 1):
                 found = DistinctWords(data, off, pattern)
-                missing, ends = found.flat(np.flatnonzero(known.value.find(found) < 0))
-                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), list_array(byte_ids[missing], ends)]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
-                                                 names=["keys", "texts", "bytes"])
-    chunks = rows.mapInArrow(gather, "keys array<long>, texts array<string>, bytes array<array<int>>")
-    table = loaded.columns()
-    folded = chunks.select("keys", "texts", F.transform("bytes", lambda b: fold_merges(b, table)).alias("ids"))
+                row = table.find(found)
+                long = np.flatnonzero((row < 0) & (found.length > LONG_WORD_BYTES))
+                ids = [merge_long(data[a:a + n].tobytes(), by_piece) for a, n in zip(found.start[long].tolist(), found.length[long].tolist())]
+                size, hit = np.full(len(row), -1, np.int64), np.flatnonzero(row >= 0)
+                size[hit], size[long] = table.ids_length[row[hit]], [len(x) for x in ids]
+                flat = np.r_[table.ids[ragged(table.ids_start[row[hit]], size[hit])], np.array([i for x in ids for i in x], np.int32)]
+                missing, ends = found.flat(np.flatnonzero(size < 0))
+                known_first = np.r_[hit, long]                  # the order of the flat ids
+                yield pa.RecordBatch.from_arrays(
+                    lists(batch.column(0).slice(lo, hi - lo), np.diff(found.first).astype(np.int32), found.code.astype(np.int32), size.astype(np.int32),
+                          known_first.astype(np.int32), flat.astype(np.int32), list_array(byte_ids[missing], ends)),
+                    names=[*carried, "bytes"])
+    carried = ["keys", "sizes", "codes", "lengths", "order", "flat"]
+    chunks = rows.mapInArrow(gather, "keys array<long>, " + "".join(f"{c} array<int>, " for c in carried[1:]) + "bytes array<array<int>>")
+    columns = loaded.columns()
+    folded = chunks.select(*carried, F.transform("bytes", lambda b: fold_merges(b, columns)).alias("ids"))
     names = [part.split()[0] for part in schema.split(",")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lays the ids of the words out in the order of the texts."""
         for batch in batches:
-            for keys, texts, ids in zip(*(batch.column(i) for i in range(3))):
-                data, off = K.text_buffer(texts.values)
-                found = DistinctWords(data, off, pattern)
-                row = known.value.find(found)
-                hit, miss = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
-                length = np.zeros(len(row), np.int64)
-                length[hit] = known.value.ids_length[row[hit]]
+            for keys, *arrays, ids in zip(*(batch.column(i) for i in range(7))):
+                sizes, code, length, order, flat = (a.values.to_numpy() for a in arrays)
+                miss, length = np.flatnonzero(length < 0), length.astype(np.int64)
                 length[miss] = ids.values.value_lengths().to_numpy()
-                start = np.zeros(len(row), np.int64)
-                start[hit] = np.cumsum(length[hit]) - length[hit]
-                start[miss] = length[hit].sum() + np.cumsum(length[miss]) - length[miss]
-                flat = np.r_[known.value.ids[ragged(known.value.ids_start[row[hit]], length[hit])],
-                             ids.values.flatten().to_numpy().astype(np.int32)]
-                sizes = length[found.code]
-                listed = flat[ragged(start[found.code], sizes)]
-                ends = np.r_[0, np.cumsum(sizes)][found.first].tolist()
+                order = np.r_[order, miss]
+                start = np.zeros(len(length), np.int64)
+                start[order] = np.cumsum(length[order]) - length[order]
+                flat = np.r_[flat, ids.values.flatten().to_numpy().astype(np.int32)]
+                each = length[code]
+                listed = flat[ragged(start[code], each)]
+                ends = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(sizes)]].tolist()
                 out = [per_text(key, listed[a:b]) for key, a, b in zip(keys.as_py(), ends, ends[1:])]
                 yield pa.RecordBatch.from_pydict({name: list(column) for name, column in zip(names, zip(*out))})
     return folded.mapInArrow(finish, schema)
