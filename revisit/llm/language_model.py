@@ -11,7 +11,7 @@ words are known.
 A word's probability is interpolated: ``w * c(hv) / c(h) + (1 - w) * p(v)`` with
 ``p(v) = (c(v) + 0.1) / (N + 0.1 * (V + 1))``, the counts read from the filter.
 The weight w is one for each level of c(h), fitted by expectation maximisation
-on the training texts, leaving out the occurrence that is looked at.  A text's
+on all training texts, leaving out the occurrence that is looked at.  A text's
 score depends on the levels of its n-grams alone, so the fit needs one
 histogram of (level of v, level of h, level of hv), a bounded table, over all
 training words.
@@ -47,7 +47,8 @@ from revisit.llm.store import stored
 
 BASE = 1.5                        # of the quantised counts
 BITS, HASHES = 10, 4              # bits a filter event, probes an event
-MAX_LEVEL = 127
+START = 127                       # stands for the level of a text's start
+MAX_LEVEL = 126
 SLOT_BYTES = 4 << 20              # text that one slot's n-grams come from
 SEGMENT_BYTES = 128 << 20         # filter bytes broadcast at a time
 EXACT_WORDS = 500_000             # 12 MB
@@ -333,45 +334,48 @@ def text_levels(rows: DataFrame, parts: Iterator[Segment], exact: ExactCounts) -
 
 def level_triples(words: pa.Array, pairs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(level of the token, of the token before, of the pair) as one number
-    each, and the first token of each text; before a text stands level 0."""
+    each, and the first token of each text; before it stands ``START``."""
     w, p = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).astype(np.int64) for x in (words, pairs))
     first = np.r_[0, np.cumsum([len(x) for x in words.to_pylist()])].astype(np.int64)
     before = np.r_[0, w][:len(w)]
-    before[first[:-1]] = 0
-    p = np.where((w > 0) & ((before > 0) | _at(first[:-1], len(w))), p, 0)
+    before[first[:-1]] = START
+    p = np.where((w > 0) & (before > 0), p, 0)
     return (w * 128 + before) * 128 + p, first
 
 
-def _at(places_: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[places_] = True
-    return out
-
-
 class Smoothed:
     """Probabilities of level triples."""
 
     def __init__(self, n: int, v: int, n_texts: int):
-        self.total, self.n_texts, self.weight = n + ADD * (v + 1), n_texts, np.zeros(128)
+        self.total, self.n_texts, self.weight = n + ADD * (v + 1), n_texts, np.zeros(START + 1)
 
     def parts(self, triples: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(level before, pair estimate, word probability), with ``left_out`` occurrences less."""
+        """(level of the context's count, pair estimate, word probability),
+        the first two with ``left_out`` occurrences less."""
         word, before, pair = triples >> 14, triples >> 7 & 127, triples & 127
-        context = np.where(before > 0, LEVEL_COUNT[np.minimum(before, len(LEVEL_COUNT) - 1)], self.n_texts) - left_out
+        context = np.where(before == START, self.n_texts, LEVEL_COUNT[np.minimum(before, len(LEVEL_COUNT) - 1)]) - left_out
         seen = np.maximum(LEVEL_COUNT[np.minimum(pair, len(LEVEL_COUNT) - 1)] - left_out, 0)
-        return before, np.minimum(1, seen / np.maximum(context, 1)), (LEVEL_COUNT[np.minimum(word, len(LEVEL_COUNT) - 1)] + ADD) / self.total
+        level = np.where(before == START, START, level_of(context))
+        return level, np.minimum(1, seen / np.maximum(context, 1)), (LEVEL_COUNT[np.minimum(word, len(LEVEL_COUNT) - 1)] + ADD) / self.total
 
     def fit(self, triples: np.ndarray, n: np.ndarray) -> None:
-        before, pair, word = self.parts(triples, 1)
-        self.weight = np.where(np.bincount(before, n, 128) > 0, 0.5, 0.0)
+        """A context of count c stands for those of count c - 1, since its own
+        occurrence is left out; one seen once is left with nothing to learn from."""
+        level, pair, word = self.parts(triples, 1)
+        total = np.bincount(level, n, START + 1)
+        self.weight = np.where(total > 0, 0.5, 0.0)
+        self.weight[0] = 0
         for _ in range(STEPS):
-            high = self.weight[before] * pair
-            share = high / (high + (1 - self.weight[before]) * word)
-            self.weight = np.bincount(before, n * share, 128) / np.maximum(np.bincount(before, n, 128), 1)
+            high = self.weight[level] * pair
+            share = high / (high + (1 - self.weight[level]) * word)
+            self.weight = np.bincount(level, n * share, START + 1) / np.maximum(total, 1)
+        known = np.flatnonzero(total[1:START]) + 1
+        if len(known):              # quantised counts less one may pass a level by
+            self.weight[1:START] = np.interp(np.arange(1, START), known, self.weight[known])
 
     def log10(self, triples: np.ndarray) -> np.ndarray:
-        before, pair, word = self.parts(triples)
-        return np.log10(np.minimum(1, self.weight[before] * pair + (1 - self.weight[before]) * word))
+        level, pair, word = self.parts(triples)
+        return np.log10(np.minimum(1, self.weight[level] * pair + (1 - self.weight[level]) * word))
 
 
 def triple_counts(levels: DataFrame) -> DataFrame:
