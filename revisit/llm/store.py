@@ -19,10 +19,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hinted_ids(ids: DataFrame, key: str) -> DataFrame:
+    """Distinct keys, marked for broadcast when at most ``BROADCAST_IDS`` are proven."""
+    ids = ids.select(key).distinct()
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def semi_join(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``big`` whose key is in ``ids``: by broadcast when at most
     ``BROADCAST_IDS`` long keys are proven, by a shuffle join otherwise."""
-    ids = ids.select(key).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return big.join(ids, key, "left_semi")
+    return big.join(hinted_ids(ids, key), key, "left_semi")
+
+
+def anti_join(big: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``big`` whose key is not in ``ids`` (a null key stays), likewise."""
+    return big.join(hinted_ids(ids, key), key, "left_anti").select(*big.columns)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from revisit.llm import kernel as K
-from revisit.llm.store import semi_join, stored
+from revisit.llm.store import anti_join, semi_join, stored
 
 WINDOW = 50
 ANCHOR = 16
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = marked.where("copy").dropDuplicates(["doc_id", "row_key"]).select(
         "doc_id", F.struct("row_key", F.lit(True).alias("copy"), none.alias("prints")).alias("decision"))
     decisions = found.select("doc_id", F.struct("row_key", F.lit(False).alias("copy"), "prints").alias("decision")).unionByName(whole)
-    per_doc = decisions.groupBy("doc_id").agg(F.collect_list("decision").alias("_decisions"))
+    per_doc = stored(decisions.groupBy("doc_id").agg(F.collect_list("decision").alias("decisions")), "suffix-decisions")
 
     def cut(text: str | None, found: list | None) -> str | None:
         if not text or found is None or not len(found):
@@ -232,14 +232,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 np.add.at(mask, ends[gone], -1)
                 return data[np.cumsum(mask[:-1]) == 0].tobytes().decode("utf-8", "surrogatepass")
         return text
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(batch.num_columns - 1)
-            touched = [x.is_valid for x in found]
-            texts = [cut(t, d.as_py()) if hit else t for t, d, hit in zip(batch.column(at).to_pylist(), found, touched)]
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
+            arrays = batch.column(0).flatten()
+            texts = [cut(t, d.as_py()) for t, d in zip(arrays[at].to_pylist(), batch.column(1))]
             arrays[at] = pa.array(texts, arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
-    return docs.join(per_doc, "doc_id", "left").select(*docs.columns, "_decisions").mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+    # Only texts that lose words meet their decisions; a row is held as one column, so its names cannot clash.
+    touched = semi_join(docs, per_doc, "doc_id").select(*names).select(F.struct(*names).alias("row"))
+    own = per_doc.select(F.col("doc_id").alias("touched_id"), "decisions")
+    changed = touched.join(own, F.col("row.doc_id") == F.col("touched_id")).select("row", "decisions").mapInArrow(run, docs.schema)
+    return anti_join(docs, per_doc, "doc_id").unionByName(changed)

@@ -232,3 +232,34 @@ def test_long_words_equal_the_public_library(spark):
     megabyte = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1_000_000))
     one = byte_bpe.round_trip(spark.createDataFrame([(1, megabyte)], "doc_id long, text string"), path, P.PATTERN).first()
     assert one["decoded_sha256"] == hashlib.sha256(megabyte.encode()).hexdigest() and one["n_tokens"] > 400_000
+
+
+# -- helper names as extra columns, texts with very many spans -------------------------------------------------------
+
+def test_repeats_and_secrets_with_clashing_columns(spark):
+    import corpus_pipeline
+    passage = " ".join(f"w{i}" for i in range(60))
+    names = ["_decisions", "decisions", "row", "touched_id", "spans", "base", "tested", "text_", "new", "doc", "key"]
+    schema = "doc_id long, text string, lang string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, t, "en", 1, *names) for i, t in ((1, "a " + passage + " b"), (2, "c " + passage + " token=abcdef12"), (None, passage), (3, None))]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    cut = corpus_pipeline.cut_repeated_passages(spark, docs, "")
+    assert cut.schema.names == docs.schema.names
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: rows[0][1], 2: "c token=abcdef12", None: passage, 3: None}
+    clean = corpus_pipeline.redact_secrets(spark, cut, "")
+    assert {r["doc_id"]: r["text"] for r in clean.collect()}[2] == "c [SECRET]"
+    assert all(r[n] == n for r in clean.collect() for n in names)
+
+
+def test_many_hashes_in_one_text(spark):
+    import time
+    from revisit.llm import secret_scan
+    r = random.Random(2)
+    hashes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(30_000)]
+    free = "Zq8Lw2XvB7Tn4KsJ9RyQ"
+    text = " ".join(hashes[:15_000]) + f" {free} " + " ".join(hashes[15_000:])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secret_scan.scan(docs).first()
+    assert row["n_hex"] == 30_000 and (time.time() - began) < 60
+    assert len(row["spans"].split(",")) in (30_000, 30_001)
