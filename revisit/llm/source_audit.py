@@ -42,7 +42,8 @@ from revisit.operators.sizing import broadcast_bounded
 MIN_DOCS = 10
 FIRST_LEVEL = 6
 BITMAP_BITS = 1 << 27           # 16 MB, broadcast
-HELD_ROWS = 500_000
+HELD_ROWS = 250_000
+TEXT_BYTES = 1 << 20
 BLOCK = 64                      # sources a side of a matrix
 CHUNK_TERMS = 64
 TOP = 10
@@ -127,7 +128,7 @@ def level_rows(docs: DataFrame, before: int, level: int, bits: np.ndarray | None
             lang = np.array([first_of.setdefault(x, g) for (x, _), g in zip(pairs, number.tolist())], np.int64)
             seed = np.array([groups.lang_hash(x) for x, _ in pairs], np.uint64)
             data, off = K.text_buffer(batch.column(0))
-            for lo, hi in K.blocks(off):
+            for lo, hi in K.blocks(off, TEXT_BYTES):
                 part = data[off[lo]:off[hi]]
                 start, end, doc = term_spans(part, off[lo:hi + 1] - off[lo])
                 doc = doc + lo
