@@ -170,10 +170,39 @@ def randomness(token: Column) -> Column:
         F.get(names, which), lambda a: battery(token, a, which.isin(LETTERS_ONLY)))).alias("p")))
 
 
+def largest_before(values: Column) -> Column:
+    """Largest of the values before each value, or -1, in chunks like ``prefix_sums``."""
+    def walk(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(F.greatest(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                           lambda acc: acc["out"])
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / CHUNK), F.lit(0)).cast("int")),
+                         lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+    return let(chunks, lambda parts: let(walk(F.transform(parts, F.array_max), F.lit(-1)), lambda bases: F.flatten(F.zip_with(parts, bases, walk))))
+
+
+def outside(tokens: Column, base: Column) -> Column:
+    """Tokens that share no character with a base span.  Both are laid in one
+    order of starts; a token is free if no base span before it ends inside and
+    the next one starts behind it: no token meets every base span."""
+    def laid(spans: Column, is_base: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_base).alias("base"), s["end"].alias("end"), s["value"].alias("value")))
+
+    def free(events: Column) -> Column:
+        ends = largest_before(F.transform(events, lambda e: F.when(e["base"], e["end"]).otherwise(F.lit(-1))))
+        last = F.lit((1 << 31) - 1)
+        starts = F.reverse(largest_before(F.transform(F.reverse(events), lambda e: F.when(e["base"], last - e["start"]).otherwise(F.lit(-1)))))
+        marked = F.zip_with(F.zip_with(events, ends, lambda e, x: F.struct(e.alias("e"), x.alias("ends"))), starts, lambda e, x: F.struct(
+            e["e"].alias("t"), (~e["e"]["base"] & (e["ends"] <= e["e"]["start"]) & ((x < 0) | (last - x >= e["e"]["end"]))).alias("free")))
+        return F.transform(F.filter(marked, lambda m: m["free"]), lambda m: F.struct(
+            m["t"]["start"].alias("start"), F.lit(3).alias("kind"), m["t"]["end"].alias("end"), m["t"]["value"].alias("value")))
+    met = F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens)
+    return met.otherwise(let(F.array_sort(F.concat(laid(tokens, False), laid(base, True))), free))
+
+
 def candidates(text: Column, base: Column) -> Column:
     """Tested tokens: (start, end, p, band)."""
-    tokens = matches(text, TOKEN, text.rlike(TOKEN), 3)
-    free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    free = let(matches(text, TOKEN, text.rlike(TOKEN), 3), lambda tokens: outside(tokens, base))
     tested = F.transform(free, lambda t: let(let(F.rtrim(t["value"], F.lit("=")), randomness), lambda r: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), r["p"].alias("p"),
         (r["alphabet"] * BANDS + F.least(F.lit(BANDS - 1), F.floor(2 * F.log2((t["end"] - t["start"]).cast("double"))))).cast("int").alias("band"))))
