@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revisit.llm import language_id, near_dedup, packing, secret_scan, substring_dedup
-from revisit.llm.store import stored
+from revisit.llm.store import anti_join, stored
 
 WORDS, SIMILAR, OF = 5, 80, 100        # word shingles and least Jaccard similarity, in percent
 
@@ -30,11 +30,6 @@ def _with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not listed; rows with a null doc_id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter and texts far from every learned language go, row by row."""
     return language_id.in_known_language(docs)
@@ -42,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return _without(docs, near_dedup.near_duplicates(docs, WORDS, SIMILAR, OF).where(~F.col("kept")))
+    return anti_join(docs, near_dedup.near_duplicates(docs, WORDS, SIMILAR, OF).where(~F.col("kept")), "doc_id")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
