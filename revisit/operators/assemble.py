@@ -43,8 +43,9 @@ def feature_order(windows=WINDOWS, user_window: int = USER_WINDOW) -> list[str]:
 
 def assemble_features(transactions: DataFrame, offers, history: DataFrame,
                       windows=WINDOWS, prefilter_dates: bool = True,
-                      facts: DataFrame | None = None, products: DataFrame | None = None) -> DataFrame:
-    """``facts`` / ``products`` may be passed in already materialised (the
+                      facts: DataFrame | None = None, products: DataFrame | None = None,
+                      hot: DataFrame | None = None) -> DataFrame:
+    """``facts`` / ``products`` / ``hot`` (customers to split) may be passed in already materialised (the
     pipeline writes them once for its intermediate tables)."""
     offers = as_bounded(offers)
     cohort = history_offers(history, offers, with_productid=True, with_offervalue=False)
@@ -52,7 +53,7 @@ def assemble_features(transactions: DataFrame, offers, history: DataFrame,
         span = max(tuple(windows) + (USER_WINDOW,))
         bounds = cohort_date_bounds(history, span) if prefilter_dates else None
         facts = _stored(purchase_facts(transactions, date_bounds=bounds))
-    feats = lookback_features(cohort, facts, windows=windows, user_window=USER_WINDOW)
+    feats = lookback_features(cohort, facts, windows=windows, user_window=USER_WINDOW, hot=hot)
     cp = products if products is not None else _stored(category_products(transactions, offers))
     share = offers.hint(product_share(transactions, offers, cp).select("productid", "marketshare_in_cat"))
     comp = offers.hint(competition(transactions, offers, cp))

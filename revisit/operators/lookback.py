@@ -157,31 +157,51 @@ def user_spend(cohort_offers: DataFrame, facts: DataFrame, days: int = USER_WIND
                              windows=(), user_window=days, carry=keep, hot=hot)
 
 
+CELLS = 3       # date cells in a window; a window touches one more at most
+
+
+def cell_of(date, days: int) -> Column:
+    """Number of the date cell that holds a date, for windows of ``days``."""
+    return F.floor(F.unix_date(F.col(date) if isinstance(date, str) else date) / max(1, -(-(days + 1) // CELLS))).cast("int")
+
+
+def by_cell(transactions: DataFrame, cohort_offers: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """(lines, cohort rows) keyed by customer and date cell: a line has the
+    cell of its date, a cohort row is repeated for the cells of its window."""
+    t = (transactions.where(F.col("id").isNotNull() & F.col("date").isNotNull())
+         .select(F.struct(F.col("id"), cell_of("date", days).alias("cell")).alias("_t_key"), "category", "company", "brand",
+                 "purchasequantity", "purchaseamount", "date"))
+    cells = F.sequence(cell_of(F.date_sub("offerdate", days), days), cell_of("offerdate", days))
+    c = (cohort_offers.where(F.col("id").isNotNull() & F.col("offerdate").isNotNull())
+         .select(*COHORT_KEYS, F.col("category").alias("offer_category"), F.col("company").alias("offer_company"),
+                 F.col("brand").alias("offer_brand"), "offerdate", F.explode(cells).alias("cell"))
+         .withColumn("_c_key", F.struct("id", "cell")).drop("cell"))
+    return t, c
+
+
 def lookback_join(transactions: DataFrame, cohort_offers: DataFrame, days: int,
                   split_hot_keys: bool = True, hot_from: DataFrame | None = None,
                   rows_per_task: int | None = None) -> DataFrame:
     """Row-level look-back join: every purchase line of a cohort customer in
     the ``days`` up to and including the offer date.
 
-    Plans as a sort-merge join on ``id`` with the date range as residual.
-    The output is row level, so it cannot be pre-aggregated; customers that
-    hold a large share of the lines are split across tasks by
-    ``salted_join``.  ``hot_from``: a table with an ``id`` column to count
-    instead of ``transactions`` (e.g. the unreduced lines: one column to
-    read, counts can only be higher).
+    An interval join by date cells: both sides meet on (customer, cell), so a
+    line only forms a pair with cohort rows whose window touches its cell,
+    however long the customer's history is; the range itself is checked on
+    those pairs.  A (customer, cell) with more than a task's share of the
+    lines is split by ``salted_join``.  ``hot_from``: a table with ``id`` and
+    ``date`` to count instead of ``transactions`` (e.g. the unreduced lines:
+    two columns to read, counts can only be higher).
     """
-    t = transactions.select(F.col("id").alias("_t_id"), "category", "company", "brand",
-                            "purchasequantity", "purchaseamount", "date")
-    c = cohort_offers.select(*COHORT_KEYS,
-                             F.col("category").alias("offer_category"),
-                             F.col("company").alias("offer_company"),
-                             F.col("brand").alias("offer_brand"), "offerdate")
+    t, c = by_cell(transactions, cohort_offers, days)
     window = in_lookback("date", "offerdate", days)
     if split_hot_keys:
-        hot = hot_keys(transactions if hot_from is None else hot_from, "id", rows_per_task).withColumnRenamed("id", "_t_id")
-        j = salted_join(t, c, "_t_id", "id", extra=window, hot=hot)
+        source = transactions if hot_from is None else hot_from
+        keys = source.where(F.col("id").isNotNull() & F.col("date").isNotNull()).select(
+            F.struct(F.col("id"), cell_of("date", days).alias("cell")).alias("_t_key"))
+        j = salted_join(t, c, "_t_key", "_c_key", extra=window, hot=hot_keys(keys, "_t_key", rows_per_task), collapse=True)
     else:
-        j = c.join(t.hint("merge"), (F.col("_t_id") == F.col("id")) & window)
+        j = c.join(t.hint("merge"), (F.col("_t_key") == F.col("_c_key")) & window)
     return j.select(*COHORT_KEYS, "category", "company", "brand",
                     "offer_category", "offer_company", "offer_brand",
                     "purchasequantity", "purchaseamount", "date", "offerdate")

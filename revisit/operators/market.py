@@ -15,11 +15,15 @@ combined map-side before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
 
 from revisit.functions.expressions import MONEY_SCALE, count_if, money_scale_of, money_units, money_value, product_id, safe_ratio
 from revisit.operators.keys import offer_key_values, offer_products
 from revisit.operators.sizing import as_bounded
+from revisit.session import scratch_path
+from revisit.sources.io import materialize
 
 
 def category_products(transactions: DataFrame, offers) -> DataFrame:
@@ -38,10 +42,13 @@ def category_products(transactions: DataFrame, offers) -> DataFrame:
 
 def product_share(transactions: DataFrame, offers, products: DataFrame | None = None) -> DataFrame:
     offers = as_bounded(offers)
-    cp = products if products is not None else category_products(transactions, offers)
-    in_category = cp.withColumn("category_lines", F.sum("n_lines").over(Window.partitionBy("category")))
+    if products is None:        # read twice: totals and products
+        products = materialize(category_products(transactions, offers), scratch_path(transactions.sparkSession, "products", uuid.uuid4().hex))
+    # Totals are combined in each task before they are shuffled, so no task holds a category's products.
+    totals = products.groupBy("category").agg(F.sum("n_lines").alias("category_lines"))
     wanted = offers.hint(offer_products(offers.df))
-    return (in_category.join(wanted, ["category", "company", "brand"], "left_semi")
+    return (products.join(wanted, ["category", "company", "brand"], "left_semi")
+            .join(offers.hint(totals), "category")
             .select(product_id("category", "company", "brand").alias("productid"),
                     "category", "company", "brand",
                     safe_ratio("n_lines", "category_lines").alias("marketshare_in_cat")))

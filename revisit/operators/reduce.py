@@ -29,7 +29,7 @@ def reduce_transactions(transactions: DataFrame, offers) -> DataFrame:
     same = F.lit(True)
     for f in PRODUCT_FIELDS:
         same = same & F.col(f).eqNullSafe(F.col(f"_kept_{f}"))
-    joined = salted_join(transactions.withColumn("_product_key", key), kept, "_product_key", "_kept_key", extra=same)
+    joined = salted_join(transactions.withColumn("_product_key", key), kept, "_product_key", "_kept_key", extra=same, collapse=True)
     return joined.select(*transactions.columns)
 
 

@@ -11,11 +11,15 @@ lines) would land in one task.  ``salted_join`` splits such keys:
    construction, with no cut.  It is written once: both sides of a join see
    the same list.
 2. Big-side rows of a hot key are spread over its buckets by a hash of the
-   row's columns and its position, so equal rows do not share a bucket;
-   small-side rows of a hot key are replicated once per bucket; every other
-   key uses bucket 0.  The join runs on (key, bucket): the hot key's rows are
-   shared by several tasks and each output pair appears exactly once,
-   whichever bucket a row is in.
+   row's columns; small-side rows of a hot key are replicated once per bucket;
+   every other key uses bucket 0.  The join runs on (key, bucket): the hot
+   key's rows are shared by several tasks and each output pair appears exactly
+   once.  The bucket is a function of the row alone, so a task that is
+   repeated after a lost executor deals its rows as before, in whatever order
+   they reach it.
+3. Equal rows would share a bucket.  Where a hot key can have many
+   (``collapse``), they are joined as one row with their number, combined in
+   each task before the shuffle, and listed again behind the join.
 """
 
 from __future__ import annotations
@@ -42,31 +46,45 @@ def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataF
 
 
 def bucket_of(columns: list[str], buckets) -> Column:
-    """Bucket of a row: its columns and its position, so copies spread."""
-    return F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), buckets).cast("int")
+    """Bucket of a row: a function of its columns."""
+    return F.pmod(F.xxhash64(*columns), buckets).cast("int")
+
+
+def collapse_equal(big: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``big`` with ``_copies``: equal rows of a hot key as one row."""
+    keys = F.broadcast(hot.select(key))
+    few = big.join(keys, key, "left_semi").select(*big.columns).groupBy(*big.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    return big.join(keys, key, "left_anti").select(*big.columns, F.lit(1).cast("long").alias("_copies")).unionByName(few)
 
 
 def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
                 extra: Column | None = None, how: str = "inner",
-                hot: DataFrame | None = None, rows_per_task: int | None = None) -> DataFrame:
+                hot: DataFrame | None = None, rows_per_task: int | None = None, collapse: bool = False) -> DataFrame:
     """``big JOIN small ON big_key = small_key [AND extra]`` with hot keys
     split across tasks.  ``how`` is ``inner`` or ``left`` (big side
     preserved).  Helper columns are dropped from the result."""
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left (big side preserved)")
     hot = hot if hot is not None else hot_keys(big, big_key, rows_per_task)
+    on = F.col(big_key) == F.col(small_key)
+    if extra is not None:
+        on = on & extra
+    if hot.isEmpty():               # no key exceeds a task's share
+        return big.join(small.hint("merge"), on, how)
+    columns = big.columns
+    if collapse:
+        big = collapse_equal(big, big_key, hot)
     hb = F.broadcast(hot.withColumnRenamed(big_key, "_hk_big").withColumnRenamed("_buckets", "_b_big"))
     hs = F.broadcast(hot.withColumnRenamed(big_key, "_hk_small").withColumnRenamed("_buckets", "_b_small"))
-    spread = bucket_of([c for c in big.columns if c != big_key] or [big_key], F.lit(1 << 30))
-    b = (big.withColumn("_spread", spread).join(hb, F.col(big_key) == F.col("_hk_big"), "left")
-         .withColumn("_salt", F.when(F.col("_b_big").isNull(), F.lit(0)).otherwise(F.pmod("_spread", "_b_big")).cast("int"))
-         .drop("_hk_big", "_b_big", "_spread"))
+    b = (big.join(hb, F.col(big_key) == F.col("_hk_big"), "left")
+         .withColumn("_salt", F.when(F.col("_b_big").isNull(), F.lit(0)).otherwise(bucket_of(columns, F.col("_b_big"))))
+         .drop("_hk_big", "_b_big"))
     s = (small.join(hs, F.col(small_key) == F.col("_hk_small"), "left")
          .withColumn("_salt_s", F.explode(
              F.when(F.col("_b_small").isNull(), F.array(F.lit(0)))
              .otherwise(F.sequence(F.lit(0), F.col("_b_small") - 1))))
          .drop("_hk_small", "_b_small"))
-    on = (F.col(big_key) == F.col(small_key)) & (F.col("_salt") == F.col("_salt_s"))
-    if extra is not None:
-        on = on & extra
-    return b.join(s.hint("merge"), on, how).drop("_salt", "_salt_s")
+    joined = b.join(s.hint("merge"), on & (F.col("_salt") == F.col("_salt_s")), how).drop("_salt", "_salt_s")
+    if collapse:
+        joined = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copy", "_copies")
+    return joined

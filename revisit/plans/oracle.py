@@ -227,4 +227,21 @@ FROM reduced t JOIN history_offers h
          / (CAST(2.0 AS DOUBLE) * CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE)) AS auc_roc,
        CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg
 FROM ranked""")
+    q["reduce_stream_wide"] = _with("sparse", [], f"SELECT {_TX_COLS} FROM transactions WHERE category IS NOT NULL OR company IS NOT NULL OR brand IS NOT NULL")
+    q["facts_incremental"] = _with("dense", [], "SELECT id, date, category, company, brand, COUNT(*) AS n, CAST(SUM(purchasequantity) AS BIGINT) AS q, "
+                                   "CAST(SUM(purchaseamount) AS DOUBLE) AS a FROM transactions GROUP BY ALL")
+    q["load_raw_csv"] = _with("sparse", [], """SELECT 'loaded ' || dept AS part, COUNT(*) AS n, CAST(SUM(purchasequantity) AS BIGINT) AS quantity, MAX(date) AS last_day
+FROM transactions WHERE dept <> 7 AND purchasequantity <> 13 GROUP BY dept
+UNION ALL SELECT 'refused for ' || CASE WHEN dept <> 7 THEN 'purchasequantity' WHEN purchasequantity = 13 THEN 'date and purchasequantity' ELSE 'date' END,
+  COUNT(*), NULL, NULL FROM transactions WHERE dept = 7 OR purchasequantity = 13 GROUP BY 1""")
+    q["submission_checks"] = _with("dense", [], f"SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_unscored, COUNT(*) AS n_requested, TRUE AS ok {test}")
+    windows = " UNION ALL ".join(f"SELECT chain, {w} AS days, CAST(has_bought_category_a_{w} AS DOUBLE) AS score, label FROM labelled" for w in WINDOWS)
+    q["auc_by_group"] = _with("dense", [*assembled(), """labelled AS (
+  SELECT *, CASE WHEN repeater = 't' THEN 1 ELSE 0 END AS label FROM feature_table WHERE split = 'train')""",
+        f"""counted AS (SELECT chain, days, score, SUM(label) AS pos, SUM(1 - label) AS neg FROM ({windows}) WHERE score IS NOT NULL GROUP BY ALL)""",
+        """ranked AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY chain, days ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM counted)"""],
+        """SELECT chain, days, CAST(SUM(pos * (2 * below + neg)) AS DOUBLE)
+         / NULLIF(CAST(2.0 AS DOUBLE) * CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE), 0) AS auc_roc,
+       CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg FROM ranked GROUP BY chain, days""")
     return q

@@ -19,7 +19,8 @@ from revisit.operators import model as M
 from revisit.operators.assemble import assemble_features, cohort_row_checks, feature_matrix_long
 from revisit.operators.enrich import history_offers
 from revisit.operators.keys import offer_keys, offer_productids
-from revisit.operators.lookback import (cohort_date_bounds, has_bought, lookback_join,
+from revisit.functions.expressions import money_scale_of, money_value
+from revisit.operators.lookback import (cohort_date_bounds, has_bought, lookback_features, lookback_join,
                                         purchase_facts, user_spend)
 from revisit.operators.market import competition, product_share
 from revisit.operators.reduce import category_dept_map, reduce_transactions
@@ -28,6 +29,7 @@ from revisit.operators.skew import hot_keys
 from revisit.schemas import USER_WINDOW, WINDOWS, transactions_schema
 from revisit.session import session_key
 from revisit.sources.fixtures import folder_key, folder_path, load_tables
+from revisit.sources.raw import typed_rows
 from revisit.sources.io import materialize, read_csv, read_parquet, write_csv, write_parquet
 
 
@@ -73,6 +75,70 @@ def q_reduce_transactions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimals_to_double(read_parquet(spark, sink))
 
 
+def _every_product(spark, sf_dir, fixture, name="wide"):
+    """Every product of a fixture as an offer, numbered in product order."""
+    tb = _t(spark, sf_dir, fixture)
+    keys = ["category", "company", "brand"]
+    products = materialize(tb.transactions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), folder_path(spark, sf_dir, name, "products"))
+    # Number within the first key's groups, moved on by the groups before: no window over all products.
+    groups = products.groupBy("category").agg(F.count(F.lit(1)).alias("_size"))
+    before = groups.withColumn("_before", F.coalesce(F.sum("_size").over(
+        Window.orderBy(F.asc_nulls_last("category")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.partitionBy("category").orderBy(*[F.asc_nulls_last(k) for k in keys[1:]])
+    return materialize(products.join(before, "category").select(
+        (F.row_number().over(order) + F.col("_before") - 1).cast("long").alias("offer"), *keys, F.lit(1.0).alias("offervalue")),
+        folder_path(spark, sf_dir, name, "offers"))
+
+
+def q_reduce_stream_wide(spark, sf_dir):
+    """The streaming reduction with every product as an offer, taken past the
+    broadcast bound: each micro-batch is reduced by product matching."""
+    from revisit.sources.fixtures import fixture_transactions
+    from revisit.streaming.reduce_stream import run_reduction
+    tb = _t(spark, sf_dir)
+    offers = Bounded(_every_product(spark, sf_dir, "sparse", "stream_wide"), max_rows=0)
+    run = f"stream-wide-{uuid.uuid4().hex[:8]}"
+    sink = folder_path(spark, sf_dir, run, "reduced")
+    run_reduction(spark, tb.lines_path, spark.read.parquet(tb.lines_path).schema, offers, sink,
+                  folder_path(spark, sf_dir, run, "checkpoint"), project=lambda df: fixture_transactions(df, tb.fixture))
+    return decimals_to_double(read_parquet(spark, sink).drop("batch"))
+
+
+FACT_BATCHES = ("1994-01-01", "1996-07-01")     # days at which the loads of ``facts_incremental`` are cut
+
+
+def q_facts_incremental(spark, sf_dir):
+    """Purchase facts loaded in three day ranges, the second one twice."""
+    from revisit.operators.fact_store import FactStore
+    tx = _t(spark, sf_dir, "dense").transactions
+    store = FactStore(spark, folder_path(spark, sf_dir, "fact_store", uuid.uuid4().hex))
+    cuts = [F.lit(d).cast("date") for d in FACT_BATCHES]
+    parts = [tx.where(F.col("date") < cuts[0]), tx.where((F.col("date") >= cuts[0]) & (F.col("date") < cuts[1])), tx.where(F.col("date") >= cuts[1])]
+    for i in (0, 1, 1, 2):
+        store.absorb(f"days-{i}", parts[i])
+    facts = store.facts()
+    scale = money_scale_of(facts, "a")
+    return facts.select("id", "date", "category", "company", "brand", "n", "q", money_value("a", scale).alias("a"))
+
+
+RAW_KEY_TYPES = {"id": "long", "dept": "int", "date": "date", "purchasequantity": "long", "purchaseamount": "decimal(18,2)"}
+
+
+def q_load_raw_csv(spark, sf_dir):
+    """Transactions as CSV text with unreadable cells (the date of department
+    7, the quantity 13), loaded: per department the rows with their types, per
+    fault the refused rows."""
+    tx = _t(spark, sf_dir).transactions
+    path = folder_path(spark, sf_dir, "raw_csv", uuid.uuid4().hex)
+    write_csv(tx.withColumn("date", F.when(F.col("dept") == 7, F.lit("7th of May")).otherwise(F.col("date").cast("string")))
+              .withColumn("purchasequantity", F.when(F.col("purchasequantity") == 13, F.lit("13x")).otherwise(F.col("purchasequantity").cast("string"))), path)
+    rows, refused = typed_rows(spark.read.option("header", True).csv(path), RAW_KEY_TYPES, "transactions")
+    loaded = rows.groupBy(F.concat(F.lit("loaded "), F.col("dept").cast("string")).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("purchasequantity").alias("quantity"), F.max("date").alias("last_day"))
+    return loaded.unionByName(refused.groupBy(F.concat(F.lit("refused for "), F.array_join("columns", " and ")).alias("part")).agg(
+        F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
+
+
 def q_offer_keys(spark, sf_dir):
     return offer_keys(_t(spark, sf_dir).offers.df)
 
@@ -139,16 +205,7 @@ def q_has_bought_wide(spark, sf_dir):
     """The 90-day features with every product of the dense fixture as an
     offer: offers numbered in product order, customers dealt over them."""
     tb = _t(spark, sf_dir, "dense")
-    keys = ["category", "company", "brand"]
-    products = materialize(tb.transactions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), folder_path(spark, sf_dir, "wide", "products"))
-    # Number within the first key's groups, moved on by the groups before: no window over all products.
-    groups = products.groupBy("category").agg(F.count(F.lit(1)).alias("_size"))
-    before = groups.withColumn("_before", F.coalesce(F.sum("_size").over(
-        Window.orderBy(F.asc_nulls_last("category")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    order = Window.partitionBy("category").orderBy(*[F.asc_nulls_last(k) for k in keys[1:]])
-    offers = materialize(products.join(before, "category").select(
-        (F.row_number().over(order) + F.col("_before") - 1).cast("long").alias("offer"), *keys, F.lit(1.0).alias("offervalue")),
-        folder_path(spark, sf_dir, "wide", "offers"))
+    offers = _every_product(spark, sf_dir, "dense")
     n = offers.count()
     history = tb.history.withColumn("offer", F.pmod(F.col("id"), F.lit(n)).cast("long"))
     facts, hot = _facts(spark, sf_dir, "dense")
@@ -182,11 +239,13 @@ def q_check_cohort_rows(spark, sf_dir):
     tb = _t(spark, sf_dir, "dense")
     cohort = history_offers(tb.history, tb.offers)
     facts, hot = _facts(spark, sf_dir, "dense")
-    tables = {f"has_bought_{n}": has_bought(cohort, facts, n, hot) for n in WINDOWS}
-    tables["user_spend"] = user_spend(cohort, facts, hot=hot)
-    tables["assemble_features"] = _features(spark, sf_dir)
-    stored = {k: v if k == "assemble_features" else materialize(v, folder_path(spark, sf_dir, "checked", uuid.uuid4().hex))
-              for k, v in tables.items()}
+    # All windows and the user columns in one pass, stored once and checked by column group.
+    wide = materialize(lookback_features(cohort, facts, hot=hot), folder_path(spark, sf_dir, "checked", uuid.uuid4().hex))
+    user = [c for c in wide.columns if c.startswith(("prodid_", "total_spend_", "visits_"))]
+    stored = {f"has_bought_{n}": wide.select("id", *[c for c in wide.columns if c.startswith("never_") and n == min(WINDOWS) or c.endswith(f"_{n}") and c not in user])
+              for n in WINDOWS}
+    stored["user_spend"] = wide.select("id", *user)
+    stored["assemble_features"] = _features(spark, sf_dir)
     return cohort_row_checks(tb.history, stored)
 
 
@@ -201,6 +260,20 @@ def q_auc_roc(spark, sf_dir):
     return M.auc_rank_sum(scored, "total_spend_30", "label")
 
 
+def q_auc_by_group(spark, sf_dir):
+    """AUC-ROC of the spend in the offer's category as a score of the training
+    label, for every chain and window at once."""
+    train = M.with_label(_features(spark, sf_dir).where("split = 'train'"))
+    per_window = F.explode(F.array(*[F.struct(F.lit(n).alias("days"), F.col(f"has_bought_category_a_{n}").cast("double").alias("score")) for n in WINDOWS]))
+    return M.auc_by_group(train.select("chain", "label", per_window.alias("w")).select("chain", "label", "w.*"), ["chain", "days"], "score")
+
+
+def q_submission_checks(spark, sf_dir):
+    """Rows asked for, written and without a score, of the submission."""
+    requested = _features(spark, sf_dir).where("split = 'test'").select("id", "offer")
+    return M.submission_checks(requested, q_submission(spark, sf_dir))
+
+
 # ---- model queries: what SQL can state about them is checked; raw values are tested with fixed seeds ----
 
 _MODEL_MEMO: dict = {}
@@ -325,6 +398,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cat_dept_map": q_cat_dept_map,
         "history_offers": q_history_offers,
         "lookback_join": q_lookback_join,
+        "reduce_stream_wide": q_reduce_stream_wide,
+        "facts_incremental": q_facts_incremental,
+        "load_raw_csv": q_load_raw_csv,
     }
     for n in WINDOWS:
         q[f"has_bought_{n}"] = _has_bought(n)
@@ -337,6 +413,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "feature_columns": q_feature_columns,
         "check_cohort_rows": q_check_cohort_rows,
         "auc_roc": q_auc_roc,
+        "auc_by_group": q_auc_by_group,
+        "submission_checks": q_submission_checks,
         "gbt_scores": q_gbt_scores,
         "cv_grid_metrics": q_cv_grid_metrics,
         "model_roundtrip": q_model_roundtrip,

@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from revisit.operators.reduce import reduce_transactions
+from revisit.operators.sizing import as_bounded
 
 
-def reduced_stream(spark: SparkSession, source_dir: str, schema: T.StructType, offers,
-                   fmt: str = "parquet", max_files_per_trigger: int | None = None,
-                   project: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def line_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
+                fmt: str = "parquet", max_files_per_trigger: int | None = None,
+                project: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``project`` maps the source rows to the transactions layout (e.g. a
     column selection/rename) inside the stream."""
     reader = spark.readStream.schema(schema).format(fmt)
@@ -33,7 +34,20 @@ def reduced_stream(spark: SparkSession, source_dir: str, schema: T.StructType, o
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.load(source_dir)
-    return reduce_transactions(project(lines) if project else lines, offers)
+    return project(lines) if project else lines
+
+
+def reduced_stream(spark: SparkSession, source_dir: str, schema: T.StructType, offers, *args, **kw) -> DataFrame:
+    return reduce_transactions(line_stream(spark, source_dir, schema, *args, **kw), offers)
+
+
+def reduce_in_batches(offers, sink_dir: str) -> Callable[[DataFrame, int], None]:
+    """Reduces a micro-batch like a table: its distinct products meet the key
+    lists, its lines only the products that stay.  The batch's folder is
+    overwritten, so a repeated batch leaves its rows once."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        reduce_transactions(batch, offers).write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+    return run
 
 
 def run_reduction(spark: SparkSession, source_dir: str, schema: T.StructType, offers,
@@ -41,15 +55,19 @@ def run_reduction(spark: SparkSession, source_dir: str, schema: T.StructType, of
                   available_now: bool = True, timeout_s: float | None = None,
                   project: Callable[[DataFrame], DataFrame] | None = None,
                   max_files_per_trigger: int | None = None):
-    """Start the streaming reduction; with ``available_now`` it processes
+    """Start the streaming reduction.  Offers within the broadcast bound meet
+    the stream row by row; past it every micro-batch is reduced by product
+    matching (``reduce_in_batches``).  With ``available_now`` it processes
     every file present now (in as many micro-batches as needed) and stops.
     If it has not ended after ``timeout_s`` it is stopped and TimeoutError is
     raised: the sink is then incomplete."""
-    stream = reduced_stream(spark, source_dir, schema, offers, fmt, max_files_per_trigger, project)
-    writer = (stream.writeStream.format("parquet")
-              .option("path", sink_dir)
-              .option("checkpointLocation", checkpoint_dir)
-              .outputMode("append"))
+    offers = as_bounded(offers)
+    lines = line_stream(spark, source_dir, schema, fmt, max_files_per_trigger, project)
+    if offers.small:
+        writer = reduce_transactions(lines, offers).writeStream.format("parquet").option("path", sink_dir)
+    else:
+        writer = lines.writeStream.foreachBatch(reduce_in_batches(offers, sink_dir))
+    writer = writer.option("checkpointLocation", checkpoint_dir).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     query = writer.start()
     if available_now:
