@@ -9,6 +9,11 @@ executor or a restarted run re-reads files instead of recomputing the
 lineage.  ``out_dir`` should be a shared folder (by default a folder under
 the session's ``spark.checkpoint.dir``).
 
+With ``resume`` (a digest of the inputs and settings) a run that was killed
+goes on where it stopped: each finished stage leaves a mark with the digest
+under ``out_dir/_stages``; a marked stage is read, an unmarked one, and every
+stage after it, is written anew.
+
     python -m revisit.plans.run_all --fixture-dir /root/testdata/sf0.01 --fixture dense
     python -m revisit.plans.run_all --raw transactions.csv offers.csv trainHistory.csv testHistory.csv
 """
@@ -16,9 +21,12 @@ the session's ``spark.checkpoint.dir``).
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import time
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession, functions as F
 
@@ -28,6 +36,7 @@ from revisit.operators.enrich import history_offers
 from revisit.operators.keys import offer_productids
 from revisit.operators.lookback import cohort_date_bounds, has_bought, purchase_facts, user_spend
 from revisit.operators.sizing import Bounded
+from revisit.operators.skew import hot_keys
 from revisit.operators.market import category_products, competition, product_share
 from revisit.operators.reduce import category_dept_map, reduce_transactions
 from revisit.schemas import WINDOWS
@@ -36,27 +45,62 @@ from revisit.sources.fixtures import Tables, load_tables
 from revisit.sources.io import read_parquet, write_csv, write_parquet
 
 
+class StageMarks:
+    """Marks of finished stages: a one-row table each, written last."""
+
+    def __init__(self, spark: SparkSession, out: str, digest: str | None):
+        self.spark, self.folder, self.digest, self.valid = spark, f"{out}/_stages", digest, digest is not None
+
+    def value(self, stage: str) -> dict | None:
+        """What a finished stage left; None from the first unfinished stage on."""
+        if not self.valid:
+            return None
+        try:
+            row = self.spark.read.schema("digest string, value string").parquet(f"{self.folder}/{stage}").first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            row = None
+        self.valid = row is not None and row["digest"] == self.digest
+        return json.loads(row["value"]) if self.valid else None
+
+    def done(self, stage: str, value: dict | None = None) -> None:
+        if self.digest is not None:
+            mark = self.spark.createDataFrame([(self.digest, json.dumps(value or {}))], "digest string, value string")
+            mark.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{stage}")
+
+
 def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dict | None = None,
                  folds: int = M.NUM_FOLDS, search: bool = True, params: dict | None = None,
                  write_intermediates: bool = True, mode: str = "errorifexists",
                  parallelism: int | None = None, submission_ids: str | None = None,
-                 store_inputs: bool = False) -> dict:
+                 store_inputs: bool = False, resume: str | None = None) -> dict:
     """Run every stage; return output paths, timings and metrics.
 
     ``submission_ids``: optional CSV with an ``id`` column (a submission
     template) naming the customers to score; default: the test cohort.
     ``store_inputs``: first write the inputs as typed Parquet and read them
     back (the load step; use it when the inputs are CSV, so no later stage
-    parses text again)."""
+    parses text again).
+    ``resume``: digest of the inputs and settings; stages that finished under
+    the same digest in ``out_dir`` are not run again."""
     out = out_dir.rstrip("/")
-    report: dict = {"paths": {}, "seconds": {}}
+    report: dict = {"paths": {}, "seconds": {}, "resumed": []}
+    marks = StageMarks(spark, out, resume)
+    if resume is not None:
+        mode = "overwrite"          # of what an unfinished stage left
 
     def save(name, df, **kw):
+        """``df`` may be a function that gives it, called only if the stage runs."""
         path = f"{out}/{name}"
-        t0 = time.perf_counter()
-        write_parquet(df, path, mode=mode, **kw)
-        report["seconds"][name] = round(time.perf_counter() - t0, 3)
         report["paths"][name] = path
+        if marks.value(name) is not None:
+            report["resumed"].append(name)
+        else:
+            t0 = time.perf_counter()
+            write_parquet(df() if isinstance(df, Callable) else df, path, mode=mode, **kw)
+            marks.done(name)
+            report["seconds"][name] = round(time.perf_counter() - t0, 3)
         return read_parquet(spark, path)
 
     tx, offers, history = tables.transactions, tables.offers, tables.history
@@ -64,20 +108,21 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
         tx = save("transactions", tx)
         offers = Bounded(save("offers", offers.df))
         history = save("history", history)
-    save("reduced_transactions", reduce_transactions(tx, offers))
-    save("cat_dept_map", category_dept_map(tx))
-    save("offer_productids", offer_productids(offers.df))
+    save("reduced_transactions", lambda: reduce_transactions(tx, offers))
+    save("cat_dept_map", lambda: category_dept_map(tx))
+    save("offer_productids", lambda: offer_productids(offers.df))
     # The two aggregates every feature table derives from, written once.
-    facts = save("_facts", purchase_facts(tx, cohort_date_bounds(history, max(WINDOWS))))
-    cp = save("_category_products", category_products(tx, offers))
+    facts = save("_facts", lambda: purchase_facts(tx, cohort_date_bounds(history, max(WINDOWS))))
+    hot = save("_hot_customers", lambda: hot_keys(facts, "id"))       # counted once, read by every feature table
+    cp = save("_category_products", lambda: category_products(tx, offers))
     if write_intermediates:
         cohort = history_offers(history, offers)
         for n in WINDOWS:
-            save(f"has_bought_{n}", has_bought(cohort, facts, n))
-        save("user_spend", user_spend(cohort, facts))
-        save("product_share", product_share(tx, offers, cp))
-        save("competition", competition(tx, offers, cp))
-    feats = save("assemble_features", assemble_features(tx, offers, history, facts=facts, products=cp),
+            save(f"has_bought_{n}", lambda n=n: has_bought(cohort, facts, n, hot))
+        save("user_spend", lambda: user_spend(cohort, facts, hot=hot))
+        save("product_share", lambda: product_share(tx, offers, cp))
+        save("competition", lambda: competition(tx, offers, cp))
+    feats = save("assemble_features", lambda: assemble_features(tx, offers, history, facts=facts, products=cp, hot=hot),
                  partition_by=["split"])
 
     # One row per history row, consistent values, no repeated cohort key: a violation stops the run.
@@ -91,22 +136,31 @@ def run_pipeline(spark: SparkSession, tables: Tables, out_dir: str, *, grid: dic
     train = M.labelled(ready.where(F.col("split") == "train"))
     test = ready.where(F.col("split") == "test").drop("label")
     chosen = params
-    if search:
+    if search and (found := marks.value("search")) is not None:
+        report["resumed"].append("search")
+        report["cv_metrics"], chosen = found["metrics"], chosen or found["best"]
+    elif search:
         t0 = time.perf_counter()
         cv_model, metrics = M.cross_validate(train, cols, grid=grid, folds=folds, parallelism=parallelism)
         report["seconds"]["cross_validate"] = round(time.perf_counter() - t0, 3)
         report["cv_metrics"] = [r.asDict() for r in metrics.collect()]   # one row per grid point
-        chosen = chosen or M.best_params(cv_model, grid)
+        best = M.best_params(cv_model, grid)
+        marks.done("search", {"metrics": report["cv_metrics"], "best": best})
+        chosen = chosen or best
     report["params"] = chosen or M.FINAL_PARAMS
-    t0 = time.perf_counter()
-    model = M.fit(train, cols, params=report["params"])
     model_path = f"{out}/model"
-    (model.write().overwrite() if mode == "overwrite" else model.write()).save(model_path)
-    report["seconds"]["fit"] = round(time.perf_counter() - t0, 3)
+    if marks.value("model") is not None:
+        report["resumed"].append("model")
+    else:
+        t0 = time.perf_counter()
+        model = M.fit(train, cols, params=report["params"])
+        (model.write().overwrite() if mode == "overwrite" else model.write()).save(model_path)
+        marks.done("model")
+        report["seconds"]["fit"] = round(time.perf_counter() - t0, 3)
     report["paths"]["model"] = model_path
     model = PipelineModel.load(model_path)
     report["train_auc"] = M.auc_evaluator(M.score(model, train))
-    scored = save("predictions", M.score(model, test))
+    scored = save("predictions", lambda: M.score(model, test))
     sub_path = f"{out}/submission"
     if submission_ids:
         ids = (spark.read.option("header", True).csv(submission_ids)
@@ -141,18 +195,28 @@ def main(argv=None) -> None:
     ap.add_argument("--folds", type=int, default=M.NUM_FOLDS)
     ap.add_argument("--mode", default="errorifexists")
     ap.add_argument("--submission-ids", help="CSV with an id column (submission template)")
+    ap.add_argument("--resume", action="store_true", help="go on with the finished stages in --out of a run with the same arguments")
     ap.add_argument("--shuffle-partitions", type=int, help="spark.sql.shuffle.partitions for this run")
     args = ap.parse_args(argv)
     spark = get_session(args.master, shuffle_partitions=args.shuffle_partitions)
+    if args.resume and not args.out:
+        ap.error("--resume needs --out")
+    refused = None
     if args.fixture_dir:
         tables = load_tables(spark, args.fixture_dir, args.fixture)
     else:
-        from revisit.sources.raw import load_raw
-        tables = load_raw(spark, *args.raw)
+        from revisit.sources.raw import load_raw_checked
+        tables, refused = load_raw_checked(spark, *args.raw)
     out = args.out or scratch_path(spark, "run_all")
+    settings = {k: v for k, v in vars(args).items() if k not in ("resume", "master", "shuffle_partitions", "mode")}
+    digest = hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest() if args.resume else None
     report = run_pipeline(spark, tables, out, folds=args.folds, search=not args.no_search,
                           params=args.params, mode=args.mode, submission_ids=args.submission_ids,
-                          store_inputs=bool(args.raw))
+                          store_inputs=bool(args.raw), resume=digest)
+    if refused is not None:
+        write_parquet(refused, f"{out}/refused_rows", mode="overwrite" if args.resume else args.mode)
+        counts = read_parquet(spark, f"{out}/refused_rows").groupBy("source", "columns").count().collect()     # one row per fault
+        report["refused"] = [r.asDict() for r in counts]
     print(json.dumps(report, default=str))
 
 

@@ -177,7 +177,7 @@ def test_lookback_join_rows(spark):
 
 
 def test_salted_join_splits_hot_key_and_keeps_every_pair(spark):
-    from revisit.operators.skew import bucket_of, hot_keys
+    from revisit.operators.skew import collapse_equal, hot_keys
     od = D(2000, 1, 31)
     hot_rows = [(7, 10, 100, 1000, od.fromordinal(od.toordinal() - (i % 40)), 1, float(i)) for i in range(3000)]
     cold_rows = [(i, 10, 100, 1000, od, 1, 1.0) for i in range(1, 6)]
@@ -195,10 +195,31 @@ def test_salted_join_splits_hot_key_and_keeps_every_pair(spark):
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
     from_raw = lookback_join(t, cohort, 30, hot_from=t, rows_per_task=300)
     assert from_raw.exceptAll(plain).count() == 0 and from_raw.count() == plain.count()
-    # equal lines of one customer are spread by the code's own bucket
+    # equal lines of one customer meet as one row with their number
     same = tx(spark, [(7, 10, 100, 1000, od, 1, 1.0)] * 1000)
-    sizes = [r["count"] for r in same.withColumn("b", bucket_of(["category", "date"], F.lit(10))).groupBy("b").count().collect()]
-    assert len(sizes) == 10 and max(sizes) < 200
+    few = collapse_equal(same, "id", hot_keys(same, "id", 300)).collect()
+    assert [r["_copies"] for r in few] == [1000]
+    assert lookback_join(same, cohort, 30, rows_per_task=300).count() == 1000
+
+
+def test_buckets_do_not_depend_on_the_order_of_rows(spark):
+    from revisit.operators.skew import bucket_of
+    rows = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    first = rows.repartition(7, "v").withColumn("b", bucket_of(["k", "v"], F.lit(10)))
+    again = rows.orderBy(F.desc("v")).repartition(3).withColumn("b", bucket_of(["k", "v"], F.lit(10)))
+    assert first.exceptAll(again).count() == 0
+    assert first.select("b").distinct().count() == 10
+
+
+def test_pairs_form_only_in_touched_cells(spark):
+    from revisit.operators.lookback import CELLS, by_cell
+    last = D(2020, 1, 1)
+    t = tx(spark, [(7, 10, 100, 1000, D.fromordinal(last.toordinal() - i), 1, 1.0) for i in range(20 * 365)])
+    cohort = history_offers(history(spark, [(7, 0, D(2010, 5, 5)), (7, 0, None)]), offers(spark, OFFERS))
+    lines, rows = by_cell(t, cohort, 30)
+    pairs = lines.join(rows, F.col("_t_key") == F.col("_c_key")).count()
+    assert 31 <= pairs <= 31 * (CELLS + 1) // CELLS + 11
+    assert lookback_join(t, cohort, 30).count() == 31
 
 
 def test_no_cap_on_hot_keys_or_buckets(spark):

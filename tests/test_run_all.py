@@ -63,3 +63,27 @@ def test_pipeline_on_raw_csv(spark, tmp_path):
     sub = {r.id: r.repeatProbability for r in read_csv(spark, rep["paths"]["submission"], infer_schema=True).collect()}
     assert sorted(sub) == [31, 35, 99] and sub[99] is None and sub[31] is not None
     assert rep["submission_rows"] == rep["requested_ids"] == 3 and rep["submission_unscored"] == 1
+
+
+def test_a_killed_run_goes_on(spark, small_dir, tmp_path, monkeypatch):
+    from revisit.plans import run_all as R
+    tables, out = load_tables(spark, small_dir, "dense"), str(tmp_path / "out")
+    kw = {"search": False, "params": SMALL_PARAMS, "resume": "inputs-1"}
+    with monkeypatch.context() as m:
+        m.setattr(R, "user_spend", lambda *a, **k: 1 / 0)
+        try:
+            run_pipeline(spark, tables, out, **kw)
+            raise AssertionError("the run was to be killed")
+        except ZeroDivisionError:
+            pass
+    with monkeypatch.context() as m:
+        m.setattr(R, "purchase_facts", lambda *a, **k: 1 / 0)      # not run again
+        rep = run_pipeline(spark, tables, out, **kw)
+    assert {"_facts", "has_bought_180"} <= set(rep["resumed"]) and "user_spend" not in rep["resumed"] and "user_spend" in rep["seconds"]
+    whole = run_pipeline(spark, tables, str(tmp_path / "whole"), **{**kw, "resume": None})
+    for name in ("user_spend", "assemble_features", "predictions"):
+        a, b = (spark.read.parquet(r["paths"][name]) for r in (rep, whole))
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    again = run_pipeline(spark, tables, out, **kw)
+    assert "model" in again["resumed"] and "predictions" in again["resumed"] and not again["seconds"]
+    assert not run_pipeline(spark, tables, out, **{**kw, "resume": "inputs-2"})["resumed"]
