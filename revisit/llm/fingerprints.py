@@ -2,10 +2,11 @@
 
 ``fingerprint`` columns come from ``PERMUTATIONS`` universal hash functions
 (multiply-shift) minimised over a text's distinct 5-word shingles in numpy.
-``similar_documents`` (in no registered query) joins signature bands in Spark
+``similar_documents`` joins signature bands in Spark
 and confirms links on the full shingle sets: equal sets are one class, every
 class of a band bucket meets the bucket's smallest one (a star), and buckets
 that still hold several components are compared whole, in blocks.
+``near_groups`` gives each document the smallest doc_id its links reach.
 ``with_next`` gives each row the next document in doc_id order without a
 global window: doc_id ranges (quantile cuts) become buckets that are sorted
 on their own, and each bucket also gets the first row of the next one.
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from revisit.llm import kernel as K
+from revisit.llm.components import components
 from revisit.llm.store import stored
 
 WORDS = 5
@@ -204,3 +206,14 @@ def similar_documents(docs: DataFrame, k: int = WORDS, similarity: float = SIMIL
             .join(least.select(F.col("sid").alias("b"), F.col("doc_id").alias("j")), "b")
             .where("i <> j").select(F.greatest("i", "j").alias("doc_id"), F.least("i", "j").alias("near_id"), "x", "y"))
     return both.mapInArrow(verify, "doc_id long, near_id long, jaccard double").union(copies).distinct()
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, near_id of every row: the smallest doc_id reached through links
+    of ``similar_documents``, its own without a link, null for a null doc_id."""
+    found = components(stored(similar_documents(docs), "near-links").select(F.col("doc_id").alias("a"), F.col("near_id").alias("b")))
+    rows = docs.select("doc_id")
+    if found is None:
+        return rows.select("doc_id", F.col("doc_id").alias("near_id"))
+    return (rows.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+            .select("doc_id", F.coalesce("root", "doc_id").alias("near_id")))

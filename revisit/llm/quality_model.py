@@ -8,7 +8,8 @@ fitted trees are flattened into arrays that all tasks traverse with numpy,
 one step per level for all rows at once.
 
 Defined cases: labels that are null, neither 0 nor 1, or contradict each
-other for one doc_id are not learned from; null or empty texts have all
+other for one doc_id are not learned from; of rows that repeat a labelled
+doc_id the one with the smallest text hash is learned from; null or empty texts have all
 statistics 0 and get a score like any other; without labels, or with labels
 of one class only, the score is the share of label 1 (0.5 without labels);
 repeated rows are scored alike; a null doc_id is scored and not held out.
@@ -158,11 +159,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
     def features(data: np.ndarray, off: np.ndarray, table: pa.RecordBatch) -> dict:
         x = statistics(data, off)
-        return {"doc_id": table.column(0), "quality": table.column(2),
+        return {"doc_id": table.column(0), "quality": table.column(2), "h": table.column(3),
                 "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))}
-    rows = (K.map_texts(joined.select("doc_id", "text", F.col("quality").cast("int").alias("quality")),
-                        "doc_id long, quality int, x array<double>", features, extra=("quality",))
-            .toPandas().sort_values("doc_id", kind="stable"))
+    measured = K.map_texts(joined.select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.xxhash64("text").alias("h")),
+                           "doc_id long, quality int, h long, x array<double>", features, extra=("quality", "h"))
+    rows = (measured.groupBy("doc_id").agg(F.min_by(F.struct("quality", "x"), "h").alias("row"))    # one row a labelled doc_id
+            .select("doc_id", "row.quality", "row.x").toPandas().sort_values("doc_id", kind="stable"))
     if not len(rows):
         return fit(np.zeros((0, N_FEATURES)), np.zeros(0))
     return fit(np.stack(rows["x"].to_numpy()), rows["quality"].to_numpy().astype(float))

@@ -37,6 +37,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands joined and Jaccard verified: the smallest near document of each."""
+    return fingerprints.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_classifier, op2_chat_format, op3_near_dedup, op4_language_id, op5_packing,
-                                    op6_fingerprints, op7_quality_rules, op8_byte_bpe, op9_secret_scan, op10_substring_dedup,
+                                    op6_fingerprints, op6_similar_documents, op7_quality_rules, op8_byte_bpe, op9_secret_scan, op10_substring_dedup,
                                     op11_language_model, op12_hard_negatives, op13_source_audit)}
 
 

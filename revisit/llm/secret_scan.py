@@ -267,9 +267,9 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``; other texts
     are left as they are.  Overlapping spans are replaced once."""
-    bins = dismissal_bins(with_scan(docs.select("text")).select("tested"))
     held = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text"))
-    scanned = with_scan(held).withColumn("spans", F.array_sort(F.concat(sorted_base(), kept_random(bins))))
+    scanned = stored(with_scan(held).select("doc", sorted_base().alias("base"), "tested"), "secret-spans")   # each text is scanned once
+    spans, text = F.array_sort(F.concat(F.col("base"), kept_random(dismissal_bins(scanned)))), F.col("doc")["text"]
 
     def replace(text: Column, spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
@@ -277,6 +277,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(
                 s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"))),
             lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("spans") > 0, replace(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return scanned.select("doc", new.alias("new")).select(*[
+    return scanned.select("doc", spans.alias("spans")).select("doc", F.when(F.size("spans") > 0, replace(text, F.col("spans"))).otherwise(text).alias("new")).select(*[
         (F.col("new") if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
