@@ -5,23 +5,30 @@ from __future__ import annotations
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-NEAR_DEDUP = rf"""
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS w FROM documents),
+
+def near_sql(text: str, k: int, percent: int, columns: str) -> str:
+    """Components of documents whose k-word shingle sets are alike to ``percent``."""
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({text}, '{WORD}') AS w FROM documents),
 shingles AS (
-  SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
+  SELECT doc_id, unnest(CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')))
                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM words),
 sizes AS (SELECT doc_id, count(s.shingle) AS n FROM words LEFT JOIN shingles s USING (doc_id) GROUP BY doc_id),
 sized AS (SELECT doc_id, n, hash(shingle) AS bucket, shingle FROM shingles JOIN sizes USING (doc_id)),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS both_have
   FROM sized a JOIN sized b ON a.bucket = b.bucket AND a.shingle = b.shingle AND a.doc_id < b.doc_id
-    AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY ALL),
-links AS (SELECT unnest([a, b]) AS a, unnest([b, a]) AS b FROM common WHERE 100 * both_have >= 85 * (n + m - both_have)),
+    AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n GROUP BY ALL),
+links AS (SELECT unnest([a, b]) AS a, unnest([b, a]) AS b FROM common WHERE 100 * both_have >= {percent} * (n + m - both_have)),
 reach AS (SELECT doc_id, doc_id AS to_id FROM documents
   UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.to_id),
 component AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id)
-SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN component USING (doc_id)
+SELECT doc_id, {columns} FROM sizes JOIN component USING (doc_id)
 """
 
+
+NEAR_DEDUP = near_sql(LOWER, 3, 85, "n AS n_shingles, component_id, doc_id = component_id AS kept")
+NEAR_GROUPS = near_sql("coalesce(text, '')", 5, 80, "component_id AS near_id")
+
 SUBSTRING_DEDUP = rf"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 windows AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 49], ' ') AS passage
@@ -82,5 +89,5 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": NEAR_DEDUP, "op10_substring_dedup": SUBSTRING_DEDUP,
+    return {"op3_near_dedup": NEAR_DEDUP, "op6_similar_documents": NEAR_GROUPS, "op10_substring_dedup": SUBSTRING_DEDUP,
             "op12_hard_negatives": HARD_NEGATIVES, "op13_source_audit": SOURCE_AUDIT}
