@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from revisit.llm import kernel as K
 from revisit.llm.components import components
-from revisit.llm.store import stored
+from revisit.llm.store import semi_join, stored
 
 WORDS = 5
 PERMUTATIONS = 64
@@ -162,8 +162,8 @@ def similar_documents(docs: DataFrame, k: int = WORDS, similarity: float = SIMIL
         w = K.Words(data, off)
         sets = K.distinct_sets(w, w.hashes(), k)
         return {"doc_id": table.column(0), "sid": [N.set_id(s) for s in sets], "n_shingles": np.array([len(s) for s in sets], np.int64),
-                "fingerprint": to_text([minhash(s) for s in sets])}
-    table = stored(K.map_texts(docs.where("doc_id is not null"), "doc_id long, sid binary, n_shingles long, fingerprint string", build)
+                "fingerprint": [minhash(s).tobytes() for s in sets]}
+    table = stored(K.map_texts(docs.where("doc_id is not null"), "doc_id long, sid binary, n_shingles long, fingerprint binary", build)
                    .where("n_shingles > 0"), "signatures")
     classes = stored(table.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"),
                                               F.first("n_shingles").alias("n_shingles")), "classes")
@@ -171,17 +171,17 @@ def similar_documents(docs: DataFrame, k: int = WORDS, similarity: float = SIMIL
               .where("doc_id > near_id").select("doc_id", "near_id", F.lit(1.0).alias("jaccard")))
 
     # Buckets are the nodes of op3's search: a star first, then what the components leave open, in blocks.
-    width = 8 * PERMUTATIONS // bands
+    width = 4 * PERMUTATIONS // bands
     banded = classes.select("sid", F.posexplode(F.array(*[
         F.substring("fingerprint", 1 + i * width, width) for i in range(bands)])).alias("band", "value"))
     rows = stored(N.shared(banded.select(F.lit(0).cast("byte").alias("tree"), F.xxhash64("band", "value").alias("path"), "sid")), "buckets")
-    involved = stored(classes.join(rows.select("sid").distinct(), "sid", "left_semi"), "classes")
+    involved = stored(classes.select("sid", "doc_id", "n_shingles").join(rows.select("sid").distinct(), "sid", "left_semi"), "classes")
 
     def members(data: np.ndarray, off: np.ndarray, part: pa.RecordBatch) -> dict:
         w = K.Words(data, off)
         sets = K.distinct_sets(w, w.hashes(), k)
         return {"sid": [N.set_id(s) for s in sets], "members": [s.tobytes() for s in sets]}
-    texts = docs.select("doc_id", "text").join(involved.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = semi_join(docs.select("doc_id", "text"), involved, "doc_id")
     full = stored(K.map_texts(texts, "sid binary, members binary", members)
                   .join(involved.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     pivots = rows.groupBy("path").agg(F.min("sid").alias("pivot"))
