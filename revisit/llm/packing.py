@@ -3,7 +3,10 @@
 Lengths are word counts of whole texts.  The global length histogram (exact
 up to 256 words, then 128 steps per doubling: at most a few thousand bins
 whatever the corpus) goes to a dynamic program that chooses the bucket
-boundaries with the least total padding.  Inside a bucket, documents are
+boundaries with the least total padding.  The program takes a bin of several
+lengths at the least padding that a boundary inside it could leave; bins at
+which its best buckets end are counted again in ``SPLIT`` parts, until the
+padding is proven to be within ``GAP`` of the least over all lengths.  Inside a bucket, documents are
 numbered without a global window: rows are dealt to salted slices of about
 ``SLICE_ROWS`` by the bucket's own count, numbered within their slice, and
 moved on by the counts of the slices before.  ``floor(number / capacity)`` is
@@ -17,7 +20,11 @@ null doc_ids are listed as null; no rows give no batches.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -27,6 +34,9 @@ from revisit.llm.store import stored
 BUDGET = 65_536
 BUCKETS = 16
 SLICE_ROWS = 20_000
+SPLIT = 8
+REACH = 32
+GAP = 0.001
 
 
 def text_lengths(docs: DataFrame) -> DataFrame:
@@ -41,43 +51,92 @@ def length_bin(length):
     return length - F.pmod(length, step)
 
 
-def best_boundaries(top: np.ndarray, n: np.ndarray, total: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Largest length of each bucket: the cut of the ascending bins into at
-    most ``buckets`` runs with the least sum of (run's largest - length)."""
-    m = len(top)
+def best_ends(low: np.ndarray, n: np.ndarray, total: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+    """Last bin of each bucket: the cut of the ascending bins into at most
+    ``buckets`` runs with the least sum of (run's largest - length), where a
+    run may end inside its last bin.  Such an end is taken at the bin's least
+    length ``low`` and without padding in the bin: exact for a single length,
+    never too much otherwise."""
+    m = len(low)
     if not m:
         return []
-    count, tokens = np.r_[0, np.cumsum(n)].astype(float), np.r_[0, np.cumsum(total)].astype(float)
-    cost = np.full(m + 1, np.inf)
-    cost[0] = 0
+    low = [int(v) for v in low]
+    count, tokens = ([0, *itertools.accumulate(int(v) for v in column)] for column in (n, total))
+    cost: list = [0] + [math.inf] * m
     cuts = []
     for _ in range(min(buckets, m)):
-        step, back = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        step[0] = 0
+        # A run (i, j] costs a line in low[j] with slope -count[i]: the lower hull of the lines answers ascending lengths.
+        step, back, hull, at = [0] + [math.inf] * m, [0] * (m + 1), [], 0
         for j in range(1, m + 1):
-            option = cost[:j] + top[j - 1] * (count[j] - count[:j]) - (tokens[j] - tokens[:j])
-            back[j] = option.argmin()
-            step[j] = option[back[j]]
+            if cost[j - 1] < math.inf:
+                slope, base = -count[j - 1], cost[j - 1] + tokens[j - 1]
+                while len(hull) > at + 1 and (base - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
+                    hull.pop()
+                hull.append((slope, base, j - 1))
+            x = low[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] < hull[at][0] * x + hull[at][1]:
+                at += 1
+            step[j] = hull[at][0] * x + hull[at][1] + x * count[j - 1] - tokens[j - 1]
+            back[j] = hull[at][2]
         cuts.append(back)
         cost = step
     out, j = [], m
     for back in reversed(cuts):
         if j == 0:
             break
-        out.append(int(top[j - 1]))
+        out.append(j - 1)
         j = int(back[j])
     return out[::-1]
 
 
+def best_boundaries(top: np.ndarray, n: np.ndarray, total: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+    """Largest length of each bucket, from exact ascending lengths."""
+    return [int(top[i]) for i in best_ends(top, n, total, buckets)]
+
+
+def settle(bins: pd.DataFrame, split, buckets: int = BUCKETS, gap: float = GAP) -> tuple[list[int], list[int]]:
+    """Largest length and number of rows of each bucket, with padding at most
+    ``gap`` of it above the least possible (0: the least).  ``split(bins)``
+    gives the parts of bins (bin, n, total, low, top); those around the open
+    ends are split too, which saves rounds."""
+    if not len(bins):
+        return [0], [0]
+    while True:
+        low, top, n, total = (bins[c].to_numpy(np.int64) for c in ("low", "top", "n", "total"))
+        ends = np.array(best_ends(low, n, total, buckets))
+        bucket = np.searchsorted(ends, np.arange(len(bins)))
+        padding = (top[ends][bucket] * n - total).sum()
+        least = np.delete(low[ends][bucket] * n - total, ends).sum()
+        if padding - least <= gap * padding:
+            return top[ends].tolist(), np.bincount(bucket, n).astype(np.int64).tolist()
+        open_ends = ends[low[ends] < top[ends]]
+        around = np.unique((open_ends[:, None] + np.arange(-REACH, REACH + 1)).clip(0, len(bins) - 1))
+        coarse = bins.iloc[around[low[around] < top[around]]]
+        bins = pd.concat([bins.drop(coarse.index), split(coarse)]).sort_values("top", ignore_index=True)
+
+
+def global_boundaries(lengths: DataFrame, buckets: int = BUCKETS, gap: float = GAP) -> tuple[list[int], list[int]]:
+    """``settle`` over a table of distinct lengths (length, n)."""
+    def counted(rows: DataFrame, key) -> pd.DataFrame:
+        return (rows.groupBy(key.alias("bin"))
+                .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("total"), F.min("length").alias("low"), F.max("length").alias("top"))
+                .orderBy("bin").toPandas())
+
+    def split(coarse: pd.DataFrame) -> pd.DataFrame:
+        lows, tops = (F.array(*[F.lit(int(v)) for v in coarse[c]]) for c in ("low", "top"))
+        at = F.size(F.filter(lows, lambda v: v <= F.col("length"))) - 1
+        inside = lengths.withColumn("low", F.get(lows, at).cast("long")).withColumn("top", F.get(tops, at).cast("long")).where("length <= top")
+        step = F.expr(f"(top - low + {SPLIT}) div {SPLIT}")
+        return counted(inside, F.col("length") - F.pmod(F.col("length") - F.col("low"), step))
+    return settle(counted(lengths, length_bin(F.col("length"))), split, buckets, gap)
+
+
 def pack(docs: DataFrame, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
     """One row per batch: bucket, its padded length, the documents and sums."""
     rows = stored(text_lengths(docs).withColumn("row", F.monotonically_increasing_id()), "lengths")
-    bins = (rows.groupBy(length_bin(F.col("length")).alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.max("length").alias("top"))
-            .orderBy("bin").toPandas())         # bounded by the bins of a 64-bit length
-    tops = best_boundaries(bins["top"].to_numpy(), bins["n"].to_numpy(), bins["total"].to_numpy(), buckets) or [0]
-    sizes = np.bincount(np.searchsorted(tops, bins["top"].to_numpy()), bins["n"].to_numpy().astype(float), len(tops))
-    slices = [max(1, -(-int(s) // SLICE_ROWS)) for s in sizes]
+    lengths = stored(rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    tops, sizes = global_boundaries(lengths, buckets)
+    slices = [max(1, -(-s // SLICE_ROWS)) for s in sizes]
     capacity = [max(1, budget // max(1, t)) for t in tops]
 
     def pick(values: list[int]):

@@ -261,6 +261,27 @@ def test_boundaries_are_optimal():
         assert padding(packing.best_boundaries(top, n, top * n, 3)) == least
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_boundaries_over_all_lengths(spark, seed):
+    """The padding that the program over all distinct lengths leaves, far beyond 256 words."""
+    r = random.Random(seed)
+    n = {}
+    for _ in range(4_000):
+        length = int(r.lognormvariate(7, 1.2)) if r.random() < 0.9 else r.randrange(20_000, 60_000)
+        n[length] = n.get(length, 0) + 1
+    top = np.array(sorted(n))
+    count = np.array([n[t] for t in top.tolist()])
+
+    def padding(cuts):
+        return int((np.array(cuts)[np.searchsorted(cuts, top)] * count - top * count).sum())
+    lengths = spark.createDataFrame(list(n.items()), "length long, n long")
+    least = padding(packing.best_boundaries(top, count, top * count, 8))
+    for gap in (0, packing.GAP):
+        got, sizes = packing.global_boundaries(lengths, 8, gap)
+        assert least <= padding(got) <= least / (1 - gap) + 1e-6
+        assert sizes == [int(count[(top <= c) & (top > low)].sum()) for low, c in zip([-1, *got], got)] and sum(sizes) == 4_000
+
+
 def test_pack(spark, docs, none):
     got = packing.pack(docs, budget=300, buckets=3).collect()
     listed = [i for b in got for i in b["doc_ids"]]
