@@ -3,9 +3,12 @@
 Merging is a Spark higher-order function: a word's bytes become an array of
 ids and ``aggregate`` folds ranked merges over it -- every step joins the
 leftmost neighbours of lowest rank, until no neighbours have a rank.  Ranks
-come from a literal map (left id, right id) -> rank, laid out as two literal
-arrays: rows of pairs, shifted so that they interlock, make one array of
-cells, so that a look-up is two array accesses and one comparison.
+come from a map (left id, right id) -> rank, laid out as two arrays: rows of
+pairs, shifted so that they interlock, make one array of cells, so that a
+look-up is two array accesses and one comparison.  The two arrays are a table
+of one row that is broadcast to the rows of words, many words a row; as
+literals they would stand in every description of the plan that the driver
+keeps.
 
 A word that is itself in the rank file is one id.  Other words are counted
 over the whole corpus (pre-summed in each task), and the
@@ -43,7 +46,7 @@ from revisit.llm.token_split import DistinctWords, WordTable, ragged
 DICTIONARY_WORDS = 700_000      # about 40 MB in each Python worker
 DICTIONARY_WORD_BYTES = 64      # longer words are left to the texts' own fold
 LONG_WORD_BYTES = 512           # longer words are merged with a heap
-SPLIT_BYTES = 1 << 20
+SPLIT_BYTES = 1 << 19
 COUNT_ROWS = 1_000_000
 
 
@@ -104,19 +107,19 @@ class Ranks:
         self.shifts, self.cells = interlock(pair_ranks(ranks))
         self.byte_ids = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
 
-    @staticmethod
-    def literal(values: list[int], kind: str) -> Column:
-        """An array literal; the optimiser evaluates the parse once."""
-        return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
-
-    def columns(self) -> "RankColumns":
-        return RankColumns(self)
+    def fold(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with ``ids``: the merges folded over each array of byte ids
+        of an array column.  The two arrays are read once a row of ``df``."""
+        arrays = pa.table(lists(np.array(self.shifts, np.int32), np.array(self.cells, np.int64)), names=["_shifts", "_cells"])
+        tables = F.broadcast(df.sparkSession.createDataFrame(arrays))
+        words = F.col(column)
+        folded = let(F.struct("_shifts", "_cells"), lambda t: F.transform(words, lambda b: fold_merges(b, RankColumns(t, self.end))))
+        return df.crossJoin(tables).select(*df.columns, folded.alias("ids"))
 
 
 class RankColumns:
-    def __init__(self, ranks: Ranks):
-        self.shifts, self.cells = Ranks.literal(ranks.shifts, "int"), Ranks.literal(ranks.cells, "bigint")
-        self.end = ranks.end
+    def __init__(self, tables: Column, end: int):
+        self.shifts, self.cells, self.end = tables["_shifts"], tables["_cells"], end
 
     def joined(self, left: Column, right: Column) -> Column:
         """Rank of two neighbouring ids joined, or null."""
@@ -136,7 +139,7 @@ def fold_merges(first: Column, table: RankColumns) -> Column:
     ``ids`` has an end mark at both sides and ``ranks`` the rank of each id
     with its right neighbour.  The first step ranks all neighbours, each
     further one merges a pair and ranks the new id's two neighbours; both go
-    through one look-up expression, so the literals occur once in the plan."""
+    through one look-up expression."""
     no_ranks, end = F.array().cast("array<int>"), F.array(F.lit(table.end))
 
     def change(acc: Column) -> Column:
@@ -241,15 +244,16 @@ def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DI
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.text_buffer(batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(byte_ids[data], off)], names=["word", "first"])
-    rows = (top.select("word").repartition(2 * spark.sparkContext.defaultParallelism, "word")
-            .mapInArrow(with_bytes, "word binary, first array<int>")
-            .select("word", fold_merges(F.col("first"), ranks.columns()).alias("ids")).toArrow())
+            yield pa.RecordBatch.from_arrays(lists(batch.column(0), list_array(byte_ids[data], off)), names=["words", "first"])
+    listed = (top.select("word").repartition(2 * spark.sparkContext.defaultParallelism, "word")
+              .mapInArrow(with_bytes, "words array<binary>, first array<array<int>>"))
+    rows = ranks.fold(listed, "first").select("words", "ids").toArrow()
     if not rows.num_rows:
         return known
-    found = rows["ids"].combine_chunks()
+    found = rows["ids"].combine_chunks().flatten()
     sizes = np.r_[np.ones(len(own), np.int64), found.value_lengths().to_numpy()]
-    return table_of(pa.chunked_array([pieces, *rows["word"].chunks]), np.r_[own, found.flatten().to_numpy()], np.r_[0, np.cumsum(sizes)])
+    return table_of(pa.chunked_array([pieces, rows["words"].combine_chunks().flatten()]),
+                    np.r_[own, found.flatten().to_numpy()], np.r_[0, np.cumsum(sizes)])
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -316,8 +320,7 @@ def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_tex
                     names=[*carried, "bytes"])
     carried = ["keys", "sizes", "codes", "lengths", "order", "flat"]
     chunks = rows.mapInArrow(gather, "keys array<long>, " + "".join(f"{c} array<int>, " for c in carried[1:]) + "bytes array<array<int>>")
-    columns = loaded.columns()
-    folded = chunks.select(*carried, F.transform("bytes", lambda b: fold_merges(b, columns)).alias("ids"))
+    folded = loaded.fold(chunks, "bytes").select(*carried, "ids")
     names = [part.split()[0] for part in schema.split(",")]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

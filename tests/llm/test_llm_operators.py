@@ -420,6 +420,14 @@ def test_byte_bpe(docs, none):
     assert byte_bpe.round_trip(none, path, P.PATTERN).count() == 0
 
 
+def test_ranks_are_no_literals_of_the_plan(docs):
+    """The rank arrays (some 280,000 cells) stay out of the plans and their descriptions."""
+    import public_tokenizers as P
+    out = byte_bpe.round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert len(out._jdf.queryExecution().toString()) < 100_000
+    assert out.count() == docs.count()
+
+
 def test_token_split():
     import public_tokenizers as P
     import pyarrow as pa
