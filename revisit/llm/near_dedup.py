@@ -15,9 +15,13 @@ full sets.  Comparing follows the components found so far:
 - first every class meets the smallest class of its nodes (one candidate a
   class, the likeliest by its tokens, confirmed on full sets): a star instead
   of all pairs, which joins large groups of copies;
-- nodes whose classes are all in one component are done.  In the others, if
-  they are small (``NODE_ROWS`` classes, ``NODE_SHINGLES`` shingles), all full
-  sets are compared in one task by counting all
+- nodes whose classes are all in one component are done.  In the others a
+  class stays if it has a possible partner there: of another component, of a
+  size that allows the similarity (exact), and with so many equal tokens that
+  a pair at the threshold has fewer with a chance of at most ``MISSED``, far
+  below that of the trees.  Classes that met at random end here and send no
+  full sets.  If a node is small (``NODE_ROWS`` classes, ``NODE_SHINGLES``
+  shingles), the full sets that stay are compared in one task by counting all
   intersections, and links between components are reported, one for each pair of components joined.  One tree
   is compared before the others, which then only see what is left;
 - larger mixed nodes branch on; at ``MAX_DEPTH`` they are cut into blocks and
@@ -51,6 +55,7 @@ MAX_DEPTH = 8
 NODE_ROWS = 4096
 NODE_SHINGLES = 4_000_000
 DENSE_CELLS = 30_000_000
+MISSED = 1e-9
 PATHS = "tree byte, path long, sid binary"
 
 
@@ -200,6 +205,61 @@ def node_links(sets: list[np.ndarray], comp: list[bytes], num: int, den: int) ->
     return out
 
 
+def least_agreeing(threshold: float) -> int:
+    """Equal tokens to ask of a pair: one at the threshold has fewer with a
+    chance of at most ``MISSED`` (binomial)."""
+    below = 0.0
+    for m in range(TOKENS):
+        below += math.comb(TOKENS, m) * threshold ** m * (1 - threshold) ** (TOKENS - m)
+        if below > MISSED:
+            return m
+    return TOKENS
+
+
+def partnered(tokens: np.ndarray, size: np.ndarray, comp: np.ndarray, num: int, den: int, rows: int = 16) -> np.ndarray:
+    """Marks the classes of a group that have a possible partner in it."""
+    need = least_agreeing(num / den)
+    keep = np.zeros(len(size), bool)
+    for lo in range(0, len(size), rows):
+        s, c = size[lo:lo + rows, None], comp[lo:lo + rows, None]
+        x, y = np.nonzero((c != comp) & (den * np.minimum(s, size) >= num * np.maximum(s, size)))
+        hit = (tokens[lo + x] == tokens[y]).sum(axis=1) >= need
+        keep[lo + x[hit]] = keep[y[hit]] = True
+    return keep
+
+
+def likely(groups: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of ``groups`` (path, i, j, sid, comp) with a possible partner in their group."""
+    names = ["path", "i", "j", "sid", "comp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        key = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            ids: dict[bytes, int] = {}
+            comp = np.array([ids.setdefault(row[1], len(ids)) for row in held])
+            tokens = np.frombuffer(b"".join(row[2] for row in held), np.uint32).reshape(-1, TOKENS)
+            rows = np.flatnonzero(partnered(tokens, np.array([row[3] for row in held], np.int64), comp, num, den)).tolist()
+            if rows:
+                columns = [[part] * len(rows) for part in key] + [[held[r][c] for r in rows] for c in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                                                 names=names)
+        for batch in batches:
+            for *k, sid, comp, tokens, size in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if k != key and held:
+                    yield from close()
+                    held = []
+                key = k
+                held.append((sid, comp, tokens, size))
+        if held:
+            yield from close()
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (groups.join(classes.select("sid", "tokens", "n_shingles"), "sid").select(*names, "tokens", "n_shingles")
+            .repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j", "sid")
+            .mapInArrow(run, "path long, i int, j int, sid binary, comp binary"))
+
+
 def compare(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) found inside each group of ``groups`` (path, i, j, sid, comp)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +280,7 @@ def compare(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         if held:
             yield close()
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (groups.join(sets, "sid").select("path", "i", "j", "sid", "comp", "members")
+    return (groups.join(semi_join(sets, groups, "sid"), "sid").select("path", "i", "j", "sid", "comp", "members")
             .repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j", "sid")
             .mapInArrow(run, "a binary, b binary"))
 
@@ -285,6 +345,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, k: int, num: int, den:
     for depth in range(FIRST_DEPTH, max_depth + 1):
         for part in ("tree = 0", "tree > 0"):
             groups = block_pairs(mixed_nodes(rows.where(part), labels), node_rows, depth == max_depth)
+            groups = stored(likely(groups, involved, num, den), "groups")
             labels = relabel(labels, compare(groups, sets, num, den))
         if depth == max_depth:
             break

@@ -210,6 +210,35 @@ def test_blocks_of_large_nodes_meet(spark):
         assert {i: root.get(i, i) for i in ids} == low
 
 
+def test_classes_that_met_at_random_send_no_sets(spark, monkeypatch):
+    """Texts with half of their words in common share nodes, but nothing links
+    them: before, their full sets were sent to every such node."""
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"u{i}_{j}" for j in range(60)])) for i in range(80)]
+    linked = [(100 + i, " ".join([f"w{j}" for j in range(300)] + [f"x{i}"] + [f"y{j}" for j in range(60)] + [f"z{r.random()}"])) for i in range(2)]
+    sent = []
+    whole = near_dedup.compare
+    monkeypatch.setattr(near_dedup, "compare", lambda groups, *a: (sent.append({bytes(x["sid"]) for x in groups.collect()}), whole(groups, *a))[1])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows + linked, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: i for i, _ in rows} | {100: 100, 101: 100}
+    assert sent and len(set().union(*sent)) <= 2
+
+
+def test_partners_of_a_group():
+    r = np.random.default_rng(3)
+    tokens = r.integers(0, 1 << 32, (50, near_dedup.TOKENS), dtype=np.uint32)
+    need = near_dedup.least_agreeing(0.85)
+    assert 30 <= need <= 40
+    tokens[7, :need] = tokens[3, :need]             # just enough
+    tokens[9, :need - 1] = tokens[5, :need - 1]     # one too few
+    tokens[20] = tokens[21]                         # sizes too far apart
+    tokens[30] = tokens[31]                         # one component
+    size, comp = np.full(50, 100), np.arange(50)
+    size[20], comp[30] = 84, 31
+    assert np.flatnonzero(near_dedup.partnered(tokens, size, comp, 85, 100)).tolist() == [3, 7]
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7)]
     got = components.components(spark.createDataFrame(edges, "a long, b long"))
