@@ -118,7 +118,7 @@ def with_next(docs: DataFrame, per_pair, schema: str) -> DataFrame:
                     held, bucket, size = [], b, 0
                 held.append((key, text))
                 size += len(text)
-                if len(held) > 1 and (after or size > K.BLOCK_BYTES // 2):
+                if len(held) > 1 and (after or size > 2 * K.BLOCK_BYTES):
                     yield per_pair(held)
                     held, size = held[-1:], len(text)
     return dealt.mapInArrow(run, schema)

@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 4 << 20
-HASH_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

@@ -52,7 +52,8 @@ MAX_LEVEL = 126
 SLOT_BYTES = 4 << 20              # text that one slot's n-grams come from
 SEGMENT_BYTES = 128 << 20         # filter bytes broadcast at a time
 EXACT_WORDS = 500_000             # 12 MB
-HELD_NGRAMS = 4_000_000
+HELD_NGRAMS = 1_500_000          # of a task, about 100 MB while they are sent
+HELD_WORDS = 1_000_000
 ADD = 0.1
 STEPS = 30
 
@@ -140,7 +141,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             learned = (~batch.column(1).to_numpy(zero_copy_only=False))[t.text].astype(np.int64)
             held.append(merge([(t.hash, t.second, learned, np.ones(t.n, np.int64))]))
             size += len(held[-1][0])
-            if size >= HELD_NGRAMS // 4:
+            if size >= HELD_WORDS:
                 yield batch_of(held)
                 held, size = [], 0
         if held:

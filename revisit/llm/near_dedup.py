@@ -158,6 +158,41 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def repeated_shingles(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, number) of each shingle that occurs in two sets or more, set after
+    set, and the occurrences of each number."""
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable").astype(np.int32)
+    values = values[order]
+    number = np.cumsum(np.r_[False, values[1:] != values[:-1]][:len(values)], dtype=np.int32)
+    del values
+    df = np.bincount(number)
+    column = np.cumsum(df > 1, dtype=np.int32) - 1
+    column[df < 2] = -1
+    token = np.empty_like(order)
+    token[order] = column[number]
+    del order, number
+    used = token >= 0
+    return np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[used], token[used], df[df > 1]
+
+
+def product(table: np.ndarray, rows: np.ndarray, columns: int = 1024) -> np.ndarray:
+    """Common shingles of the given rows with all, by parts of the columns."""
+    out = np.zeros((len(rows), len(table)), np.float32)
+    for lo in range(0, table.shape[1], columns):
+        part = table[:, lo:lo + columns].astype(np.float32)
+        out += part[rows] @ part.T
+    return out
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], columns: int, rows: int = 512) -> Iterator[tuple]:
+    """Rows as Python values, a few hundred at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            yield from zip(*(part.column(i).to_pylist() for i in range(columns)))
+
+
 def node_links(sets: list[np.ndarray], comp: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
     """Links between different components among a node's full sets.  All
     intersections are counted, for a block of sets at a time: by a product of
@@ -168,16 +203,11 @@ def node_links(sets: list[np.ndarray], comp: list[bytes], num: int, den: int) ->
     size = np.array([len(x) for x in sets])
     ids: dict[bytes, int] = {}
     label = np.array([ids.setdefault(c, len(ids)) for c in comp])
-    member = np.repeat(np.arange(n), size)
-    _, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    twice = np.flatnonzero(df > 1)
-    column = np.full(len(df), -1)
-    column[twice] = np.arange(len(twice))
-    used = column[inverse] >= 0
-    member, token, df = member[used], column[inverse[used]], df[twice]
-    dense = n * len(twice) <= DENSE_CELLS and n * n * len(twice) < 60 * float((df.astype(float) ** 2).sum())
+    member, token, df = repeated_shingles(sets)
+    n_columns = len(df)
+    dense = n * n_columns <= DENSE_CELLS and n * n * n_columns < 60 * float((df.astype(float) ** 2).sum())
     if dense:
-        table = np.zeros((n, len(twice)), np.float32)
+        table = np.zeros((n, n_columns), np.uint8)
         table[member, token] = 1
     else:
         by_token = np.argsort(token, kind="stable")
@@ -187,7 +217,7 @@ def node_links(sets: list[np.ndarray], comp: list[bytes], num: int, den: int) ->
     for lo in range(0, n, 256):
         rows = np.arange(lo, min(lo + 256, n))
         rows = rows[(label[rows][:, None] != label[None, :]).any(axis=1)] if (label != label[0]).any() else rows[:0]
-        block = table[rows] @ table.T if dense and len(rows) else None
+        block = product(table, rows) if dense and len(rows) else None
         for i, x in enumerate(rows.tolist()):
             if dense:
                 common = block[i]
@@ -245,13 +275,12 @@ def likely(groups: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
                 columns = [[part] * len(rows) for part in key] + [[held[r][c] for r in rows] for c in range(2)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                                                  names=names)
-        for batch in batches:
-            for *k, sid, comp, tokens, size in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if k != key and held:
-                    yield from close()
-                    held = []
-                key = k
-                held.append((sid, comp, tokens, size))
+        for *k, sid, comp, tokens, size in rows_of(batches, 7):
+            if k != key and held:
+                yield from close()
+                held = []
+            key = k
+            held.append((sid, comp, tokens, size))
         if held:
             yield from close()
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -270,13 +299,12 @@ def compare(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             found = node_links([m for _, _, m in held], [c for _, c, _ in held], num, den) if len(held) > 1 else []
             return pa.RecordBatch.from_pydict({"a": pa.array([held[x][0] for x, _ in found], pa.binary()),
                                                "b": pa.array([held[y][0] for _, y in found], pa.binary())})
-        for batch in batches:
-            for *k, sid, comp, members in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if k != key and held:
-                    yield close()
-                    held = []
-                key = k
-                held.append((sid, comp, np.frombuffer(members, np.uint64)))
+        for *k, sid, comp, members in rows_of(batches, 6):
+            if k != key and held:
+                yield close()
+                held = []
+            key = k
+            held.append((sid, comp, np.frombuffer(members, np.uint64)))
         if held:
             yield close()
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
