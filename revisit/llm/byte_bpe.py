@@ -47,7 +47,7 @@ DICTIONARY_WORDS = 700_000      # about 40 MB in each Python worker
 DICTIONARY_WORD_BYTES = 64      # longer words are left to the texts' own fold
 LONG_WORD_BYTES = 512           # longer words are merged with a heap
 SPLIT_BYTES = 1 << 19
-COUNT_ROWS = 1_000_000
+COUNT_ROWS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -290,6 +290,18 @@ def lists(*columns) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest takes; a
+    batch of many blocks waits between Spark and its workers."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if values.max(initial=0) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def unpack(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    return raw[1:].view(f"u{raw[0]}").astype(np.int64)
+
+
 def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_text, schema: str,
                  words: int = DICTIONARY_WORDS) -> DataFrame:
     """``per_text(doc_id, ids as int32 array) -> tuple`` over every text."""
@@ -314,12 +326,12 @@ def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_tex
                 flat = np.r_[table.ids[ragged(table.ids_start[row[hit]], size[hit])], np.array([i for x in ids for i in x], np.int32)]
                 missing, ends = found.flat(np.flatnonzero(size < 0))
                 known_first = np.r_[hit, long]                  # the order of the flat ids
+                packed = (np.diff(found.first), found.code, size + 1, known_first, flat)
                 yield pa.RecordBatch.from_arrays(
-                    lists(batch.column(0).slice(lo, hi - lo), np.diff(found.first).astype(np.int32), found.code.astype(np.int32), size.astype(np.int32),
-                          known_first.astype(np.int32), flat.astype(np.int32), list_array(byte_ids[missing], ends)),
+                    [*lists(batch.column(0).slice(lo, hi - lo)), *[pa.array([pack(x)], pa.binary()) for x in packed], *lists(list_array(byte_ids[missing], ends))],
                     names=[*carried, "bytes"])
     carried = ["keys", "sizes", "codes", "lengths", "order", "flat"]
-    chunks = rows.mapInArrow(gather, "keys array<long>, " + "".join(f"{c} array<int>, " for c in carried[1:]) + "bytes array<array<int>>")
+    chunks = rows.mapInArrow(gather, "keys array<long>, " + "".join(f"{c} binary, " for c in carried[1:]) + "bytes array<array<int>>")
     folded = loaded.fold(chunks, "bytes").select(*carried, "ids")
     names = [part.split()[0] for part in schema.split(",")]
 
@@ -327,13 +339,14 @@ def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_tex
         """Lays the ids of the words out in the order of the texts."""
         for batch in batches:
             for keys, *arrays, ids in zip(*(batch.column(i) for i in range(7))):
-                sizes, code, length, order, flat = (a.values.to_numpy() for a in arrays)
-                miss, length = np.flatnonzero(length < 0), length.astype(np.int64)
+                sizes, code, length, order, flat = (unpack(a.as_buffer()) for a in arrays)
+                length -= 1
+                miss = np.flatnonzero(length < 0)
                 length[miss] = ids.values.value_lengths().to_numpy()
                 order = np.r_[order, miss]
                 start = np.zeros(len(length), np.int64)
                 start[order] = np.cumsum(length[order]) - length[order]
-                flat = np.r_[flat, ids.values.flatten().to_numpy().astype(np.int32)]
+                flat = np.r_[flat.astype(np.int32), ids.values.flatten().to_numpy().astype(np.int32)]
                 each = length[code]
                 listed = flat[ragged(start[code], each)]
                 ends = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(sizes)]].tolist()
