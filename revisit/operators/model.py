@@ -7,7 +7,9 @@ executors: the only values on the driver are the 12 grid metrics.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import threading
+
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -24,6 +26,7 @@ GRID = {"maxDepth": [2, 4, 6], "maxBins": [20, 60], "maxIter": [10, 20]}
 FINAL_PARAMS = {"maxDepth": 6, "maxBins": 20, "maxIter": 20}
 NUM_FOLDS = 6
 ROWS_PER_MODEL_PARTITION = 500_000
+ROWS_PER_FIT_PARTITION = 100_000      # of one fit, which has the cluster for itself
 SEED = 0
 POSITIVE, NEGATIVE = "t", "f"
 
@@ -65,18 +68,72 @@ def build_pipeline(features: list[str], kind: str = "gbt", **params) -> Pipeline
     return Pipeline(stages=[assembler, classifier(kind, **params)])
 
 
+class FirstTrees(Model):
+    """The first trees of a fitted boosting pipeline.  Each tree depends only
+    on those before it, so they are what a fit with fewer rounds returns."""
+
+    def __init__(self, pipeline: PipelineModel, rounds: int):
+        super().__init__()
+        self.pipeline, self.rounds = pipeline, rounds
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        *before, boosted = self.pipeline.stages
+        for stage in before:
+            dataset = stage.transform(dataset)
+        margin, names = F.lit(0.0), []
+        for i, (tree, weight) in enumerate(zip(boosted.trees[:self.rounds], boosted.treeWeights)):
+            names.append(f"_tree_{i}")
+            dataset = tree.setFeaturesCol(boosted.getFeaturesCol()).setPredictionCol(names[-1]).transform(dataset)
+            margin = margin + F.lit(float(weight)) * F.col(names[-1])
+        return dataset.withColumn(boosted.getRawPredictionCol(), margin).drop(*names)
+
+
+class GridPipeline(Pipeline):
+    """A pipeline that ends in boosted trees.  Grid points that differ in
+    ``maxIter`` alone take one fit, of the most rounds."""
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps):
+        rounds = self.getStages()[-1].maxIter
+        points: dict[tuple, list[int]] = {}
+        for i, m in enumerate(paramMaps):
+            points.setdefault(tuple(sorted((p.name, v) for p, v in m.items() if p != rounds)), []).append(i)
+        most = {}
+        for same in points.values():
+            same.sort(key=lambda i: -paramMaps[i].get(rounds, 0))
+            most |= dict.fromkeys(same, same[0])
+        order = iter(sorted(most, key=lambda i: i != most[i]))       # the fits first
+        fitted, locks, lock = {}, {i: threading.Lock() for i in most.values()}, threading.Lock()
+
+        class Models:
+            def __iter__(inner):
+                return inner
+
+            def __next__(inner):
+                with lock:
+                    index = next(order)
+                longest = most[index]
+                with locks[longest]:
+                    if longest not in fitted:
+                        fitted[longest] = self.fit(dataset, paramMaps[longest])
+                whole = fitted[longest]
+                same = index == longest or rounds not in paramMaps[index]
+                return index, whole if same else FirstTrees(whole, paramMaps[index][rounds])
+        return Models()
+
+
 def cross_validate(train: DataFrame, features: list[str], grid: dict | None = None,
                    folds: int = NUM_FOLDS, parallelism: int | None = None, seed: int = SEED):
     """Grid search with k-fold CV on AUC-ROC.  Returns the fitted
     CrossValidatorModel and a DataFrame of (params..., avg_auc).
 
-    Fits of different grid points run concurrently (default: as many as
+    Grid points that differ in ``maxIter`` alone share a fit.  Fits of
+    different grid points run concurrently (default: as many as
     the grid has points, up to the cluster's default parallelism); the
     input is persisted for the search, which reads it once per fold and
     grid point, and released afterwards."""
     from pyspark import StorageLevel
     grid = GRID if grid is None else grid
-    pipeline = build_pipeline(features)
+    pipeline = GridPipeline(stages=build_pipeline(features).getStages())
     clf = pipeline.getStages()[-1]
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -115,6 +172,8 @@ def best_params(cv_model, grid: dict | None = None) -> dict:
 def fit(train: DataFrame, features: list[str], params: dict | None = None,
         kind: str = "gbt") -> PipelineModel:
     params = FINAL_PARAMS if params is None and kind == "gbt" else (params or {})
+    # Each tree level or step is a job over all partitions, and each of its tasks returns its own histograms.
+    train = train.coalesce(max(1, -(-train.count() // ROWS_PER_FIT_PARTITION)))
     return build_pipeline(features, kind, **params).fit(train)
 
 

@@ -109,3 +109,32 @@ def test_a_damaged_table_fails_the_checks(spark):
     bad = good.withColumn("has_bought_brand_a_30", F.col("id") * 1.0)
     ok = {r["check"]: r.ok for r in cohort_row_checks(h, {"good": good, "bad": bad, "short": good.where("id = 1")}).collect()}
     assert ok == {"good": True, "bad": False, "short": False, "duplicate_cohort_keys": True}
+
+
+def test_grid_points_that_differ_in_rounds_share_a_fit(spark, monkeypatch):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rnd = random.Random(6)
+    rows = [("train", i, 0, float(rnd.random()), 1.0 if rnd.random() < 0.5 else 0.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "split string, id long, offer long, x double, label double")
+    fits = []
+    fit = M.Pipeline._fit
+    monkeypatch.setattr(M.Pipeline, "_fit", lambda self, data: fits.append(1) or fit(self, data))
+    grid = {"maxDepth": [1, 3], "maxIter": [2, 5]}
+    _, metrics = M.cross_validate(df, ["x"], grid=grid, folds=2)
+    assert len(fits) == 2 * 2 + 1
+    folded = df.withColumn("fold", F.pmod(F.xxhash64("split", "id", "offer", F.lit(M.SEED)), F.lit(2))).coalesce(1).cache()
+    for row in metrics.collect():
+        auc = [BinaryClassificationEvaluator().evaluate(M.build_pipeline(["x"], maxDepth=row.maxDepth, maxIter=row.maxIter)
+               .fit(folded.where(F.col("fold") != k)).transform(folded.where(F.col("fold") == k))) for k in range(2)]
+        assert abs(sum(auc) / 2 - row.avg_auc) < 1e-9
+
+
+def test_a_fit_has_partitions_by_rows(spark, monkeypatch):
+    seen = []
+    fit = M.Pipeline._fit
+    monkeypatch.setattr(M.Pipeline, "_fit", lambda self, data: seen.append(data.rdd.getNumPartitions()) or fit(self, data))
+    df = spark.range(400, numPartitions=40).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    M.fit(df, ["x"], kind="lr")
+    monkeypatch.setattr(M, "ROWS_PER_FIT_PARTITION", 100)
+    M.fit(df, ["x"], kind="lr")
+    assert seen == [1, 4]
