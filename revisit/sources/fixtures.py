@@ -70,9 +70,10 @@ def derive_line_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = broadcast_bounded(raw(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
     joined = (line
               .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(part, F.col("l_partkey") == F.col("p_partkey"))
               .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-              .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
+              .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+              # Last: a shuffle for a later join would carry the part's names along with every line.
+              .join(part, F.col("l_partkey") == F.col("p_partkey")))
     return joined.select(
         F.col("o_custkey").alias("id"),
         F.col("p_size").alias("dept"),
