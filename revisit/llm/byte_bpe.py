@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
 Merging is a Spark higher-order function: a word's bytes become an array of
-ids and ``aggregate`` folds ranked merges over it -- every step joins the
-leftmost neighbours of lowest rank, until no neighbours have a rank.  Ranks
+pieces and ``aggregate`` folds ranked merges over it -- every step joins the
+leftmost neighbours of lowest rank, until no neighbours have a rank.  A piece
+is one number: the rank it has with its right neighbour, its place in the word
+and its id, in that order, so the least number is the pair to merge.  Ranks
 come from a map (left id, right id) -> rank, laid out as two arrays: rows of
 pairs, shifted so that they interlock, make one array of cells, so that a
-look-up is two array accesses and one comparison.  The two arrays are a table
+look-up is two array accesses and one comparison.  The bytes' own pairs are
+ranked in numpy.  The two arrays are a table
 of one row that is broadcast to the rows of words, many words a row; as
 literals they would stand in every description of the plan that the driver
 keeps.
@@ -58,7 +61,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 MAX_IDS = 65536
 SPREAD = 1021                # odd: a row and a right id determine the left id
 DRAWS = 10_000
-UNRANKED, DONE = -1, -2      # states of a word before its first and after its last merge
+ID_BITS, PLACE_AT, RANK_AT = 17, 20, 40      # of a piece: id, place in the word, rank
+NO_RANK = 1 << ID_BITS
+NO_PAIR = 1 << 62            # of an empty cell: no pair comes near it
+MAX_PLACES = 1 << (RANK_AT - PLACE_AT)
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
@@ -73,26 +79,26 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def interlock(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """(shift of each row, cells holding pair * 65536 + rank or -1): a pair of
+    """(shift of each row, cells holding pair and rank or ``NO_PAIR``): a pair of
     row (left + SPREAD * right) % 65536 is at cell shift + right and nowhere
     else."""
     rows: list[list[tuple[int, int]]] = [[] for _ in range(MAX_IDS)]
     for left, right in pairs:
         rows[(left + SPREAD * right) % MAX_IDS].append((left, right))
     n_shifts = max(1, 2 * len(pairs))
-    shifts, cells = [0] * MAX_IDS, [-1] * (n_shifts + MAX_IDS)
+    shifts, cells = [0] * MAX_IDS, [NO_PAIR] * (n_shifts + MAX_IDS + 1)
     draw = random.Random(0)
     for row in sorted((r for r in range(MAX_IDS) if rows[r]), key=lambda r: -len(rows[r])):
         for _ in range(DRAWS):
             shift = draw.randrange(n_shifts)
-            if all(cells[shift + right] < 0 for _, right in rows[row]):
+            if all(cells[shift + right] == NO_PAIR for _, right in rows[row]):
                 break
         else:
             shift = len(cells)      # a place of its own
-            cells += [-1] * MAX_IDS
+            cells += [NO_PAIR] * (MAX_IDS + 1)
         shifts[row] = shift
         for left, right in rows[row]:
-            cells[shift + right] = (left * MAX_IDS + right) * MAX_IDS + pairs[left, right]
+            cells[shift + right] = (left << ID_BITS | right) << ID_BITS | pairs[left, right]
     return shifts, cells
 
 
@@ -105,27 +111,60 @@ class Ranks:
         self.by_piece = ranks
         self.end = max(ranks.values(), default=-1) + 1      # stands before and after a word; in no pair
         self.shifts, self.cells = interlock(pair_ranks(ranks))
-        self.byte_ids = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
+        self.byte_ids = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
+        self.byte_pairs = np.array([[ranks.get(bytes([i, j]), NO_RANK) for j in range(256)] for i in range(256)], np.int64)
+
+    def pieces(self) -> BytePieces:
+        return BytePieces(self.byte_ids, self.byte_pairs, self.end)
 
     def fold(self, df: DataFrame, column: str) -> DataFrame:
-        """``df`` with ``ids``: the merges folded over each array of byte ids
-        of an array column.  The two arrays are read once a row of ``df``."""
+        """``df`` with ``ids``: the merges folded over each array of an array
+        column of byte pieces.  The two arrays are read once a row of ``df``."""
         arrays = pa.table(lists(np.array(self.shifts, np.int32), np.array(self.cells, np.int64)), names=["_shifts", "_cells"])
         tables = F.broadcast(df.sparkSession.createDataFrame(arrays))
         words = F.col(column)
-        folded = let(F.struct("_shifts", "_cells"), lambda t: F.transform(words, lambda b: fold_merges(b, RankColumns(t, self.end))))
+        folded = let(F.struct("_shifts", "_cells"), lambda t: F.transform(words, lambda b: fold_merges(b, RankColumns(t))))
         return df.crossJoin(tables).select(*df.columns, folded.alias("ids"))
 
 
+class BytePieces:
+    """Words as their bytes' pieces, with an end mark at both sides."""
+
+    def __init__(self, byte_ids: np.ndarray, byte_pairs: np.ndarray, end: int):
+        self.byte_ids, self.byte_pairs, self.end = byte_ids, byte_pairs, end
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> pa.Array:
+        length = np.diff(off)
+        if length.max(initial=0) + 2 > MAX_PLACES:
+            raise ValueError("a word of 2 ** 20 bytes and more is not folded")
+        ends = np.r_[0, np.cumsum(length + 2)]
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], length + 2)
+        ids, rank = np.full(ends[-1], self.end), np.full(ends[-1], NO_RANK)
+        at = ragged(ends[:-1] + 1, length)          # of each byte
+        ids[at] = self.byte_ids[data]
+        pair = np.ones(len(data), bool)
+        pair[off[1:][length > 0] - 1] = False       # a word's last byte
+        left = np.flatnonzero(pair)
+        rank[at[left]] = self.byte_pairs[data[left], data[left + 1]]
+        values = pa.array(rank << RANK_AT | place << PLACE_AT | ids)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
+def bits(value: Column, low: int, high: int) -> Column:
+    """``value`` with its bits from ``low`` to ``high`` alone."""
+    return value.bitwiseAND(F.lit((1 << high) - (1 << low)).cast("long"))
+
+
 class RankColumns:
-    def __init__(self, tables: Column, end: int):
-        self.shifts, self.cells, self.end = tables["_shifts"], tables["_cells"], end
+    def __init__(self, tables: Column):
+        self.shifts, self.cells = tables["_shifts"], tables["_cells"]
 
     def joined(self, left: Column, right: Column) -> Column:
-        """Rank of two neighbouring ids joined, or null."""
-        shift = F.get(self.shifts, (left + right * SPREAD).bitwiseAND(MAX_IDS - 1))
-        return let(F.get(self.cells, shift + right), lambda c: F.when(
-            F.shiftright(c, 16) == left.cast("long") * MAX_IDS + right, c.bitwiseAND(F.lit(MAX_IDS - 1).cast("long")).cast("int")))
+        """Rank of two neighbouring ids joined, or ``NO_RANK``: a cell of
+        another pair differs in the bits above the rank."""
+        shift = F.get(self.shifts, bits(left + right * SPREAD, 0, 16).cast("int"))
+        pair = F.shiftleft(left, 2 * ID_BITS) + F.shiftleft(right, ID_BITS)
+        return F.least(F.get(self.cells, shift + right.cast("int")).bitwiseXOR(pair), F.lit(NO_RANK).cast("long"))
 
 
 def let(value: Column, body) -> Column:
@@ -134,37 +173,22 @@ def let(value: Column, body) -> Column:
 
 
 def fold_merges(first: Column, table: RankColumns) -> Column:
-    """Ids of one word: the ranked merges folded over the ids of its bytes.
+    """Ids of one word: the ranked merges folded over the pieces of its bytes.
 
-    ``ids`` has an end mark at both sides and ``ranks`` the rank of each id
-    with its right neighbour.  The first step ranks all neighbours, each
-    further one merges a pair and ranks the new id's two neighbours; both go
-    through one look-up expression."""
-    no_ranks, end = F.array().cast("array<int>"), F.array(F.lit(table.end))
+    A step replaces the least piece, which is the leftmost of lowest rank, and
+    its right neighbour by the piece of the joined id (an id is its piece's
+    rank), and ranks it with its two neighbours."""
+    def merge(pieces: Column, best: Column, at: Column) -> Column:      # 1-based; the end marks stand outside
+        new, before, after = F.shiftright(best, RANK_AT), F.get(pieces, at - 2), F.get(pieces, at + 1)
+        left = F.shiftleft(table.joined(bits(before, 0, ID_BITS), new), RANK_AT) + bits(before, 0, RANK_AT)
+        joined = F.shiftleft(table.joined(new, bits(after, 0, ID_BITS)), RANK_AT) + bits(best, PLACE_AT, RANK_AT) + new
+        return F.concat(F.slice(pieces, F.lit(1), at - 2), F.array(left, joined), F.slice(pieces, at + 2, F.size(pieces)))
 
-    def change(acc: Column) -> Column:
-        """New ids, ranks kept left and right, and the pairs to rank between them."""
-        ids, ranks, best = acc["ids"], acc["ranks"], acc["best"]
-        whole = F.struct(ids.alias("ids"), no_ranks.alias("left"), ids.alias("lefts"),
-                         F.slice(ids, F.lit(2), F.size(ids)).alias("rights"), no_ranks.alias("right"))
-
-        def merge(at: Column) -> Column:      # 1-based; a piece's id is its rank
-            rest = at + 2
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, rest, F.size(ids))).alias("ids"),
-                F.slice(ranks, F.lit(1), at - 2).alias("left"), F.array(F.get(ids, at - 2), best).alias("lefts"),
-                F.array(best, F.get(ids, at + 1)).alias("rights"), F.slice(ranks, rest, F.size(ids)).alias("right"))
-        return F.when(best == UNRANKED, whole).otherwise(let(F.array_position(ranks, best).cast("int"), merge))    # leftmost
-
-    def ranked(c: Column) -> Column:
-        new = F.concat(c["left"], F.zip_with(c["lefts"], c["rights"], table.joined), c["right"])
-        return let(new, lambda r: F.struct(c["ids"].alias("ids"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(DONE)).alias("best")))
-
-    def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["best"] == DONE, acc).otherwise(let(change(acc), ranked))
-
-    start = F.struct(F.concat(end, first, end).alias("ids"), no_ranks.alias("ranks"), F.lit(UNRANKED).alias("best"))
-    return F.aggregate(first, start, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
+    def step(pieces: Column, _: Column) -> Column:
+        return let(F.array_min(pieces), lambda best: F.when(best >= F.lit(NO_RANK << RANK_AT).cast("long"), pieces).otherwise(
+            let(F.array_position(pieces, best).cast("int"), lambda at: merge(pieces, best, at))))
+    return F.aggregate(first, first, step, lambda pieces: F.transform(
+        F.slice(pieces, F.lit(2), F.size(pieces) - 2), lambda piece: bits(piece, 0, ID_BITS).cast("int")))
 
 
 def text_blocks(batch: pa.RecordBatch, column: int, max_bytes: int = SPLIT_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -178,10 +202,6 @@ def binary_array(data: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def list_array(values: np.ndarray, off: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.astype(np.int32)))
-
-
 def count_words(docs: DataFrame, pattern: str, skip: WordTable) -> DataFrame:
     """(word, n) over all texts but for the words to skip and long ones (those are folded with their text)."""
     broadcast = docs.sparkSession.sparkContext.broadcast(skip)
@@ -239,14 +259,14 @@ def word_dictionary(docs: DataFrame, ranks: Ranks, pattern: str, words: int = DI
     pieces, own = pa.array(list(ranks.by_piece), pa.binary()), np.array(list(ranks.by_piece.values()), np.int32)
     known = table_of(pieces, own, np.arange(len(own) + 1))
     top = frequent_words(stored(count_words(docs, pattern, known), "words"), words)
-    byte_ids = ranks.byte_ids
+    pieces_of = ranks.pieces()
 
     def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.text_buffer(batch.column(0))
-            yield pa.RecordBatch.from_arrays(lists(batch.column(0), list_array(byte_ids[data], off)), names=["words", "first"])
+            yield pa.RecordBatch.from_arrays(lists(batch.column(0), pieces_of(data, off)), names=["words", "first"])
     listed = (top.select("word").repartition(2 * spark.sparkContext.defaultParallelism, "word")
-              .mapInArrow(with_bytes, "words array<binary>, first array<array<int>>"))
+              .mapInArrow(with_bytes, "words array<binary>, first array<array<long>>"))
     rows = ranks.fold(listed, "first").select("words", "ids").toArrow()
     if not rows.num_rows:
         return known
@@ -308,12 +328,12 @@ def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_tex
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     loaded = Ranks(ranks)
     known = docs.sparkSession.sparkContext.broadcast((word_dictionary(rows, loaded, pattern, words), ranks))
-    byte_ids = loaded.byte_ids
+    pieces_of = loaded.pieces()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block: its keys, words a text, number of each word
         in the block, ids a distinct word (-1: to be folded), ids of the words
-        found, byte ids of those to be folded.  Texts and table stay here."""
+        found, byte pieces of those to be folded.  Texts and table stay here."""
         table, by_piece = known.value
         for batch in batches:
             for lo, hi, data, off in text_blocks(batch, 1):
@@ -328,10 +348,10 @@ def encode_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, per_tex
                 known_first = np.r_[hit, long]                  # the order of the flat ids
                 packed = (np.diff(found.first), found.code, size + 1, known_first, flat)
                 yield pa.RecordBatch.from_arrays(
-                    [*lists(batch.column(0).slice(lo, hi - lo)), *[pa.array([pack(x)], pa.binary()) for x in packed], *lists(list_array(byte_ids[missing], ends))],
+                    [*lists(batch.column(0).slice(lo, hi - lo)), *[pa.array([pack(x)], pa.binary()) for x in packed], *lists(pieces_of(missing, ends))],
                     names=[*carried, "bytes"])
     carried = ["keys", "sizes", "codes", "lengths", "order", "flat"]
-    chunks = rows.mapInArrow(gather, "keys array<long>, " + "".join(f"{c} binary, " for c in carried[1:]) + "bytes array<array<int>>")
+    chunks = rows.mapInArrow(gather, "keys array<long>, " + "".join(f"{c} binary, " for c in carried[1:]) + "bytes array<array<long>>")
     folded = loaded.fold(chunks, "bytes").select(*carried, "ids")
     names = [part.split()[0] for part in schema.split(",")]
 
