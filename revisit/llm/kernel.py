@@ -13,6 +13,7 @@ depend on the bytes alone, so equal words have equal hashes in any task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,15 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 
+def release() -> None:
+    """Give what is freed back to the system: a worker lives on from task to
+    task, and the C library keeps the space of an earlier one's arrays."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> _U(33))

@@ -20,7 +20,8 @@ training words.
 2. N-grams are sent by slot, a range of their hash, as packed sorted numbers;
    the number of slots follows the input, each builds its slice of the filter.
 3. The filter grows with the corpus; slices go to the workers in segments of
-   at most ``SEGMENT_BYTES``, one round over the texts for each segment.
+   at most ``SEGMENT_BYTES``, one round over the texts for each segment.  Each
+   worker holds a copy, so it gives back what earlier tasks have freed.
 4. The base score is exact: counts of the at most ``EXACT_WORDS`` words that
    are most frequent in all texts are broadcast, other words are joined with the
    counts by hash (none of them is frequent, so no key is hot).  That bound only
@@ -103,6 +104,7 @@ def summed(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    K.release()
     for batch in batches:
         data, off = K.text_buffer(batch.column(column))
         for lo, hi in K.blocks(off):
@@ -144,6 +146,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             if size >= HELD_WORDS:
                 yield batch_of(held)
                 held, size = [], 0
+                K.release()
         if held:
             yield batch_of(held)
     return (texts.select("text", "held_out").mapInArrow(run, "a long, b long, n long, everywhere long")
@@ -179,6 +182,7 @@ def ngram_blocks(texts: DataFrame, bits: int) -> DataFrame:
             if size >= HELD_NGRAMS:
                 yield emit(held)
                 held, size = [], 0
+                K.release()
         if held:
             yield emit(held)
     return texts.select("text").mapInArrow(run, "slot int, grams binary, counts binary")
@@ -293,7 +297,9 @@ def text_levels(rows: DataFrame, parts: Iterator[Segment], exact: ExactCounts) -
     exact_words, last = context.broadcast(exact), None
     rows = rows.withColumn("words", F.lit(None).cast("binary")).withColumn("pairs", F.lit(None).cast("binary"))
 
-    def both(batches: Iterator[pa.RecordBatch], segment: Segment) -> Iterator[tuple]:
+    def both(batches: Iterator[pa.RecordBatch], broadcast) -> Iterator[tuple]:
+        K.release()      # before a worker's copy of the segment is made
+        segment = broadcast.value
         for batch, t in texts_of(batches, 2):
             old = [None, None] if batch.column(3).null_count else [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8) for i in (3, 4)]
             yield batch, t, segment.levels(t.word, old[0]), segment.levels(t.pair, old[1])
@@ -304,13 +310,13 @@ def text_levels(rows: DataFrame, parts: Iterator[Segment], exact: ExactCounts) -
 
     def step(segment):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, t, words, pairs in both(batches, segment.value):
+            for batch, t, words, pairs in both(batches, segment):
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed(words, t), packed(pairs, t)], names=[*columns, "text", "words", "pairs"])
         return run
 
     def finish(segment):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, t, words, pairs in both(batches, segment.value):
+            for batch, t, words, pairs in both(batches, segment):
                 code, heads = word_codes(t.hash, t.second)
                 count = exact_words.value.find(t.hash[heads], t.second[heads])[code]
                 log = np.where(count >= 0, np.log10(np.maximum(count, 0) + ADD), 0)

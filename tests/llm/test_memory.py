@@ -82,3 +82,18 @@ def test_repeated_shingles_are_those_of_two_sets():
     assert df.tolist() == counts[counts > 1].tolist()
     assert [(m, values[counts > 1][t]) for m, t in zip(member.tolist(), token.tolist())] == [
         (i, v) for i, s in enumerate(sets) for v in s if v in values[counts > 1]]
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_texts_of_a_task_start_without_what_earlier_ones_freed():
+    held = [np.ones(12_000) for _ in range(1500)]       # 96 kB each, all from the C library's heap
+    last = held[-1]                                     # keeps the heap from shrinking by itself
+    before = resident()
+    del held
+    assert before - resident() < 20 << 20
+    assert list(language_model.texts_of(iter([]), 0)) == []
+    assert before - resident() > 100 << 20 and last[0] == 1
